@@ -33,8 +33,12 @@ def raw_type(col: Column) -> Column:
 
 
 def normalize_type(col: Column) -> Column:
-    """Source type to the catalog's type names; ``unknown`` when not listed."""
-    return F.coalesce(F.try_element_at(literal_map(TYPE_NAMES), F.lower(col)), F.lit("unknown"))
+    """Source type, with or without package, to the catalog's type names.
+
+    ``unknown`` when not listed.
+    """
+    simple = F.lower(F.substring_index(col, ".", -1))
+    return F.coalesce(F.try_element_at(literal_map(TYPE_NAMES), simple), F.lit("unknown"))
 
 
 def parse_int_list(col: Column) -> Column:

@@ -8,21 +8,20 @@ from pyspark.sql import functions as F
 GRAM = 3
 
 
-def _grams(text: Column, n: Column) -> Column:
-    """Distinct runs of ``n`` characters of a text."""
-    last = F.length(text) - n + 1
-    return F.when(
-        last > 0,
-        F.array_distinct(
-            F.transform(F.sequence(F.lit(1), last), lambda i: F.substr(text, i, n))
-        ),
-    ).otherwise(F.expr("cast(array() as array<string>)"))
+def _grams(text: Column, n: int) -> Column:
+    """All runs of ``n`` characters of a text, in one pass over it."""
+    return F.regexp_extract_all(text, F.lit(f"(?s)(?=(.{{{n}}}))"), F.lit(1))
 
 
 def _all_grams(text: Column) -> Column:
-    """Distinct runs of 1 to ``GRAM`` characters; the sizes never mix, as a gram
-    carries its size in its length."""
-    return F.flatten(F.array(*[_grams(text, F.lit(n)) for n in range(1, GRAM + 1)]))
+    """Distinct runs of 1 to ``GRAM`` characters; runs of different size never meet."""
+    return F.array_distinct(F.flatten(F.array(*[_grams(text, n) for n in range(1, GRAM + 1)])))
+
+
+def _own_grams(needle: Column) -> Column:
+    """Runs of the greatest size a needle has."""
+    sizes = [F.when(F.length(needle) == n, _grams(needle, n)) for n in range(1, GRAM)]
+    return F.array_distinct(F.coalesce(*sizes, _grams(needle, GRAM)))
 
 
 def substring_pairs(
@@ -35,12 +34,11 @@ def substring_pairs(
     shorter), then checked in full: no pair is missed and no cross product is
     formed. An empty needle fits nothing.
     """
-    n = F.least(F.length(needle_col), F.lit(GRAM))
     wanted = (
         needles.filter(F.length(needle_col) > 0)
         .select(*keys, needle_col)
         .distinct()
-        .select(*keys, needle_col, F.explode(_grams(F.col(needle_col), n)).alias("_gram"))
+        .select(*keys, needle_col, F.explode(_own_grams(F.col(needle_col))).alias("_gram"))
     )
     used = wanted.select(*keys, "_gram").distinct()
     held = texts.select("*", F.explode(_all_grams(F.col(text_col))).alias("_gram")).join(
