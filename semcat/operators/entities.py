@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from semcat.config import DEFAULTS, Settings
 from semcat.functions import java
+from semcat.functions.rows import exploded
 from semcat.operators.routing import entity_files
 
 KEY = ("repo_id", "source_file", "table_name")
@@ -64,11 +65,14 @@ def extract_tables(
 
 def explode_columns(entities: DataFrame) -> DataFrame:
     """One row per column, numbered from 1: base, declared, inferred."""
-    return entities.select(
+    return exploded(
+        entities,
+        "columns",
         "repo_id",
         "source_file",
         F.col("name").alias("table_name"),
-        F.posexplode("columns").alias("pos", "c"),
+        value="c",
+        pos="pos",
     ).select(*KEY, "c.*", (F.col("pos") + 1).alias("ordinal"))
 
 

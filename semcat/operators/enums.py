@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from semcat.config import DEFAULTS, Settings
 from semcat.functions import java
+from semcat.functions.rows import computed_once, exploded
 from semcat.functions.text import decode_escapes, strip_space
 from semcat.operators.routing import bundle_files, enum_files
 
@@ -44,11 +45,12 @@ def parse_enums(
         )
     )
     readable = F.filter("all_values", lambda v: ~v["unreadable"])
-    return (
+    listed = (
         found.withColumn("values", F.transform(readable, lambda v: v.dropFields("unreadable")))
         .withColumn("unreadable", F.size("all_values") - F.size("values"))
         .drop("found", "all_values")
     )
+    return computed_once(listed, "values", "unreadable")
 
 
 def with_values(enums: DataFrame) -> DataFrame:
@@ -71,8 +73,8 @@ def classify_paradigm(
 
 def explode_values(enums: DataFrame) -> DataFrame:
     """One row per enum constant, in text order."""
-    return enums.select(
-        "repo_id", "enum_class", "paradigm", F.posexplode("values").alias("value_no", "v")
+    return exploded(
+        enums, "values", "repo_id", "enum_class", "paradigm", value="v", pos="value_no"
     ).select("repo_id", "enum_class", "paradigm", "value_no", "v.*")
 
 
@@ -96,10 +98,13 @@ def parse_bundles(
     files: DataFrame, settings: Settings = DEFAULTS, root: Column | None = None
 ) -> DataFrame:
     """Key, raw value and line number of every message line."""
-    lines = bundle_files(files, settings, root).select(
+    lines = exploded(
+        bundle_files(files, settings, root),
+        java.bundle_lines(F.col("src")),
         "repo_id",
         java.relative_path(F.col("path"), root).alias("bundle_file"),
-        F.posexplode(java.bundle_lines(F.col("src"))).alias("pos", "line"),
+        value="line",
+        pos="pos",
     )
     equals = F.call_function("locate", F.lit("="), F.col("line"))
     return lines.filter(~F.col("line").startswith("#") & (equals > 0)).select(

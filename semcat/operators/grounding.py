@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 from semcat.config import ACTIVE_FLAG_NAMES, DEFAULTS, Settings
 from semcat.functions import sqltext
+from semcat.functions.rows import exploded
 
 CHECK_FIELDS = ("kind", "severity", "table_name", "column_name", "message", "fix")
 
@@ -67,7 +68,7 @@ def read_statements(log: DataFrame, repo_id: str | None = None) -> DataFrame:
 def extract_table_refs(log: DataFrame, repo_id: str | None = "") -> DataFrame:
     """Distinct tables of each statement, in order of appearance."""
     statements = read_statements(log, repo_id)
-    return statements.select("query_id", F.explode("tables").alias("t")).filter(
+    return exploded(statements, "tables", "query_id", value="t").filter(
         ~F.col("t.derived")
     ).select("query_id", F.col("t.table").alias("table_name"), F.col("t.pos").alias("pos"))
 
@@ -75,7 +76,7 @@ def extract_table_refs(log: DataFrame, repo_id: str | None = "") -> DataFrame:
 def extract_column_refs(log: DataFrame, repo_id: str | None = "") -> DataFrame:
     """Distinct ``(qualifier, column_name)`` of each statement."""
     statements = read_statements(log, repo_id)
-    return statements.select("query_id", F.explode("columns").alias("c")).select(
+    return exploded(statements, "columns", "query_id", value="c").select(
         "query_id", "c.qualifier", F.col("c.column").alias("column_name")
     )
 
@@ -83,7 +84,7 @@ def extract_column_refs(log: DataFrame, repo_id: str | None = "") -> DataFrame:
 def extract_equalities(log: DataFrame, repo_id: str | None = "") -> DataFrame:
     """Distinct columns compared to literals, with the literal as integer if it is one."""
     statements = read_statements(log, repo_id)
-    return statements.select("query_id", F.explode("equalities").alias("e")).select(
+    return exploded(statements, "equalities", "query_id", value="e").select(
         "query_id", "e.qualifier", F.col("e.column").alias("column_name"), "e.literal", "e.code"
     )
 
@@ -163,7 +164,9 @@ def probe_statements(statements: DataFrame, ambiguous_columns: bool = True) -> D
         refs("column", "columns", lambda r: none_int),
         refs("equality", "equalities", lambda r: r["code"]),
     )
-    return statements.select(
+    return exploded(
+        statements,
+        probes,
         "query_id",
         "repo_id",
         "tenant_context",
@@ -174,7 +177,7 @@ def probe_statements(statements: DataFrame, ambiguous_columns: bool = True) -> D
         F.transform("columns", lambda c: c["column"]).alias("named_columns"),
         F.col("predicates"),
         F.transform("equalities", lambda e: e["column"]).alias("pinned_columns"),
-        F.explode(probes).alias("p"),
+        value="p",
     ).select(
         "query_id",
         "repo_id",
@@ -445,9 +448,10 @@ def unknown_tables(
     log: DataFrame, catalog: dict[str, DataFrame], repo_id: str | None = None
 ) -> DataFrame:
     """Tables of the log that the catalog does not have; they are not checked."""
-    refs = read_statements(log, repo_id).select(
-        "query_id", "repo_id", F.explode("tables").alias("t")
-    ).filter(~F.col("t.derived")).select(
+    statements = read_statements(log, repo_id)
+    refs = exploded(statements, "tables", "query_id", "repo_id", value="t").filter(
+        ~F.col("t.derived")
+    ).select(
         "query_id", "repo_id", F.col("t.table").alias("table_name")
     )
     known = catalog["tables"].select("repo_id", F.col("name").alias("table_name"))
@@ -549,4 +553,4 @@ def audit_log(
 
 def audit_checks(audited: DataFrame) -> DataFrame:
     """The checks of an audit, one per row."""
-    return audited.select("query_id", F.explode("checks").alias("c")).select("query_id", "c.*")
+    return exploded(audited, "checks", "query_id", value="c").select("query_id", "c.*")

@@ -14,6 +14,7 @@ from semcat.config import (
     RELATION_LIMIT,
     Settings,
 )
+from semcat.functions.rows import exploded
 from semcat.operators.semantics import best_per
 from semcat.operators.substring import substring_pairs
 
@@ -340,7 +341,9 @@ def decode_codes(
     )
     own = (
         values.filter(specific)
-        .select("code", "meaning", "name", F.explode("aggregators").alias("tenant"))
+        .transform(
+            lambda d: exploded(d, "aggregators", "code", "meaning", "name", value="tenant")
+        )
         .groupBy(F.col("code").alias(code_col), F.col("tenant").alias(tenant_col))
         .agg(F.min_by("meaning", "name").alias("_own"))
     )

@@ -12,6 +12,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from semcat.config import SEARCH_LIMIT
+from semcat.functions.rows import exploded
 from semcat.functions.text import tokenize
 from semcat.operators.substring import substring_pairs
 from semcat.plans.lineage import stored
@@ -59,8 +60,9 @@ def build_index(
     if store:
         words = stored(words)
     occurrences = (
-        words.select(*DOC, "length", F.explode("fields").alias("f"))
-        .select(*DOC, "length", "f.field", F.posexplode("f.terms").alias("pos", "term"))
+        exploded(words, "fields", *DOC, "length", value="f")
+        .select(*DOC, "length", "f.*")
+        .transform(lambda d: exploded(d, "terms", *DOC, "length", "field", value="term", pos="pos"))
     )
     # words of one doc sit in one task: counting there leaves distinct words to shuffle
     postings = occurrences.groupBy(*DOC, "field", "term", "length").agg(
@@ -89,14 +91,11 @@ def term_score(tf: Column, length: Column, avg_length: Column) -> Column:
 
 
 def query_terms(queries: DataFrame, text: str = "text") -> DataFrame:
-    """One row per distinct word of a query, with its place and the number of words."""
-    words = queries.select("repo_id", "query_id", tokenize(F.col(text)).alias("words"))
-    return words.withColumn("words", F.array_distinct("words")).select(
-        "repo_id",
-        "query_id",
-        F.size("words").alias("n_terms"),
-        F.posexplode("words").alias("place", "slot"),
-    )
+    """One row per distinct word of a query, with the number of words."""
+    words = queries.select(
+        "repo_id", "query_id", F.array_distinct(tokenize(F.col(text))).alias("words")
+    ).withColumn("n_terms", F.size("words"))
+    return exploded(words, "words", "repo_id", "query_id", "n_terms", value="slot")
 
 
 def _restricted(rows: DataFrame, terms: DataFrame, column: str | None) -> DataFrame:
@@ -119,18 +118,11 @@ def _slots_prefix(index: Index, wanted: DataFrame, column: str | None) -> DataFr
     """As above, where a slot stands for all words that start with it."""
     prefixes = wanted.select("repo_id", "slot").distinct()
     vocabulary = index.occurrences.select("repo_id", "term").distinct()
-    expanded = (
-        vocabulary.select(
-            "repo_id",
-            "term",
-            F.explode(
-                F.transform(
-                    F.sequence(F.lit(1), F.length("term")),
-                    lambda n: F.substr("term", F.lit(1), n),
-                )
-            ).alias("slot"),
-        )
-        .join(prefixes, ["repo_id", "slot"], "left_semi")
+    starts = F.transform(
+        F.sequence(F.lit(1), F.length("term")), lambda n: F.substr("term", F.lit(1), n)
+    )
+    expanded = exploded(vocabulary, starts, "repo_id", "term", value="slot").join(
+        prefixes, ["repo_id", "slot"], "left_semi"
     )
     rows = index.postings if column is None else index.postings.filter(F.col("field") == column)
     return (
@@ -146,12 +138,11 @@ def _phrase_hits(index: Index, queries: DataFrame, column: str | None) -> DataFr
     Each matching word votes for the place the phrase would start at; a place
     with all votes is a hit. No self-join of the word list is needed.
     """
-    words = queries.select("repo_id", "query_id", tokenize(F.col("text")).alias("words"))
-    parts = words.select(
-        "repo_id",
-        "query_id",
-        F.size("words").alias("n_terms"),
-        F.posexplode("words").alias("place", "term"),
+    words = queries.select(
+        "repo_id", "query_id", tokenize(F.col("text")).alias("words")
+    ).withColumn("n_terms", F.size("words"))
+    parts = exploded(
+        words, "words", "repo_id", "query_id", "n_terms", value="term", pos="place"
     )
     rows = index.occurrences
     if column is not None:
@@ -253,13 +244,8 @@ def match_like(
 
     ``%`` and ``_`` in a query stand for themselves.
     """
-    fields = docs.select(
-        "repo_id",
-        F.col(doc_id).alias("doc_id"),
-        F.explode(F.array(*[F.lower(F.coalesce(F.col(c), F.lit(""))) for c in text_cols])).alias(
-            "hay"
-        ),
-    )
+    texts = F.array(*[F.lower(F.coalesce(F.col(c), F.lit(""))) for c in text_cols])
+    fields = exploded(docs, texts, "repo_id", F.col(doc_id).alias("doc_id"), value="hay")
     needles = queries.select("repo_id", "query_id", F.lower("text").alias("needle"))
     return substring_pairs(fields, needles, "hay", "needle", ["repo_id"]).select(
         "repo_id", "query_id", "doc_id"

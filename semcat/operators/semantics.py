@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from semcat.config import CODE_TYPES, DEFAULTS, Settings
+from semcat.functions.rows import exploded
 from semcat.functions.text import literal_map
 
 TABLE = ["repo_id", "table_name"]
@@ -76,9 +77,8 @@ def assign_domain(
     if isinstance(domain_map, dict):
         return tables.withColumn("domain", domain_of(F.col("name"), domain_map, default))
     names = tables.select("name").distinct()
-    parts = names.select(
-        "name", F.explode(F.sequence(F.lit(1), F.length("name"))).alias("n")
-    ).withColumn("prefix", F.substr("name", F.lit(1), F.col("n")))
+    lengths = F.sequence(F.lit(1), F.length("name"))
+    parts = exploded(names, lengths, "name", value="n").withColumn("prefix", F.substr("name", F.lit(1), F.col("n")))
     found = (
         parts.join(domain_map.select("prefix", "domain"), "prefix")
         .groupBy("name")
@@ -154,15 +154,12 @@ def bind_enums(
         )
     bare = F.replace(F.col("name"), F.lit("_"), F.lit(""))
     tail = F.substring_index("table_name", "_", -1)
-    wanted = columns.filter(F.col("type_raw").isin(*CODE_TYPES)).select(
-        *target,
-        F.explode(
-            F.array(
-                F.struct(F.lit(1).alias("step"), bare.alias("short_key")),
-                F.struct(F.lit(2).alias("step"), F.concat(tail, bare).alias("short_key")),
-            )
-        ).alias("k"),
-    ).select(*target, "k.*")
+    keys = F.array(
+        F.struct(F.lit(1).alias("step"), bare.alias("short_key")),
+        F.struct(F.lit(2).alias("step"), F.concat(tail, bare).alias("short_key")),
+    )
+    code_columns = columns.filter(F.col("type_raw").isin(*CODE_TYPES))
+    wanted = exploded(code_columns, keys, *target, value="k").select(*target, "k.*")
     unique = (
         enums.groupBy("repo_id", F.lower("short_name").alias("short_key"))
         .agg(F.min("enum_class").alias("enum_class"), F.max("enum_class").alias("last"))
@@ -201,15 +198,14 @@ def infer_relations(
 ) -> DataFrame:
     """Foreign keys by naming: ``<x>_id`` points at the first table ``<prefix><x>``."""
     stem = F.substr("name", F.lit(1), F.length("name") - len(suffix))
-    wanted = columns.filter(
-        F.col("name").endswith(suffix) & (F.length("name") > len(suffix))
-    ).select(
+    wanted = exploded(
+        columns.filter(F.col("name").endswith(suffix) & (F.length("name") > len(suffix))),
+        F.array(*[F.concat(F.lit(p), stem) for p in prefixes]),
         "repo_id",
         F.col("table_name").alias("from_table"),
         F.col("name").alias("from_column"),
-        F.posexplode(
-            F.array(*[F.concat(F.lit(p), stem) for p in prefixes])
-        ).alias("step", "to_table"),
+        value="to_table",
+        pos="step",
     )
     known = tables.select("repo_id", F.col("name").alias("to_table"))
     hits = wanted.join(known, ["repo_id", "to_table"], "left_semi")

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from semcat.functions.rows import exploded
+
 GRAM = 3
 
 
@@ -38,10 +40,14 @@ def substring_pairs(
         needles.filter(F.length(needle_col) > 0)
         .select(*keys, needle_col)
         .distinct()
-        .select(*keys, needle_col, F.explode(_own_grams(F.col(needle_col))).alias("_gram"))
+        .transform(
+            lambda d: exploded(
+                d, _own_grams(F.col(needle_col)), *keys, needle_col, value="_gram"
+            )
+        )
     )
     used = wanted.select(*keys, "_gram").distinct()
-    held = texts.select("*", F.explode(_all_grams(F.col(text_col))).alias("_gram")).join(
+    held = exploded(texts, _all_grams(F.col(text_col)), "*", value="_gram").join(
         used, [*keys, "_gram"], "left_semi"
     )
     frequency = held.groupBy(*keys, "_gram").agg(F.count("*").alias("_n"))

@@ -9,6 +9,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from semcat.functions.rows import exploded
+
 REPO = "saas"
 FORK = "fork"
 BUCKET = 40
@@ -111,7 +113,7 @@ def entity_sources(part: DataFrame, repo_id: str = REPO) -> DataFrame:
         F.when(size == 3, F.array(helper)).otherwise(F.array_remove(F.array(helper), helper)),
         F.when(size == 4, F.array(nameless)).otherwise(F.array_remove(F.array(nameless), nameless)),
     )
-    return part.select(F.lit(repo_id).alias("repo_id"), F.explode(files).alias("f")).select(
+    return exploded(part, files, F.lit(repo_id).alias("repo_id"), value="f").select(
         "repo_id", "f.path", "f.src"
     )
 
@@ -174,7 +176,7 @@ def enum_sources(customer: DataFrame, repo_id: str = REPO) -> DataFrame:
             ),
         ),
     )
-    return runs.select(F.lit(repo_id).alias("repo_id"), F.explode(files).alias("f")).select(
+    return exploded(runs, files, F.lit(repo_id).alias("repo_id"), value="f").select(
         "repo_id", "f.path", "f.src"
     )
 
@@ -217,7 +219,7 @@ def bundle_sources(customer: DataFrame, repo_id: str = REPO) -> DataFrame:
             F.array_join(late, "\n").alias("src"),
         ),
     )
-    return runs.select(F.lit(repo_id).alias("repo_id"), F.explode(files).alias("f")).select(
+    return exploded(runs, files, F.lit(repo_id).alias("repo_id"), value="f").select(
         "repo_id", "f.path", "f.src"
     )
 

@@ -95,7 +95,12 @@ WARNING = (
 )
 
 WORDS = r"regexp_extract_all(strip_accents(lower({0})), '[\p{{L}}\p{{N}}]+')"
-N_MSG = """(SELECT count(*) FROM customer)"""
+# as above, and runs of Han characters as overlapping pairs
+HAN_WORDS = (
+    r"flatten(list_transform(regexp_extract_all(lower(cm), '\p{Han}+|[\p{Latin}\p{N}]+'),"
+    r" w -> CASE WHEN regexp_matches(w, '^\p{Han}{2,}$')"
+    r" THEN list_transform(range(1, length(w)), i -> substr(w, i, 2)) ELSE [w] END))"
+)
 
 
 def words(text: str) -> str:
@@ -171,7 +176,7 @@ REFS = """refs AS (
 
 _N_COLS = "(SELECT count(*) FROM main_cols)"
 _RELS = f"""rels AS (
-  SELECT a.t AS from_table, 'part_' || b.k || '_id' AS from_column, b.t AS to_table, a.s
+  SELECT a.t AS from_table, 'part_' || b.k || '_id' AS from_column, b.t AS to_table
   FROM parts a JOIN parts b ON b.k = a.k - 1 WHERE b.k % 5 IN (0, 1, 2))"""
 
 REGISTRY = """SELECT source AS repo_id, '/src' AS root_path, 'tkmybatis' AS rule_id, max(doc_id) AS extracted_at,
@@ -244,7 +249,7 @@ ORACLES: dict[str, str] = {
         UNION ALL SELECT vo, 'tkmybatis' FROM parts WHERE s = 1
         UNION ALL SELECT 'src/main/java/com/shop/raw/Raw' || k || '.java', 'tkmybatis' FROM parts WHERE s = 4""",
     "read_domain_map": f"""WITH {FILES} SELECT t AS name, f AS source_file,
-        coalesce((SELECT max_by(n_name, length(n_nationkey)) FROM nation
+        coalesce((SELECT max_by(n_name, length('' || n_nationkey)) FROM nation
           WHERE starts_with(t, 'pcl_part_' || n_nationkey)),
           CASE WHEN starts_with(t, 'pcl_') THEN 'short' ELSE 'none' END) AS domain FROM files""",
     "write_catalog": f"""WITH {COLS}, {VALS}, {_RELS}
@@ -320,7 +325,7 @@ ORACLES: dict[str, str] = {
     "detect_dimensions": f"WITH {PARTS} SELECT t AS table_name, {DIMS} AS dims FROM parts WHERE {DIMS} <> ''",
     "assign_domain": f"WITH {FILES} SELECT f AS source_file, t AS name, {DOMAIN} AS domain FROM files",
     "assign_domain_by_join": f"""WITH {FILES} SELECT f AS source_file,
-        coalesce((SELECT max_by(n_name, length(n_nationkey)) FROM nation
+        coalesce((SELECT max_by(n_name, length('' || n_nationkey)) FROM nation
           WHERE starts_with(t, 'pcl_part_' || n_nationkey)),
           CASE WHEN starts_with(t, 'pcl_') THEN 'short' ELSE 'none' END) AS domain FROM files""",
     "flag_default_meaning": f"""WITH {VALS} SELECT cls AS enum_class, name, tenants = '' AS is_default, {WARNING} AS warning FROM vals
@@ -402,7 +407,7 @@ ORACLES: dict[str, str] = {
     "search_tables_in_domain": f"""WITH {NAMES.replace("DOMFILTER", "k % 5 = 1")}
         SELECT query_id, t AS table_name, CAST(r AS INTEGER) AS rank, found_by FROM found""",
     "search_columns": f"""WITH {COLS},
-        toks AS (SELECT t || '.' || name AS d, list_concat({words("name")}, {words("cm")}, {words("ty")}) AS ws FROM main_cols),
+        toks AS (SELECT t || '.' || name AS d, list_concat({words("name")}, {HAN_WORDS}, {words("ty")}) AS ws FROM main_cols),
         docs AS (SELECT d, len(ws) AS dl FROM toks), corpus AS (SELECT count(*) AS nd, avg(dl) AS al FROM docs),
         tf AS (SELECT d, term, count(*) AS tf FROM (SELECT d, unnest(ws) AS term FROM toks) GROUP BY 1, 2),
         df AS (SELECT term, count(*) AS n FROM tf GROUP BY 1),
@@ -433,12 +438,10 @@ ORACLES: dict[str, str] = {
           CASE WHEN p.s % 6 < 2 AND p.s % 2 = 1 THEN 'note on ' || p_name ELSE '' END AS templates,
           CASE WHEN p.s % 6 < 2 THEN 'human_curated' ELSE 'auto_only' END AS coverage
         FROM parts p JOIN lists USING (k) LEFT JOIN rels ON from_table = t WHERE p.k % 3 = 0
-        UNION ALL SELECT 'absent_' || s_suppkey, 'table absent_' || s_suppkey || ' not found', '', '', '', '', '', '', '' FROM supplier""".replace(
-        "p.s % ", "p.s % "
-    ),
+        UNION ALL SELECT 'absent_' || s_suppkey, 'table absent_' || s_suppkey || ' not found', '', '', '', '', '', '', '' FROM supplier""",
     "enum_candidates": f"""WITH {FILES}, {VALS}, top AS (
           SELECT 'com.shop.dict.Status' || b AS cls, row_number() OVER (ORDER BY 'com.shop.dict.Status' || b) AS r FROM buckets)
-        SELECT DISTINCT t AS table_name, 'status' AS name, cls AS enum_class, CAST(r AS INTEGER) AS rank, 'low' AS confidence
+        SELECT DISTINCT t AS table_name, 'status' AS name, top.cls AS enum_class, CAST(r AS INTEGER) AS rank, 'low' AS confidence
         FROM files, top WHERE r <= 3""",
     "bound_enums": f"""WITH {PARTS} SELECT t AS table_name, 'status' AS name, 'com.shop.dict.Status' || (k // 40) AS enum_class,
         true AS bound, 'declared' AS confidence FROM parts""",

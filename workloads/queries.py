@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from semcat.config import DEFAULTS
+from semcat.functions.rows import exploded
 from semcat.functions.text import camel_to_snake, decode_escapes, normalize_type, parse_int_list, tokenize
 from semcat.operators import compare, entities, enums, grounding, lookup, routing, search, semantics
 from semcat.plans import build
@@ -490,7 +491,7 @@ def q_repo_registry(spark, sf_dir):
 @query
 def q_tokenize(spark, sf_dir):
     docs = C.load(spark, sf_dir, "documents")
-    terms = docs.select("doc_id", F.explode(tokenize(F.col("text"))).alias("term"))
+    terms = exploded(docs, tokenize(F.col("text")), "doc_id", value="term")
     return terms.groupBy("term").agg(F.count("*").alias("n"))
 
 
