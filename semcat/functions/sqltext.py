@@ -22,7 +22,23 @@ KEYWORDS = (
     " both leading trailing separator within filter ilike similar to"
 ).split()
 
-_KW = "|".join(KEYWORDS)
+
+
+def _alternatives(words: list[str]) -> str:
+    """Alternatives grouped by first letters, so that few are tried per place."""
+    tails: dict[str, list[str]] = {}
+    for word in sorted(set(words)):
+        tails.setdefault(word[:1], []).append(word[1:])
+    if len(tails) == 1 and "" in tails:
+        return ""
+    parts = [
+        head + (_alternatives(rest) if any(rest) else "")
+        for head, rest in sorted(tails.items(), reverse=True)
+    ]
+    return parts[0] if len(parts) == 1 and parts[0] else "(?:" + "|".join(parts) + ")"
+
+
+_KW = _alternatives(KEYWORDS)
 _STR = r"""'(?:[^'\\]++|\\.|'')*+'|"(?:[^"\\]++|\\.|"")*+\""""
 _NAME = rf"(?!(?:{_KW})\b)[a-z_]\w*+"
 _DOTTED = rf"(?:{_NAME}\.)*+{_NAME}"
@@ -118,11 +134,11 @@ _BARE_ALIAS = (
 )
 
 
-def output_names(text: Column) -> Column:
+def output_names(text: Column, stripped: Column) -> Column:
     """Names given to outputs: after AS, or straight after an expression."""
     with_as = F.regexp_extract_all(text, F.lit(rf"\s++as\s++({_NAME})"), F.lit(1))
     bare = F.regexp_extract_all(
-        column_text(text),
+        stripped,
         F.lit(_BARE_ALIAS.replace(rf"\s++{_NAME}", rf"\s++({_NAME})")),
         F.lit(2),
     )
@@ -136,9 +152,9 @@ def _ref(dotted: Column) -> Column:
 _REF = rf"(?<![\w.'])((?:{_NAME}\.)*+(?:{_NAME}|(?<=\.)\*))(?![\w.]|\s*+\()"
 
 
-def column_refs(text: Column, outputs: Column) -> Column:
+def column_refs(stripped: Column, outputs: Column) -> Column:
     """Distinct ``struct<qualifier, column>`` of all columns named anywhere."""
-    kept = F.regexp_replace(column_text(text), F.lit(_BARE_ALIAS), F.lit("$1"))
+    kept = F.regexp_replace(stripped, F.lit(_BARE_ALIAS), F.lit("$1"))
     refs = F.transform(F.regexp_extract_all(kept, F.lit(_REF), F.lit(1)), _ref)
     named = F.filter(
         refs, lambda r: (r["qualifier"] != "") | ~F.array_contains(outputs, r["column"])
@@ -179,36 +195,30 @@ def equalities(bare: Column) -> Column:
             F.trim(value).try_cast("int").alias("code"),
         )
 
-    def matches(pattern: str) -> Column:
-        found = F.regexp_extract_all(text, F.lit(rf"(?is){pattern}|{_STR}"), F.lit(0))
-        return F.filter(found, lambda m: m.rlike(rf"(?is)^(?:{pattern})$"))
-
-    direct = F.transform(
-        matches(_COMPARED),
-        lambda m: pair(
-            F.regexp_extract(m, rf"(?is){_COMPARED}", 1),
-            F.regexp_extract(m, rf"(?is){_COMPARED}", 2),
-        ),
+    found = F.regexp_extract_all(
+        text, F.lit(rf"(?is){_COMPARED}|{_IN_LIST}|{_REVERSED}|{_STR}"), F.lit(0)
     )
-    turned = F.transform(
-        matches(_REVERSED),
-        lambda m: pair(
-            F.regexp_extract(m, rf"(?is){_REVERSED}", 2),
-            F.regexp_extract(m, rf"(?is){_REVERSED}", 1),
-        ),
-    )
-    listed = F.flatten(
-        F.transform(
-            matches(_IN_LIST),
-            lambda m: F.transform(
-                F.regexp_extract_all(
-                    F.regexp_extract(m, rf"(?is){_IN_LIST}", 2), F.lit(rf"(?s)\d++|{_STR}"), F.lit(0)
-                ),
-                lambda v: pair(F.regexp_extract(m, rf"(?is){_IN_LIST}", 1), v),
-            ),
+
+    def group(match: Column, pattern: str, number: int) -> Column:
+        return F.regexp_extract(match, rf"(?is)\A{pattern}\z", number)
+
+    def pairs(match: Column) -> Column:
+        items = F.regexp_extract_all(group(match, _IN_LIST, 2), F.lit(rf"(?s)\d++|{_STR}"), F.lit(0))
+        return (
+            F.when(
+                match.rlike(r"(?i)^[a-z_][\w.]*+\s*+="),
+                F.array(pair(group(match, _COMPARED, 1), group(match, _COMPARED, 2))),
+            )
+            .when(
+                match.rlike("^[0-9'\"]"),
+                F.array(pair(group(match, _REVERSED, 2), group(match, _REVERSED, 1))),
+            )
+            .otherwise(F.transform(items, lambda v: pair(group(match, _IN_LIST, 1), v)))
         )
-    )
-    return F.array_distinct(F.concat(direct, turned, listed))
+
+    # a bare literal yields no column
+    named = F.filter(F.flatten(F.transform(found, pairs)), lambda p: p["column"] != "")
+    return F.array_distinct(named)
 
 
 def unreadable_reason(bare: Column, text: Column, found: Column) -> Column:

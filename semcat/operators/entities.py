@@ -12,25 +12,40 @@ from pyspark.sql import functions as F
 
 from semcat.config import DEFAULTS, Settings
 from semcat.functions import java
-from semcat.functions.rows import exploded
+from semcat.functions.rows import computed_once, exploded
 from semcat.operators.routing import entity_files
 
 KEY = ("repo_id", "source_file", "table_name")
 
 
-def parse_entities(
-    files: DataFrame, settings: Settings = DEFAULTS, root: Column | None = None
-) -> DataFrame:
-    """One row per entity file, with all its columns in order as ``columns``."""
-    src, path = F.col("src"), F.col("path")
-    named = entity_files(files, settings, root).withColumn("name", java.table_name(src))
-    blocks = named.filter(F.col("name") != "").select(
-        "repo_id",
-        "name",
+def _header(src: Column, path: Column, settings: Settings, root: Column | None) -> list[Column]:
+    return [
+        java.table_name(src).alias("name"),
         java.qualified_class(src, path).alias("entity_class"),
         java.relative_path(path, root).alias("source_file"),
         java.purpose(src).alias("purpose"),
         java.extends_base(src, settings.base_entity).alias("extends_base"),
+    ]
+
+
+def parse_entities(
+    files: DataFrame,
+    settings: Settings = DEFAULTS,
+    root: Column | None = None,
+    unnamed: bool = False,
+) -> DataFrame:
+    """One row per entity file, with all its columns in order as ``columns``.
+
+    Files without a table name are left out unless ``unnamed`` asks for them.
+    """
+    src, path = F.col("src"), F.col("path")
+    chosen = entity_files(files, settings, root)
+    if not unnamed:
+        # found before the costly part of the work
+        chosen = chosen.filter(java.table_name(src) != "")
+    blocks = chosen.select(
+        "repo_id",
+        *_header(src, path, settings, root),
         java.field_blocks(src, settings.compat).alias("blocks"),
     )
     declared = blocks.withColumn(
@@ -53,14 +68,16 @@ def parse_entities(
         "extends_base",
         java.merged_columns(F.col("own"), F.col("extends_base"), settings).alias("columns"),
         (F.size("listed") - F.size("own")).alias("repeated"),
-    )
+    ).transform(lambda d: computed_once(d, "name", "columns", "repeated"))
 
 
 def extract_tables(
     files: DataFrame, settings: Settings = DEFAULTS, root: Column | None = None
 ) -> DataFrame:
     """Name, purpose, class and source of every entity file."""
-    return parse_entities(files, settings, root).drop("columns", "repeated")
+    src, path = F.col("src"), F.col("path")
+    named = entity_files(files, settings, root).filter(java.table_name(src) != "")
+    return named.select("repo_id", *_header(src, path, settings, root))
 
 
 def explode_columns(entities: DataFrame) -> DataFrame:

@@ -13,21 +13,29 @@ from semcat.operators.routing import bundle_files, enum_files
 
 
 def parse_enums(
-    files: DataFrame, settings: Settings = DEFAULTS, root: Column | None = None
+    files: DataFrame,
+    settings: Settings = DEFAULTS,
+    root: Column | None = None,
+    unnamed: bool = False,
 ) -> DataFrame:
     """One row per enum file, with its constants in order as ``values``.
 
+    Files that define no enum are left out unless ``unnamed`` asks for them.
+
     Constants whose tenant set cannot be read are counted in ``unreadable`` and
     left out of ``values``.
     """
     path = F.col("path")
     text = F.col("src") if settings.compat else java.without_comments(F.col("src"))
-    found = (
+    named = (
         enum_files(files, settings, root)
         .withColumn("text", text)
         .withColumn("short_name", java.enum_name(F.col("text")))
-        .filter(F.col("short_name") != "")
-        .select(
+    )
+    if not unnamed:
+        named = named.filter(F.col("short_name") != "")
+    found = (
+        named.select(
             "repo_id",
             java.qualified_enum(F.col("text")).alias("enum_class"),
             "short_name",
@@ -50,11 +58,11 @@ def parse_enums(
         .withColumn("unreadable", F.size("all_values") - F.size("values"))
         .drop("found", "all_values")
     )
-    return computed_once(listed, "values", "unreadable")
+    return computed_once(listed, "short_name", "values", "unreadable")
 
 
 def with_values(enums: DataFrame) -> DataFrame:
-    return enums.filter(F.size("values") > 0)
+    return enums.filter((F.col("short_name") != "") & (F.size("values") > 0))
 
 
 def extract_enums(

@@ -13,13 +13,21 @@ from pyspark.sql import functions as F
 
 from semcat.config import ACTIVE_FLAG_NAMES, DEFAULTS, Settings
 from semcat.functions import sqltext
-from semcat.functions.rows import exploded
+from semcat.functions.rows import computed_once, exploded
 
 CHECK_FIELDS = ("kind", "severity", "table_name", "column_name", "message", "fix")
 
 
-def read_statements(log: DataFrame, repo_id: str | None = None) -> DataFrame:
-    """Per statement: its tables, column references, comparisons, or why it is unreadable."""
+_READ = ("tables", "derived_aliases", "columns", "predicates", "equalities", "reason")
+
+
+def read_statements(
+    log: DataFrame, repo_id: str | None = None, whole: bool = True
+) -> DataFrame:
+    """Per statement: its tables, column references, comparisons, or why it is unreadable.
+
+    ``whole`` says that most of this is needed: it is then computed exactly once.
+    """
     if "repo_id" not in log.columns:
         if repo_id is None:
             raise ValueError("the log has no repo_id column: name the repo to check against")
@@ -35,7 +43,7 @@ def read_statements(log: DataFrame, repo_id: str | None = None) -> DataFrame:
     named = base.withColumns(
         {
             "all_sources": sqltext.sources(F.col("text"), sqltext.cte_names(F.col("text"))),
-            "outputs": sqltext.output_names(F.col("text")),
+            "stripped": sqltext.column_text(F.col("text")),
             "derived_aliases": sqltext.derived_aliases(F.col("text")),
         }
     )
@@ -50,24 +58,27 @@ def read_statements(log: DataFrame, repo_id: str | None = None) -> DataFrame:
             F.exists("all_sources", lambda s: (s["table"] == t) & s["derived"]).alias("derived"),
         ),
     )
-    return named.select(
+    read = named.select(
         "query_id",
         "repo_id",
         "tenant_context",
         tables.alias("tables"),
         "derived_aliases",
-        sqltext.column_refs(F.col("text"), F.col("outputs")).alias("columns"),
+        sqltext.column_refs(
+            F.col("stripped"), sqltext.output_names(F.col("text"), F.col("stripped"))
+        ).alias("columns"),
         sqltext.predicate_refs(F.col("text")).alias("predicates"),
         sqltext.equalities(F.col("bare")).alias("equalities"),
         sqltext.unreadable_reason(F.col("bare"), F.col("text"), F.col("all_sources")).alias(
             "reason"
         ),
     )
+    return computed_once(read, *_READ) if whole else read
 
 
 def extract_table_refs(log: DataFrame, repo_id: str | None = "") -> DataFrame:
     """Distinct tables of each statement, in order of appearance."""
-    statements = read_statements(log, repo_id)
+    statements = read_statements(log, repo_id, whole=False)
     return exploded(statements, "tables", "query_id", value="t").filter(
         ~F.col("t.derived")
     ).select("query_id", F.col("t.table").alias("table_name"), F.col("t.pos").alias("pos"))
@@ -75,7 +86,7 @@ def extract_table_refs(log: DataFrame, repo_id: str | None = "") -> DataFrame:
 
 def extract_column_refs(log: DataFrame, repo_id: str | None = "") -> DataFrame:
     """Distinct ``(qualifier, column_name)`` of each statement."""
-    statements = read_statements(log, repo_id)
+    statements = read_statements(log, repo_id, whole=False)
     return exploded(statements, "columns", "query_id", value="c").select(
         "query_id", "c.qualifier", F.col("c.column").alias("column_name")
     )
@@ -83,7 +94,7 @@ def extract_column_refs(log: DataFrame, repo_id: str | None = "") -> DataFrame:
 
 def extract_equalities(log: DataFrame, repo_id: str | None = "") -> DataFrame:
     """Distinct columns compared to literals, with the literal as integer if it is one."""
-    statements = read_statements(log, repo_id)
+    statements = read_statements(log, repo_id, whole=False)
     return exploded(statements, "equalities", "query_id", value="e").select(
         "query_id", "e.qualifier", F.col("e.column").alias("column_name"), "e.literal", "e.code"
     )
@@ -91,7 +102,7 @@ def extract_equalities(log: DataFrame, repo_id: str | None = "") -> DataFrame:
 
 def unreadable(log: DataFrame, repo_id: str | None = "") -> DataFrame:
     """Statements that cannot be read, each with one check."""
-    found = read_statements(log, repo_id).filter("reason is not null")
+    found = read_statements(log, repo_id, whole=False).filter("reason is not null")
     return found.select("query_id", _unreadable().alias("check")).select("query_id", "check.*")
 
 
@@ -164,9 +175,10 @@ def probe_statements(statements: DataFrame, ambiguous_columns: bool = True) -> D
         refs("column", "columns", lambda r: none_int),
         refs("equality", "equalities", lambda r: r["code"]),
     )
+    with_probes = statements.withColumn("probes", probes)
     return exploded(
-        statements,
-        probes,
+        with_probes,
+        "probes",
         "query_id",
         "repo_id",
         "tenant_context",
@@ -448,7 +460,7 @@ def unknown_tables(
     log: DataFrame, catalog: dict[str, DataFrame], repo_id: str | None = None
 ) -> DataFrame:
     """Tables of the log that the catalog does not have; they are not checked."""
-    statements = read_statements(log, repo_id)
+    statements = read_statements(log, repo_id, whole=False)
     refs = exploded(statements, "tables", "query_id", "repo_id", value="t").filter(
         ~F.col("t.derived")
     ).select(

@@ -6,11 +6,10 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from semcat.config import DEFAULTS, Settings
-from semcat.functions import java
+from semcat.functions.rows import exploded
 from semcat.operators import entities as ent
 from semcat.operators import enums as enu
 from semcat.operators import semantics as sem
-from semcat.operators.routing import entity_files, enum_files
 from semcat.plans.lineage import stored
 
 
@@ -77,37 +76,37 @@ def build_values(enums: DataFrame, keys: DataFrame) -> DataFrame:
     )
 
 
+def _reasons(parsed: DataFrame, *reasons: Column) -> DataFrame:
+    found = F.filter(F.array(*reasons), lambda r: r.isNotNull())
+    return exploded(parsed, found, "repo_id", "source_file", value="reason")
+
+
+def rejects_of(entities: DataFrame, enums: DataFrame) -> DataFrame:
+    """Reasons out of parsed files, nameless ones included."""
+    of_entities = _reasons(
+        entities,
+        F.when(F.col("name") == "", "no table name"),
+        F.when((F.col("name") != "") & (F.col("repeated") > 0), "repeated column name"),
+    )
+    named = F.col("short_name") != ""
+    of_enums = _reasons(
+        enums,
+        F.when(~named, "no enum"),
+        F.when(named & (F.col("unreadable") > 0), "unreadable tenant set").when(
+            named & (F.size("values") == 0), "no enum values"
+        ),
+    )
+    return of_entities.unionByName(of_enums)
+
+
 def rejects(
     files: DataFrame, settings: Settings = DEFAULTS, root: Column | None = None
 ) -> DataFrame:
     """Files that were chosen but gave nothing, or not everything, and why."""
-    file = java.relative_path(F.col("path"), root).alias("source_file")
-    unnamed = entity_files(files, settings, root).filter(java.table_name(F.col("src")) == "")
-    parsed = ent.parse_entities(files, settings, root)
-    enums = enu.parse_enums(files, settings, root)
-    no_enum = enum_files(files, settings, root).filter(
-        java.enum_name(
-            F.col("src") if settings.compat else java.without_comments(F.col("src"))
-        )
-        == ""
+    return rejects_of(
+        ent.parse_entities(files, settings, root, unnamed=True),
+        enu.parse_enums(files, settings, root, unnamed=True),
     )
-    parts = [
-        unnamed.select("repo_id", file, F.lit("no table name").alias("reason")),
-        parsed.filter("repeated > 0").select(
-            "repo_id", "source_file", F.lit("repeated column name").alias("reason")
-        ),
-        no_enum.select("repo_id", file, F.lit("no enum").alias("reason")),
-        enums.filter((F.size("values") == 0) & (F.col("unreadable") == 0)).select(
-            "repo_id", "source_file", F.lit("no enum values").alias("reason")
-        ),
-        enums.filter("unreadable > 0").select(
-            "repo_id", "source_file", F.lit("unreadable tenant set").alias("reason")
-        ),
-    ]
-    out = parts[0]
-    for part in parts[1:]:
-        out = out.unionByName(part)
-    return out
 
 
 def build_catalog(
@@ -121,14 +120,18 @@ def build_catalog(
 ) -> dict[str, DataFrame]:
     """All catalog tables of the files given.
 
-    With ``store`` the parsed files, which most tables here start from, are
-    written once to the session's checkpoint folder instead of being parsed
-    again by every table's plan.
+    With ``store`` the parsed files, and those kept of them, which all tables
+    here start from, are written once to the session's shared folder instead of
+    being parsed again by every table's plan.
     """
+    parsed = ent.parse_entities(files, settings, root, unnamed=True)
+    parsed_enums = enu.parse_enums(files, settings, root, unnamed=True)
+    if store:
+        parsed, parsed_enums = stored(parsed), stored(parsed_enums)
     kept = sem.dedupe_entities(
-        annotate_entities(ent.parse_entities(files, settings, root), settings)
+        annotate_entities(parsed.filter(F.col("name") != ""), settings)
     )
-    kept_enums = sem.dedupe_enums(enu.with_values(enu.parse_enums(files, settings, root)))
+    kept_enums = sem.dedupe_enums(enu.with_values(parsed_enums))
     if store:
         kept, kept_enums = stored(kept), stored(kept_enums)
 
@@ -159,7 +162,7 @@ def build_catalog(
         "i18n_keys": keys,
         "bindings": bindings,
         "table_meta": no_meta(files) if table_meta is None else table_meta,
-        "rejects": rejects(files, settings, root),
+        "rejects": rejects_of(parsed, parsed_enums),
     }
 
 
@@ -217,3 +220,10 @@ def repo_registry(
         F.lit(settings.base_entity).alias("base_entity"),
         domains.alias("domain_map"),
     )
+
+
+def store_catalog(catalog: dict[str, DataFrame], *names: str) -> dict[str, DataFrame]:
+    """The catalog with the named tables, or all, written to the shared folder."""
+    return {
+        name: stored(df) if not names or name in names else df for name, df in catalog.items()
+    }

@@ -1,20 +1,46 @@
-"""Cutting a plan at a stored intermediate result."""
+"""Cutting a plan at a stored intermediate result, and spreading work."""
 
 from __future__ import annotations
 
+import functools
 import tempfile
+import uuid
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
+
+
+@functools.cache
+def _local_folder() -> str:
+    return tempfile.mkdtemp(prefix="semcat-")
+
+
+def shared_folder(spark: SparkSession) -> str:
+    """A new folder in the shared folder the session names for checkpoints.
+
+    Only where none is named (tests on one machine) it is a temporary folder.
+    """
+    named = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
+    return f"{(named or _local_folder()).rstrip('/')}/semcat-{uuid.uuid4().hex}"
 
 
 def stored(df: DataFrame) -> DataFrame:
-    """The same rows, kept in the shared checkpoint folder of the session.
+    """The same rows as a table in the shared folder.
+
+    It outlives the executors that wrote it, is read by columns, and its size is
+    known to the planner, so joins with it need no guess.
+    """
+    folder = shared_folder(df.sparkSession)
+    df.write.parquet(folder)
+    return df.sparkSession.read.schema(df.schema).parquet(folder)
+
+
+def spread(df: DataFrame) -> DataFrame:
+    """Rows over all cores when the input has fewer splits than there are cores.
 
-    The folder is the one the cluster names; only where none is named (tests on
-    one machine) a folder of our own is used.
+    For costly work per row on small inputs; large inputs have splits enough and
+    are left as they are.
     """
-    context = df.sparkSession.sparkContext
-    if context.getCheckpointDir() is None:
-        named = df.sparkSession.conf.get("spark.checkpoint.dir", None)
-        context.setCheckpointDir(named or tempfile.mkdtemp(prefix="semcat-"))
-    return df.checkpoint()
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    if df._jdf.rdd().getNumPartitions() >= cores:
+        return df
+    return df.repartition(cores)

@@ -97,9 +97,9 @@ WARNING = (
 WORDS = r"regexp_extract_all(strip_accents(lower({0})), '[\p{{L}}\p{{N}}]+')"
 # as above, and runs of Han characters as overlapping pairs
 HAN_WORDS = (
-    r"flatten(list_transform(regexp_extract_all(lower(cm), '\p{Han}+|[\p{Latin}\p{N}]+'),"
-    r" w -> CASE WHEN regexp_matches(w, '^\p{Han}{2,}$')"
-    r" THEN list_transform(range(1, length(w)), i -> substr(w, i, 2)) ELSE [w] END))"
+    r"flatten([CASE WHEN regexp_matches(w, '^\p{Han}{2,}$')"
+    r" THEN [substr(w, i, 2) for i in range(1, length(w))] ELSE [w] END"
+    r" for w in regexp_extract_all(lower(cm), '\p{Han}+|[\p{Latin}\p{N}]+')])"
 )
 
 

@@ -3,8 +3,6 @@
 from __future__ import annotations
 
 import functools
-import tempfile
-import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -14,6 +12,7 @@ from semcat.functions.rows import exploded
 from semcat.functions.text import camel_to_snake, decode_escapes, normalize_type, parse_int_list, tokenize
 from semcat.operators import compare, entities, enums, grounding, lookup, routing, search, semantics
 from semcat.plans import build
+from semcat.plans.lineage import shared_folder, stored
 from semcat.sources import catalog_store, files as source_files
 from workloads import corpus as C
 
@@ -25,12 +24,6 @@ def query(fn):
     return fn
 
 
-def scratch(spark: SparkSession) -> str:
-    """A new folder in the shared folder of the session, or a temporary one without it."""
-    base = spark.conf.get("spark.checkpoint.dir", None) or tempfile.gettempdir()
-    return f"{base.rstrip('/')}/semcat-{uuid.uuid4().hex}"
-
-
 def joined(col: str | Column) -> Column:
     """A list as text; ``''`` when there is none."""
     values = F.transform(col, lambda x: x.cast("string"))
@@ -55,9 +48,10 @@ def catalog(spark, sf_dir, **kw) -> dict[str, DataFrame]:
 
 def bound_catalog(spark, sf_dir) -> dict[str, DataFrame]:
     part = C.load(spark, sf_dir, "part")
-    return catalog(
+    built = catalog(
         spark, sf_dir, curated_bindings=C.bindings(part), table_meta=C.notes(part), store=True
     )
+    return build.store_catalog(built, "tables", "columns", "enum_values", "bindings")
 
 
 def log(spark, sf_dir) -> DataFrame:
@@ -70,7 +64,7 @@ def log(spark, sf_dir) -> DataFrame:
 @query
 def q_read_source_files(spark, sf_dir):
     docs = C.load(spark, sf_dir, "documents")
-    folder = scratch(spark)
+    folder = shared_folder(spark)
     one_line = F.regexp_replace("text", F.lit(r"\R"), F.lit(" "))
     docs.select("source", one_line.alias("value")).write.partitionBy("source").text(folder)
     read = source_files.read_source_files(spark, folder, "docs", "*.txt")
@@ -127,7 +121,7 @@ def nation_domains(nation: DataFrame) -> DataFrame:
 @query
 def q_read_domain_map(spark, sf_dir):
     """Tables under a domain map kept in a JSON file (one entry per nation, a fixed number)."""
-    folder = scratch(spark)
+    folder = shared_folder(spark)
     entries = F.map_from_entries(F.collect_list(F.struct("prefix", "domain")))
     nation_domains(C.load(spark, sf_dir, "nation")).agg(F.to_json(entries)).write.text(folder)
     domain_map = source_files.read_domain_map(spark, folder)
@@ -137,7 +131,7 @@ def q_read_domain_map(spark, sf_dir):
 
 @query
 def q_write_catalog(spark, sf_dir):
-    folder = scratch(spark)
+    folder = shared_folder(spark)
     built = catalog(spark, sf_dir, store=True)
     catalog_store.write_catalog(built, folder)
     # the second write replaces the first
@@ -170,6 +164,7 @@ def two_repo_catalog(spark, sf_dir) -> dict[str, DataFrame]:
     kept = semantics.dedupe_entities(
         build.annotate_entities(entities.parse_entities(two_repos(spark, sf_dir)))
     )
+    kept = stored(kept)
     return {
         "tables": build.tables_of(kept),
         "columns": entities.explode_columns(kept).drop("source_file"),
@@ -184,7 +179,7 @@ def q_remove_repo(spark, sf_dir):
 
 @query
 def q_read_catalog(spark, sf_dir):
-    folder = scratch(spark)
+    folder = shared_folder(spark)
     both = two_repo_catalog(spark, sf_dir)
     both["columns"] = both["columns"].withColumn("enum_class", F.lit(None).cast("string"))
     catalog_store.write_catalog(both, folder)
@@ -590,6 +585,7 @@ def _name_catalog(spark, sf_dir) -> dict[str, DataFrame]:
     kept = semantics.dedupe_entities(
         build.annotate_entities(entities.parse_entities(part_files(spark, sf_dir)))
     )
+    kept = stored(kept)
     columns = entities.explode_columns(kept).drop("source_file")
     return {"tables": build.tables_of(kept), "columns": columns}
 
