@@ -15,7 +15,7 @@ from semcat.config import SEARCH_LIMIT
 from semcat.functions.rows import exploded
 from semcat.functions.text import tokenize
 from semcat.operators.substring import substring_pairs
-from semcat.plans.lineage import stored
+from semcat.plans.lineage import side_hint, sized, stored
 
 # Fixed values of the ranking formula.
 K1, B, MIN_IDF = 1.2, 0.75, 1e-6
@@ -102,7 +102,7 @@ def _restricted(rows: DataFrame, terms: DataFrame, column: str | None) -> DataFr
     """Rows of the wanted words only; pushed below the counting when it can be."""
     if column is not None:
         rows = rows.filter(F.col("field") == column)
-    return rows.join(terms, ["repo_id", "term"], "left_semi")
+    return rows.join(sized(terms), ["repo_id", "term"], "left_semi")
 
 
 def _slots_all(index: Index, wanted: DataFrame, column: str | None) -> DataFrame:
@@ -122,11 +122,11 @@ def _slots_prefix(index: Index, wanted: DataFrame, column: str | None) -> DataFr
         F.sequence(F.lit(1), F.length("term")), lambda n: F.substr("term", F.lit(1), n)
     )
     expanded = exploded(vocabulary, starts, "repo_id", "term", value="slot").join(
-        prefixes, ["repo_id", "slot"], "left_semi"
+        sized(prefixes), ["repo_id", "slot"], "left_semi"
     )
     rows = index.postings if column is None else index.postings.filter(F.col("field") == column)
     return (
-        rows.join(expanded, ["repo_id", "term"])
+        rows.join(expanded.hint("merge"), ["repo_id", "term"])
         .groupBy(*DOC, "slot", "length")
         .agg(F.sum("tf").alias("tf"))
     )
@@ -147,7 +147,7 @@ def _phrase_hits(index: Index, queries: DataFrame, column: str | None) -> DataFr
     rows = index.occurrences
     if column is not None:
         rows = rows.filter(F.col("field") == column)
-    votes = rows.join(parts, ["repo_id", "term"]).groupBy(
+    votes = rows.join(sized(parts), ["repo_id", "term"]).groupBy(
         *DOC, "query_id", "n_terms", "length", "field", (F.col("pos") - F.col("place")).alias("at")
     ).agg(F.count("*").alias("votes"))
     return (
@@ -157,6 +157,29 @@ def _phrase_hits(index: Index, queries: DataFrame, column: str | None) -> DataFr
     )
 
 
+def _with_every_word(hits: DataFrame, weighted: DataFrame, hint: str) -> DataFrame:
+    """Hits of the docs that can hold every word of a query.
+
+    Such a doc holds the query's rarest word, so only the docs with that word
+    are looked at for the others: common words are not joined to all queries.
+    """
+    query = ["repo_id", "query_id"]
+    complete = (
+        weighted.groupBy(*query, "n_terms")
+        .agg(
+            F.count("*").alias("n_known"),
+            F.min(F.struct("n_with", "slot"))["slot"].alias("slot"),
+        )
+        .filter(F.col("n_known") == F.col("n_terms"))
+        .select(*query, "slot")
+    )
+    candidates = hits.select(*DOC, "slot").join(
+        complete.hint(hint), ["repo_id", "slot"]
+    ).drop("slot")
+    asked = candidates.join(weighted.hint(hint), query)
+    return hits.join(asked.hint("merge"), [*DOC, "slot"])
+
+
 def score_bm25(
     index: Index, queries: DataFrame, mode: str = "all", column: str | None = None
 ) -> DataFrame:
@@ -175,7 +198,8 @@ def score_bm25(
             "idf", idf(F.col("n_docs"), F.col("n_with"))
         )
         scored = hits.join(
-            weights.select("repo_id", "query_id", "idf", "avg_length"), ["repo_id", "query_id"]
+            weights.select("repo_id", "query_id", "idf", "avg_length").hint("merge"),
+            ["repo_id", "query_id"],
         ).select(
             "repo_id",
             "query_id",
@@ -186,23 +210,32 @@ def score_bm25(
         )
     else:
         wanted = query_terms(queries)
+        hint = side_hint(wanted)
         find = _slots_prefix if mode == "prefix" else _slots_all
-        hits = find(index, wanted, column)
+        # read several times below; the texts are gone through once
+        hits = stored(find(index, wanted, column))
         n_with = hits.groupBy("repo_id", "slot").agg(F.count("*").alias("n_with"))
         # everything that hangs on the word alone is joined to the short side
-        weighted = wanted.join(n_with, ["repo_id", "slot"]).join(index.corpus, "repo_id").select(
-            "repo_id",
-            "query_id",
-            "n_terms",
-            "slot",
-            "avg_length",
-            idf(F.col("n_docs"), F.col("n_with")).alias("idf"),
+        weighted = (
+            wanted.join(n_with, ["repo_id", "slot"])
+            .join(index.corpus, "repo_id")
+            .select(
+                "repo_id",
+                "query_id",
+                "n_terms",
+                "slot",
+                "n_with",
+                "avg_length",
+                idf(F.col("n_docs"), F.col("n_with")).alias("idf"),
+            )
         )
         part = F.col("idf") * term_score(F.col("tf"), F.col("length"), F.col("avg_length"))
-        scored = (
-            hits.join(weighted, ["repo_id", "slot"])
-            .groupBy("repo_id", "query_id", "doc_id", "n_terms")
-            .agg(F.sum(part).alias("score"), F.count("*").alias("n_found"))
+        if mode == "any":
+            met = hits.join(weighted.hint(hint), ["repo_id", "slot"])
+        else:
+            met = _with_every_word(hits, weighted, hint)
+        scored = met.groupBy("repo_id", "query_id", "doc_id", "n_terms").agg(
+            F.sum(part).alias("score"), F.count("*").alias("n_found")
         )
         if mode != "any":
             scored = scored.filter(F.col("n_found") == F.col("n_terms"))
@@ -295,7 +328,7 @@ def search_tables(
     scored = score_bm25(index, queries).withColumn("score", F.round("score", 6))
     if domain is not None:
         scored = scored.join(facts.select(*DOC), DOC, "left_semi")
-    ranked = top_k(scored, k).withColumn("found_by", F.lit("rank"))
+    ranked = stored(top_k(scored, k).withColumn("found_by", F.lit("rank")))
     allowed = tables if domain is None else tables.filter(F.col("domain") == domain)
     fallback = search_like(allowed, ["name", "purpose"], queries, k, "name", ranked).withColumn(
         "found_by", F.lit("substring")

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from semcat.config import CODE_TYPES, DEFAULTS, Settings
 from semcat.functions.rows import exploded
 from semcat.functions.text import literal_map
+from semcat.plans.lineage import sized
 
 TABLE = ["repo_id", "table_name"]
 
@@ -80,7 +81,7 @@ def assign_domain(
     lengths = F.sequence(F.lit(1), F.length("name"))
     parts = exploded(names, lengths, "name", value="n").withColumn("prefix", F.substr("name", F.lit(1), F.col("n")))
     found = (
-        parts.join(domain_map.select("prefix", "domain"), "prefix")
+        parts.join(sized(domain_map.select("prefix", "domain")), "prefix")
         .groupBy("name")
         .agg(F.max(F.struct("n", "domain"))["domain"].alias("domain"))
     )

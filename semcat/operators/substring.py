@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from semcat.functions.rows import exploded
+from semcat.plans.lineage import sized
 
 GRAM = 3
 
@@ -34,8 +35,10 @@ def substring_pairs(
     Both columns are compared as they are, so fold case beforehand. A needle is
     looked up by its rarest run of three characters (or by itself when
     shorter), then checked in full: no pair is missed and no cross product is
-    formed. An empty needle fits nothing.
+    formed. Only runs that some needle has leave a text's row, without the text;
+    equal texts are looked up once. An empty needle fits nothing.
     """
+    texts = texts.withColumn("_text_key", F.xxhash64(text_col))
     wanted = (
         needles.filter(F.length(needle_col) > 0)
         .select(*keys, needle_col)
@@ -46,9 +49,12 @@ def substring_pairs(
             )
         )
     )
-    used = wanted.select(*keys, "_gram").distinct()
-    held = exploded(texts, _all_grams(F.col(text_col)), "*", value="_gram").join(
-        used, [*keys, "_gram"], "left_semi"
+    used = sized(wanted.select(*keys, "_gram").distinct())
+    held = (
+        exploded(texts, _all_grams(F.col(text_col)), *keys, "_text_key", value="_gram")
+        .join(used, [*keys, "_gram"], "left_semi")
+        .groupBy(*keys, "_gram", "_text_key")
+        .agg(F.count("*").alias("_copies"))
     )
     frequency = held.groupBy(*keys, "_gram").agg(F.count("*").alias("_n"))
     # a run held by no text has no frequency: then the needle fits nothing
@@ -56,15 +62,22 @@ def substring_pairs(
         wanted.join(frequency, [*keys, "_gram"], "left")
         .groupBy(*keys, needle_col)
         .agg(
-            F.min(F.struct(F.coalesce("_n", F.lit(0)).alias("n"), F.col("_gram").alias("g")))[
-                "g"
-            ].alias("_gram")
+            F.min(F.struct(F.coalesce("_n", F.lit(0)).alias("n"), F.col("_gram").alias("g"))).alias(
+                "best"
+            )
         )
+        .filter("best.n > 0")
+        .select(*keys, needle_col, F.col("best.g").alias("_gram"))
+    )
+    candidates = (
+        held.join(rarest.hint("merge"), [*keys, "_gram"])
+        .select(*keys, "_text_key", needle_col)
+        .distinct()
     )
-    pairs = held.join(rarest, [*keys, "_gram"]).filter(
+    pairs = texts.join(candidates.hint("merge"), [*keys, "_text_key"]).filter(
         F.contains(F.col(text_col), F.col(needle_col))
     )
     others = [c for c in needles.columns if c not in keys and c != needle_col]
     if others:
         pairs = pairs.join(needles, [*keys, needle_col])
-    return pairs.drop("_gram")
+    return pairs.drop("_text_key")

@@ -44,3 +44,22 @@ def spread(df: DataFrame) -> DataFrame:
     if df._jdf.rdd().getNumPartitions() >= cores:
         return df
     return df.repartition(cores)
+
+
+# rows of at most a few hundred bytes each: well below what one executor can hold
+BROADCAST_ROWS = 200_000
+
+
+def side_hint(df: DataFrame, rows: int = BROADCAST_ROWS) -> str:
+    """How to join the short side ``df``, by its counted rows.
+
+    The planner guesses the size of generated rows far too low and might send
+    the long side to everyone. Up to ``rows`` rows the short side is sent; above,
+    both sides are shuffled and sorted, and hot keys are split at run time.
+    """
+    return "broadcast" if df.limit(rows + 1).count() <= rows else "merge"
+
+
+def sized(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
+    """``df``, marked as the short side of a join after counting it."""
+    return df.hint(side_hint(df, rows))
