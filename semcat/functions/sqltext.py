@@ -123,7 +123,7 @@ def column_text(text: Column) -> Column:
     """The statement with its sources, and the words that name outputs, taken out."""
     no_source = F.regexp_replace(text, F.lit(rf"{_SOURCE}{_TARGET_LIST}"), F.lit(" from "))
     no_cte = F.regexp_replace(
-        no_source, F.lit(rf"(?<=\bwith\s|\brecursive\s|,\s|,){_NAME}\s*+(?=(?:\([\w\s,]*+\)\s*+)?as\s*+\()"), F.lit(" ")
+        no_source, F.lit(rf"(?<=\bwith\s|\brecursive\s|,\s|,){_NAME}\s*+(?:\([\w\s,]*+\)\s*+)?+(?=as\s*+\()"), F.lit(" ")
     )
     return F.regexp_replace(no_cte, F.lit(r"\s++as\s++(?!\()\w++"), F.lit(" "))
 
