@@ -126,7 +126,7 @@ def _slots_prefix(index: Index, wanted: DataFrame, column: str | None) -> DataFr
     )
     rows = index.postings if column is None else index.postings.filter(F.col("field") == column)
     return (
-        rows.join(expanded.hint("merge"), ["repo_id", "term"])
+        rows.join(sized(stored(expanded)), ["repo_id", "term"])
         .groupBy(*DOC, "slot", "length")
         .agg(F.sum("tf").alias("tf"))
     )
@@ -177,7 +177,8 @@ def _with_every_word(hits: DataFrame, weighted: DataFrame, hint: str) -> DataFra
         complete.hint(hint), ["repo_id", "slot"]
     ).drop("slot")
     asked = candidates.join(weighted.hint(hint), query)
-    return hits.join(asked.hint("merge"), [*DOC, "slot"])
+    # written down, so that counting it is free: as a rule it is short
+    return hits.join(sized(stored(asked)), [*DOC, "slot"])
 
 
 def score_bm25(

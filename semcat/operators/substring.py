@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from semcat.functions.rows import exploded
-from semcat.plans.lineage import sized
+from semcat.plans.lineage import side_hint, sized, stored
 
 GRAM = 3
 
@@ -69,12 +69,15 @@ def substring_pairs(
         .filter("best.n > 0")
         .select(*keys, needle_col, F.col("best.g").alias("_gram"))
     )
-    candidates = (
-        held.join(rarest.hint("merge"), [*keys, "_gram"])
+    # no more rows than needles
+    hint = side_hint(needles.select(*keys, needle_col).distinct())
+    # written down, so that counting them is free: few of them spare the texts a shuffle
+    candidates = stored(
+        held.join(rarest.hint(hint), [*keys, "_gram"])
         .select(*keys, "_text_key", needle_col)
         .distinct()
     )
-    pairs = texts.join(candidates.hint("merge"), [*keys, "_text_key"]).filter(
+    pairs = texts.join(sized(candidates), [*keys, "_text_key"]).filter(
         F.contains(F.col(text_col), F.col(needle_col))
     )
     others = [c for c in needles.columns if c not in keys and c != needle_col]
