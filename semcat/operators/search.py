@@ -126,7 +126,7 @@ def _slots_prefix(index: Index, wanted: DataFrame, column: str | None) -> DataFr
     )
     rows = index.postings if column is None else index.postings.filter(F.col("field") == column)
     return (
-        rows.join(sized(stored(expanded)), ["repo_id", "term"])
+        rows.join(sized(expanded), ["repo_id", "term"])
         .groupBy(*DOC, "slot", "length")
         .agg(F.sum("tf").alias("tf"))
     )
@@ -178,7 +178,7 @@ def _with_every_word(hits: DataFrame, weighted: DataFrame, hint: str) -> DataFra
     ).drop("slot")
     asked = candidates.join(weighted.hint(hint), query)
     # written down, so that counting it is free: as a rule it is short
-    return hits.join(sized(stored(asked)), [*DOC, "slot"])
+    return hits.join(sized(asked), [*DOC, "slot"])
 
 
 def score_bm25(
@@ -210,7 +210,7 @@ def score_bm25(
             ),
         )
     else:
-        wanted = query_terms(queries)
+        wanted = stored(query_terms(queries))
         hint = side_hint(wanted)
         find = _slots_prefix if mode == "prefix" else _slots_all
         # read several times below; the texts are gone through once

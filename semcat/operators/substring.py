@@ -39,7 +39,7 @@ def substring_pairs(
     equal texts are looked up once. An empty needle fits nothing.
     """
     texts = texts.withColumn("_text_key", F.xxhash64(text_col))
-    wanted = (
+    wanted = stored(
         needles.filter(F.length(needle_col) > 0)
         .select(*keys, needle_col)
         .distinct()
@@ -50,7 +50,7 @@ def substring_pairs(
         )
     )
     used = sized(wanted.select(*keys, "_gram").distinct())
-    held = (
+    held = stored(
         exploded(texts, _all_grams(F.col(text_col)), *keys, "_text_key", value="_gram")
         .join(used, [*keys, "_gram"], "left_semi")
         .groupBy(*keys, "_gram", "_text_key")
@@ -70,14 +70,14 @@ def substring_pairs(
         .select(*keys, needle_col, F.col("best.g").alias("_gram"))
     )
     # no more rows than needles
-    hint = side_hint(needles.select(*keys, needle_col).distinct())
-    # written down, so that counting them is free: few of them spare the texts a shuffle
+    hint = side_hint(wanted)
+    # few of them spare the texts a shuffle
     candidates = stored(
         held.join(rarest.hint(hint), [*keys, "_gram"])
         .select(*keys, "_text_key", needle_col)
         .distinct()
     )
-    pairs = texts.join(sized(candidates), [*keys, "_text_key"]).filter(
+    pairs = texts.join(candidates.hint(side_hint(candidates)), [*keys, "_text_key"]).filter(
         F.contains(F.col(text_col), F.col(needle_col))
     )
     others = [c for c in needles.columns if c not in keys and c != needle_col]

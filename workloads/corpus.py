@@ -10,21 +10,15 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from semcat.functions.rows import exploded
-from semcat.plans.lineage import spread
 
 REPO = "saas"
 FORK = "fork"
 BUCKET = 40
 
 
-# tables whose rows are turned into texts that take work to read
-COSTLY = ("part", "customer", "events", "documents")
-
-
 def load(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    """A given table; the costly ones go to all cores if they come in few splits."""
-    table = spark.read.parquet(f"{sf_dir}/{name}.parquet")
-    return spread(table) if name in COSTLY else table
+    """A given table."""
+    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
 def prefix_of(key: Column) -> Column:
