@@ -1,3 +1,36 @@
 """Expected results in DuckDB SQL, where SQL can express them."""
 
-ORACLES: dict[str, str] = {}
+LOWERED = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+ALNUM_WORDS = rf"list_filter(string_split_regex({LOWERED}, '[\x00-\x2F\x3A-\x60\x7B-\x7F]+'), lambda x: x <> '')"
+
+OP9 = f"""
+WITH items AS (
+  SELECT item_id, w, least(len(w), 10) AS n
+  FROM (SELECT CAST(item_id AS VARCHAR) AS item_id, {ALNUM_WORDS} AS w FROM benchmark)
+  WHERE len(w) > 0 AND item_id IS NOT NULL
+), windows AS (
+  SELECT DISTINCT item_id, n, list_slice(w, i + 1, i + n) AS win
+  FROM (SELECT *, unnest(range(0, len(w) - n + 1)) AS i FROM items)
+), docs AS (
+  SELECT row_number() OVER () AS rid, doc_id, {ALNUM_WORDS} AS w FROM documents
+), doc_windows AS (
+  SELECT rid, i, n, list_slice(w, i + 1, i + n) AS win
+  FROM (SELECT rid, w, n, unnest(range(0, len(w) - n + 1)) AS i
+        FROM docs, (SELECT DISTINCT n FROM windows) WHERE len(w) >= n)
+), hits AS (
+  SELECT rid, i, d.n, item_id FROM doc_windows d JOIN windows b ON d.n = b.n AND d.win = b.win
+), words AS (
+  SELECT rid, count(DISTINCT p) AS n_hit
+  FROM (SELECT rid, unnest(range(i, i + n)) AS p FROM (SELECT DISTINCT rid, i, n FROM hits)) GROUP BY rid
+), named AS (
+  SELECT rid, count(DISTINCT item_id) AS n_items, string_agg(DISTINCT item_id, ',' ORDER BY item_id) AS ids
+  FROM hits GROUP BY rid
+)
+SELECT doc_id, len(w) AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_items, 0) AS n_items,
+       sha256(coalesce(ids, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated
+FROM docs LEFT JOIN words USING (rid) LEFT JOIN named USING (rid)
+"""
+
+ORACLES: dict[str, str] = {
+    "op9_benchmark_decontamination": OP9,
+}
