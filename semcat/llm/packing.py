@@ -27,9 +27,11 @@ from semcat.plans.lineage import stored
 
 CAPACITY = 1024
 END_ID = 2
-GROUPS = 128
+GROUPS = 64
 # lengths up to this share of a sequence are small: placed best-fit at the end
 SMALL = 8
+# a sequence filled by a configuration keeps at most this share of room
+SPARE = 256
 # pieces that one task ranks, about
 RANKED_ROWS = 200_000
 
@@ -185,9 +187,11 @@ def _substituted(
 
     A slot takes the longest piece that its rounded length stands for. The last
     slot of a sequence takes the longest piece that still fits, as the others
-    were rounded up and left some room. What a slot no longer finds, it leaves open.
+    were rounded up and left some room. A sequence that still has more than a small
+    share of room, as a slot found nothing, is opened again: its pieces stay in ``there``.
     """
     bins: list[_Bins] = []
+    opened, spare = np.zeros_like(there), capacity // SPARE
     below = np.append(sizes[1:], capacity // SMALL)  # sizes go down
     for counts, times in chosen:
         slots = [g for g in range(len(sizes)) for _ in range(int(counts[g]))]
@@ -212,8 +216,13 @@ def _substituted(
                 again = min(again, int(there[length]) // lengths.count(length))
             for length in lengths:
                 there[length] -= again
-            bins.append(_Bins(1 + again, lengths, room))
             times -= 1 + again
+            if room <= spare:
+                bins.append(_Bins(1 + again, lengths, room))
+            else:
+                for length in lengths:
+                    opened[length] += 1 + again
+    there += opened
     return bins
 
 
