@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from semcat.llm import chosenpath, factorisation, packing, thresholds, winnowing
+from semcat.llm import chosenpath, factorisation, packing, recurrent, thresholds, winnowing
 from semcat.llm.rows import fold
 
 
@@ -28,6 +28,10 @@ def op1_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packed(table(spark, sf_dir, "documents"))
 
 
+def op2_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return recurrent.score(table(spark, sf_dir, "documents"), fold("doc_id", 7, 2))
+
+
 def op4_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     judged = thresholds.judge(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"), keep=["doc_id"])
     counts = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words"]
@@ -60,6 +64,7 @@ def op9_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame
 
 QUERIES = {
     "op1_best_fit_packing": op1_best_fit_packing,
+    "op2_lm_scoring": op2_lm_scoring,
     "op4_quality_rules": op4_quality_rules,
     "op7_quality_classifier": op7_quality_classifier,
     "op9_benchmark_decontamination": op9_benchmark_decontamination,
