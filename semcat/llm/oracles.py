@@ -31,6 +31,28 @@ SELECT doc_id, len(w) AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_items,
 FROM docs LEFT JOIN words USING (rid) LEFT JOIN named USING (rid)
 """
 
+OP3 = """
+WITH p AS (
+  SELECT page_id,
+    translate(regexp_extract(coalesce(url, ''), '(?s)^.*?://([^/?#]*)', 1),
+              'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host,
+    regexp_extract(coalesce(url, ''), '(?s)^.*?://[^/?#]*([^?#]*)', 1) AS path
+  FROM pages
+), rules(rule, host_part, path_part, verdict) AS (
+  VALUES ('net/', 'net', '/', 'block'), ('example.net/en/', 'example.net', '/en/', 'allow'),
+         ('example.com/de/', 'example.com', '/de/', 'block'), ('org/fr/', 'org', '/fr/', 'allow')
+), fits AS (
+  SELECT *, (SELECT max_by(struct_pack(r := rule, v := verdict), length(rule)) FROM rules
+             WHERE (host = host_part OR ends_with(host, '.' || host_part)) AND starts_with(path, path_part)) AS f
+  FROM p
+)
+SELECT page_id, host, path, f.r AS rule,
+  coalesce(f.v, CASE WHEN regexp_matches(host || path, '(?s)spam|casino|pills|viagra|porn|xxx|gambling|betting|warez|^ads-|[.]ads-')
+                     THEN 'block' ELSE 'allow' END) AS verdict
+FROM fits
+"""
+
 ORACLES: dict[str, str] = {
+    "op3_url_filters": OP3,
     "op9_benchmark_decontamination": OP9,
 }

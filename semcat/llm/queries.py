@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from semcat.llm import chosenpath, factorisation, packing, recurrent, thresholds, winnowing
+from semcat.llm import chosenpath, factorisation, langid, licenses, packing, quoting, recurrent, thresholds, urlrules, winnowing
 from semcat.llm.rows import fold
 
 
@@ -32,6 +32,26 @@ def op2_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
     return recurrent.score(table(spark, sf_dir, "documents"), fold("doc_id", 7, 2))
 
 
+SITE_RULES = [
+    urlrules.site_rule("net/", "block"),
+    urlrules.site_rule("example.net/en/", "allow"),
+    urlrules.site_rule("example.com/de/", "block"),
+    urlrules.site_rule("org/fr/", "allow"),
+]
+# what decides where no site rule fits: URLs of the kinds that are seldom worth reading
+UNWANTED = ["*spam*", "*casino*", "*pills*", "*viagra*", "*porn*", "*xxx*", "*gambling*", "*betting*", "*warez*"]
+UNWANTED += ["ads-*", "*.ads-*"]
+
+
+def op3_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    globs = [urlrules.url_globs(g, "block", g) for g in UNWANTED]
+    judged = urlrules.judge(table(spark, sf_dir, "pages").select("page_id", "url"), SITE_RULES + globs, "allow")
+    named = [rule.name for rule in SITE_RULES]
+    return judged.select(
+        "page_id", "host", "path", F.when(F.col("rule").isin(named), F.col("rule")).alias("rule"), "verdict"
+    )
+
+
 def op4_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     judged = thresholds.judge(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"), keep=["doc_id"])
     counts = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words"]
@@ -43,6 +63,25 @@ def op4_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op5_license_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = licenses.scan(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    named = F.array_sort(F.array_distinct(F.filter("licenses", lambda x: x["license"].isNotNull())["license"]))
+    exact = F.filter("licenses", lambda x: (x["missing"] == 0) & (x["other"] == 0))
+    return found.select(
+        "doc_id",
+        F.size("licenses").cast("bigint").alias("n_blocks"),
+        F.array_join(named, ",").alias("licenses"),
+        F.size(exact).cast("bigint").alias("n_exact"),
+    )
+
+
+def op6_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    model = langid.train(docs.filter(~fold("doc_id", 4, 2)))
+    rows = docs.select("doc_id", "text", fold("doc_id", 4, 2).alias("held_out"))
+    return langid.identify(rows, model).select("doc_id", "held_out", "lang_pred", "score")
+
+
 def op7_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     model = factorisation.train(docs, table(spark, sf_dir, "labels"))
@@ -50,6 +89,13 @@ def op7_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored.select("doc_id", "held_out", "score", "predicted")
 
 
+def op8_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = quoting.threads(table(spark, sf_dir, "conversations"))
+    return found.select(
+        "conv_id", "turn", "role", "position", "parent_turn", "root_turn", F.col("quotes").cast("bigint").alias("quotes"), "chat"
+    )
+
+
 def op9_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = winnowing.decontaminate(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
     return found.select(
@@ -65,8 +111,12 @@ def op9_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame
 QUERIES = {
     "op1_best_fit_packing": op1_best_fit_packing,
     "op2_lm_scoring": op2_lm_scoring,
+    "op3_url_filters": op3_url_filters,
     "op4_quality_rules": op4_quality_rules,
+    "op5_license_scans": op5_license_scans,
+    "op6_language_id": op6_language_id,
     "op7_quality_classifier": op7_quality_classifier,
+    "op8_chat_formatting": op8_chat_formatting,
     "op9_benchmark_decontamination": op9_benchmark_decontamination,
     "op10_ngram_jaccard_join": op10_ngram_jaccard_join,
 }
