@@ -31,8 +31,11 @@ TOKENS = 64
 DEPTH = 4
 # a pair at the threshold agrees on this share of the tokens, but for a chance of 1e-4
 SLACK = 0.2
-# sets that one bucket task compares, and that one block of a group holds
+# a bucket is compared if it has so few sets, or so few rows and pairs of different groups (counted twice)
 BUCKET = 256
+BUCKET_ROWS = 1 << 16
+BUCKET_PAIRS = 1 << 21
+# sets and shingles that one block of a group holds
 BLOCK_SETS = 400
 BLOCK_SHINGLES = 400_000
 # bits of the filter that spares most texts the second shuffle; 16 MB at any size
@@ -242,11 +245,18 @@ def _split(threshold: float):
 
 
 def _by_path(rows: DataFrame) -> DataFrame:
-    """Rows of buckets that may still join two groups, with the bucket's size."""
-    sizes = rows.groupBy("path").agg(
-        F.count("*").alias("size"), F.min("label").alias("_low"), F.max("label").alias("_high")
+    """Rows of buckets that may still join two groups, with the bucket's size and whether it is compared now.
+
+    Only pairs of different groups are compared, so a bucket that one large group
+    fills but for a few rows is little work.
+    """
+    groups = rows.groupBy("path", "label").agg(F.count("*").alias("n"))
+    sizes = groups.groupBy("path").agg(
+        F.sum("n").alias("size"), F.sum(F.col("n") * F.col("n")).alias("_within"), F.count("*").alias("_groups")
     )
-    return rows.join(sizes.filter("_low <> _high").select("path", "size"), "path")
+    pairs = F.col("size") * F.col("size") - F.col("_within")
+    now = (F.col("size") <= BUCKET) | ((F.col("size") <= BUCKET_ROWS) & (pairs <= BUCKET_PAIRS))
+    return rows.join(sizes.filter("_groups > 1").select("path", "size", now.alias("now")), "path")
 
 
 def _blocked(rows: DataFrame, blocks: F.Column) -> DataFrame:
@@ -280,21 +290,21 @@ def _coarse_groups(sets: DataFrame, threshold: float) -> DataFrame:
     # then all others: within buckets that hold more than one group
     label = F.coalesce("label", "key").alias("label")
     rows = members.select("path", "key").join(labels.withColumnRenamed("node", "key"), "key", "left")
-    rows = _by_path(rows.select("path", "key", label)).select("path", "key", "label", "size")
+    rows = _by_path(rows.select("path", "key", label)).select("path", "key", "label", "size", "now")
     rows = stored(rows.join(sketches, "key"))
     edges = first
     for depth in range(1, DEPTH + 1):
         last = depth == DEPTH
-        small = rows if last else rows.filter(F.col("size") <= BUCKET)
-        blocks = F.ceil(F.col("size") / BUCKET).cast("int") if last else F.lit(1)
+        small = rows if last else rows.filter("now")
+        blocks = F.when(F.col("now"), 1).otherwise(F.ceil(F.col("size") / BUCKET_ROWS**0.5)).cast("int")
         near = (
-            _blocked(small.select("path", "key", "label", "sketch", "size"), blocks)
+            _blocked(small.select("path", "key", "label", "sketch", "size", "now"), blocks)
             .repartition("path", "i", "j")
             .sortWithinPartitions("path", "i", "j", "key")
             .mapInArrow(_compare(least), "a bigint, b bigint")
         )
         edges = edges.unionByName(near)
-        large = rows.filter(F.col("size") > BUCKET)
+        large = rows.filter("not now")
         if last or large.isEmpty():
             break
         children = large.select("path", "key", "label", "sketch").mapInArrow(
