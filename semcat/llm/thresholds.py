@@ -148,15 +148,15 @@ def cutoffs(
     per_rule = counts.groupBy("stratum", "rule").agg(
         F.sum("n").alias("n"), F.map_from_entries(F.collect_list(F.struct("first", "n"))).alias("at")
     )
-    n_strata = per_rule.select(F.countDistinct("stratum").alias("n_strata"))
-    level = F.lit(error) / (F.col("n_strata") * len(RULES))
+    per_rule = stored(per_rule)
+    n_strata = per_rule.select("stratum").distinct().count()
+    level = error / (max(n_strata, 1) * len(RULES))
     rejected = F.aggregate(
         F.sequence(F.lit(0), F.col("step") - 1), F.lit(0).cast("bigint"),
         lambda got, i: got + F.coalesce(F.try_element_at("at", i), F.lit(0).cast("bigint")),
     )
     tried = (
-        per_rule.crossJoin(F.broadcast(n_strata))
-        .withColumn("step", F.explode(F.sequence(F.lit(0), F.lit(GRID - 1))))
+        per_rule.withColumn("step", F.explode(F.sequence(F.lit(0), F.lit(GRID - 1))))
         .withColumn("k", F.when(F.col("step") == 0, F.lit(0).cast("bigint")).otherwise(rejected))
         .withColumn("safe", _chance_of_so_few(F.col("k"), F.col("n"), allowed / len(RULES)) <= level)
     )
