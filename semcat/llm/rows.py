@@ -9,23 +9,31 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+# rows of one outgoing batch
+ROWS = 2048
+
 
 def with_arrays(
     df: DataFrame, text_col: str, fields: dict[str, T.DataType], compute: Callable[[pa.Array], list[pa.Array]]
 ) -> DataFrame:
     """``df`` with new columns ``fields``, which ``compute`` makes of its texts; equal names are replaced."""
     given = [c for c in df.columns if c not in fields and c != "_text"]
-    rows = df.select(*[F.col(f"`{c}`") for c in given], F.col(f"`{text_col}`").cast("string").alias("_text"))
-    schema = T.StructType([f for f in rows.schema if f.name != "_text"])
+    rows = df.select(*[F.col(f"`{c}`") for c in given])
+    # a text that is kept anyway is not sent twice
+    source = text_col if text_col in given and dict(rows.dtypes)[text_col] == "string" else "_text"
+    if source == "_text":
+        rows = df.select(*[F.col(f"`{c}`") for c in given], F.col(f"`{text_col}`").cast("string").alias("_text"))
+    schema = T.StructType([f for f in rows.schema if f.name in given])
     for name, kind in fields.items():
         schema = schema.add(name, kind)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            if batch.num_rows:
-                made = compute(batch.column("_text"))
+            for a in range(0, batch.num_rows, ROWS):
+                part = batch.slice(a, ROWS)
+                made = compute(part.column(source))
                 yield pa.RecordBatch.from_arrays(
-                    [batch.column(c) for c in given] + made, names=given + list(fields)
+                    [part.column(c) for c in given] + made, names=given + list(fields)
                 )
 
     return rows.mapInArrow(run, schema)
