@@ -64,19 +64,16 @@ def _ngrams(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarr
     keep[1:] = (chars[1:] != 0) | (chars[:-1] != 0)
     keep[border] = True
     where = np.concatenate((np.zeros(1, np.int64), np.cumsum(keep)))
-    chars, border = chars[keep].astype(np.uint64), where[border]
+    # one more blank, so that the last text has all its pairs
+    chars, border = np.append(chars[keep], 0).astype(np.uint64), where[border]
     a, b, c = chars[:-2], chars[1:-1], chars[2:]
     two = a * np.uint64(0x9E3779B97F4A7C15) ^ b * np.uint64(0xC2B2AE3D27D4EB4F)
     three = (two ^ (two >> np.uint64(29))) * np.uint64(0xBF58476D1CE4E5B9) ^ c * np.uint64(0x94D049BB133111EB)
     shift = np.uint64(64 - BUCKET_BITS)
     pair = np.stack((two * np.uint64(0xD6E8FEB86659FD93) >> shift, three * np.uint64(0xD6E8FEB86659FD93) >> shift), axis=1)
-    # n-grams that reach over the blank between two texts belong to none
-    inside = np.stack((np.ones(len(a), bool), np.ones(len(a), bool)), axis=1)
-    inner = border[1:-1]
-    inside[inner[inner < len(a)]] = inside[inner[inner < len(a)]]
-    over = inner - 1
-    over = over[(over >= 0) & (over < len(a))]
-    inside[over, 1] = False
+    # three characters from the last one of a text on would reach into the next text
+    inside = np.ones((len(a), 2), bool)
+    inside[border[1:] - 1, 1] = False
     first = np.concatenate((np.zeros(1, np.int64), np.cumsum(inside.sum(axis=1))))
     starts = first[np.minimum(border, len(a))]
     return pair[inside].astype(np.int64), starts, has_letter

@@ -148,8 +148,12 @@ def threads(
     named as the new ones are replaced.
     """
     new = ("body", "quotes", "parent_turn", "root_turn", "position", "chat")
-    messages = messages.select(*[F.col(f"`{c}`") for c in messages.columns if c not in new])
-    rows = stored(linked(messages, conv_col, turn_col, text_col))
+    kept = F.struct(*[F.col(f"`{c}`") for c in messages.columns if c not in new]).alias("given")
+    # no name of the given columns meets one of those used below
+    columns = {"conv": conv_col, "turn": turn_col, "role": role_col, "text": text_col}
+    rows = messages.select(kept, *[F.col(f"`{c}`").alias(name) for name, c in columns.items()])
+    conv_col, turn_col, role_col, text_col = columns
+    rows = stored(linked(rows, conv_col, turn_col, text_col))
     rows = _with_roots(rows, conv_col, turn_col)
     # the rank of a row in its conversation, of which one may have any share of all rows:
     # rows are sorted over all partitions, numbered within each and counted by partition
@@ -168,6 +172,5 @@ def threads(
     first = placed.groupBy(F.col(conv_col).alias("_conv")).agg(F.min("_at").alias("_first"))
     placed = placed.join(first, F.col(conv_col).eqNullSafe(F.col("_conv")))
     chat = F.concat(F.lit("<|"), F.coalesce(role_col, F.lit("")), F.lit("|>\n"), F.col("body"))
-    return placed.withColumn("position", F.col("_at") - F.col("_first")).withColumn("chat", chat).drop(
-        "_id", "_part", "_before", "_at", "_conv", "_first"
-    )
+    placed = placed.withColumn("position", F.col("_at") - F.col("_first")).withColumn("chat", chat)
+    return placed.select("given.*", *new)

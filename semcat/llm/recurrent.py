@@ -185,7 +185,7 @@ def _vocabulary(counts: DataFrame, head_words: int) -> Vocabulary:
     many = table.column("words").to_numpy()
     fits = np.cumsum(many) <= head_words
     least = int(n[fits][-1]) if fits.any() else (int(n[0]) + 1 if len(n) else 1)
-    got = words.filter(F.col("n") >= least).toArrow()
+    got = words.filter((F.col("n") >= least) | (F.col("b") == ENDINGS)).toArrow()
     head = got.column("a").to_numpy().view(np.uint64)
     order = np.argsort(head)
     head, ending, count = head[order], got.column("b").to_numpy()[order], got.column("n").to_numpy()[order]

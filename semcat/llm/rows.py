@@ -17,12 +17,15 @@ def with_arrays(
     df: DataFrame, text_col: str, fields: dict[str, T.DataType], compute: Callable[[pa.Array], list[pa.Array]]
 ) -> DataFrame:
     """``df`` with new columns ``fields``, which ``compute`` makes of its texts; equal names are replaced."""
-    given = [c for c in df.columns if c not in fields and c != "_text"]
+    given = [c for c in df.columns if c not in fields]
+    spare = "_text"
+    while spare in df.columns:
+        spare = f"_{spare}"
     rows = df.select(*[F.col(f"`{c}`") for c in given])
     # a text that is kept anyway is not sent twice
-    source = text_col if text_col in given and dict(rows.dtypes)[text_col] == "string" else "_text"
-    if source == "_text":
-        rows = df.select(*[F.col(f"`{c}`") for c in given], F.col(f"`{text_col}`").cast("string").alias("_text"))
+    source = text_col if text_col in given and dict(rows.dtypes)[text_col] == "string" else spare
+    if source == spare:
+        rows = df.select(*[F.col(f"`{c}`") for c in given], F.col(f"`{text_col}`").cast("string").alias(spare))
     schema = T.StructType([f for f in rows.schema if f.name in given])
     for name, kind in fields.items():
         schema = schema.add(name, kind)

@@ -195,10 +195,12 @@ def judge(
     are judged alike. Other columns are kept; one named ``quality_rules`` is replaced.
     """
     kept = [c for c in (docs.columns if keep is None else keep) if c != "quality_rules"]
-    given = [F.col(f"`{c}`") for c in kept]
+    given = F.struct(*[F.col(f"`{c}`") for c in kept]).alias("given")
     named = F.col(stratum_col).cast("string") if stratum_col in docs.columns else F.lit("")
-    rows = measured(docs.withColumns({"_id": F.col(id_col), "_stratum": F.coalesce(named, F.lit(""))}), text_col)
-    rows = stored(rows.select(*given, "_id", "_stratum", "_m"))
+    rows = docs.select(
+        given, F.col(id_col).alias("_id"), F.coalesce(named, F.lit("")).alias("_stratum"), F.col(text_col).alias("text")
+    )
+    rows = stored(measured(rows).select("given", "_id", "_stratum", "_m"))
     safe = cutoffs(rows, labels, "_id", F.col("_stratum"), allowed=allowed, error=error)
     by_stratum = safe.groupBy(F.col("stratum").alias("_stratum")).agg(
         F.map_from_entries(F.collect_list(F.struct("rule", "cutoff"))).alias("_cutoffs")
@@ -222,7 +224,7 @@ def judge(
         F.col("_failed").alias("failed"),
         (~F.col("_base") & (F.size("_failed") == 0)).alias("kept"),
     )
-    return judged.withColumn("quality_rules", rules).select(*given, "quality_rules")
+    return judged.withColumn("quality_rules", rules).select("given.*", "quality_rules")
 
 
 def _value(value: str) -> Column:

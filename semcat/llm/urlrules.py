@@ -97,7 +97,7 @@ class Automaton:
         codes = np.array(sorted(ord(c) for c in alphabet), np.uint32)
         self.codes = codes
         self.class_of = np.array([alphabet[chr(c)] for c in codes], np.int64)
-        at = np.array(self.final)
+        at = np.array(self.final, np.int64)
         self.final_word, self.final_bit = np.maximum(at, 0) // 64, (np.maximum(at, 0) % 64).astype(np.uint64)
 
     def _mask(self, bits: list[int]) -> np.ndarray:
@@ -135,7 +135,7 @@ class Automaton:
             moved |= self.start if step == 0 else self.free_start
             state[:active] = (moved & self.fits[flat[begin[:active] + step]]) | (s & self.stays)
         hit = (state[:, self.final_word] >> self.final_bit) & one == one
-        without = np.array(self.final) < 0
+        without = np.array(self.final, np.int64) < 0
         if without.any():
             hit[:, without] = self.empty[without] | (length == 0)[:, None]
         out = np.empty_like(hit)
