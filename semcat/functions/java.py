@@ -42,9 +42,11 @@ def _nested(left: str, right: str, depth: int) -> str:
     return inner
 
 
-_PAREN = _nested("(", ")", 3)
-_BRACE = _nested("{", "}", 4)
-_GENERIC = _nested("<", ">", 3)
+# patterns cannot recurse: levels of nesting that are read
+_LEVELS = 8
+_PAREN = _nested("(", ")", _LEVELS)
+_BRACE = _nested("{", "}", _LEVELS)
+_GENERIC = _nested("<", ">", _LEVELS)
 
 _ANNOTATIONS = rf"(?:@[\w.]++(?:\s*+{_PAREN})?+{_GAP})++"
 _MODIFIERS = r"(?:(?:static|final|transient|volatile)\s++)*+"
@@ -69,10 +71,12 @@ COLUMN_NAME = _attribute(r"@Column", "name", bare=False)
 MODEL_TEXT = _attribute("@ApiModel", "value", bare=True)
 PROPERTY_TEXT = _attribute("@ApiModelProperty", "value", bare=True)
 
-_PACKAGE = r"(?m)^package\s+([\w.]+)\s*;"
-_CLASS = r"(?:public\s+)?class\s+(\w+)"
+_PACKAGE = r"(?m)^\s*+package\s++(\w++(?:\.\w++)*+)\s*+;"
+# the first declaration of a type that holds fields, in text without comments
+_CLASS = r"(?<![\w.])(?:class|record)\s++([\w$]++)\s*+(?:[<({]|extends\b|implements\b)"
 _ENUM = r"(?U)\benum\s+(\w+)"
-_JAVADOC = r"/\*\*\s*\n\s*\*\s*([^\n*]+)"
+# the first line with a word in a documentation comment, which may be its only one
+_JAVADOC = r"/\*\*(?:\s|\*(?!/))*+([^\s*][^\n*]*+)"
 
 
 def first(col: Column, pattern: str, group: int = 1) -> Column:
@@ -336,7 +340,7 @@ def constants(region: Column) -> Column:
     split = F.transform(
         marked,
         lambda p: F.struct(
-            p[0].alias("name"), p[1].try_cast("int").alias("code"), p[2].alias("rest")
+            p[0].alias("name"), p[1].try_cast("bigint").alias("code"), p[2].alias("rest")
         ),
     )
     return F.filter(split, lambda c: c["code"].isNotNull())
@@ -350,7 +354,7 @@ def simple_values(found: Column) -> Column:
             c["name"].alias("name"),
             c["code"].alias("code"),
             first(c["rest"], _ONE_STRING).alias("message_key"),
-            F.lit(None).cast("array<int>").alias("aggregators"),
+            F.lit(None).cast("array<bigint>").alias("aggregators"),
             F.lit(False).alias("unreadable"),
         )
 

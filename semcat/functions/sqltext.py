@@ -192,7 +192,7 @@ def equalities(bare: Column) -> Column:
             qualifier_of(name).alias("qualifier"),
             last_part(name).alias("column"),
             value.alias("literal"),
-            F.trim(value).try_cast("int").alias("code"),
+            F.trim(value).try_cast("bigint").alias("code"),
         )
 
     found = F.regexp_extract_all(

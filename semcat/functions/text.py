@@ -22,9 +22,9 @@ def strip_space(col: Column) -> Column:
 
 def camel_to_snake(col: Column) -> Column:
     """``orderItemID`` to ``order_item_id``."""
-    # the dot does not match a line end, and a name holds none
-    first = F.regexp_replace(col, F.lit("(.)([A-Z][a-z]+)"), F.lit("$1_$2"))
-    return F.lower(F.regexp_replace(first, F.lit("([a-z0-9])([A-Z])"), F.lit("$1_$2")))
+    # a word begins at a capital after a small letter or digit, or before a small letter
+    border = r"(?<=[a-z0-9])(?=[A-Z])|(?<=.)(?=[A-Z][a-z])"
+    return F.lower(F.regexp_replace(col, F.lit(border), F.lit("_")))
 
 
 def raw_type(col: Column) -> Column:
@@ -45,7 +45,7 @@ def parse_int_list(col: Column) -> Column:
     """``"18325, 7"`` to ``[18325, 7]``; entries that are no digits are dropped."""
     trimmed = F.transform(F.split(col, ","), strip_space)
     digits = F.filter(trimmed, lambda x: x.rlike("^[0-9]+$"))
-    return F.filter(F.transform(digits, lambda x: x.try_cast("int")), lambda x: x.isNotNull())
+    return F.filter(F.transform(digits, lambda x: x.try_cast("bigint")), lambda x: x.isNotNull())
 
 
 # One-letter escapes of message bundles.

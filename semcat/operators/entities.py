@@ -18,13 +18,20 @@ from semcat.operators.routing import entity_files
 KEY = ("repo_id", "source_file", "table_name")
 
 
-def _header(src: Column, path: Column, settings: Settings, root: Column | None) -> list[Column]:
+def _code(src: Column, settings: Settings) -> Column:
+    """What is read as code: nothing that is commented out."""
+    return src if settings.compat else java.without_comments(src)
+
+
+def _header(
+    src: Column, code: Column, path: Column, settings: Settings, root: Column | None
+) -> list[Column]:
     return [
-        java.table_name(src).alias("name"),
-        java.qualified_class(src, path).alias("entity_class"),
+        java.table_name(code).alias("name"),
+        java.qualified_class(code, path).alias("entity_class"),
         java.relative_path(path, root).alias("source_file"),
         java.purpose(src).alias("purpose"),
-        java.extends_base(src, settings.base_entity).alias("extends_base"),
+        java.extends_base(code, settings.base_entity).alias("extends_base"),
     ]
 
 
@@ -40,13 +47,14 @@ def parse_entities(
     """
     src, path = F.col("src"), F.col("path")
     chosen = entity_files(files, settings, root)
+    chosen = computed_once(chosen.withColumn("code", _code(src, settings)), "code")
     if not unnamed:
         # found before the costly part of the work
-        chosen = chosen.filter(java.table_name(src) != "")
+        chosen = chosen.filter(java.table_name(F.col("code")) != "")
     blocks = chosen.select(
         "repo_id",
-        *_header(src, path, settings, root),
-        java.field_blocks(src, settings.compat).alias("blocks"),
+        *_header(src, F.col("code"), path, settings, root),
+        java.field_blocks(F.col("code"), settings.compat).alias("blocks"),
     )
     declared = blocks.withColumn(
         "declared", java.declared_columns(F.col("blocks"), settings.compat)
@@ -76,8 +84,10 @@ def extract_tables(
 ) -> DataFrame:
     """Name, purpose, class and source of every entity file."""
     src, path = F.col("src"), F.col("path")
-    named = entity_files(files, settings, root).filter(java.table_name(src) != "")
-    return named.select("repo_id", *_header(src, path, settings, root))
+    chosen = entity_files(files, settings, root)
+    named = computed_once(chosen.withColumn("code", _code(src, settings)), "code")
+    named = named.filter(java.table_name(F.col("code")) != "")
+    return named.select("repo_id", *_header(src, F.col("code"), path, settings, root))
 
 
 def explode_columns(entities: DataFrame) -> DataFrame:

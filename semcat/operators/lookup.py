@@ -78,9 +78,9 @@ def bound_enums(columns: DataFrame) -> DataFrame:
 
 
 def enum_candidates(
-    columns: DataFrame, enums: DataFrame, k: int = CANDIDATE_LIMIT
+    columns: DataFrame, enums: DataFrame, k: int | None = CANDIDATE_LIMIT
 ) -> DataFrame:
-    """Up to ``k`` enums whose short name holds the column's name, for code columns
+    """Up to ``k`` (``None``: all) enums whose short name holds the column's name, for code columns
     without an enum. Equal names are looked up once."""
     name_fits = F.lit(False)
     for part in CODE_NAME_PARTS:
@@ -94,7 +94,7 @@ def enum_candidates(
     ranked = (
         substring_pairs(hay, needles, "hay", "needle", ["repo_id"])
         .withColumn("rank", F.row_number().over(window))
-        .filter(F.col("rank") <= k)
+        .filter(F.lit(True) if k is None else F.col("rank") <= k)
         .select("repo_id", "needle", "enum_class", "rank")
     )
     return open_columns.join(ranked, ["repo_id", "needle"]).select(
@@ -107,12 +107,12 @@ def enum_candidates(
     )
 
 
-def relations_of(relations: DataFrame, k: int = RELATION_LIMIT) -> DataFrame:
-    """Up to ``k`` outgoing relations per table."""
+def relations_of(relations: DataFrame, k: int | None = RELATION_LIMIT) -> DataFrame:
+    """Up to ``k`` (``None``: all) outgoing relations per table."""
     window = Window.partitionBy("repo_id", "from_table").orderBy("from_column", "to_table")
     return (
         relations.withColumn("rank", F.row_number().over(window))
-        .filter(F.col("rank") <= k)
+        .filter(F.lit(True) if k is None else F.col("rank") <= k)
     )
 
 
@@ -146,9 +146,13 @@ def table_detail(
     catalog: dict[str, DataFrame],
     tables: DataFrame | None = None,
     settings: Settings = DEFAULTS,
+    k_relations: int | None = RELATION_LIMIT,
+    k_candidates: int | None = CANDIDATE_LIMIT,
 ) -> DataFrame:
     """Everything known about each requested table, one row per table.
 
+    Relations and enum candidates are the first so many; all of them with ``None``.
+
     ``tables`` holds requests ``(repo_id, table_name)``; left out, all tables are
     described. A request that fits no table has only ``error`` filled in.
     """
@@ -178,7 +182,7 @@ def table_detail(
     )
     listed = columns.groupBy(*TABLE).agg(F.sort_array(F.collect_list(fields)).alias("columns"))
     candidates = (
-        enum_candidates(columns, catalog["enums"])
+        enum_candidates(columns, catalog["enums"], k_candidates)
         .groupBy(*TABLE, "name", "bound", "confidence")
         .agg(
             F.transform(
@@ -202,7 +206,8 @@ def table_detail(
     outgoing = (
         relations_of(
             of_wanted(catalog["relations"].withColumnRenamed("from_table", "table_name"))
-            .withColumnRenamed("table_name", "from_table")
+            .withColumnRenamed("table_name", "from_table"),
+            k_relations,
         )
         .withColumnRenamed("from_table", "table_name")
         .groupBy(*TABLE)
@@ -327,29 +332,34 @@ def decode_codes(
 ) -> DataFrame:
     """Add ``meaning`` and ``is_divergent`` to every fact row.
 
-    A tenant's own meaning goes before the default one. Facts are never
+    A tenant's own meaning goes before the default one. Codes are met within
+    ``repo_id`` and ``enum_class`` where the facts have such columns; else the
+    values must be of one repo and ``enum_class`` names the enum. Facts are never
     grouped: they meet at most one default and one tenant row. The values are
     small as a rule and then sent to the facts; their size decides.
     """
+    keys = [c for c in ("repo_id", "enum_class") if c in facts.columns and c in values.columns]
     if enum_class is not None:
         values = values.filter(F.col("enum_class") == enum_class)
     specific = F.coalesce(F.size("aggregators"), F.lit(0)) > 0
     defaults = (
         values.filter(~specific)
-        .groupBy(F.col("code").alias(code_col))
+        .groupBy(*keys, F.col("code").alias(code_col))
         .agg(F.min_by("meaning", "name").alias("_default"))
     )
     own = (
         values.filter(specific)
         .transform(
-            lambda d: exploded(d, "aggregators", "code", "meaning", "name", value="tenant")
+            lambda d: exploded(
+                d, "aggregators", *keys, "code", "meaning", "name", value="tenant"
+            )
         )
-        .groupBy(F.col("code").alias(code_col), F.col("tenant").alias(tenant_col))
+        .groupBy(*keys, F.col("code").alias(code_col), F.col("tenant").alias(tenant_col))
         .agg(F.min_by("meaning", "name").alias("_own"))
     )
     return (
-        facts.join(defaults, code_col, "left")
-        .join(own, [code_col, tenant_col], "left")
+        facts.join(defaults, [*keys, code_col], "left")
+        .join(own, [*keys, code_col, tenant_col], "left")
         .withColumn("meaning", F.coalesce("_own", "_default"))
         .withColumn("is_divergent", F.col("_own").isNotNull())
         .drop("_own", "_default")

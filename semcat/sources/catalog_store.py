@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterable
+
 from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -42,8 +44,8 @@ SCHEMAS = {
         " java_type string"
     ),
     "enum_values": (
-        "enum_class string, code int, name string, message_key string, meaning string,"
-        " aggregators array<int>, is_default boolean, warning string"
+        "enum_class string, code bigint, name string, message_key string, meaning string,"
+        " aggregators array<bigint>, is_default boolean, warning string"
     ),
     "relations": (
         "from_table string, from_column string, to_table string, to_column string,"
@@ -88,10 +90,13 @@ def _exists(spark: SparkSession, path: str) -> bool:
     return jpath.getFileSystem(spark._jsc.hadoopConfiguration()).exists(jpath)
 
 
-def write_catalog(catalog: dict[str, DataFrame], path: str) -> None:
+def write_catalog(
+    catalog: dict[str, DataFrame], path: str, repo_ids: Iterable[str] = ()
+) -> None:
     """Replace the catalog's repos, table by table; other repos stay.
 
-    A repo that no longer has rows in a table loses its old ones there too.
+    A repo that no longer has rows in a table loses its old ones there too; one
+    that has no rows at all any more is named in ``repo_ids``.
     Tables are independent, so a failed run can simply be started again.
     """
     spark = next(iter(catalog.values())).sparkSession
@@ -100,7 +105,7 @@ def write_catalog(catalog: dict[str, DataFrame], path: str) -> None:
         for name in REPLACED
         if name in catalog
     }
-    repos = set().union(*written.values())
+    repos = set(repo_ids).union(*written.values())
     for name, present in written.items():
         for repo_id in repos - present:
             _remove_partition(spark, f"{path}/{name}", repo_id)

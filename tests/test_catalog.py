@@ -3,6 +3,7 @@
 import pytest
 from pyspark.sql import functions as F
 
+from semcat.plans import lineage
 from semcat.operators import compare, lookup, search
 from semcat.operators.substring import substring_pairs
 from semcat.plans import build
@@ -186,3 +187,27 @@ def test_drift_and_diff(spark, catalog):
     assert [(r.name, r.data_type) for r in rows] == [("id", "bigint"), ("name", "string")]
     diff = {(r.catalog_table, r.change) for r in compare.repo_diff(catalog, "r", "other").collect()}
     assert diff == {("enums", "only_left"), ("enum_values", "only_left")}
+
+
+def test_repo_without_rows_is_replaced_by_name(catalog, spark, tmp_path):
+    path = str(tmp_path / "named")
+    store.write_catalog(catalog, path)
+    repo = catalog["tables"].first().repo_id
+    none = {name: df.limit(0) for name, df in catalog.items()}
+    store.write_catalog(none, path, [repo])
+    left = store.read_catalog(spark, path, repo)
+    assert left["tables"].count() == 0 and left["columns"].count() == 0
+
+
+def test_run_folder_is_shared_and_removed(spark, monkeypatch):
+    kept = lineage.stored(spark.range(3))
+    assert kept.count() == 3
+    folder = lineage.run_folder(spark)
+    path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+    # a second run folder, so that results of other tests stay
+    monkeypatch.setattr(lineage, "_RUNS", {})
+    lineage.stored(spark.range(2))
+    other = lineage.run_folder(spark)
+    lineage.close(spark)
+    fs = path.getFileSystem(spark._jsc.hadoopConfiguration())
+    assert fs.exists(path) and not fs.exists(spark._jvm.org.apache.hadoop.fs.Path(other))

@@ -210,3 +210,30 @@ def test_hidden_pushdown_does_not_repeat_the_extraction(files):
     found = ent.extract_columns(files({"a/Order.java": ORDER})).filter(F.col("type") == "string")
     plan = found._jdf.queryExecution().optimizedPlan().toString()
     assert plan.count("regexp_extract_all(") <= 1
+
+
+def test_commented_out_code_names_nothing(files):
+    body = """
+    // @Column(name = "old_col")
+    // private String oldCol;
+    /* @Id */
+    @Column(name = "new_col")
+    private String newCol;
+"""
+    head = '// @Table(name = "dead")\n/** Entity class for orders */\n@Table(name = "live")\n'
+    found = ent.extract_columns(files({"a/T.java": entity(body, head=head)})).collect()
+    assert [(r.table_name, r.name, r.is_pk) for r in found] == [("live", "new_col", False)]
+    row = ent.extract_tables(files({"a/T.java": entity(body, head=head)})).first()
+    assert row.entity_class == "com.acme.shop.T" and row.purpose == "Entity class for orders"
+
+
+def test_deep_nesting_is_read(files):
+    body = """
+    @Check(a(b(c(d(e("x"))))))
+    @Column(name = "deep")
+    private String deep;
+
+    @ApiModelProperty("many levels")
+    private Map<String, List<Map<String, List<Set<Long>>>>> wide;
+"""
+    assert set(columns(files, body)) == {"deep", "wide"}

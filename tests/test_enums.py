@@ -94,7 +94,7 @@ def test_escapes(spark):
 
 def test_int_list(spark):
     row = spark.sql("select ' 18325, 7,x,-1, ,99999999999' as s").select(parse_int_list(F.col("s")).alias("v")).first()
-    assert row.v == [18325, 7]
+    assert row.v == [18325, 7, 99999999999]
 
 
 def test_tokens(spark):
@@ -139,3 +139,23 @@ def test_decode_codes(spark):
     assert [(r.meaning, r.is_divergent) for r in found] == [
         ("own", True), ("plain", False), ("two", False), (None, False), ("plain", False),
     ]
+
+
+def test_codes_are_met_within_repo_and_enum(spark):
+    values = spark.createDataFrame(
+        [("saas", "E", 1, "A", "open", None), ("fork", "E", 1, "A", "closed", None), ("saas", "F", 1, "A", "other", None)],
+        "repo_id string, enum_class string, code bigint, name string, meaning string, aggregators array<bigint>",
+    )
+    facts = spark.createDataFrame(
+        [("saas", "E", 1, 5), ("fork", "E", 1, 5), ("saas", "F", 1, 5), ("fork", "F", 1, 5)],
+        "repo_id string, enum_class string, code bigint, tenant bigint",
+    )
+    found = lookup.decode_codes(facts, "code", "tenant", values).collect()
+    assert {(r.repo_id, r.enum_class): r.meaning for r in found} == {
+        ("saas", "E"): "open", ("fork", "E"): "closed", ("saas", "F"): "other", ("fork", "F"): None,
+    }
+
+
+def test_large_ids_are_kept(spark):
+    row = spark.range(1).select(parse_int_list(F.lit("18325, 9000000000, x")).alias("ids")).first()
+    assert row.ids == [18325, 9000000000]

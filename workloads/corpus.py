@@ -341,7 +341,7 @@ def coded_values(nation: DataFrame) -> DataFrame:
             F.lit(code).alias("code"),
             F.lit(f"DEFAULT_{code}").alias("name"),
             F.lit(f"default {code}").alias("meaning"),
-            F.lit(None).cast("array<int>").alias("aggregators"),
+            F.lit(None).cast("array<bigint>").alias("aggregators"),
         )
 
     rows = F.when(
