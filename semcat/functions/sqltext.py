@@ -7,22 +7,42 @@ flattened into one list of references.
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-# Words that are never a column, table or alias.
+# Words that are never a column, table or alias, unless quoted or after a dot.
 KEYWORDS = (
     "select from where and or not in is null like rlike regexp between exists any some all"
     " distinct as on using join inner left right full outer cross natural lateral straight_join"
-    " group by order having limit offset fetch first next row rows only asc desc nulls last"
+    " group by order having limit fetch asc desc nulls"
     " union intersect except minus with recursive case when then else end cast convert"
     " insert into values update set delete replace ignore duplicate key truncate"
-    " true false unknown default interval over partition window range preceding following"
-    " unbounded current for share of escape binary collate div mod xor sounds explain"
+    " true false unknown default interval over partition window range"
+    " for of escape binary collate div mod xor sounds explain"
     " both leading trailing separator within filter ilike similar to"
 ).split()
 
 
+# letters, digits and marks of names, those of other scripts included; one class of few
+# ranges, as the pattern engine's own Unicode mode takes ten times as long
+_W = r"[\w\x{aa}-\x{1fff}\x{203f}\x{3005}-\x{d7ff}\x{f900}-\x{faff}]"
+
+
+def _wide(pattern: str) -> str:
+    """The pattern with word characters and borders of names in any script."""
+    flags = re.match(r"\(\?[is]+\)", pattern)
+    head = flags.group() if flags else ""
+    body = pattern[len(head):].replace(r"\w", _W)
+    # a border after a word or group is the word's end, else a start
+    body = re.sub(r"(?<=[\w)?])\\b", lambda _: f"(?!{_W})", body)
+    return head + body.replace(r"\b", f"(?<!{_W})")
+
+
+def _pattern(pattern: str) -> Column:
+    return F.lit(_wide(pattern))
+
 
 def _alternatives(words: list[str]) -> str:
     """Alternatives grouped by first letters, so that few are tried per place."""
@@ -40,14 +60,28 @@ def _alternatives(words: list[str]) -> str:
 
 _KW = _alternatives(KEYWORDS)
 _STR = r"""'(?:[^'\\]++|\\.|'')*+'|"(?:[^"\\]++|\\.|"")*+\""""
-_NAME = rf"(?!(?:{_KW})\b)[a-z_]\w*+"
-_DOTTED = rf"(?:{_NAME}\.)*+{_NAME}"
+# a letter of words that stands before a quoted name, which is never a keyword
+_QUOTED = "\u203f"
+_NAME = rf"(?:{_QUOTED}\w++|(?!(?:{_KW})\b)[\p{{L}}_]\w*+)"
+_DOTTED = rf"{_NAME}(?:\.[\p{{L}}_]\w*+|\.{_QUOTED}\w++)*+"
 _ITEM = rf"{_DOTTED}(?:\s++(?:as\s++)?{_NAME}(?!\s*+\())?+"
 _ITEMS = rf"{_ITEM}(?:\s*+,\s*+{_ITEM})*+"
 _SOURCE = rf"\b(?:(?<!distinct\s)from|join|into|(?<!key\s)(?<!for\s)update)\s++({_ITEMS})"
 # columns listed after the target of an insert
 _TARGET_LIST = r"(?:\s*+\((?!\s*+select\b)[\w\s,.]*+\))?+"
 
+# words that only count in these phrases, and are names elsewhere
+_PHRASES = (
+    r"\boffset\s+[\d?:#$@]\S*(?:\s+rows?\b)?|\bfetch\s+(?:first|next)\s+(?:\S+\s+)?rows?\s+only\b"
+    r"|\bnulls\s+(?:first|last)\b|\bfor\s+share\b|\block\s+in\s+share\s+mode\b"
+    r"|\b(?:rows|range)\s+(?:between\s+(?:unbounded|current|\d+)\s+(?:preceding|following|row)\s+and\s+)?"
+    r"(?:unbounded|current|\d+)\s+(?:preceding|following|row)\b"
+)
+# where the list of a FROM ends
+_AFTER_FROM = (
+    "where group order having limit union intersect except minus select set values window for"
+).split()
+
 _COMPARED = rf"(?<![\w.])({_DOTTED})\s*+=\s*+(\d++(?![\w.])|{_STR})"
 _REVERSED = rf"(?<![\w.])(\d++|{_STR})\s*+=\s*+({_DOTTED})(?![\w.]|\s*+\()"
 _IN_LIST = rf"(?<![\w.])({_DOTTED})\s++in\s*+\(((?:\s*+(?:\d++|{_STR})\s*+,?+)++)\)"
@@ -60,46 +94,90 @@ def without_comments(sql: Column) -> Column:
     )
 
 
+def _quoted(text: Column) -> Column:
+    """Quoted names marked, other identifier quotes gone."""
+    marked = F.regexp_replace(text, _pattern(r"`(\w++)`"), F.lit(f"{_QUOTED}$1"))
+    return F.replace(marked, F.lit("`"), F.lit(""))
+
+
+def _unquoted(name: Column) -> Column:
+    return F.replace(name, F.lit(_QUOTED), F.lit(""))
+
+
+def from_lists_as_joins(text: Column) -> Column:
+    """A :func:`plain` text with the commas between the tables of a FROM, at whatever depth, written as joins.
+
+    A table after a subquery in the list is then seen like any other. A stack with one letter per open parenthesis says whether its FROM list goes on.
+    """
+    pieces = F.regexp_extract_all(
+        text, _pattern(r"(?s)\bdistinct\s++from\b|[(),]|\w++|[^\w(),]++"), F.lit(0)
+    )
+    start = F.struct(F.lit("").alias("out"), F.lit("-").alias("stack"))
+
+    def step(acc: Column, piece: Column) -> Column:
+        stack = acc["stack"]
+        outer = F.substr(stack, F.lit(1), F.length(stack) - 1)
+        listed = (piece == ",") & F.endswith(stack, F.lit("f"))
+        return F.struct(
+            F.concat(acc["out"], F.when(listed, F.lit(" join ")).otherwise(piece)).alias("out"),
+            F.when(piece == "(", F.concat(stack, F.lit("-")))
+            .when((piece == ")") & (F.length(stack) > 1), outer)
+            .when(piece == "from", F.concat(outer, F.lit("f")))
+            .when(piece.isin(*_AFTER_FROM), F.concat(outer, F.lit("-")))
+            .otherwise(stack)
+            .alias("stack"),
+        )
+
+    listed = F.aggregate(pieces, start, step)["out"]
+    hidden = F.contains(text, F.lit(",")) & text.rlike(r"\)|\bon\b")
+    return F.when(hidden, listed).otherwise(text)
+
+
 def plain(bare: Column) -> Column:
-    """Lower case, literals blanked, identifier quotes gone."""
+    """Lower case, literals blanked, quoted names marked, words that only count in phrases gone."""
     blank = F.regexp_replace(bare, F.lit(rf"(?s){_STR}"), F.lit("''"))
-    lower = F.lower(F.replace(blank, F.lit("`"), F.lit("")))
+    lower = _quoted(F.lower(blank))
     # a "from" inside a function names no table, a typed literal no column
     lower = F.regexp_replace(lower, F.lit(r"\bextract\s*\(\s*\w+\s+from\s"), F.lit("extract("))
     lower = F.regexp_replace(
         lower, F.lit(r"\b(trim|substring|substr|overlay)(\s*\([^()]*?)\sfrom\s"), F.lit("$1$2 , ")
     )
+    lower = F.regexp_replace(lower, _pattern(_PHRASES), F.lit(" "))
     return F.regexp_replace(lower, F.lit(r"\b(?:date|time|timestamp)\s*''"), F.lit("''"))
 
 
 def last_part(dotted: Column) -> Column:
-    return F.substring_index(dotted, ".", -1)
+    return _unquoted(F.substring_index(dotted, ".", -1))
 
 
 def qualifier_of(dotted: Column) -> Column:
     """The part before the last, ``''`` when there is one part only."""
     parts = F.split(dotted, r"\.")
-    return F.when(F.size(parts) > 1, F.try_element_at(parts, F.lit(-2))).otherwise(F.lit(""))
+    return F.when(
+        F.size(parts) > 1, _unquoted(F.try_element_at(parts, F.lit(-2)))
+    ).otherwise(F.lit(""))
 
 
 def cte_names(text: Column) -> Column:
     """Names defined by a WITH clause."""
     pattern = rf"(?:\bwith\s++(?:recursive\s++)?|\)\s*+,\s*+)({_NAME})\s*+(?:\([\w\s,]*+\)\s*+)?as\s*+\("
     return F.when(
-        text.rlike(r"^\s*with\b"), F.regexp_extract_all(text, F.lit(pattern), F.lit(1))
+        text.rlike(r"^\s*with\b"),
+        F.transform(F.regexp_extract_all(text, _pattern(pattern), F.lit(1)), _unquoted),
     ).otherwise(F.expr("cast(array() as array<string>)"))
 
 
 def derived_aliases(text: Column) -> Column:
     """Names given to a parenthesis, which may be a subquery."""
-    return F.regexp_extract_all(
-        text, F.lit(rf"\)\s*+(?:as\s++)?({_NAME})(?!\s*+[(.])"), F.lit(1)
+    names = F.regexp_extract_all(
+        text, _pattern(rf"\)\s*+(?:as\s++)?({_NAME})(?!\s*+[(.])"), F.lit(1)
     )
+    return F.transform(names, _unquoted)
 
 
 def sources(text: Column, ctes: Column) -> Column:
     """``array<struct<table, alias, derived>>`` in text order, repeats included."""
-    groups = F.regexp_extract_all(text, F.lit(_SOURCE), F.lit(1))
+    groups = F.regexp_extract_all(text, _pattern(f"{_SOURCE}"), F.lit(1))
     items = F.flatten(F.transform(groups, lambda g: F.split(g, ",")))
 
     def build(item: Column) -> Column:
@@ -121,11 +199,11 @@ def sources(text: Column, ctes: Column) -> Column:
 
 def column_text(text: Column) -> Column:
     """The statement with its sources, and the words that name outputs, taken out."""
-    no_source = F.regexp_replace(text, F.lit(rf"{_SOURCE}{_TARGET_LIST}"), F.lit(" from "))
+    no_source = F.regexp_replace(text, _pattern(rf"{_SOURCE}{_TARGET_LIST}"), F.lit(" from "))
     no_cte = F.regexp_replace(
-        no_source, F.lit(rf"(?<=\bwith\s|\brecursive\s|,\s|,){_NAME}\s*+(?:\([\w\s,]*+\)\s*+)?+(?=as\s*+\()"), F.lit(" ")
+        no_source, _pattern(rf"(?<=\bwith\s|\brecursive\s|,\s|,){_NAME}\s*+(?:\([\w\s,]*+\)\s*+)?+(?=as\s*+\()"), F.lit(" ")
     )
-    return F.regexp_replace(no_cte, F.lit(r"\s++as\s++(?!\()\w++"), F.lit(" "))
+    return F.regexp_replace(no_cte, _pattern(r"\s++as\s++(?!\()\w++"), F.lit(" "))
 
 
 _BARE_ALIAS = (
@@ -136,26 +214,26 @@ _BARE_ALIAS = (
 
 def output_names(text: Column, stripped: Column) -> Column:
     """Names given to outputs: after AS, or straight after an expression."""
-    with_as = F.regexp_extract_all(text, F.lit(rf"\s++as\s++({_NAME})"), F.lit(1))
+    with_as = F.regexp_extract_all(text, _pattern(rf"\s++as\s++({_NAME})"), F.lit(1))
     bare = F.regexp_extract_all(
         stripped,
-        F.lit(_BARE_ALIAS.replace(rf"\s++{_NAME}", rf"\s++({_NAME})")),
+        _pattern(_BARE_ALIAS.replace(rf"\s++{_NAME}", rf"\s++({_NAME})")),
         F.lit(2),
     )
-    return F.concat(with_as, bare)
+    return F.transform(F.concat(with_as, bare), _unquoted)
 
 
 def _ref(dotted: Column) -> Column:
     return F.struct(qualifier_of(dotted).alias("qualifier"), last_part(dotted).alias("column"))
 
 
-_REF = rf"(?<![\w.'])((?:{_NAME}\.)*+(?:{_NAME}|(?<=\.)\*))(?![\w.]|\s*+\()"
+_REF = rf"(?<![\w.'])({_DOTTED}(?:\.\*)?+)(?![\w.]|\s*+\()"
 
 
 def column_refs(stripped: Column, outputs: Column) -> Column:
     """Distinct ``struct<qualifier, column>`` of all columns named anywhere."""
-    kept = F.regexp_replace(stripped, F.lit(_BARE_ALIAS), F.lit("$1"))
-    refs = F.transform(F.regexp_extract_all(kept, F.lit(_REF), F.lit(1)), _ref)
+    kept = F.regexp_replace(stripped, _pattern(_BARE_ALIAS), F.lit("$1"))
+    refs = F.transform(F.regexp_extract_all(kept, _pattern(_REF), F.lit(1)), _ref)
     named = F.filter(
         refs, lambda r: (r["qualifier"] != "") | ~F.array_contains(outputs, r["column"])
     )
@@ -168,22 +246,66 @@ _SEGMENT = (
 )
 
 
+# two columns compared to each other
+_BOTH = rf"(?<![\w.'])({_DOTTED})\s*+(<=>|[<>!]?=|<>|<|>)\s*+({_DOTTED})(?![\w.]|\s*+\()"
+
+
 def predicate_refs(text: Column) -> Column:
-    """Distinct references inside conditions."""
-    segments = F.regexp_extract_all(text, F.lit(_SEGMENT), F.lit(1))
+    """Distinct references inside conditions on one column.
+
+    A column compared to another one, as in a join, is not filtered by it.
+    """
+    segments = F.regexp_extract_all(text, _pattern(_SEGMENT), F.lit(1))
     found = F.flatten(
-        F.transform(segments, lambda s: F.regexp_extract_all(s, F.lit(_REF), F.lit(1)))
+        F.transform(
+            segments,
+            lambda s: F.regexp_extract_all(
+                F.regexp_replace(s, _pattern(_BOTH), F.lit(" ")), _pattern(_REF), F.lit(1)
+            ),
+        )
     )
     return F.array_distinct(F.transform(found, _ref))
 
 
+def equal_columns(text: Column) -> Column:
+    """Distinct ``struct<left, right>`` of columns that a condition sets equal."""
+
+    def pair(match: Column) -> Column:
+        return F.struct(
+            _ref(F.regexp_extract(match, _wide(_BOTH), 1)).alias("left"),
+            _ref(F.regexp_extract(match, _wide(_BOTH), 3)).alias("right"),
+        )
+
+    segments = F.regexp_extract_all(text, _pattern(_SEGMENT), F.lit(1))
+    found = F.flatten(
+        F.transform(segments, lambda s: F.regexp_extract_all(s, _pattern(_BOTH), F.lit(0)))
+    )
+    equal = F.filter(found, lambda m: F.regexp_extract(m, _wide(_BOTH), 2).isin("=", "<=>"))
+    return F.array_distinct(F.transform(equal, pair))
+
+
+def carried(refs: Column, equal: Column) -> Column:
+    """``refs`` and all columns set equal to one of them, also by way of others."""
+    rounds = F.flatten(F.array_repeat(equal, F.size(equal)))
+
+    def step(acc: Column, pair: Column) -> Column:
+        left, right = F.array_contains(acc, pair["left"]), F.array_contains(acc, pair["right"])
+        return (
+            F.when(left & ~right, F.array_append(acc, pair["right"]))
+            .when(right & ~left, F.array_append(acc, pair["left"]))
+            .otherwise(acc)
+        )
+
+    return F.aggregate(rounds, refs, step)
+
+
 def equalities(bare: Column) -> Column:
     """Distinct ``struct<qualifier, column, literal, code>`` of columns compared to literals.
 
     ``code`` is the literal as integer, null for other texts. Literals are matched
     as a whole, so a comparison inside one is not taken for a real one.
     """
-    text = F.replace(bare, F.lit("`"), F.lit(""))
+    text = _quoted(bare)
 
     def pair(dotted: Column, literal: Column) -> Column:
         name = F.lower(dotted)
@@ -196,17 +318,17 @@ def equalities(bare: Column) -> Column:
         )
 
     found = F.regexp_extract_all(
-        text, F.lit(rf"(?is){_COMPARED}|{_IN_LIST}|{_REVERSED}|{_STR}"), F.lit(0)
+        text, _pattern(rf"(?is){_COMPARED}|{_IN_LIST}|{_REVERSED}|{_STR}"), F.lit(0)
     )
 
     def group(match: Column, pattern: str, number: int) -> Column:
-        return F.regexp_extract(match, rf"(?is)\A{pattern}\z", number)
+        return F.regexp_extract(match, _wide(rf"(?is)\A{pattern}\z"), number)
 
     def pairs(match: Column) -> Column:
         items = F.regexp_extract_all(group(match, _IN_LIST, 2), F.lit(rf"(?s)\d++|{_STR}"), F.lit(0))
         return (
             F.when(
-                match.rlike(r"(?i)^[a-z_][\w.]*+\s*+="),
+                match.rlike(rf"(?i)^[\p{{L}}_{_QUOTED}][^=(]*+="),
                 F.array(pair(group(match, _COMPARED, 1), group(match, _COMPARED, 2))),
             )
             .when(

@@ -1,7 +1,8 @@
 """Checking a whole log of SQL statements against the catalog.
 
-The log is ``(query_id, sql, tenant_context)``, optionally with ``repo_id``. Each
-statement is read once, row by row, into *probes*: one row per table, per
+The log is ``(query_id, sql, tenant_context)``, optionally with ``repo_id``; ids
+belong to their repo, and a repeated id with another text is a statement of its
+own. Each statement is read once, row by row, into *probes*: one row per table, per
 column reference and per comparison. Probes meet the catalog in plain equality
 joins, and only what a check found is grouped by statement in the end.
 """
@@ -18,7 +19,9 @@ from semcat.functions.rows import computed_once, exploded
 CHECK_FIELDS = ("kind", "severity", "table_name", "column_name", "message", "fix")
 
 
-_READ = ("tables", "derived_aliases", "columns", "predicates", "equalities", "reason")
+_READ = ("tables", "derived_aliases", "columns", "predicates", "equal", "equalities", "reason")
+# one statement of the log
+STATEMENT = ("repo_id", "query_id", "statement")
 
 
 def read_statements(
@@ -38,8 +41,13 @@ def read_statements(
         "query_id",
         "repo_id",
         "tenant_context",
+        F.xxhash64("sql", "tenant_context").alias("statement"),
         sqltext.without_comments(F.coalesce("sql", F.lit(""))).alias("bare"),
-    ).withColumn("text", sqltext.plain(F.col("bare")))
+    ).withColumn("plain", sqltext.plain(F.col("bare"))).withColumn(
+        "text", sqltext.from_lists_as_joins(F.col("plain"))
+    )
+    # all below is read from the text
+    base = computed_once(base.drop("plain"), "bare", "text")
     named = base.withColumns(
         {
             "all_sources": sqltext.sources(F.col("text"), sqltext.cte_names(F.col("text"))),
@@ -62,12 +70,14 @@ def read_statements(
         "query_id",
         "repo_id",
         "tenant_context",
+        "statement",
         tables.alias("tables"),
         "derived_aliases",
         sqltext.column_refs(
             F.col("stripped"), sqltext.output_names(F.col("text"), F.col("stripped"))
         ).alias("columns"),
         sqltext.predicate_refs(F.col("text")).alias("predicates"),
+        sqltext.equal_columns(F.col("text")).alias("equal"),
         sqltext.equalities(F.col("bare")).alias("equalities"),
         sqltext.unreadable_reason(F.col("bare"), F.col("text"), F.col("all_sources")).alias(
             "reason"
@@ -79,31 +89,38 @@ def read_statements(
 def extract_table_refs(log: DataFrame, repo_id: str | None = "") -> DataFrame:
     """Distinct tables of each statement, in order of appearance."""
     statements = read_statements(log, repo_id, whole=False)
-    return exploded(statements, "tables", "query_id", value="t").filter(
+    return exploded(statements, "tables", "repo_id", "query_id", value="t").filter(
         ~F.col("t.derived")
-    ).select("query_id", F.col("t.table").alias("table_name"), F.col("t.pos").alias("pos"))
+    ).select("repo_id", "query_id", F.col("t.table").alias("table_name"), F.col("t.pos").alias("pos"))
 
 
 def extract_column_refs(log: DataFrame, repo_id: str | None = "") -> DataFrame:
     """Distinct ``(qualifier, column_name)`` of each statement."""
     statements = read_statements(log, repo_id, whole=False)
-    return exploded(statements, "columns", "query_id", value="c").select(
-        "query_id", "c.qualifier", F.col("c.column").alias("column_name")
+    return exploded(statements, "columns", "repo_id", "query_id", value="c").select(
+        "repo_id", "query_id", "c.qualifier", F.col("c.column").alias("column_name")
     )
 
 
 def extract_equalities(log: DataFrame, repo_id: str | None = "") -> DataFrame:
     """Distinct columns compared to literals, with the literal as integer if it is one."""
     statements = read_statements(log, repo_id, whole=False)
-    return exploded(statements, "equalities", "query_id", value="e").select(
-        "query_id", "e.qualifier", F.col("e.column").alias("column_name"), "e.literal", "e.code"
+    return exploded(statements, "equalities", "repo_id", "query_id", value="e").select(
+        "repo_id",
+        "query_id",
+        "e.qualifier",
+        F.col("e.column").alias("column_name"),
+        "e.literal",
+        "e.code",
     )
 
 
 def unreadable(log: DataFrame, repo_id: str | None = "") -> DataFrame:
     """Statements that cannot be read, each with one check."""
     found = read_statements(log, repo_id, whole=False).filter("reason is not null")
-    return found.select("query_id", _unreadable().alias("check")).select("query_id", "check.*")
+    return found.select("repo_id", "query_id", _unreadable().alias("check")).select(
+        "repo_id", "query_id", "check.*"
+    )
 
 
 # -------------------------------------------------------------------- probes
@@ -127,87 +144,104 @@ def _candidates(ref: Column) -> Column:
     )
 
 
-def _probe(kind: str, no: Column, table, ref, code: Column, ambiguous: Column) -> Column:
+def _probe(kind: str, no: Column, table, ref, code: Column, ambiguous: Column, fixed: Column) -> Column:
     return F.struct(
         F.lit(kind).alias("kind"),
         no.cast("int").alias("no"),
         table["pos"].cast("int").alias("pos"),
         table["table"].alias("table_name"),
-        table["aliases"].alias("aliases"),
         ref["qualifier"].alias("qualifier"),
         ref["column"].alias("column_name"),
-        code.alias("code"),
+        code.cast("bigint").alias("code"),
         ambiguous.alias("ambiguous"),
+        fixed.alias("fixed"),
+        F.lit(None).cast("array<string>").alias("parsed_tables"),
     )
 
 
-def probe_statements(statements: DataFrame, ambiguous_columns: bool = True) -> DataFrame:
+def _of_table(refs: Column, table: Column) -> Column:
+    """Names of the columns in ``refs`` that may be the table's."""
+    own = F.filter(
+        refs,
+        lambda r: (r["qualifier"] == "")
+        | (r["qualifier"] == table["table"])
+        | F.array_contains(table["aliases"], r["qualifier"]),
+    )
+    return F.array_distinct(F.transform(own, lambda r: r["column"]))
+
+
+def probe_statements(
+    statements: DataFrame, ambiguous_columns: bool = True, compat: bool = False
+) -> DataFrame:
     """One row per statement, per table, and per reference and table it may belong to.
 
-    Without ``ambiguous_columns`` references that fit several tables are left
-    out: the first table that has the column is theirs, so nothing is missing.
+    ``fixed`` has the columns that the statement filters (of a table) or compares to
+    literals (with a comparison) and that may be this table's; with ``compat`` a table
+    has all columns the statement names. Without ``ambiguous_columns`` references that
+    fit several tables are left out: the first table that has the column is theirs, so
+    nothing is missing.
     """
     none_int, none_str = F.lit(None).cast("int"), F.lit(None).cast("string")
-    no_table = F.struct(
-        none_int.alias("pos"), none_str.alias("table"), F.lit(None).cast("array<string>").alias("aliases")
-    )
+    none_fixed = F.lit(None).cast("array<string>")
+    no_table = F.struct(none_int.alias("pos"), none_str.alias("table"))
     no_ref = F.struct(none_str.alias("qualifier"), none_str.alias("column"))
 
-    def refs(kind: str, array: str, code) -> Column:
+    def refs(kind: str, array: str, code, fixed) -> Column:
         def one(ref: Column, no: Column) -> Column:
             fits = _candidates(ref)
             several = F.size(fits) > 1
             if kind == "column" and not ambiguous_columns:
                 fits = F.when(several, F.slice(fits, 1, 0)).otherwise(fits)
-            return F.transform(fits, lambda t: _probe(kind, no, t, ref, code(ref), several))
+            return F.transform(fits, lambda t: _probe(kind, no, t, ref, code(ref), several, fixed(t)))
 
         return F.flatten(F.transform(array, one))
 
-    statement = F.array(
-        _probe("statement", F.lit(0), no_table, no_ref, none_int, F.lit(False))
+    parsed = F.transform(F.filter("tables", lambda t: ~t["derived"]), lambda t: t["table"])
+    whole = _probe("statement", F.lit(0), no_table, no_ref, none_int, F.lit(False), none_fixed)
+    statement = F.array(whole.withField("parsed_tables", parsed))
+    pinned = F.transform(
+        "equalities",
+        lambda e: F.struct(e["qualifier"].alias("qualifier"), e["column"].alias("column")),
     )
+    met = statements.withColumns(
+        {
+            "filtered": F.col("columns") if compat else sqltext.carried(F.col("predicates"), F.col("equal")),
+            "pinned": sqltext.carried(F.array_distinct(pinned), F.col("equal")),
+        }
+    )
+
+    def filters(table: Column) -> Column:
+        if compat:
+            return F.array_distinct(F.transform("filtered", lambda c: c["column"]))
+        return _of_table(F.col("filtered"), table)
+
     tables = F.transform(
-        "tables", lambda t: _probe("table", t["pos"], t, no_ref, none_int, F.lit(False))
+        "tables",
+        lambda t: _probe("table", t["pos"], t, no_ref, none_int, F.lit(False), filters(t)),
     )
     probes = F.concat(
         statement,
         tables,
-        refs("column", "columns", lambda r: none_int),
-        refs("equality", "equalities", lambda r: r["code"]),
+        refs("column", "columns", lambda r: none_int, lambda t: none_fixed),
+        refs("equality", "equalities", lambda r: r["code"], lambda t: _of_table(F.col("pinned"), t)),
     )
-    with_probes = statements.withColumn("probes", probes)
-    return exploded(
-        with_probes,
-        "probes",
-        "query_id",
-        "repo_id",
-        "tenant_context",
-        "reason",
-        F.transform(F.filter("tables", lambda t: ~t["derived"]), lambda t: t["table"]).alias(
-            "parsed_tables"
-        ),
-        F.transform("columns", lambda c: c["column"]).alias("named_columns"),
-        F.col("predicates"),
-        F.transform("equalities", lambda e: e["column"]).alias("pinned_columns"),
-        value="p",
-    ).select(
-        "query_id",
-        "repo_id",
-        "tenant_context",
-        "reason",
-        "parsed_tables",
-        "named_columns",
-        "predicates",
-        "pinned_columns",
-        "p.*",
+    with_probes = met.withColumn("probes", probes)
+    return exploded(with_probes, "probes", *STATEMENT, "tenant_context", "reason", value="p").select(
+        *STATEMENT, "tenant_context", "reason", "p.*"
     )
 
 
+def _met_or_spread(key: str, spread: Column | None = None) -> Column:
+    """The key; where it is null, one of many that nothing has, so that such rows do not meet in one task."""
+    none = F.concat(F.lit("\0"), F.pmod(F.xxhash64(*STATEMENT, "no", "pos"), F.lit(65536)).cast("string"))
+    return F.coalesce(F.col(key) if spread is None else spread, none)
+
+
 def _with_catalog(probes: DataFrame, tables: DataFrame, columns: DataFrame) -> DataFrame:
     """Add what the catalog knows about a probe's table and column."""
     known = tables.select(
         "repo_id",
-        F.col("name").alias("table_name"),
+        F.col("name").alias("_table"),
         "soft_delete_column",
         "dimension_fields",
         F.lit(True).alias("known_table"),
@@ -215,20 +249,24 @@ def _with_catalog(probes: DataFrame, tables: DataFrame, columns: DataFrame) -> D
     has_enum = "enum_class" in columns.columns
     held = columns.select(
         "repo_id",
-        "table_name",
-        F.col("name").alias("column_name"),
+        F.col("table_name").alias("_table"),
+        F.col("name").alias("_column"),
         (F.col("enum_class") if has_enum else F.lit(None).cast("string")).alias("enum_class"),
         F.lit(True).alias("known_column"),
     )
+    keyed = probes.withColumns(
+        {"_table": _met_or_spread("table_name"), "_column": _met_or_spread("column_name")}
+    )
     return (
-        probes.join(known, ["repo_id", "table_name"], "left")
-        .join(held, ["repo_id", "table_name", "column_name"], "left")
+        keyed.join(known, ["repo_id", "_table"], "left")
+        .join(held, ["repo_id", "_table", "_column"], "left")
         .withColumns(
             {
                 "known_table": F.coalesce("known_table", F.lit(False)),
                 "known_column": F.coalesce("known_column", F.lit(False)),
             }
         )
+        .drop("_table", "_column")
     )
 
 
@@ -242,10 +280,11 @@ def resolve_refs(log: DataFrame, catalog: dict[str, DataFrame], repo_id: str | N
         F.col("kind").isin("column", "equality")
     )
     met = _with_catalog(probes, catalog["tables"], catalog["columns"])
-    window = Window.partitionBy("query_id", "kind", "no").orderBy("pos")
+    # rank, not row number: rows that repeat a statement all stay
+    window = Window.partitionBy(*STATEMENT, "kind", "no").orderBy("pos")
     return (
         met.filter(~F.col("ambiguous") | F.col("known_column"))
-        .withColumn("_rank", F.row_number().over(window))
+        .withColumn("_rank", F.rank().over(window))
         .filter("_rank = 1")
         .drop("_rank")
     )
@@ -312,19 +351,11 @@ def _tenant_missing(settings: Settings) -> Column:
     """Check of a table probe read without its tenant, else null."""
     dims, table = F.col("dimension_fields"), F.col("table_name")
     if settings.compat:
-        missing = F.array_except(dims, F.col("named_columns"))
-        found = (F.size(missing) > 0) & (F.size("named_columns") > 0)
+        missing = F.array_except(dims, F.col("fixed"))
+        found = (F.size(missing) > 0) & (F.size("fixed") > 0)
     else:
         missing = dims
-        found = ~F.exists(
-            "predicates",
-            lambda p: F.array_contains(dims, p["column"])
-            & (
-                (p["qualifier"] == "")
-                | (p["qualifier"] == table)
-                | F.array_contains("aliases", p["qualifier"])
-            ),
-        )
+        found = ~F.arrays_overlap(dims, F.col("fixed"))
     message = F.format_string(
         "%s has tenant columns [%s] and none is filtered; tenants may mix",
         table,
@@ -352,7 +383,16 @@ def _with_divergence(met: DataFrame, catalog: dict[str, DataFrame]) -> DataFrame
         .select(*key, "aggregators", F.col("meaning").alias("tenant_meaning"))
         .join(defaults, key, "left")
     )
-    return met.join(divergent, key, "left")
+    # only comparisons with a code and an enum can meet a value
+    asks = (F.col("kind") == "equality") & F.col("code").isNotNull()
+    keyed = met.withColumns(
+        {
+            "_class": _met_or_spread("enum_class", F.when(asks, F.col("enum_class"))),
+            "_code": F.coalesce("code", F.lit(0)),
+        }
+    )
+    named = divergent.withColumnsRenamed({"enum_class": "_class", "code": "_code"})
+    return keyed.join(named, ["repo_id", "_class", "_code"], "left").drop("_class", "_code")
 
 
 def _ambiguous(settings: Settings) -> Column:
@@ -391,21 +431,23 @@ def _ambiguous(settings: Settings) -> Column:
     )
     found = (F.col("kind") == "equality") & F.col("aggregators").isNotNull()
     if not settings.compat:
-        pinned = F.arrays_overlap("pinned_columns", "dimension_fields")
+        pinned = F.arrays_overlap("fixed", "dimension_fields")
         found = found & ~F.coalesce(pinned, F.lit(False))
     return F.when(found, _check(F.lit("enum_ambiguous"), "warn", table, column, message, fix))
 
 
 def _rows(df: DataFrame, check: Column) -> DataFrame:
     return (
-        df.select("query_id", check.alias("check"))
+        df.select("repo_id", "query_id", check.alias("check"))
         .filter(F.col("check").isNotNull())
-        .select("query_id", *[F.col("check")[f].alias(f) for f in CHECK_FIELDS])
+        .select("repo_id", "query_id", *[F.col("check")[f].alias(f) for f in CHECK_FIELDS])
     )
 
 
-def _met(log: DataFrame, catalog: dict[str, DataFrame], repo_id: str | None) -> DataFrame:
-    probes = probe_statements(read_statements(log, repo_id), ambiguous_columns=False)
+def _met(
+    log: DataFrame, catalog: dict[str, DataFrame], repo_id: str | None, compat: bool = False
+) -> DataFrame:
+    probes = probe_statements(read_statements(log, repo_id), False, compat)
     return _with_catalog(
         probes.filter("reason is null"), catalog["tables"], catalog["columns"]
     )
@@ -453,7 +495,7 @@ def check_tenant_filter(
     settings: Settings = DEFAULTS,
 ) -> DataFrame:
     """Tables read without a condition on any of their tenant columns."""
-    return _rows(_met(log, catalog, repo_id), _tenant_missing(settings))
+    return _rows(_met(log, catalog, repo_id, settings.compat), _tenant_missing(settings))
 
 
 def unknown_tables(
@@ -468,7 +510,7 @@ def unknown_tables(
     )
     known = catalog["tables"].select("repo_id", F.col("name").alias("table_name"))
     return refs.join(known, ["repo_id", "table_name"], "left_anti").select(
-        "query_id", "table_name"
+        "repo_id", "query_id", "table_name"
     )
 
 
@@ -478,16 +520,18 @@ def verdict_of(errors: Column, checks: Column) -> Column:
 
 def verdicts(log: DataFrame, checks: DataFrame) -> DataFrame:
     """``FAIL`` with any error, ``WARN`` with any other check, else ``PASS``."""
-    counts = checks.groupBy("query_id").agg(
+    # a log of one repo need not name it
+    key = [c for c in ("repo_id", "query_id") if c in log.columns and c in checks.columns]
+    counts = checks.groupBy(*key).agg(
         F.count("*").alias("n_checks"),
         F.count(F.when(F.col("severity") == "error", 1)).alias("n_errors"),
     )
     n = F.coalesce("n_checks", F.lit(0))
     return (
-        log.select("query_id")
-        .join(counts, "query_id", "left")
+        log.select(*key)
+        .join(counts, key, "left")
         .select(
-            "query_id",
+            *key,
             verdict_of(F.coalesce("n_errors", F.lit(0)), n).alias("verdict"),
             n.alias("n_checks"),
         )
@@ -502,11 +546,11 @@ def audit_log(
 ) -> DataFrame:
     """All checks of every statement in one pass over the log.
 
-    One row per statement: ``verdict``, ``n_checks``, ``parsed_tables`` and the
-    ``checks`` themselves. Rows without a finding are dropped before the only
-    shuffle, the one that gathers each statement's few findings.
+    One row per row of the log: ``repo_id``, ``query_id``, ``verdict``, ``n_checks``, ``parsed_tables`` and the
+    ``checks`` themselves. Rows without a finding are dropped before the shuffle
+    that gathers each statement's few findings.
     """
-    probes = probe_statements(read_statements(log, repo_id), ambiguous_columns=False)
+    probes = probe_statements(read_statements(log, repo_id), False, settings.compat)
     wanted = probes.filter(F.col("reason").isNull() | (F.col("kind") == "statement"))
     met = _with_divergence(
         _with_catalog(wanted, catalog["tables"], catalog["columns"]), catalog
@@ -528,14 +572,16 @@ def audit_log(
             | (F.col("check").isNotNull() & ~F.col("ambiguous"))
         )
         .select(
-            "query_id",
-            F.when(is_statement, F.col("parsed_tables")).alias("parsed_tables"),
-            F.struct("no", "pos", "ambiguous", "check").alias("row"),
+            *STATEMENT,
+            "parsed_tables",
+            F.struct("kind", "no", "pos", "ambiguous", "check").alias("row"),
         )
     )
-    gathered = found.groupBy("query_id").agg(
+    # rows that repeat a statement are checked as one
+    gathered = found.groupBy(*STATEMENT).agg(
         F.first("parsed_tables", ignorenulls=True).alias("parsed_tables"),
-        F.collect_list("row").alias("rows"),
+        F.count(F.when(F.col("row.kind") == "statement", 1)).cast("int").alias("n"),
+        F.collect_set("row").alias("rows"),
     )
     own = F.filter(
         "rows",
@@ -549,12 +595,16 @@ def audit_log(
         ),
     )
     checks = gathered.select(
+        "repo_id",
         "query_id",
         "parsed_tables",
+        F.sequence(F.lit(1), F.col("n")).alias("copies"),
         F.sort_array(F.transform(own, lambda r: r["check"])).alias("checks"),
     )
     errors = F.size(F.filter("checks", lambda c: c["severity"] == "error"))
-    return checks.select(
+    every = exploded(checks, "copies", "repo_id", "query_id", "parsed_tables", "checks", value="copy")
+    return every.select(
+        "repo_id",
         "query_id",
         verdict_of(errors, F.size("checks")).alias("verdict"),
         F.size("checks").cast("bigint").alias("n_checks"),
@@ -565,4 +615,6 @@ def audit_log(
 
 def audit_checks(audited: DataFrame) -> DataFrame:
     """The checks of an audit, one per row."""
-    return exploded(audited, "checks", "query_id", value="c").select("query_id", "c.*")
+    return exploded(audited, "checks", "repo_id", "query_id", value="c").select(
+        "repo_id", "query_id", "c.*"
+    )

@@ -170,7 +170,7 @@ def test_parts_agree_with_the_whole(spark, catalog):
     )
     parts = [f(one, catalog, "r") for f in (g.check_missing_columns, g.check_soft_delete, g.check_ambiguous_codes, g.check_tenant_filter)]
     union = parts[0]
-    for part in [*parts[1:], g.unreadable(one)]:
+    for part in [*parts[1:], g.unreadable(one, "r")]:
         union = union.unionByName(part)
     whole = g.audit_log(one, catalog, "r")
     assert sorted(map(tuple, union.collect())) == sorted(map(tuple, g.audit_checks(whole).collect()))
@@ -182,3 +182,68 @@ def test_parts_agree_with_the_whole(spark, catalog):
 def test_log_without_repo_needs_one(spark, catalog):
     with pytest.raises(ValueError):
         g.audit_log(log(spark, "select 1"), catalog)
+
+
+def test_quoted_and_soft_words_are_names(spark):
+    assert refs(spark, "select `key`, t.`order`, `offset` from `order` t where `key` = 3") == (
+        ["order"], [("", "key"), ("", "offset"), ("t", "order")],
+    )
+    assert refs(spark, "select t.offset, t.share, first from orders t where t.next = 1 order by t.key nulls last limit 5 offset 10") == (
+        ["orders"], [("", "first"), ("t", "key"), ("t", "next"), ("t", "offset"), ("t", "share")],
+    )
+    one = log(spark, "select `key` from `order` t where `key` = 3 and t.next = 1 and 状态 = 2")
+    assert sorted((r.qualifier, r.column_name, r.code) for r in g.extract_equalities(one).collect()) == [
+        ("", "key", 3), ("", "状态", 2), ("t", "next", 1),
+    ]
+    assert g.unreadable(one).count() == 0
+    assert refs(spark, "select 名称, b.状态 from 订单 b where 状态 = 1") == (["订单"], [("", "名称"), ("", "状态"), ("b", "状态")])
+
+
+def test_tables_after_a_subquery(spark):
+    assert refs(spark, "select * from (select id from a) x, secret where secret.q = 1") == (
+        ["a", "secret"], [("", "id"), ("secret", "q")],
+    )
+    nested = "select f(a, b), c from (select id, n from (select 1 from d) y, e z where g in (1, 2)) x, h, i j order by k, l"
+    assert refs(spark, nested)[0] == ["d", "e", "h", "i"]
+    assert refs(spark, "select 1 from a join b on a.x = b.x, c where c.y = 1")[0] == ["a", "b", "c"]
+    assert refs(spark, "select (a is distinct from b), c, d from t")[0] == ["t"]
+
+
+def test_a_pin_belongs_to_its_table(spark, catalog):
+    pinned = "select o.id from pcl_order o join act_bill b on o.id = b.id where o.status = 133 and {}"
+    assert ("enum_ambiguous", "pcl_order", "status") in audit(spark, catalog, pinned.format("b.aggregator = 7"))[1]
+    assert audit(spark, catalog, pinned.format("o.aggregator = 7"))[:2] == ("PASS", [])
+    assert audit(spark, catalog, pinned.format("aggregator = 7"))[1] == []
+
+
+def test_a_join_carries_a_pin_but_makes_none(spark, catalog):
+    joined = "select o.id from pcl_order o join pcl_order p on o.aggregator = p.aggregator join pcl_box x on x.org_id = p.aggregator{}"
+    assert audit(spark, catalog, joined.format(""))[1] == [("dimension_missing", "pcl_box", ""), ("dimension_missing", "pcl_order", "")]
+    assert audit(spark, catalog, joined.format(" where o.aggregator = 7"))[:2] == ("PASS", [])
+
+
+def test_ids_belong_to_their_repo_and_text(spark, catalog):
+    one = spark.createDataFrame(
+        [("r", 1, "select nope from act_bill"), ("s", 1, "select nope from act_bill"), ("r", 1, "select id from act_bill"), ("r", 1, "select nope from act_bill")],
+        "repo_id string, query_id int, sql string",
+    )
+    found = g.audit_log(one, catalog)
+    assert sorted((r.repo_id, r.query_id, r.verdict, r.n_checks) for r in found.collect()) == [
+        ("r", 1, "FAIL", 1), ("r", 1, "FAIL", 1), ("r", 1, "PASS", 0), ("s", 1, "PASS", 0),
+    ]
+    assert g.resolve_refs(one, catalog).count() == 4
+
+
+def test_no_join_meets_a_null_key(spark, catalog):
+    one = log(spark, *["select (", "select status from pcl_order where status = 133 and id = 'x'"])
+    probes = g.probe_statements(g.read_statements(one, "r"), False)
+    keyed = probes.select(g._met_or_spread("table_name").alias("t"), g._met_or_spread("column_name").alias("c"))
+    assert keyed.filter("t is null or c is null").count() == 0
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        plan = g.audit_log(one, catalog, "r")._jdf.queryExecution().optimizedPlan().toString()
+        assert sum("Join LeftOuter" in line for line in plan.splitlines() if "_table" in line or "_class" in line) >= 3
+        assert g.audit_log(one, catalog, "r").count() == 2
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)

@@ -161,7 +161,7 @@ dims AS (
   UNION ALL SELECT q, t2 FROM x WHERE ty = 'purchase' AND s2 % 2 <> 0 AND s2 % 3 = 0),
 amb AS (
   SELECT q, t AS tn, n FROM x JOIN div ON div.b = u // 40 AND code = CASE ty WHEN 'view' THEN 1 ELSE u % 20 END
-  WHERE s IS NOT NULL AND ((ty = 'view' AND s % 3 <> 0) OR ty = 'error' OR (ty = 'purchase' AND s % 2 <> 0))),
+  WHERE s IS NOT NULL AND ((ty = 'view' AND s % 3 <> 0) OR ty IN ('error', 'purchase'))),
 bad AS (SELECT q FROM x WHERE ty = 'signup' AND u % 4 = 0)"""
 
 REFS = """refs AS (

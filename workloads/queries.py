@@ -789,7 +789,7 @@ def q_extract_table_refs(spark, sf_dir):
 
 @query
 def q_extract_column_refs(spark, sf_dir):
-    return grounding.extract_column_refs(log(spark, sf_dir))
+    return grounding.extract_column_refs(log(spark, sf_dir)).drop("repo_id")
 
 
 @query
@@ -841,7 +841,7 @@ def q_verdicts(spark, sf_dir):
     checks = grounding.check_missing_columns(statements, bound).unionByName(
         grounding.check_tenant_filter(statements, bound)
     )
-    return grounding.verdicts(statements, checks)
+    return grounding.verdicts(statements, checks).drop("repo_id")
 
 
 @query
@@ -851,7 +851,7 @@ def q_unreadable(spark, sf_dir):
 
 @query
 def q_unknown_tables(spark, sf_dir):
-    return grounding.unknown_tables(log(spark, sf_dir), bound_catalog(spark, sf_dir))
+    return grounding.unknown_tables(log(spark, sf_dir), bound_catalog(spark, sf_dir)).drop("repo_id")
 
 
 @query
