@@ -20,6 +20,10 @@ from semcat.plans.lineage import side_hint, sized, stored
 # Fixed values of the ranking formula.
 K1, B, MIN_IDF = 1.2, 0.75, 1e-6
 
+# scores are added up as decimals: the sum does not depend on the order of its parts,
+# so equal docs tie and the least difference decides
+EXACT = "decimal(28,15)"
+
 DOC = ["repo_id", "doc_id"]
 MODES = ("all", "any", "prefix", "phrase")
 
@@ -184,7 +188,7 @@ def _with_every_word(hits: DataFrame, weighted: DataFrame, hint: str) -> DataFra
 def score_bm25(
     index: Index, queries: DataFrame, mode: str = "all", column: str | None = None
 ) -> DataFrame:
-    """Score of every matching doc: ``(repo_id, query_id, doc_id, score)``.
+    """Score of every matching doc: ``(repo_id, query_id, doc_id, score)``, not rounded.
 
     ``mode``: ``all`` words must occur, ``any`` of them, every word as a
     ``prefix``, or all in a row as a ``phrase``. ``column`` looks at one field
@@ -205,9 +209,9 @@ def score_bm25(
             "repo_id",
             "query_id",
             "doc_id",
-            (F.col("idf") * term_score(F.col("tf"), F.col("length"), F.col("avg_length"))).alias(
-                "score"
-            ),
+            (F.col("idf") * term_score(F.col("tf"), F.col("length"), F.col("avg_length")))
+            .cast(EXACT)
+            .alias("score"),
         )
     else:
         wanted = stored(query_terms(queries))
@@ -236,7 +240,7 @@ def score_bm25(
         else:
             met = _with_every_word(hits, weighted, hint)
         scored = met.groupBy("repo_id", "query_id", "doc_id", "n_terms").agg(
-            F.sum(part).alias("score"), F.count("*").alias("n_found")
+            F.sum(part.cast(EXACT)).alias("score"), F.count("*").alias("n_found")
         )
         if mode != "any":
             scored = scored.filter(F.col("n_found") == F.col("n_terms"))
@@ -258,6 +262,11 @@ def top_k(scored: DataFrame, k: int) -> DataFrame:
     return scored.withColumn("rank", F.row_number().over(window)).filter(F.col("rank") <= k)
 
 
+def shown(ranked: DataFrame) -> DataFrame:
+    """Ranked docs with a score to read, of six digits."""
+    return ranked.withColumn("score", F.round(F.col("score").cast("double"), 6))
+
+
 def rank_bm25(
     index: Index,
     queries: DataFrame,
@@ -266,9 +275,7 @@ def rank_bm25(
     column: str | None = None,
 ) -> DataFrame:
     """The ``k`` best docs of each query."""
-    # equal up to rounding is equal: sums over tasks differ in the last digits
-    scored = score_bm25(index, queries, mode, column)
-    return top_k(scored.withColumn("score", F.round("score", 6)), k)
+    return shown(top_k(score_bm25(index, queries, mode, column), k))
 
 
 def match_like(
@@ -326,10 +333,10 @@ def search_tables(
     if domain is not None:
         facts = facts.filter(F.col("domain") == domain)
     index = build_index(tables, ["name", "purpose", "domain"], "name", store)
-    scored = score_bm25(index, queries).withColumn("score", F.round("score", 6))
+    scored = score_bm25(index, queries)
     if domain is not None:
         scored = scored.join(facts.select(*DOC), DOC, "left_semi")
-    ranked = stored(top_k(scored, k).withColumn("found_by", F.lit("rank")))
+    ranked = stored(shown(top_k(scored, k)).withColumn("found_by", F.lit("rank")))
     allowed = tables if domain is None else tables.filter(F.col("domain") == domain)
     fallback = search_like(allowed, ["name", "purpose"], queries, k, "name", ranked).withColumn(
         "found_by", F.lit("substring")

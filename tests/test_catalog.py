@@ -110,6 +110,18 @@ def test_search_modes(spark, docs):
         search.rank_bm25(index, queries(spark, "x"), mode="near")
 
 
+def test_common_words_are_ranked_before_rounding(spark):
+    # in every doc: the weight of the word is the least there is, only the length decides
+    lengths = {1: 9, 2: 3, 3: 7, 4: 5}
+    docs = spark.createDataFrame(
+        [("r", d, " ".join(["common"] + ["x"] * n)) for d, n in lengths.items()],
+        "repo_id string, doc_id int, text string",
+    )
+    asked = spark.createDataFrame([("r", "q", "common")], "repo_id string, query_id string, text string")
+    ranked = search.rank_bm25(search.build_index(docs, ["text"]), asked)
+    assert [r.doc_id for r in sorted(ranked.collect(), key=lambda r: r.rank)] == [2, 4, 3, 1]
+
+
 def test_substring_against_brute_force(spark, docs):
     needles = ["ed", "e", "red", "blue fish", "", "absent", "主", "fish blue", "d f", "%", "a blue s"]
     given = spark.createDataFrame([("r", n) for n in needles], "repo_id string, needle string")

@@ -119,6 +119,8 @@ tf AS (SELECT doc_id, field, term, count(*) AS tf FROM occ GROUP BY ALL)"""
 _IDF = "greatest(ln((nd - n + 0.5) / (n + 0.5)), 1e-6)"
 _PART = "tf * 2.2 / (tf + 1.2 * (0.25 + 0.75 * dl / al))"
 
+_SHOWN = "round(CAST(score AS DOUBLE), 6) AS score"
+
 
 def ranked(query_terms: str, tf: str = "tf", having: str = "", banned: str = "", k: int = 10) -> str:
     """BM25 over (query_id, slot, n_terms) and slot counts."""
@@ -127,12 +129,12 @@ qt AS ({query_terms}),
 hit AS ({tf}),
 df AS (SELECT slot, count(*) AS n FROM hit GROUP BY 1),
 scored AS (
-  SELECT query_id, doc_id, round(sum({_IDF} * {_PART}), 6) AS score
+  SELECT query_id, doc_id, sum(CAST({_IDF} * {_PART} AS DECIMAL(28, 15))) AS score
   FROM qt JOIN hit USING (slot) JOIN df USING (slot) JOIN docs USING (doc_id), corpus
   {banned}
   GROUP BY query_id, doc_id, n_terms {having}),
 r AS (SELECT *, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, doc_id) AS INTEGER) AS rank FROM scored)
-SELECT query_id, doc_id, score, rank FROM r WHERE rank <= {k}"""
+SELECT query_id, doc_id, {_SHOWN}, rank FROM r WHERE rank <= {k}"""
 
 
 def query_words(text: str = "text", source: str = "benchmark") -> str:
@@ -209,7 +211,7 @@ qt AS (
   FROM (SELECT query_id, {words("text")} AS ws FROM qs)),
 df AS (SELECT term, count(*) AS n FROM tf GROUP BY 1),
 scored AS (
-  SELECT query_id, k, round(sum({_IDF} * {_PART}), 6) AS score
+  SELECT query_id, k, sum(CAST({_IDF} * {_PART} AS DECIMAL(28, 15))) AS score
   FROM qt JOIN tf USING (term) JOIN df USING (term) JOIN docs USING (k), corpus
   GROUP BY query_id, k, n_terms HAVING count(*) = n_terms),
 hits AS (SELECT query_id, t, score, tabs.k FROM scored JOIN tabs USING (k) WHERE DOMFILTER),
@@ -413,20 +415,20 @@ ORACLES: dict[str, str] = {
         df AS (SELECT term, count(*) AS n FROM tf GROUP BY 1),
         qt AS (SELECT query_id, unnest(list_distinct(ws)) AS term, len(list_distinct(ws)) AS n_terms FROM
           (SELECT DISTINCT 'name ' || p_name AS query_id, {words("'made ' || p_name")} AS ws FROM part)),
-        scored AS (SELECT query_id, d, round(sum({_IDF} * {_PART}), 6) AS score
+        scored AS (SELECT query_id, d, sum(CAST({_IDF} * {_PART} AS DECIMAL(28, 15))) AS score
           FROM qt JOIN tf USING (term) JOIN df USING (term) JOIN docs USING (d), corpus GROUP BY query_id, d, n_terms HAVING count(*) = n_terms),
         r AS (SELECT *, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, d) AS INTEGER) AS rank FROM scored)
-        SELECT query_id, d AS column_name, score, rank FROM r WHERE rank <= 10""",
+        SELECT query_id, d AS column_name, {_SHOWN}, rank FROM r WHERE rank <= 10""",
     "search_enums": f"""WITH {VALS},
         toks AS (SELECT 'com.shop.dict.Status' || b AS d, ['status' || b, 'com', 'shop', 'dict', 'status' || b] AS ws FROM buckets),
         docs AS (SELECT d, len(ws) AS dl FROM toks), corpus AS (SELECT count(*) AS nd, avg(dl) AS al FROM docs),
         tf AS (SELECT d, term, count(*) AS tf FROM (SELECT d, unnest(ws) AS term FROM toks) GROUP BY 1, 2),
         df AS (SELECT term, count(*) AS n FROM tf GROUP BY 1),
         qt AS (SELECT n_nationkey AS query_id, unnest(['status' || n_nationkey, 'dict']) AS term, 2 AS n_terms FROM nation),
-        scored AS (SELECT query_id, d, round(sum({_IDF} * {_PART}), 6) AS score
+        scored AS (SELECT query_id, d, sum(CAST({_IDF} * {_PART} AS DECIMAL(28, 15))) AS score
           FROM qt JOIN tf USING (term) JOIN df USING (term) JOIN docs USING (d), corpus GROUP BY query_id, d, n_terms HAVING count(*) = n_terms),
         r AS (SELECT *, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, d) AS INTEGER) AS rank FROM scored)
-        SELECT query_id, d AS enum_class, score, rank FROM r WHERE rank <= 10""",
+        SELECT query_id, d AS enum_class, {_SHOWN}, rank FROM r WHERE rank <= 10""",
     "default_repo": f"SELECT max_by(repo_id, (extracted_at, repo_id)) AS repo_id FROM ({REGISTRY})",
     "list_repos": REGISTRY,
     "repo_status": f"SELECT * FROM ({REGISTRY}) WHERE repo_id = 'src7'",
