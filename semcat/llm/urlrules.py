@@ -4,8 +4,10 @@ A rule is a glob over a canonical URL (host in lower case, then path): ``*``
 stands for any characters, ``?`` for one. All rules are packed into one row of
 64-bit words, a bit for each character. Reading a character moves every bit one
 place up (with carry between words) and keeps those whose character fits; bits
-before a ``*`` also stay where they are. The URLs of a batch are read side by
-side, longest first, so each step is a few operations on whole arrays.
+before a ``*`` also stay where they are. A site rule's bits live in one part of
+the URL only: those before its first ``/`` while the host is read, the others in
+the path. The URLs of a batch are read side by side, longest first, so each step
+is a few operations on whole arrays.
 """
 
 from __future__ import annotations
@@ -41,11 +43,15 @@ class Rule:
     verdict: str
     globs: tuple[str, ...]
     rank: int  # of the rules that fit, the greatest decides; then the first
+    site: bool = False  # whether what stands before a glob's first ``/`` is the host, the rest the path
 
 
 def site_rule(name: str, verdict: str) -> Rule:
     """A rule such as ``example.net/en/``: this host and all its subdomains, paths that start so; longer ones win."""
-    return Rule(name, verdict, (f"{name}*", f"*.{name}*"), 1_000_000 + len(name))
+    # without a path, the host may also be all there is
+    ends = ("*",) if "/" in name else ("", "/*")
+    globs = tuple(f"{start}{name}{end}" for start in ("", "*.") for end in ends)
+    return Rule(name, verdict, globs, 1_000_000 + len(name), True)
 
 
 def url_globs(name: str, verdict: str, *globs: str) -> Rule:
@@ -54,22 +60,27 @@ def url_globs(name: str, verdict: str, *globs: str) -> Rule:
 
 
 class Automaton:
-    """Shift-And masks of a list of globs."""
+    """Shift-And masks of a list of globs; those that are of a ``site`` keep host and path apart."""
 
-    def __init__(self, globs: list[str]):
+    def __init__(self, globs: list[str], site: list[bool] | None = None):
         characters, alphabet = [], {}
         starts, self.final, empty = [], [], []
         free_start, stays = [], []
+        hosts, paths = [], []
         n = 0
-        for glob in globs:
-            begin, leading = n, False
+        for glob, apart in zip(globs, site or [False] * len(globs)):
+            begin, leading, place = n, False, hosts
             for c in glob:
+                if c == "/":
+                    place = paths
                 if c == "*":
                     if n == begin:
                         leading = True
                     else:
                         stays.append(n - 1)
                     continue
+                if apart:
+                    place.append(n)
                 characters.append(c)
                 n += 1
             if n == begin:
@@ -87,6 +98,8 @@ class Automaton:
         self.start = self._mask(starts)
         self.free_start = self._mask(free_start)
         self.stays = self._mask(stays)
+        # bits that may be set while the host is read, and while the path is
+        self.parts = ~np.stack((self._mask(paths), self._mask(hosts))) if hosts or paths else None
         for c in characters:
             if c != "?":
                 alphabet.setdefault(c, len(alphabet) + 1)
@@ -115,7 +128,7 @@ class Automaton:
         return np.where(self.codes[at] == codes, self.class_of[at], 0)
 
     def fitting(self, texts: list[str]) -> np.ndarray:
-        """(text, glob): which globs fit which whole text."""
+        """(text, glob): which globs fit which whole text; a text's host ends before its first ``/``."""
         order = sorted(range(len(texts)), key=lambda i: -len(texts[i]))
         read = [self.classes(texts[i]) for i in order]
         length = np.array([len(r) for r in read])
@@ -123,6 +136,7 @@ class Automaton:
         begin = np.concatenate(([0], np.cumsum(length)[:-1])) if len(read) else length
         state = np.zeros((len(texts), self.words), np.uint64)
         active = len(texts)
+        hosts = np.array([len(t.partition("/")[0]) for t in (texts[i] for i in order)], np.int64)
         one = np.uint64(1)
         for step in range(int(length[0]) if len(length) else 0):
             while active and length[active - 1] <= step:
@@ -134,6 +148,8 @@ class Automaton:
             moved &= ~self.start
             moved |= self.start if step == 0 else self.free_start
             state[:active] = (moved & self.fits[flat[begin[:active] + step]]) | (s & self.stays)
+            if self.parts is not None:
+                state[:active] &= self.parts[(hosts[:active] <= step).astype(np.int64)]
         hit = (state[:, self.final_word] >> self.final_bit) & one == one
         without = np.array(self.final, np.int64) < 0
         if without.any():
@@ -152,7 +168,7 @@ def judge(pages: DataFrame, rules: list[Rule], default: str, url_col: str = "url
     replaced, all others are kept.
     """
     globs = [(r, g) for r, rule in enumerate(rules) for g in rule.globs]
-    machine = Automaton([g for _, g in globs])
+    machine = Automaton([g for _, g in globs], [rules[r].site for r, _ in globs])
     shared = pages.sparkSession.sparkContext.broadcast((machine, [r for r, _ in globs]))
     strength = np.array([rule.rank * 1_000_000 - r for r, rule in enumerate(rules)], np.int64)
     names = pa.array([rule.name for rule in rules], pa.string())

@@ -165,6 +165,26 @@ def test_urls(spark):
     assert urlrules.judge(pages, [], "allow").filter("verdict = 'allow' and rule is null").count() == 11
 
 
+def test_site_rules_hold_for_the_host_and_the_start_of_the_path(spark):
+    names = ["net/", "example.net/en/", "org/fr/", "example.com/de/", "example.org"]
+    urls = ["http://u.com/web/http://www.foo.net/x", "https://u.com/a.net/b", "http://u.com/x.example.net/en/", "http://u.com/net/",
+            "http://u.com/a.org/fr/", "http:///a.net/", "http://example.org", "http://example.organic/", "http://a.example.org/x?y", "http://u.com/.example.org"]
+    rng = random.Random(9)
+    part = lambda: rng.choice(["net", "example", "org", "com", "u", "x.example", "en", "fr", "de"])
+    urls += ["http://" + "".join(part() + rng.choice("../") for _ in range(rng.randrange(1, 7))) + rng.choice(["", "/", "?a.net/"]) for _ in range(500)]
+
+    def plain(url):
+        host, path = re.match(r"[^/]*://([^/?#]*)([^?#]*)", url).groups()
+        split = [(n, *re.match(r"([^/]*)(.*)", n).groups()) for n in names]
+        fits = [n for n, h, p in split if (host == h or host.endswith("." + h)) and path.startswith(p)]
+        return max(fits, key=len, default=None)
+
+    pages = spark.createDataFrame(list(enumerate(urls)), "page_id bigint, url string")
+    got = {r.page_id: r.rule for r in urlrules.judge(pages, [urlrules.site_rule(n, "block") for n in names], "allow").collect()}
+    assert [got[i] for i in range(len(urls))] == [plain(u) for u in urls]
+    assert [got[i] for i in range(10)] == [None] * 6 + ["example.org", None, "example.org", None]
+
+
 def test_globs_against_patterns():
     rng = random.Random(3)
     globs = ["".join(rng.choice("ab*?.") for _ in range(rng.randrange(45))) for _ in range(70)]
