@@ -1,16 +1,20 @@
 """License scans by conditional compression.
 
 A block is a run of sentences that speak of licensing. It is compressed alone and
-with each template as a raw zstandard dictionary; the templates that spare the
-most bytes are its candidates. A candidate is confirmed on its wording: the words
-of template and block are aligned, words that are missing or other are counted,
-and the words that name the license (its own name, its version) must all be there.
+with each template as a raw zstandard dictionary, by itself and with what surrounds
+it; the templates that spare bytes are its candidates. A candidate is confirmed on
+its wording: the words of template and text are aligned, words that are missing or
+other are counted, and the words that tell the license from its relatives (its own
+name, its version, a clause's wording) must all be there. What is confirmed is cut
+out, and what is left is looked through again until nothing is confirmed.
 """
 
 from __future__ import annotations
 
+import bisect
 import difflib
 import re
+from collections import Counter
 from dataclasses import dataclass
 
 import pyarrow as pa
@@ -24,12 +28,17 @@ from semcat.llm.rows import with_arrays
 CUES = ("licen", "copyright", "permission", "warrant", "redistribut", "public domain", "spdx")
 _SENTENCE = re.compile(r"[^\n]*?(?:[.!?](?=\s)|\n|$)")
 _WORD = re.compile(r"\w+(?:[.\-]\w+)*")
-# candidates confirmed by wording, by bytes spared
-CANDIDATES = 3
 # share of a template's words that must be found in order
 AGREEMENT = 0.8
 # sentences without a cue that may stand within a block
 GAP = 1
+# a text may be so much longer than its template, in words and characters
+SLACK = 1.5
+SPARE_WORDS = 8
+SPARE_CHARS = 64
+# lines above a license that belong to it
+_TITLE = ("the", "a", "license", "clause", "simplified", "new", "revised", "modified", "expat", "c", "apache", "version", "header")
+_NOTICE = re.compile(r"\W*(?:copyright\b|\(c\)|©|all rights reserved)", re.I)
 
 
 @dataclass(frozen=True)
@@ -66,8 +75,8 @@ def _words(text: str) -> list[str]:
     return _WORD.findall(text.lower())
 
 
-def blocks(text: str) -> list[tuple[int, int]]:
-    """(start, end) of the runs of sentences that speak of licensing."""
+def blocks(text: str, taken: list[tuple[int, int]] = []) -> list[tuple[int, int]]:
+    """(start, end) of the runs of sentences that speak of licensing; those that overlap ``taken`` (sorted) end a run."""
     found: list[list[int]] = []
     if not any(cue in text.lower() for cue in CUES):
         return []
@@ -75,6 +84,10 @@ def blocks(text: str) -> list[tuple[int, int]]:
     for m in _SENTENCE.finditer(text):
         if m.start() == m.end():
             continue
+        at = bisect.bisect_right(taken, m.start(), key=lambda x: x[1])
+        if at < len(taken) and taken[at][0] < m.end():
+            since = GAP + 1
+            continue
         sentence = m.group().lower()
         if any(cue in sentence for cue in CUES):
             if found and since <= GAP:
@@ -105,43 +118,120 @@ class Scanner:
             for t in templates
         ]
         self.words = [_words(t.text) for t in templates]
+        self.counts = [Counter(w) for w in self.words]
+        # a license's text may go so far beyond a sentence that speaks of licensing
+        cue = re.compile("|".join(map(re.escape, CUES)))
+        apart = []
+        for t in templates:
+            at = [0, *(m.start() for m in cue.finditer(t.text.lower())), len(t.text)]
+            apart += [y - x for x, y in zip(at, at[1:])]
+        self.reach = int(SLACK * max(apart, default=0)) + SPARE_CHARS
 
-    def ranked(self, block: str) -> list[int]:
-        """Templates by the bytes they spare, the most first; those that spare none are left out."""
-        data = block.lower().encode("utf-8", "replace")
+    def spared(self, data: str) -> set[int]:
+        """The templates that spare bytes."""
+        data = data.lower().encode("utf-8", "replace")
         alone = len(self.alone.compress(data))
-        spared = [(alone - len(c.compress(data)), -i) for i, c in enumerate(self.given)]
-        return [-i for s, i in sorted(spared, reverse=True) if s > 0]
-
-    def confirmed(self, block: str, number: int) -> tuple[int, int] | None:
-        """(missing, other) words of the block against a template; None if it is not this license."""
-        wanted, there = self.words[number], _words(block)
-        if not set(self.templates[number].names) <= set(there):
-            return None
-        same = difflib.SequenceMatcher(None, wanted, there, autojunk=False).get_matching_blocks()
-        agreed = sum(m.size for m in same)
-        if agreed < AGREEMENT * len(wanted):
-            return None
-        inner = [m for m in same if m.size]
-        other = inner[-1].b + inner[-1].size - inner[0].b - agreed
-        return len(wanted) - agreed, other
+        return {i for i, c in enumerate(self.given) if len(c.compress(data)) < alone}
+
+    def stretches(self, text: str, found: list[tuple[int, int]]) -> list[tuple[int, int, list[tuple[int, int]]]]:
+        """(start, end, blocks): blocks with what surrounds them, joined where they are in reach."""
+        out: list[tuple[int, int, list]] = []
+        for a, b in found:
+            low, high = max(0, a - self.reach), min(len(text), b + self.reach)
+            if out and low < out[-1][1]:
+                out[-1] = (out[-1][0], high, [*out[-1][2], (a, b)])
+            else:
+                out.append((low, high, [(a, b)]))
+        return out
+
+    def confirmed(self, there: list[str], number: int) -> list[tuple[int, int, int, int, int]]:
+        """(worth, start, end, missing, other) of the places in ``there`` that hold a template's wording."""
+        wanted, names = self.words[number], set(self.templates[number].names)
+        n, out = len(wanted), {}
+        if not n:
+            return []
+        if names:
+            counts = Counter(w for w in there if w in names)
+            if len(counts) < len(names):
+                return []
+            # every place holds this word
+            rare = min(sorted(names), key=counts.__getitem__)
+            own = [q for q, w in enumerate(wanted) if w == rare] or [0, n]
+            reach = [int(SLACK * max(own)) + SPARE_WORDS, int(SLACK * (n - min(own))) + SPARE_WORDS]
+            windows = [(max(0, p - reach[0]), p + reach[1]) for p, w in enumerate(there) if w == rare]
+        else:
+            windows = [(0, len(there))]
+        for low, high in windows:
+            part = there[low:high]
+            if (self.counts[number] & Counter(part)).total() < AGREEMENT * n:
+                continue
+            same = [m for m in difflib.SequenceMatcher(None, wanted, part, autojunk=False).get_matching_blocks() if m.size]
+            # words far off at either end are others' words
+            while len(same) > 1 and same[1].b - same[0].b - same[0].size > same[0].size:
+                del same[0]
+            while len(same) > 1 and same[-1].b - same[-2].b - same[-2].size > same[-1].size:
+                del same[-1]
+            agreed = sum(m.size for m in same)
+            if agreed < AGREEMENT * n:
+                continue
+            start, end = same[0].b, same[-1].b + same[-1].size
+            if names <= set(part[start:end]):
+                missing, other = n - agreed, end - start - agreed
+                out[low + start, low + end] = (agreed - missing - other, low + start, low + end, missing, other)
+        return list(out.values())
+
+    def within(self, text: str, a: int, b: int, inner: list[tuple[int, int]]) -> list[tuple[int, int, int, int, int]]:
+        """(start, end, template, missing, other) of all licenses in a stretch, until nothing is confirmed in what is left."""
+        found, left = [], [(a, b)]
+        while left:
+            a, b = left.pop()
+            words = [(m.group(), a + m.start(), a + m.end()) for m in _WORD.finditer(text[a:b].lower())]
+            there = [w for w, _, _ in words]
+            likely = self.spared(text[a:b])
+            # in a long stretch a short notice hardly shows
+            for x, y in inner:
+                if a < y and x < b:
+                    likely |= self.spared(text[max(a, x) : min(b, y)])
+            sure = [(-worth, number, *rest) for number in sorted(likely) for worth, *rest in self.confirmed(there, number)]
+            taken: list[tuple[int, int]] = []
+            for _, number, start, end, missing, other in sorted(sure):
+                at = bisect.bisect_right(taken, start, key=lambda x: x[1])
+                if at == len(taken) or taken[at][0] >= end:
+                    taken.insert(at, (start, end))
+                    found.append((words[start][1], words[end - 1][2], number, missing, other))
+            if taken:
+                ends = [a, *(p for x, y in taken for p in (words[x][1], words[y - 1][2])), b]
+                left += [(x, y) for x, y in zip(ends[::2], ends[1::2]) if x < y]
+        return found
+
+    def begun(self, text: str, start: int, number: int) -> int:
+        """Where the lines above a license begin that are blank, its title or a copyright notice."""
+        title = {*_words(self.templates[number].name), *_words(self.templates[number].name.replace("-", " ")), *_TITLE}
+        line = text.rfind("\n", 0, start) + 1
+        if _WORD.search(text, line, start):
+            return start
+        first = start
+        while line:
+            above = text.rfind("\n", 0, line - 1) + 1
+            words = _words(text[above : line - 1])
+            if words and not set(words) <= title and not _NOTICE.match(text, above, line - 1):
+                break
+            first, line = (above if words else first), above
+        return first
 
     def scan(self, text: str) -> list[dict]:
-        found = []
-        for a, b in blocks(text):
-            sure = []
-            for place, number in enumerate(self.ranked(text[a:b])[:CANDIDATES]):
-                differs = self.confirmed(text[a:b], number)
-                if differs:
-                    sure.append((sum(differs), place, number, *differs))
-            if sure:
-                _, _, number, missing, other = min(sure)
+        found, taken = [], []
+        for a, b, inner in self.stretches(text, blocks(text)):
+            for start, end, number, missing, other in sorted(self.within(text, a, b, inner)):
+                start = max(self.begun(text, start, number), taken[-1][1] if taken else 0)
+                taken.append((start, end))
                 found.append(
-                    {"license": self.templates[number].name, "start": a, "end": b, "missing": missing, "other": other}
+                    {"license": self.templates[number].name, "start": start, "end": end, "missing": missing, "other": other}
                 )
-            else:
-                found.append({"license": None, "start": a, "end": b, "missing": None, "other": None})
-        return found
+        found += [
+            {"license": None, "start": a, "end": b, "missing": None, "other": None} for a, b in blocks(text, taken)
+        ]
+        return sorted(found, key=lambda x: x["start"])
 
 
 def _padded(text: str) -> bytes:
@@ -160,10 +250,11 @@ FOUND = T.ArrayType(
 
 
 def scan(docs: DataFrame, text_col: str = "text", templates: tuple[Template, ...] = TEMPLATES) -> DataFrame:
-    """``docs`` with ``licenses``: one entry per block that speaks of licensing, in the text's order.
+    """``docs`` with ``licenses``: one entry per license confirmed or block without one, in the text's order.
 
-    An entry has the license (null if no template is confirmed), the block's
-    place in characters, and how many words are missing or other. Null and empty
+    An entry has the license (null for sentences that speak of licensing but are
+    part of no confirmed one), its place in characters (with its title and copyright
+    lines), and how many words are missing or other. Null and empty
     texts have no block. A column of that name is replaced, all others are kept.
     """
     made: list[Scanner] = []

@@ -204,6 +204,22 @@ def test_licenses(docs):
     assert licenses.scan(docs([])).count() == 0
 
 
+def test_several_licenses_in_one_block():
+    scanner = licenses.Scanner(licenses.TEMPLATES)
+    named = lambda text: [x["license"] for x in scanner.scan(text)]
+    assert named("Released under the MIT License. Licensed under the Apache License, Version 2.0.") == ["MIT", "Apache-2.0"]
+    assert named("Released under the MIT License or licensed under CC BY 4.0, as you like.") == ["MIT", "CC-BY-4.0"]
+    notices = [t for t in licenses.TEMPLATES if len(t.text) < 90]
+    for sep in ("\n", " ", "\n\n"):
+        for some in (notices, notices[::-1], notices * 20):
+            got = scanner.scan(sep.join(t.text for t in some))
+            assert [(x["license"], x["missing"], x["other"]) for x in got] == [(t.name, 0, 0) for t in some]
+    assert named("Released under the MIT License. Licensed under terms of our own.") == ["MIT", None]
+    text = "x. " * 50 + "Released under the MIT License. " + "y. " * 900 + "All of this is copyright of nobody."
+    assert [(x["license"], text[x["start"] : x["end"]]) for x in scanner.scan(text)] == [
+        ("MIT", "Released under the MIT License"), (None, " All of this is copyright of nobody.")]
+
+
 def test_quotations(spark):
     rows = [
         (1, 0, "user", "First thing.\nSecond line"), (1, 1, "assistant", "> first THING.\n> second   line\nanswer one"),
