@@ -220,6 +220,23 @@ def test_several_licenses_in_one_block():
         ("MIT", "Released under the MIT License"), (None, " All of this is copyright of nobody.")]
 
 
+def test_license_bodies():
+    scanner = licenses.Scanner(licenses.TEMPLATES)
+    named = lambda text: [x["license"] for x in scanner.scan(text)]
+    wrap = lambda text, n=9: "\n".join(" ".join(text.split()[i : i + n]) for i in range(0, len(text.split()), n))
+    for t in licenses.BODIES:
+        for n in (9, 10**6):
+            got = scanner.scan(f"Some words before.\n\n{wrap(t.text, n)}\n\nAnd words behind.")
+            assert [(x["license"], x["missing"], x["other"]) for x in got] == [(t.name, 0, 0)]
+        # small changes of wording
+        words = t.text.split()
+        free = [i for i, w in enumerate(words) if i % 17 == 5 and not set(licenses._words(w)) & set(t.names)]
+        changed = " ".join("thing" if i in free else w for i, w in enumerate(words))
+        assert named("\n# ".join(wrap(changed).split("\n"))) == [t.name]
+    mit = next(t.text for t in licenses.BODIES if t.name == "MIT")
+    assert named("MIT License\n\nCopyright (c) 2020 A. Person\n\n" + wrap(mit)) == ["MIT"]
+
+
 def test_quotations(spark):
     rows = [
         (1, 0, "user", "First thing.\nSecond line"), (1, 1, "assistant", "> first THING.\n> second   line\nanswer one"),
