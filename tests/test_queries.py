@@ -52,6 +52,11 @@ def test_query(spark, duck, name):
     assert sorted(tuple(str(r[n]) for n in names) for r in df.collect()) == expected
 
 
+@pytest.mark.parametrize("name", ["drift_check_whole", "table_detail_whole"])
+def test_whole_inputs(spark, duck, name):
+    test_query(spark, duck, name)
+
+
 def test_entry(spark):
     assert entry.entry(spark).count() == 5
 

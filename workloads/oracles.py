@@ -441,6 +441,15 @@ ORACLES: dict[str, str] = {
           CASE WHEN p.s % 6 < 2 THEN 'human_curated' ELSE 'auto_only' END AS coverage
         FROM parts p JOIN lists USING (k) LEFT JOIN rels ON from_table = t WHERE p.k % 3 = 0
         UNION ALL SELECT 'absent_' || s_suppkey, 'table absent_' || s_suppkey || ' not found', '', '', '', '', '', '', '' FROM supplier""",
+    "table_detail_whole": f"""WITH {COLS}, {VALS}, {_RELS},
+        lists AS (SELECT k, string_agg(name, ',' ORDER BY ordinal) AS names FROM main_cols GROUP BY 1)
+        SELECT t AS table_name, '' AS error, {PURPOSE} AS purpose, names AS column_names,
+          'status:com.shop.dict.Status' || (p.k // 40) AS bindings, coalesce(to_table, '') AS points_at,
+          CASE WHEN p.s % 6 < 2 AND p.s % 2 = 0 THEN 'note on ' || p_name ELSE '' END AS traps,
+          CASE WHEN p.s % 6 < 2 AND p.s % 2 = 1 THEN 'note on ' || p_name ELSE '' END AS templates,
+          CASE WHEN p.s % 6 < 2 THEN 'human_curated' ELSE 'auto_only' END AS coverage
+        FROM parts p JOIN lists USING (k) LEFT JOIN rels ON from_table = t
+        UNION ALL SELECT 'absent_' || s_suppkey, 'table absent_' || s_suppkey || ' not found', '', '', '', '', '', '', '' FROM supplier""",
     "enum_candidates": f"""WITH {FILES}, {VALS}, top AS (
           SELECT 'com.shop.dict.Status' || b AS cls, row_number() OVER (ORDER BY 'com.shop.dict.Status' || b) AS r FROM buckets)
         SELECT DISTINCT t AS table_name, 'status' AS name, top.cls AS enum_class, CAST(r AS INTEGER) AS rank, 'low' AS confidence
@@ -521,6 +530,14 @@ ORACLES: dict[str, str] = {
         UNION ALL SELECT t, 'last_ship_date', 'type_changed' FROM odd WHERE s % 9 = 0
         UNION ALL SELECT c.t, c.name, 'removed' FROM main_cols c JOIN odd USING (k)
           WHERE c.pos BETWEEN 105 AND 108""",
+    "drift_check_whole": f"""WITH {COLS}
+        SELECT t AS table_name, 'extra' AS name, 'added' AS change FROM parts WHERE k % 5 <> 0
+        UNION ALL SELECT t, 'last_ship_date', 'type_changed' FROM parts WHERE s % 9 = 0
+        UNION ALL SELECT t, 'shipper', 'type_changed' FROM parts WHERE s % 9 = 0
+        UNION ALL SELECT t, 'brand_name', 'type_changed' FROM parts WHERE k % 7 = 0
+        UNION ALL SELECT t, 'aggregator', 'type_changed' FROM parts WHERE s % 6 = 0
+        UNION ALL SELECT c.t, c.name, 'removed' FROM main_cols c JOIN parts USING (k)
+          WHERE (c.pos IN (2, 3) AND k % 4 = 1) OR (c.pos = 102 AND k % 3 = 0) OR (c.pos = 105 AND s % 14 = 0)""",
     "repo_diff": f"""WITH {FORKED}
         SELECT 'tables' AS catalog_table, t AS item, 'only_left' AS change FROM parts WHERE k % 11 = 0
         UNION ALL SELECT 'columns', t || '.' || name, 'only_left' FROM main_cols WHERE k % 11 = 0

@@ -7,7 +7,7 @@ import functools
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from semcat.config import DEFAULTS
+from semcat.config import BASE_ENTITY_COLUMNS, DEFAULTS
 from semcat.functions.rows import exploded
 from semcat.functions.text import camel_to_snake, decode_escapes, normalize_type, parse_int_list, tokenize
 from semcat.operators import compare, entities, enums, grounding, lookup, routing, search, semantics
@@ -659,7 +659,10 @@ def q_table_detail(spark, sf_dir):
         F.lit(C.REPO).alias("repo_id"),
         F.concat(F.lit("absent_"), F.col("s_suppkey").cast("string")).alias("table_name"),
     )
-    found = lookup.table_detail(bound_catalog(spark, sf_dir), asked.unionByName(absent))
+    return _shown_detail(lookup.table_detail(bound_catalog(spark, sf_dir), asked.unionByName(absent)))
+
+
+def _shown_detail(found: DataFrame) -> DataFrame:
     return found.select(
         "table_name",
         F.coalesce("error", F.lit("")).alias("error"),
@@ -675,6 +678,18 @@ def q_table_detail(spark, sf_dir):
     )
 
 
+@query
+def q_table_detail_whole(spark, sf_dir):
+    """Every table of the catalog, none asked for by name, and requests for tables that do not exist."""
+    known = bound_catalog(spark, sf_dir)
+    absent = C.load(spark, sf_dir, "supplier").select(
+        F.lit(C.REPO).alias("repo_id"),
+        F.concat(F.lit("absent_"), F.col("s_suppkey").cast("string")).alias("table_name"),
+    )
+    found = lookup.table_detail(known).unionByName(lookup.table_detail(known, absent))
+    return _shown_detail(found)
+
+
 @query
 def q_enum_candidates(spark, sf_dir):
     files = part_files(spark, sf_dir)
@@ -909,6 +924,48 @@ def q_drift_check(spark, sf_dir):
     return compare.drift_check(odd, actual).select("table_name", "name", "change")
 
 
+@query
+def q_drift_check_whole(spark, sf_dir):
+    """All mined columns against a schema of all tables that lacks, adds and retypes some columns."""
+    columns = two_repo_catalog(spark, sf_dir)["columns"].filter(F.col("repo_id") == C.REPO)
+    key, size = F.col("p_partkey"), F.col("p_size")
+    real = {"Long": "bigint", "Integer": "int", "String": "varchar(64)", "Date": "date"}
+    even = size % 2 == 0
+
+    def column(there: Column, name: str | Column, data_type: str | Column) -> Column:
+        name, data_type = (F.lit(x) if isinstance(x, str) else x for x in (name, data_type))
+        return F.when(there, F.struct(name.alias("name"), data_type.alias("data_type")))
+
+    of_base = [
+        column(
+            # the second and third are lacking in some
+            even & ~(size % 10 == 0) if name == "operation" else even & (key % 4 != 1) if i in (1, 2) else even,
+            name,
+            F.when(size % 6 == 0, "string").otherwise("int") if name == "aggregator" else real[kind],
+        )
+        for i, (name, _, kind, _, _) in enumerate(BASE_ENTITY_COLUMNS)
+    ]
+    own = [
+        column(F.lit(True), "part_key", "bigint"),
+        column(key % 3 != 0, "status", "smallint"),
+        column(F.lit(True), "brand_name", F.when(key % 7 == 0, "int").otherwise("varchar(30)")),
+        column(F.lit(True), "retail_price", "decimal(12,2)"),
+        column((size % 7 == 0) & (size % 14 != 0), "deleted", "int"),
+        column(size % 3 == 0, "shipper", F.when(size % 9 == 0, "bigint").otherwise("int")),
+        column(size % 10 == 0, "operation", "string"),
+        column(key > 0, F.concat(F.lit("part_"), (key - 1).cast("string"), F.lit("_id")), "bigint"),
+        column(F.lit(True), "made_of", "array<string>"),
+        column(F.lit(True), "last_ship_date", F.when(size % 9 == 0, "string").otherwise("date")),
+        column(key % 5 != 0, "extra", "int"),
+    ]
+    actual = C.load(spark, sf_dir, "part").select(
+        F.lit(C.REPO).alias("repo_id"),
+        C.table_of(key).alias("table_name"),
+        F.explode(F.array_compact(F.array(*of_base, *own))).alias("c"),
+    ).select("repo_id", "table_name", "c.*")
+    return compare.drift_check(columns, actual).select("table_name", "name", "change")
+
+
 @query
 def q_repo_diff(spark, sf_dir):
     return compare.repo_diff(two_repo_catalog(spark, sf_dir), C.REPO, C.FORK)
