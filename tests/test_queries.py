@@ -52,7 +52,9 @@ def test_query(spark, duck, name):
     assert sorted(tuple(str(r[n]) for n in names) for r in df.collect()) == expected
 
 
-@pytest.mark.parametrize("name", ["drift_check_whole", "table_detail_whole"])
+@pytest.mark.parametrize("name", [
+    "drift_check_whole", "table_detail_whole", "search_like_whole", "rank_bm25_column_text", "rank_bm25_column_lang",
+])
 def test_whole_inputs(spark, duck, name):
     test_query(spark, duck, name)
 

@@ -401,6 +401,15 @@ ORACLES: dict[str, str] = {
         query_words("'en de'"),
         "SELECT doc_id, term AS slot, sum(tf) AS tf FROM tf WHERE field = 'lang' AND term IN (SELECT slot FROM qt) GROUP BY 1, 2",
     ),
+    **{
+        f"rank_bm25_column_{field}": ranked(
+            query_words(),
+            f"SELECT doc_id, term AS slot, sum(tf) AS tf FROM tf WHERE field = '{field}' AND term IN (SELECT slot FROM qt) GROUP BY 1, 2",
+        )
+        for field in ("text", "lang")
+    },
+    "search_like_whole": """SELECT item_id AS query_id, doc_id FROM benchmark b, documents d
+        WHERE contains(lower(d.text), lower(b.text))""",
     "search_like": """SELECT item_id AS query_id, doc_id FROM benchmark b, documents d
         WHERE contains(lower(d.text), lower(right(b.text, 24)))""",
     "search_tables": f"""WITH {NAMES.replace("DOMFILTER", "true")} SELECT query_id, t AS table_name, CAST(r AS INTEGER) AS rank, found_by,

@@ -560,6 +560,31 @@ def q_rank_bm25_column(spark, sf_dir):
     return found.select(*RANKED)
 
 
+@query
+def q_rank_bm25_column_text(spark, sf_dir):
+    """Words of a benchmark text looked up in the text field only."""
+    found = search.rank_bm25(
+        _docs_index(spark, sf_dir), _benchmark(spark, sf_dir), mode="any", column="text"
+    )
+    return found.select(*RANKED)
+
+
+@query
+def q_rank_bm25_column_lang(spark, sf_dir):
+    """Words of a benchmark text looked up in the language field only."""
+    found = search.rank_bm25(
+        _docs_index(spark, sf_dir), _benchmark(spark, sf_dir), mode="any", column="lang"
+    )
+    return found.select(*RANKED)
+
+
+@query
+def q_search_like_whole(spark, sf_dir):
+    """Docs that hold a whole benchmark text as a plain string."""
+    docs = C.search_docs(C.load(spark, sf_dir, "documents"))
+    return search.match_like(docs, ["text"], _benchmark(spark, sf_dir)).select("query_id", "doc_id")
+
+
 @query
 def q_search_like(spark, sf_dir):
     """Docs that hold the end of a benchmark text, upper case, as a plain string."""
