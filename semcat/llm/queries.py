@@ -5,7 +5,21 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from semcat.llm import chosenpath, factorisation, langid, licenses, packing, quoting, recurrent, thresholds, urlrules, winnowing
+from semcat.llm import (
+    chosenpath,
+    factorisation,
+    hardneg,
+    infilling,
+    langid,
+    licenses,
+    linedup,
+    packing,
+    quoting,
+    recurrent,
+    thresholds,
+    urlrules,
+    winnowing,
+)
 from semcat.llm.rows import fold
 
 
@@ -108,6 +122,38 @@ def op9_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame
     )
 
 
+def op11_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = table(spark, sf_dir, "embeddings")
+    label = F.col("label").cast("bigint")
+    moved = F.when(F.col("vec_id") % 7 == 0, (label + 1) % 10).otherwise(label)
+    return hardneg.mine(rows.withColumn("label", moved), F.col("vec_id") % 50 == 0)
+
+
+def op12_fill_in_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = infilling.transform(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return found.select(
+        "doc_id",
+        "fim.n",
+        "fim.form",
+        "fim.prefix_chars",
+        "fim.middle_chars",
+        F.sha2(F.col("fim.text"), 256).alias("output_sha256"),
+        F.sha2(infilling.restored(F.col("fim.form"), F.col("fim.text")), 256).alias("restored_sha256"),
+    )
+
+
+def op13_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    store = linedup.insert(linedup.empty(spark, min_docs=10), docs)
+    found = linedup.keep(store, docs.select("doc_id", "text"), known=True)
+    return found.select(
+        "doc_id",
+        "line_dedup.n_lines",
+        "line_dedup.n_dropped",
+        F.sha2(F.col("line_dedup.text"), 256).alias("kept_sha256"),
+    )
+
+
 QUERIES = {
     "op1_best_fit_packing": op1_best_fit_packing,
     "op2_lm_scoring": op2_lm_scoring,
@@ -119,4 +165,7 @@ QUERIES = {
     "op8_chat_formatting": op8_chat_formatting,
     "op9_benchmark_decontamination": op9_benchmark_decontamination,
     "op10_ngram_jaccard_join": op10_ngram_jaccard_join,
+    "op11_hard_negatives": op11_hard_negatives,
+    "op12_fill_in_middle": op12_fill_in_middle,
+    "op13_line_dedup": op13_line_dedup,
 }
