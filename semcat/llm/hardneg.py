@@ -92,7 +92,7 @@ def hilbert(cells: np.ndarray, bits: int) -> np.ndarray:
 
 def _matrix(column: pa.Array, dim: int) -> np.ndarray:
     """The vectors of a slice, all of ``dim`` components."""
-    return column.flatten().to_numpy().reshape(-1, dim)
+    return column.flatten().to_numpy().reshape(len(column), dim)
 
 
 def _by_dim(batch: pa.RecordBatch) -> Iterator[tuple[np.ndarray, np.ndarray]]:
@@ -100,7 +100,7 @@ def _by_dim(batch: pa.RecordBatch) -> Iterator[tuple[np.ndarray, np.ndarray]]:
     dims = batch.column("dim").to_numpy()
     for dim in np.unique(dims).tolist():
         rows = np.flatnonzero(dims == dim)
-        yield rows, _matrix(batch.column("q").take(pa.array(rows)), dim).reshape(len(rows), dim)
+        yield rows, _matrix(batch.column("q").take(pa.array(rows)), dim)
 
 
 def _spreads(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -148,51 +148,55 @@ def _curve(axes: list[tuple[int, float, float]]) -> Callable:
 BLOCKS = "part bigint, block bigint, label string, dim int, lo array<int>, hi array<int>, largest double, ids binary, vectors binary"
 
 
-def _blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _blocks(block_rows: int) -> Callable:
     """Ordered rows as blocks, each of one label and one number of components."""
-    number = TaskContext.get().partitionId() << 32
-    held: list[tuple[np.ndarray, np.ndarray]] = []
-    kind: tuple[str, int] | None = None
-
-    def block() -> pa.RecordBatch:
-        nonlocal number, held
-        ids, q = (np.concatenate(x) for x in zip(*held))
-        row = {
-            "part": number // PART_BLOCKS,
-            "block": number,
-            "label": kind[0],
-            "dim": kind[1],
-            "lo": q.min(axis=0).tolist(),
-            "hi": q.max(axis=0).tolist(),
-            "largest": float((q.astype(np.float64) ** 2).sum(axis=1).max()),
-            "ids": ids.astype("<i8").tobytes(),
-            "vectors": q.astype("<i4").tobytes(),
-        }
-        number, held = number + 1, []
-        kinds = [pa.int64(), pa.int64(), pa.string(), pa.int32(), pa.list_(pa.int32()), pa.list_(pa.int32())]
-        kinds += [pa.float64(), pa.binary(), pa.binary()]
-        return pa.RecordBatch.from_arrays([pa.array([v], t) for v, t in zip(row.values(), kinds)], names=list(row))
 
-    for batch in batches:
-        labels, dims = batch.column("label").to_pylist(), batch.column("dim").to_pylist()
-        ids = batch.column("id").to_numpy()
-        row = 0
-        while row < batch.num_rows:
-            own = (labels[row], dims[row])
-            if held and own != kind:
-                yield block()
-            kind = own
-            room = max(1, min(BLOCK_ROWS, BLOCK_BYTES // (4 * max(own[1], 1)))) - sum(len(x) for x, _ in held)
-            end = row
-            while end < batch.num_rows and end - row < room and (labels[end], dims[end]) == own:
-                end += 1
-            q = batch.column("q").slice(row, end - row)
-            held.append((ids[row:end], _matrix(q, own[1]).reshape(end - row, own[1])))
-            if end - row == room:
-                yield block()
-            row = end
-    if held:
-        yield block()
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        number = TaskContext.get().partitionId() << 32
+        held: list[tuple[np.ndarray, np.ndarray]] = []
+        kind: tuple[str, int] | None = None
+
+        def block() -> pa.RecordBatch:
+            nonlocal number, held
+            ids, q = (np.concatenate(x) for x in zip(*held))
+            row = {
+                "part": number // PART_BLOCKS,
+                "block": number,
+                "label": kind[0],
+                "dim": kind[1],
+                "lo": q.min(axis=0).tolist(),
+                "hi": q.max(axis=0).tolist(),
+                "largest": float((q.astype(np.float64) ** 2).sum(axis=1).max()),
+                "ids": ids.astype("<i8").tobytes(),
+                "vectors": q.astype("<i4").tobytes(),
+            }
+            number, held = number + 1, []
+            kinds = [pa.int64(), pa.int64(), pa.string(), pa.int32(), pa.list_(pa.int32()), pa.list_(pa.int32())]
+            kinds += [pa.float64(), pa.binary(), pa.binary()]
+            return pa.RecordBatch.from_arrays([pa.array([v], t) for v, t in zip(row.values(), kinds)], names=list(row))
+
+        for batch in batches:
+            labels, dims = batch.column("label").to_pylist(), batch.column("dim").to_pylist()
+            ids = batch.column("id").to_numpy()
+            row = 0
+            while row < batch.num_rows:
+                own = (labels[row], dims[row])
+                if held and own != kind:
+                    yield block()
+                kind = own
+                room = max(1, min(block_rows, BLOCK_BYTES // (4 * max(own[1], 1)))) - sum(len(x) for x, _ in held)
+                end = row
+                while end < batch.num_rows and end - row < room and (labels[end], dims[end]) == own:
+                    end += 1
+                q = batch.column("q").slice(row, end - row)
+                held.append((ids[row:end], _matrix(q, own[1])))
+                if end - row == room:
+                    yield block()
+                row = end
+        if held:
+            yield block()
+
+    return run
 
 
 @dataclass(frozen=True)
@@ -216,7 +220,7 @@ def _rows(rows: DataFrame, id_col: str, vector_col: str, label_col: str, anchor:
     )
 
 
-def build(rows: DataFrame) -> Blocks:
+def build(rows: DataFrame, block_rows: int = BLOCK_ROWS) -> Blocks:
     """The block table and its zone map; ``rows`` has ``id, label, dim, q, place``."""
     spark = rows.sparkSession
     size = rows.agg(F.sum(F.lit(4).cast("bigint") * F.col("dim") + 8)).first()[0] or 0
@@ -224,7 +228,7 @@ def build(rows: DataFrame) -> Blocks:
     keys = ["dim", "label", "place", "id"]
     ordered = rows.repartitionByRange(int(tasks), *keys).sortWithinPartitions(*keys)
     folder = shared_folder(spark)
-    made = ordered.select("id", "label", "dim", "q").mapInArrow(_blocks, BLOCKS)
+    made = ordered.select("id", "label", "dim", "q").mapInArrow(_blocks(block_rows), BLOCKS)
     made.write.partitionBy("part").parquet(folder)
     blocks = spark.read.schema(made.schema).parquet(folder)
     return Blocks(blocks, stored(blocks.drop("ids", "vectors")))
@@ -247,7 +251,7 @@ class Anchors:
     ceiling: np.ndarray
 
     def wanted(self, zones: list[tuple[str, int, np.ndarray, np.ndarray]], best: bool = False) -> list:
-        """For each zone: the anchors that must read its block, with the upper bounds if ``best``."""
+        """For each zone: the anchors that must read its block, and if ``best``, how promising it is for them."""
         out = []
         for label, dim, lo, hi in zones:
             rows = self.rows.get(dim, np.zeros(0, np.int64))
@@ -265,6 +269,10 @@ class Anchors:
             floor, ceiling = self.floor[rows], self.ceiling[rows]
             fits = (upper[:, None] + slack >= floor) & (lower[:, None] - slack <= ceiling) & (floor <= ceiling)
             fits = fits.any(axis=1)
+            if best and not self.same:
+                # what lies about the top of the windows, as higher scores are not allowed
+                top = np.where(floor <= ceiling, ceiling, _NONE).max(axis=1)
+                upper = -np.abs(top - (upper + lower) / 2)
             out.append((rows[fits], upper[fits]) if best else rows[fits])
         return out
 
@@ -297,7 +305,7 @@ def _needed(shared) -> Callable:
 
 
 def _promising(shared, k: int) -> Callable:
-    """Of a task's blocks, the ``k`` of greatest upper bound for each anchor."""
+    """Of a task's blocks, the ``k`` most promising ones for each anchor."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         anchors = shared.value.prepared()
@@ -305,16 +313,16 @@ def _promising(shared, k: int) -> Callable:
         part, block = np.full(top.shape, -1, np.int64), np.full(top.shape, -1, np.int64)
         for batch in batches:
             names = zip(batch.column("part").to_pylist(), batch.column("block").to_pylist())
-            for (p, b), (rows, upper) in zip(names, anchors.wanted(_zones(batch), best=True)):
+            for (p, b), (rows, promise) in zip(names, anchors.wanted(_zones(batch), best=True)):
                 last = top[rows].argmin(axis=1)
-                better = upper > top[rows, last]
+                better = promise > top[rows, last]
                 at = rows[better], last[better]
-                top[at], part[at], block[at] = upper[better], p, b
+                top[at], part[at], block[at] = promise[better], p, b
         some = block.ravel() >= 0
         slot = np.repeat(np.arange(len(top)), k)[some]
         yield pa.RecordBatch.from_arrays(
             [pa.array(slot), pa.array(part.ravel()[some]), pa.array(block.ravel()[some]), pa.array(top.ravel()[some])],
-            names=["slot", "part", "block", "upper"],
+            names=["slot", "part", "block", "promise"],
         )
 
     return run
@@ -430,8 +438,8 @@ def _search(table: Blocks, anchors: Anchors, k: int, seeds: int) -> DataFrame:
     score = [F.col("score").desc(), F.col("id")]
     shared = context.broadcast(anchors)
     zones = table.zones
-    guess = zones.mapInArrow(_promising(shared, seeds), "slot bigint, part bigint, block bigint, upper double")
-    pairs = _top(guess, seeds, F.col("upper").desc(), F.col("block")).select("slot", "part", "block").toArrow()
+    guess = zones.mapInArrow(_promising(shared, seeds), "slot bigint, part bigint, block bigint, promise double")
+    pairs = _top(guess, seeds, F.col("promise").desc(), F.col("block")).select("slot", "part", "block").toArrow()
     readers: dict[int, list[int]] = {}
     for slot, block in zip(pairs.column("slot").to_pylist(), pairs.column("block").to_pylist()):
         readers.setdefault(block, []).append(slot)
@@ -454,7 +462,7 @@ def _batch(rows: pa.Table, same: bool, floor: np.ndarray, ceiling: np.ndarray) -
     dims = rows.column("dim").to_numpy()
     held = {d: np.flatnonzero(dims == d) for d in np.unique(dims).tolist()}
     q = rows.column("q").combine_chunks()
-    vectors = {d: _matrix(q.take(pa.array(at)), d).reshape(len(at), d) for d, at in held.items()}
+    vectors = {d: _matrix(q.take(pa.array(at)), d) for d, at in held.items()}
     codes = np.array([numbers[x] for x in labels], np.int64)
     return Anchors(rows.column("id").to_numpy(), codes, numbers, held, vectors, same, floor, ceiling)
 
@@ -476,6 +484,7 @@ def mine(
     high: int = 95,
     scale: int = 256,
     batch_anchors: int = ANCHORS,
+    block_rows: int = BLOCK_ROWS,
 ) -> DataFrame:
     """For each row where ``anchor`` holds and each of its positives, its hardest allowed negatives.
 
@@ -499,7 +508,7 @@ def mine(
     widest = spread.orderBy((F.col("ss") / F.col("n") - F.pow(F.col("s") / F.col("n"), 2)).desc(), "pos").limit(CURVE_DIMS)
     axes = [(r.pos, r.lo, r.hi) for r in widest.collect()]
     placed = made.mapInArrow(_curve(axes), "id bigint, label string, dim int, q array<int>, is_anchor boolean, place bigint")
-    table = build(placed)
+    table = build(placed, block_rows)
     anchors = placed.filter("is_anchor").select("id", "label", "dim", "q", "place")
     # near anchors read the same blocks, so a batch is a stretch of the curve
     size = anchors.agg(F.count("*").alias("n"), F.sum(F.lit(4).cast("bigint") * F.col("dim")).alias("b")).first()
