@@ -1,14 +1,16 @@
 """Tables, columns and comparisons named in a SQL text, as column expressions.
 
-The statement is not parsed. Comments go, literals are blanked, and what is left
-is matched clause by clause. Subqueries and common table expressions are
-flattened into one list of references.
+A statement is read in two steps. One pattern cuts it into tokens in one pass, without
+comments. Then a machine with a stack goes over the tokens once and marks each with what it
+is: a table, an alias, a column, a column in a condition, the name of an output, and so on, and
+with the subquery it stands in. All else is looked up in the marked tokens.
+
+What a token is depends on the clause it stands in, on its neighbours, and on nothing behind
+them, so a statement need not be valid to be read.
 """
 
 from __future__ import annotations
 
-import re
-
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -24,338 +26,432 @@ KEYWORDS = (
     " both leading trailing separator within filter ilike similar to"
 ).split()
 
+# keywords that do something, by the letter of their class; all others have K
+_CLASSES = {
+    "S": ("select",),
+    "F": ("from",),
+    "J": ("join", "straight_join"),
+    "I": ("into",),
+    "U": ("update",),
+    "Y": ("using",),
+    "W": ("where", "having"),
+    "X": ("on",),
+    "E": ("set",),
+    "G": ("by",),
+    "Z": ("union", "intersect", "except", "minus"),
+    "V": ("values",),
+    "B": ("with",),
+    "A": ("as",),
+    "Q": ("delete",),
+    "R": ("limit", "fetch", "for", "window"),
+    "H": ("when",),
+    # what ends an expression, so that a name behind it is the output's
+    "N": ("end", "null", "true", "false"),
+}
 
 # letters, digits and marks of names, those of other scripts included; one class of few
 # ranges, as the pattern engine's own Unicode mode takes ten times as long
 _W = r"[\w\x{aa}-\x{1fff}\x{203f}\x{3005}-\x{d7ff}\x{f900}-\x{faff}]"
+_STR = r"""'(?:[^'\\]++|\\.|'')*+'|"(?:[^"\\]++|\\.|"")*+\""""
+# words that only count in these phrases, and are names elsewhere
+_PHRASES = (
+    r"(?:offset\s++[\d?:#$@]\S*+(?:\s++rows?)?+|fetch\s++(?:first|next)\s++(?:\S++\s++)?+rows?\s++only"
+    r"|nulls\s++(?:first|last)|for\s++share|lock\s++in\s++share\s++mode"
+    r"|(?:rows|range)\s++(?:between\s++(?:unbounded|current|\d++)\s++(?:preceding|following|row)\s++and\s++)?+"
+    r"(?:unbounded|current|\d++)\s++(?:preceding|following|row))"
+    rf"(?!{_W})"
+)
+_PART = rf"(?:`[^`]++`|{_W}++)"
+# a name may start with a letter or a mark; dots join its parts
+_NAME = rf"(?:`[^`]++`|(?!\d){_W}++)(?:\s*+\.\s*+{_PART})*+(?:\s*+\.\s*+\*)?+"
+_TOKEN = (
+    r"(?is)--[^\n]*+|\#[^\n]*+|/\*(?:[^*]++|\*(?!/))*+\*/"
+    rf"|{_PHRASES}|{_STR}|{_NAME}|\d++(?:\.\d++)?+(?:e[+-]?+\d++(?!{_W}))?+"
+    rf"|[:@$]{{1,2}}{_W}++|<=>|[<>!]=|<>|\|\||::|[^\s]"
+)
 
+# Clauses, by the letter the machine remembers.
+#   x  nothing yet       s  outputs of a SELECT     f  a table is next     a  an alias may be next
+#   b  after the alias   n  condition of a join     w  other condition     g  grouping, ordering
+#   t  assignments       v  values                  k  target of INTO      l  after that target
+#   i  names only        h  common tables           d  after DELETE        o  limits and the like
+#   e  inside a function u  columns of USING        q  a function with FROM or FOR inside
+#   y  EXTRACT           Q, Y  the same two inside a condition
+_CONDITIONS = "('w', 'n', 'Q', 'Y')"
+_EXPRESSIONS = "('s', 'g', 't', 'v', 'e', 'w', 'n', 'q', 'u', 'Q', 'y', 'Y')"
+_FUNCTIONS = "('e', 'q', 'y', 'Q', 'Y')"
 
-def _wide(pattern: str) -> str:
-    """The pattern with word characters and borders of names in any script."""
-    flags = re.match(r"\(\?[is]+\)", pattern)
-    head = flags.group() if flags else ""
-    body = pattern[len(head):].replace(r"\w", _W)
-    # a border after a word or group is the word's end, else a start
-    body = re.sub(r"(?<=[\w)?])\\b", lambda _: f"(?!{_W})", body)
-    return head + body.replace(r"\b", f"(?<!{_W})")
+# Roles: T table, A its alias, D alias of a subquery, H common table, O output, C column,
+# P column in a condition, M function, F a FROM that counts, K anything else.
 
 
-def _pattern(pattern: str) -> Column:
-    return F.lit(_wide(pattern))
+def _quote(text: str) -> str:
+    """A text as SQL literal."""
+    return "'" + text.replace("\\", "\\\\").replace("'", "\\'") + "'"
 
 
-def _alternatives(words: list[str]) -> str:
-    """Alternatives grouped by first letters, so that few are tried per place."""
-    tails: dict[str, list[str]] = {}
-    for word in sorted(set(words)):
-        tails.setdefault(word[:1], []).append(word[1:])
-    if len(tails) == 1 and "" in tails:
-        return ""
-    parts = [
-        head + (_alternatives(rest) if any(rest) else "")
-        for head, rest in sorted(tails.items(), reverse=True)
-    ]
-    return parts[0] if len(parts) == 1 and parts[0] else "(?:" + "|".join(parts) + ")"
+def _list(words) -> str:
+    return "(" + ", ".join(_quote(w) for w in words) + ")"
 
 
-_KW = _alternatives(KEYWORDS)
-_STR = r"""'(?:[^'\\]++|\\.|'')*+'|"(?:[^"\\]++|\\.|"")*+\""""
-# a letter of words that stands before a quoted name, which is never a keyword
-_QUOTED = "\u203f"
-_NAME = rf"(?:{_QUOTED}\w++|(?!(?:{_KW})\b)[\p{{L}}_]\w*+)"
-_DOTTED = rf"{_NAME}(?:\.[\p{{L}}_]\w*+|\.{_QUOTED}\w++)*+"
-_ITEM = rf"{_DOTTED}(?:\s++(?:as\s++)?{_NAME}(?!\s*+\())?+"
-_ITEMS = rf"{_ITEM}(?:\s*+,\s*+{_ITEM})*+"
-_SOURCE = rf"\b(?:(?<!distinct\s)from|join|into|(?<!key\s)(?<!for\s)update)\s++({_ITEMS})"
-# columns listed after the target of an insert
-_TARGET_LIST = r"(?:\s*+\((?!\s*+select\b)[\w\s,.]*+\))?+"
+def _with(value: str, name: str, body: str) -> str:
+    """``body`` with a value that is computed once."""
+    return f"get(transform(array({value}), {name} -> {body}), 0)"
 
-# words that only count in these phrases, and are names elsewhere
-_PHRASES = (
-    r"\boffset\s+[\d?:#$@]\S*(?:\s+rows?\b)?|\bfetch\s+(?:first|next)\s+(?:\S+\s+)?rows?\s+only\b"
-    r"|\bnulls\s+(?:first|last)\b|\bfor\s+share\b|\block\s+in\s+share\s+mode\b"
-    r"|\b(?:rows|range)\s+(?:between\s+(?:unbounded|current|\d+)\s+(?:preceding|following|row)\s+and\s+)?"
-    r"(?:unbounded|current|\d+)\s+(?:preceding|following|row)\b"
-)
-# where the list of a FROM ends
-_AFTER_FROM = (
-    "where group order having limit union intersect except minus select set values window for"
-).split()
 
-_COMPARED = rf"(?<![\w.])({_DOTTED})\s*+=\s*+(\d++(?![\w.])|{_STR})"
-_REVERSED = rf"(?<![\w.])(\d++|{_STR})\s*+=\s*+({_DOTTED})(?![\w.]|\s*+\()"
-_IN_LIST = rf"(?<![\w.])({_DOTTED})\s++in\s*+\(((?:\s*+(?:\d++|{_STR})\s*+,?+)++)\)"
+def tokens(sql: Column) -> Column:
+    """The statement's tokens as written, without comments."""
+    found = F.regexp_extract_all(sql, F.lit(_TOKEN), F.lit(0))
+    return F.filter(found, lambda t: ~t.rlike(r"^(?:--|#|/\*)"))
 
 
-def without_comments(sql: Column) -> Column:
-    """The statement without comments; a comment mark inside a literal stays."""
-    return F.regexp_replace(
-        sql, F.lit(rf"(?s)({_STR})|--[^\n]*+|#[^\n]*+|/\*(?:[^*]++|\*(?!/))*+\*/"), F.lit("$1")
-    )
+def _is_literal(token: str) -> str:
+    """Whether a token is a number or a complete text."""
+    first = f"substring({token}, 1, 1)"
+    return f"if({first} IN ('\\'', '\"'), length({token}) > 1, {first} BETWEEN '0' AND '9')"
 
 
-def _quoted(text: Column) -> Column:
-    """Quoted names marked, other identifier quotes gone."""
-    marked = F.regexp_replace(text, _pattern(r"`(\w++)`"), F.lit(f"{_QUOTED}$1"))
-    return F.replace(marked, F.lit("`"), F.lit(""))
+def literals(of: str) -> Column:
+    return F.expr(f"filter({of}, t -> {_is_literal('t')})")
 
 
-def _unquoted(name: Column) -> Column:
-    return F.replace(name, F.lit(_QUOTED), F.lit(""))
+def template(of: str) -> Column:
+    """Tokens in lower case with their literals blanked: what statements of one kind have in common.
 
+    Numbers that are whole are told from others, as only those are codes.
+    """
+    blank = "CASE WHEN t RLIKE '^[0-9]+$' THEN '0' WHEN t RLIKE '^[0-9]' THEN '0.0' ELSE '\\'\\'' END"
+    return F.expr(f"transform({of}, t -> if({_is_literal('t')}, {blank}, lower(t)))")
+
+
+def _class(word: str) -> str:
+    """The letter of a token in lower case: itself for brackets and commas, M names, L literals, O the rest."""
+    keyword = " ".join(f"WHEN {word} IN {_list(words)} THEN '{letter}'" for letter, words in _CLASSES.items())
+    return f"""CASE
+        WHEN {word} IN ('(', ')', ',') THEN {word}
+        WHEN {word} IN {_list(KEYWORDS)} THEN CASE {keyword} ELSE 'K' END
+        WHEN {_is_literal(word)} THEN 'L'
+        -- only a phrase has blanks between words
+        WHEN {word} RLIKE {_quote(r"^[^`.]*\s[^.]*$")} THEN 'K'
+        WHEN {word} RLIKE {_quote(f"^(?:`.|{_W})")} THEN 'M'
+        WHEN {word} RLIKE '^[:@$][^:]' THEN 'L'
+        ELSE 'O' END"""
+
+
+# What a name is, by its clause and neighbours.
+_NAME_ROLE = f"""CASE
+    WHEN s.c IN {_EXPRESSIONS} THEN CASE
+        WHEN t.p IN ('as', '::', 'collate', 'over') OR t.p2 = 'interval'
+            THEN if(s.c = 's' AND t.p = 'as', 'O', 'K')
+        WHEN t.x = '(' AND NOT (s.c = 's' AND t.pk IN ('M', ')', 'L', 'N')) THEN 'M'
+        WHEN t.pk IN ('M', ')', 'L', 'N') THEN if(s.c = 's', 'O', 'K')
+        WHEN s.c IN ('y', 'Y') AND t.p = '(' THEN 'K'
+        WHEN t.w IN ('date', 'time', 'timestamp') AND startswith(t.x, '\\'') THEN 'K'
+        WHEN t.w = 'matched' AND (t.p = 'when' OR t.p = 'not' AND t.p2 = 'when') THEN 'K'
+        ELSE if(s.c IN {_CONDITIONS}, 'P', 'C') END
+    WHEN s.c = 'f' THEN if(t.x = '(', 'M', 'T')
+    WHEN s.c = 'k' THEN if(t.w = 'table' AND t.x RLIKE '^[^(,]', 'K', 'T')
+    WHEN s.c = 'a' THEN if(t.p = ')' OR t.p = 'as' AND t.p2 = ')', 'D', 'A')
+    WHEN s.c = 'l' THEN 'A'
+    WHEN s.c = 'h' THEN 'H'
+    ELSE 'K' END"""
+
+_ROLE = f"""CASE
+    WHEN t.k = 'M' THEN {_NAME_ROLE}
+    WHEN t.k = 'F' AND s.c NOT IN ('q', 'y', 'Q', 'Y') AND NOT (t.p = 'distinct' AND t.p2 <> 'select') THEN 'F'
+    ELSE 'K' END"""
+
+# the clause inside a bracket
+_INSIDE = f"""CASE
+    WHEN t.x IN ('select', 'with') THEN 'x'
+    WHEN t.p = 'insert' AND t.p2 = 'then' THEN 'i'
+    WHEN t.p = 'extract' THEN if(s.c IN {_CONDITIONS}, 'Y', 'y')
+    WHEN t.p IN ('trim', 'substring', 'substr', 'overlay', 'position') THEN if(s.c IN {_CONDITIONS}, 'Q', 'q')
+    WHEN s.c IN {_CONDITIONS} THEN 'w'
+    WHEN s.c = 'a' AND s.last = 'M' THEN 'e'
+    WHEN s.c IN ('k', 'l', 'a', 'b', 'i', 'h') THEN 'i'
+    WHEN s.c IN ('f', 'x', 'd') THEN s.c
+    ELSE 'e' END"""
+
+# the clause after a token
+_CLAUSE = f"""CASE t.k
+    WHEN 'M' THEN CASE
+        WHEN s.c = 'f' AND r IN ('T', 'M') THEN 'a'
+        WHEN s.c = 'k' AND r = 'T' THEN 'l'
+        WHEN s.c IN ('a', 'l') THEN 'b'
+        ELSE s.c END
+    WHEN '(' THEN {_INSIDE}
+    WHEN ')' THEN if(s.stack <> '', substring(s.stack, 1, 1), s.c)
+    WHEN ',' THEN if(s.c IN ('a', 'b', 'n', 'u'), 'f', s.c)
+    WHEN 'F' THEN if(r = 'F', 'f', s.c)
+    WHEN 'K' THEN s.c
+    WHEN 'L' THEN s.c
+    WHEN 'O' THEN s.c
+    WHEN 'A' THEN s.c
+    WHEN 'S' THEN 's'
+    WHEN 'J' THEN if(t.p = 'select', s.c, 'f')
+    WHEN 'W' THEN 'w'
+    WHEN 'X' THEN CASE WHEN t.x = 'duplicate' THEN 'o' WHEN s.c IN ('a', 'b', 'f', 'l') THEN 'n' ELSE s.c END
+    WHEN 'G' THEN 'g'
+    WHEN 'I' THEN 'k'
+    WHEN 'U' THEN CASE WHEN t.p = 'key' THEN 't' WHEN t.p = 'for' OR t.x = 'set' THEN s.c ELSE 'f' END
+    WHEN 'Y' THEN CASE
+        WHEN s.c NOT IN ('a', 'b', 'l', 'd') THEN s.c
+        WHEN t.x = '(' AND t.x2 NOT IN ('select', 'with', '(') THEN 'u'
+        ELSE 'f' END
+    WHEN 'E' THEN if(s.c IN {_FUNCTIONS}, s.c, 't')
+    WHEN 'Z' THEN 'x'
+    WHEN 'V' THEN if(t.x = '(' AND s.c IN ('e', 's', 'w', 't', 'g'), s.c, 'v')
+    WHEN 'B' THEN if(s.c = 'x', 'h', s.c)
+    WHEN 'Q' THEN if(t.x = '(', s.c, 'd')
+    WHEN 'R' THEN if(s.c IN {_FUNCTIONS}, s.c, 'o')
+    WHEN 'H' THEN if(t.x = 'matched' OR t.x = 'not' AND t.x2 = 'matched', 'w', s.c)
+    ELSE s.c END"""
+
+_OPENS_QUERY = "t.k = '(' AND t.x IN ('select', 'with')"
+
+# The state after a token. `at` is the query, `stack` has the clause and query to go back to of every open
+# bracket, `n` counts queries. What follows UNION is a query of its own beside the one before.
+_STEP = _with(
+    _ROLE,
+    "r",
+    f"""named_struct(
+    'c', {_CLAUSE},
+    'at', CASE
+        WHEN {_OPENS_QUERY} THEN concat(s.at, s.n + 1, '.')
+        WHEN t.k = ')' AND s.stack <> '' THEN substr(substring_index(s.stack, '/', 1), 2)
+        WHEN t.k = 'Z' THEN concat(regexp_replace(s.at, '[0-9]+[.]$', ''), s.n + 1, '.')
+        ELSE s.at END,
+    'stack', CASE
+        WHEN t.k = '(' THEN concat(CASE s.c WHEN 'f' THEN 'a' WHEN 'k' THEN 'l' ELSE s.c END, s.at, '/', s.stack)
+        WHEN t.k = ')' THEN substr(s.stack, locate('/', s.stack) + 1)
+        ELSE s.stack END,
+    'n', if({_OPENS_QUERY} OR t.k = 'Z', s.n + 1, s.n),
+    'last', r,
+    'out', if(r IN ('T', 'D', 'C', 'P'), concat(s.out, r, s.at, ' '), concat(s.out, r, ' ')))""",
+)
 
-def from_lists_as_joins(text: Column) -> Column:
-    """A :func:`plain` text with the commas between the tables of a FROM, at whatever depth, written as joins.
 
-    A table after a subquery in the list is then seen like any other. A stack with one letter per open parenthesis says whether its FROM list goes on.
-    """
-    pieces = F.regexp_extract_all(
-        text, _pattern(r"(?s)\bdistinct\s++from\b|[(),]|\w++|[^\w(),]++"), F.lit(0)
-    )
-    start = F.struct(F.lit("").alias("out"), F.lit("-").alias("stack"))
-
-    def step(acc: Column, piece: Column) -> Column:
-        stack = acc["stack"]
-        outer = F.substr(stack, F.lit(1), F.length(stack) - 1)
-        listed = (piece == ",") & F.endswith(stack, F.lit("f"))
-        return F.struct(
-            F.concat(acc["out"], F.when(listed, F.lit(" join ")).otherwise(piece)).alias("out"),
-            F.when(piece == "(", F.concat(stack, F.lit("-")))
-            .when((piece == ")") & (F.length(stack) > 1), outer)
-            .when(piece == "from", F.concat(outer, F.lit("f")))
-            .when(piece.isin(*_AFTER_FROM), F.concat(outer, F.lit("-")))
-            .otherwise(stack)
-            .alias("stack"),
-        )
-
-    listed = F.aggregate(pieces, start, step)["out"]
-    hidden = F.contains(text, F.lit(",")) & text.rlike(r"\)|\bon\b")
-    return F.when(hidden, listed).otherwise(text)
-
-
-def plain(bare: Column) -> Column:
-    """Lower case, literals blanked, quoted names marked, words that only count in phrases gone."""
-    blank = F.regexp_replace(bare, F.lit(rf"(?s){_STR}"), F.lit("''"))
-    lower = _quoted(F.lower(blank))
-    # a "from" inside a function names no table, a typed literal no column
-    lower = F.regexp_replace(lower, F.lit(r"\bextract\s*\(\s*\w+\s+from\s"), F.lit("extract("))
-    lower = F.regexp_replace(
-        lower, F.lit(r"\b(trim|substring|substr|overlay)(\s*\([^()]*?)\sfrom\s"), F.lit("$1$2 , ")
-    )
-    lower = F.regexp_replace(lower, _pattern(_PHRASES), F.lit(" "))
-    return F.regexp_replace(lower, F.lit(r"\b(?:date|time|timestamp)\s*''"), F.lit("''"))
+def _marks(classed: str) -> str:
+    """Role and query of each token ``struct<w, k>``: ``array<string>``, the role first."""
 
+    def near(step: int, field: str) -> str:
+        return f"coalesce(get({classed}, i + {step}).{field}, '')"
 
-def last_part(dotted: Column) -> Column:
-    return _unquoted(F.substring_index(dotted, ".", -1))
+    placed = f"""transform({classed}, (x, i) -> named_struct('w', x.w, 'k', x.k, 'p', {near(-1, "w")},
+        'pk', {near(-1, "k")}, 'p2', {near(-2, "w")}, 'x', {near(1, "w")}, 'x2', {near(2, "w")}))"""
+    start = "named_struct('c', 'x', 'at', '0.', 'stack', '', 'n', 0, 'last', 'K', 'out', '')"
+    return f"split(rtrim(aggregate({placed}, {start}, (s, t) -> {_STEP}).out), ' ')"
 
 
-def qualifier_of(dotted: Column) -> Column:
-    """The part before the last, ``''`` when there is one part only."""
-    parts = F.split(dotted, r"\.")
-    return F.when(
-        F.size(parts) > 1, _unquoted(F.try_element_at(parts, F.lit(-2)))
-    ).otherwise(F.lit(""))
+def units(of: str) -> Column:
+    """Tokens with what they are: ``array<struct<text, word, kind, role, at>>``.
 
+    ``at`` names the query a token stands in by the way to it: ``"0."`` is the statement itself, ``"0.2."``
+    a subquery, ``"0.2.3."`` a subquery of that, ``"4."`` what a UNION adds to the statement.
+    """
+    word = f"if({_is_literal('v')}, v, lower(v))"
+    classed = f"transform(transform({of}, v -> {word}), u -> named_struct('w', u, 'k', {_class('u')}))"
+    made = f"""transform(classed, (x, i) -> named_struct('text', get({of}, i), 'word', x.w, 'kind', x.k,
+        'role', substring(get(marks, i), 1, 1), 'at', substr(get(marks, i), 2)))"""
+    return F.expr(_with(classed, "classed", _with(_marks("classed"), "marks", made)))
 
-def cte_names(text: Column) -> Column:
-    """Names defined by a WITH clause."""
-    pattern = rf"(?:\bwith\s++(?:recursive\s++)?|\)\s*+,\s*+)({_NAME})\s*+(?:\([\w\s,]*+\)\s*+)?as\s*+\("
-    return F.when(
-        text.rlike(r"^\s*with\b"),
-        F.transform(F.regexp_extract_all(text, _pattern(pattern), F.lit(1)), _unquoted),
-    ).otherwise(F.expr("cast(array() as array<string>)"))
 
+_PARTS = _quote(rf"`[^`]++`|{_W}++|\*")
 
-def derived_aliases(text: Column) -> Column:
-    """Names given to a parenthesis, which may be a subquery."""
-    names = F.regexp_extract_all(
-        text, _pattern(rf"\)\s*+(?:as\s++)?({_NAME})(?!\s*+[(.])"), F.lit(1)
-    )
-    return F.transform(names, _unquoted)
-
-
-def sources(text: Column, ctes: Column) -> Column:
-    """``array<struct<table, alias, derived>>`` in text order, repeats included."""
-    groups = F.regexp_extract_all(text, _pattern(f"{_SOURCE}"), F.lit(1))
-    items = F.flatten(F.transform(groups, lambda g: F.split(g, ",")))
-
-    def build(item: Column) -> Column:
-        words = F.split(F.trim(F.regexp_replace(item, F.lit(r"\s+"), F.lit(" "))), " ")
-        table = last_part(words[0])
-        return F.struct(
-            table.alias("table"),
-            F.try_element_at(words, F.lit(-1)).alias("last"),
-            F.array_contains(ctes, table).alias("derived"),
-        )
-
-    return F.transform(
-        F.transform(items, build),
-        lambda s: F.struct(
-            s["table"].alias("table"), last_part(s["last"]).alias("alias"), s["derived"].alias("derived")
-        ),
+
+def _last(name: str) -> str:
+    """The last part of a dotted name, quotes gone."""
+    return (
+        f"if({name} RLIKE '^[a-z0-9_]+$', {name},"
+        f" replace(element_at(regexp_extract_all({name}, {_PARTS}, 0), -1), '`', ''))"
     )
 
 
-def column_text(text: Column) -> Column:
-    """The statement with its sources, and the words that name outputs, taken out."""
-    no_source = F.regexp_replace(text, _pattern(rf"{_SOURCE}{_TARGET_LIST}"), F.lit(" from "))
-    no_cte = F.regexp_replace(
-        no_source, _pattern(rf"(?<=\bwith\s|\brecursive\s|,\s|,){_NAME}\s*+(?:\([\w\s,]*+\)\s*+)?+(?=as\s*+\()"), F.lit(" ")
+def _before_last(name: str) -> str:
+    """The part before it, or nothing."""
+    return (
+        f"if({name} RLIKE '^[a-z0-9_]+$', '',"
+        f" replace(coalesce(try_element_at(regexp_extract_all({name}, {_PARTS}, 0), -2), ''), '`', ''))"
     )
-    return F.regexp_replace(no_cte, _pattern(r"\s++as\s++(?!\()\w++"), F.lit(" "))
 
 
-_BARE_ALIAS = (
-    rf"((?:(?<![\w.])(?!(?:{_KW})\b)[\w.]++|\)|''|\bend|\bnull|\btrue|\bfalse))"
-    rf"\s++{_NAME}(?!\s*+[(.])"
-)
+def _named(of: str, role: str) -> str:
+    return f"transform(filter({of}, u -> u.role = '{role}'), u -> {_last('u.word')})"
 
 
-def output_names(text: Column, stripped: Column) -> Column:
-    """Names given to outputs: after AS, or straight after an expression."""
-    with_as = F.regexp_extract_all(text, _pattern(rf"\s++as\s++({_NAME})"), F.lit(1))
-    bare = F.regexp_extract_all(
-        stripped,
-        _pattern(_BARE_ALIAS.replace(rf"\s++{_NAME}", rf"\s++({_NAME})")),
-        F.lit(2),
-    )
-    return F.transform(F.concat(with_as, bare), _unquoted)
+def derived_aliases(of: str) -> Column:
+    """``array<struct<alias, at>>``: names given to subqueries, and where."""
+    made = f"named_struct('alias', {_last('u.word')}, 'at', u.at)"
+    return F.expr(f"transform(filter({of}, u -> u.role = 'D'), u -> {made})")
 
 
-def _ref(dotted: Column) -> Column:
-    return F.struct(qualifier_of(dotted).alias("qualifier"), last_part(dotted).alias("column"))
+def sources(of: str) -> Column:
+    """``array<struct<table, alias, derived, at>>`` in text order, repeats included."""
+    alias = f"""coalesce(
+        if(get({of}, i + 1).role = 'A', {_last(f"get({of}, i + 1).word")}, null),
+        if(get({of}, i + 1).kind = 'A' AND get({of}, i + 2).role = 'A', {_last(f"get({of}, i + 2).word")}, null),
+        {_last('u.word')})"""
+    name = _last("u.word")
+    made = f"named_struct('table', {name}, 'alias', {alias}, 'derived', array_contains(ctes, {name}), 'at', u.at)"
+    every = f"filter(transform({of}, (u, i) -> if(u.role = 'T', {made}, null)), s -> s IS NOT NULL)"
+    return F.expr(_with(_named(of, "H"), "ctes", every))
 
 
-_REF = rf"(?<![\w.'])({_DOTTED}(?:\.\*)?+)(?![\w.]|\s*+\()"
+def _ref(unit: str) -> str:
+    """``struct<qualifier, column, at>``; no qualifier is ``''``."""
+    word = f"{unit}.word"
+    return f"named_struct('qualifier', {_before_last(word)}, 'column', {_last(word)}, 'at', {unit}.at)"
 
 
-def column_refs(stripped: Column, outputs: Column) -> Column:
-    """Distinct ``struct<qualifier, column>`` of all columns named anywhere."""
-    kept = F.regexp_replace(stripped, _pattern(_BARE_ALIAS), F.lit("$1"))
-    refs = F.transform(F.regexp_extract_all(kept, _pattern(_REF), F.lit(1)), _ref)
-    named = F.filter(
-        refs, lambda r: (r["qualifier"] != "") | ~F.array_contains(outputs, r["column"])
+def _named_in(ref: str) -> str:
+    """Sources that a qualifier may mean where it stands."""
+    return (
+        f"filter(sources, src -> startswith({ref}.at, src.at)"
+        f" AND (src.alias = {ref}.qualifier OR src.table = {ref}.qualifier))"
     )
-    return F.array_distinct(named)
 
 
-_SEGMENT = (
-    r"(?s)\b(?:where|on|having|and|or)\b((?:(?!\b(?:select|from|join|left|right|inner|cross"
-    r"|group|order|limit|union|having|where|on|and|or)\b).)*+)"
-)
+def _settled(ref: str) -> str:
+    """A reference with the query its source stands in instead of its own, so that equal ones are equal."""
+    own = f"array_max(transform({_named_in(ref)}, src -> src.at))"
+    return (
+        f"named_struct('qualifier', {ref}.qualifier, 'column', {ref}.column,"
+        f" 'at', if({ref}.qualifier = '', {ref}.at, coalesce({own}, {ref}.at)))"
+    )
 
 
-# two columns compared to each other
-_BOTH = rf"(?<![\w.'])({_DOTTED})\s*+(<=>|[<>!]?=|<>|<|>)\s*+({_DOTTED})(?![\w.]|\s*+\()"
+def _is_column(unit: str) -> str:
+    return f"coalesce({unit}.role IN ('C', 'P'), false)"
 
 
-def predicate_refs(text: Column) -> Column:
-    """Distinct references inside conditions on one column.
+def column_refs(of: str) -> Column:
+    """Distinct ``struct<qualifier, column, at>`` of all columns named anywhere; needs ``sources``."""
+    refs = f"transform(filter({of}, u -> {_is_column('u')}), u -> {_ref('u')})"
+    named = f"filter({refs}, r -> r.qualifier <> '' OR NOT array_contains(outputs, r.column))"
+    return F.expr(f"array_distinct(transform({_with(_named(of, 'O'), 'outputs', named)}, r -> {_settled('r')}))")
 
-    A column compared to another one, as in a join, is not filtered by it.
-    """
-    segments = F.regexp_extract_all(text, _pattern(_SEGMENT), F.lit(1))
-    found = F.flatten(
-        F.transform(
-            segments,
-            lambda s: F.regexp_extract_all(
-                F.regexp_replace(s, _pattern(_BOTH), F.lit(" ")), _pattern(_REF), F.lit(1)
-            ),
-        )
+
+_COMPARE = _list(("<=>", "<>", "!=", "<=", ">=", "=", "<", ">"))
+
+
+def _compared(of: str, i: str) -> str:
+    """Whether the token at ``i`` is a comparison of two columns."""
+    return (
+        f"(coalesce(get({of}, {i}).word IN {_COMPARE}, false)"
+        f" AND {_is_column(f'get({of}, {i} - 1)')} AND {_is_column(f'get({of}, {i} + 1)')})"
     )
-    return F.array_distinct(F.transform(found, _ref))
 
 
-def equal_columns(text: Column) -> Column:
-    """Distinct ``struct<left, right>`` of columns that a condition sets equal."""
+def predicate_refs(of: str) -> Column:
+    """Distinct references inside conditions on one column; needs ``sources``.
+
+    A column compared to another one, as in a join, is not filtered by it.
+    """
+    alone = f"u.role = 'P' AND NOT {_compared(of, 'i + 1')} AND NOT {_compared(of, 'i - 1')}"
+    found = f"filter({of}, (u, i) -> {alone})"
+    return F.expr(f"array_distinct(transform(transform({found}, u -> {_ref('u')}), r -> {_settled('r')}))")
 
-    def pair(match: Column) -> Column:
-        return F.struct(
-            _ref(F.regexp_extract(match, _wide(_BOTH), 1)).alias("left"),
-            _ref(F.regexp_extract(match, _wide(_BOTH), 3)).alias("right"),
-        )
 
-    segments = F.regexp_extract_all(text, _pattern(_SEGMENT), F.lit(1))
-    found = F.flatten(
-        F.transform(segments, lambda s: F.regexp_extract_all(s, _pattern(_BOTH), F.lit(0)))
-    )
-    equal = F.filter(found, lambda m: F.regexp_extract(m, _wide(_BOTH), 2).isin("=", "<=>"))
-    return F.array_distinct(F.transform(equal, pair))
+def equal_columns(of: str) -> Column:
+    """Distinct ``struct<left, right>`` of columns that a condition sets equal; needs ``sources``."""
+    is_pair = f"get({of}, i - 1).role = 'P' AND u.word IN ('=', '<=>') AND {_compared(of, 'i')}"
+    pairs = f"""transform({of}, (u, i) -> if({is_pair},
+        transform(array(get({of}, i - 1), get({of}, i + 1)), v -> {_with(_ref('v'), 'r', _settled('r'))}), null))"""
+    made = "named_struct('left', get(p, 0), 'right', get(p, 1))"
+    return F.expr(f"array_distinct(transform(filter({pairs}, p -> p IS NOT NULL), p -> {made}))")
 
 
-def carried(refs: Column, equal: Column) -> Column:
+def carried(refs: str, equal: str) -> str:
     """``refs`` and all columns set equal to one of them, also by way of others."""
-    rounds = F.flatten(F.array_repeat(equal, F.size(equal)))
+    touched = "(array_contains(g, pair.left) OR array_contains(g, pair.right))"
+    none = f"slice(array(slice({refs}, 1, 0)), 1, 0)"
+    merged = f"array_union(array(pair.left, pair.right), flatten(filter(groups, g -> {touched})))"
+    step = f"concat(filter(groups, g -> NOT {touched}), array({merged}))"
+    groups = f"aggregate({equal}, {none}, (groups, pair) -> {step})"
+    met = f"flatten(filter({groups}, g -> arrays_overlap(g, {refs})))"
+    return f"if(size({equal}) = 0, {refs}, array_union({refs}, {met}))"
+
 
-    def step(acc: Column, pair: Column) -> Column:
-        left, right = F.array_contains(acc, pair["left"]), F.array_contains(acc, pair["right"])
-        return (
-            F.when(left & ~right, F.array_append(acc, pair["right"]))
-            .when(right & ~left, F.array_append(acc, pair["left"]))
-            .otherwise(acc)
-        )
+def equalities(of: str) -> Column:
+    """Distinct ``struct<qualifier, column, at, nth>`` of columns compared to literals; needs ``sources``.
 
-    return F.aggregate(rounds, refs, step)
+    ``nth`` says which of the statement's literals it is, from 0. Only whole numbers and texts count.
+    """
 
+    def counts(unit: str) -> str:
+        return f"coalesce({unit}.kind = 'L' AND {unit}.word RLIKE {_quote(chr(94) + '(?:[0-9]+$|[' + chr(39) + chr(34) + '])')}, false)"
 
-def equalities(bare: Column) -> Column:
-    """Distinct ``struct<qualifier, column, literal, code>`` of columns compared to literals.
+    def pair(at: str) -> str:
+        nth = f"size(filter(slice({of}, 1, {at}), y -> {_is_literal('y.word')}))"
+        return f"named_struct('r', {_ref('u')}, 'nth', {nth})"
 
-    ``code`` is the literal as integer, null for other texts. Literals are matched
-    as a whole, so a comparison inside one is not taken for a real one.
-    """
-    text = _quoted(bare)
-
-    def pair(dotted: Column, literal: Column) -> Column:
-        name = F.lower(dotted)
-        value = F.regexp_replace(literal, F.lit(r"""(?s)^['"]|['"]$"""), F.lit(""))
-        return F.struct(
-            qualifier_of(name).alias("qualifier"),
-            last_part(name).alias("column"),
-            value.alias("literal"),
-            F.trim(value).try_cast("bigint").alias("code"),
-        )
-
-    found = F.regexp_extract_all(
-        text, _pattern(rf"(?is){_COMPARED}|{_IN_LIST}|{_REVERSED}|{_STR}"), F.lit(0)
+    rest = f"slice({of}, i + 4, size({of}))"
+    among = _with(
+        f"cast(array_position(transform({rest}, y -> y.kind), ')') as int)",
+        "close",
+        f"""if(close > 1 AND forall(slice({of}, i + 4, close - 1), y -> {counts('y')} OR y.kind = ','),
+        transform(filter(sequence(i + 3, i + 1 + close), j -> {counts(f'get({of}, j)')}), j -> {pair('j')}), null)""",
     )
+    found = f"""filter(transform({of}, (u, i) -> CASE
+        WHEN NOT {_is_column('u')} THEN null
+        WHEN get({of}, i + 1).word = '=' AND {counts(f'get({of}, i + 2)')} THEN array({pair('i + 2')})
+        WHEN get({of}, i - 1).word = '=' AND {counts(f'get({of}, i - 2)')} THEN array({pair('i - 2')})
+        WHEN get({of}, i + 1).word = 'in' AND get({of}, i + 2).word = '(' THEN {among}
+        END), p -> p IS NOT NULL)"""
+    made = _with(
+        _settled("e.r"), "r", "named_struct('qualifier', r.qualifier, 'column', r.column, 'at', r.at, 'nth', e.nth)"
+    )
+    return F.expr(f"array_distinct(transform(flatten({found}), e -> {made}))")
 
-    def group(match: Column, pattern: str, number: int) -> Column:
-        return F.regexp_extract(match, _wide(rf"(?is)\A{pattern}\z"), number)
 
-    def pairs(match: Column) -> Column:
-        items = F.regexp_extract_all(group(match, _IN_LIST, 2), F.lit(rf"(?s)\d++|{_STR}"), F.lit(0))
-        return (
-            F.when(
-                match.rlike(rf"(?i)^[\p{{L}}_{_QUOTED}][^=(]*+="),
-                F.array(pair(group(match, _COMPARED, 1), group(match, _COMPARED, 2))),
-            )
-            .when(
-                match.rlike("^[0-9'\"]"),
-                F.array(pair(group(match, _REVERSED, 2), group(match, _REVERSED, 1))),
-            )
-            .otherwise(F.transform(items, lambda v: pair(group(match, _IN_LIST, 1), v)))
-        )
+def own_equalities(of: str, literals_: str) -> Column:
+    """:func:`equalities` of a template with a statement's own literals: their text, and as integer."""
+    text = f"regexp_replace(get({literals_}, e.nth), {_quote(chr(94) + '[' + chr(39) + chr(34) + ']|[' + chr(39) + chr(34) + ']$')}, '')"
+    made = _with(
+        text,
+        "v",
+        "named_struct('qualifier', e.qualifier, 'column', e.column, 'at', e.at, 'literal', v,"
+        " 'code', try_cast(trim(v) as bigint))",
+    )
+    return F.expr(f"array_distinct(transform({of}, e -> {made}))")
 
-    # a bare literal yields no column
-    named = F.filter(F.flatten(F.transform(found, pairs)), lambda p: p["column"] != "")
-    return F.array_distinct(named)
 
+def candidates(ref: str) -> str:
+    """Tables a reference may belong to, those of the innermost query first.
 
-def unreadable_reason(bare: Column, text: Column, found: Column) -> Column:
-    """Why a statement cannot be read; null when it can."""
-    rest = F.replace(text, F.lit("''"), F.lit(""))
+    A qualifier means a table or alias of its own query, else of the next one around it. Without one,
+    the tables of all these queries may be meant; if they have none, those of the whole statement. Needs
+    ``sources``, ``tables`` and ``derived_aliases``.
+    """
 
-    def count(mark: str) -> Column:
-        return F.length(rest) - F.length(F.replace(rest, F.lit(mark), F.lit("")))
+    def ordered(found: str) -> str:
+        ranked = f"transform({found}, (src, i) -> named_struct('far', -length(src.at), 'i', i, 'table', src.table))"
+        return f"array_distinct(transform(sort_array({ranked}), src -> src.table))"
 
-    return (
-        F.when(bare.isNull() | (F.trim(bare) == ""), F.lit("empty statement"))
-        .when(rest.rlike("['\"]"), F.lit("unbalanced quotes"))
-        .when(count("(") != count(")"), F.lit("unbalanced parentheses"))
-        .when(
-            (F.size(found) == 0) & ~text.rlike(r"(?s)^\s*select\b(?:(?!\bfrom\b).)*+$"),
-            F.lit("no table reference"),
-        )
-    )
+    seen = f"filter(sources, src -> startswith({ref}.at, src.at))"
+    derived = f"exists(derived_aliases, d -> d.alias = {ref}.qualifier AND startswith({ref}.at, d.at))"
+    every = "transform(tables, y -> y.table)"
+    named = f"slice({ordered(_named_in(ref))}, 1, 1)"
+    return f"""CASE
+        WHEN {ref}.qualifier <> '' THEN {_with(named, "named", f"CASE WHEN size(named) > 0 THEN named WHEN {derived} THEN slice(named, 1, 0) ELSE {every} END")}
+        ELSE {_with(ordered(seen), "near", f"if(size(near) > 0, near, {every})")} END"""
+
+
+def may_be_derived(ref: str) -> str:
+    """Whether a reference without a qualifier may belong to a subquery of its query's FROM."""
+    return f"({ref}.qualifier = '' AND exists(derived_aliases, d -> startswith({ref}.at, d.at)))"
+
+
+def unreadable_reason(of: str) -> Column:
+    """Why a statement cannot be read; null when it can. Needs ``sources``."""
+
+    def count(mark: str) -> str:
+        return f"size(filter({of}, u -> u.word = '{mark}'))"
+
+    return F.expr(f"""CASE
+        WHEN size({of}) = 0 THEN 'empty statement'
+        WHEN exists({of}, u -> u.word IN ('\\'', '"')) THEN 'unbalanced quotes'
+        WHEN {count('(')} <> {count(')')} THEN 'unbalanced parentheses'
+        WHEN size(sources) = 0 AND (get({of}, 0).word <> 'select' OR exists({of}, u -> u.role = 'F'))
+            THEN 'no table reference' END""")

@@ -15,21 +15,54 @@ from pyspark.sql import functions as F
 from semcat.config import ACTIVE_FLAG_NAMES, DEFAULTS, Settings
 from semcat.functions import sqltext
 from semcat.functions.rows import computed_once, exploded
+from semcat.plans.lineage import sized
 
 CHECK_FIELDS = ("kind", "severity", "table_name", "column_name", "message", "fix")
 
 
-_READ = ("tables", "derived_aliases", "columns", "predicates", "equal", "equalities", "reason")
+_READ = ("sources", "tables", "derived_aliases", "columns", "predicates", "equal", "equalities", "reason")
 # one statement of the log
 STATEMENT = ("repo_id", "query_id", "statement")
+# what statements of one kind have in common: 128 bits of their template
+_TEMPLATE = ("_t1", "_t2")
+
+
+def read_templates(templates: DataFrame, tokens_col: str = "tokens", parts: tuple[str, ...] = _READ) -> DataFrame:
+    """What each row's tokens say: sources, tables, column references, comparisons, or why they are unreadable.
+
+    Only ``parts`` of it are worked out, each exactly once.
+    """
+    given = [c for c in templates.columns if c != tokens_col]
+    # all below is read from the marked tokens
+    marked = computed_once(templates.select(*given, sqltext.units(tokens_col).alias("units")), "units")
+    named = computed_once(marked.withColumn("sources", sqltext.sources("units")), "units", "sources")
+    # distinct tables in text order
+    tables = """transform(array_distinct(transform(sources, s -> s.table)), (t, i) -> named_struct(
+        'pos', i, 'table', t, 'derived', exists(sources, s -> s.table = t AND s.derived)))"""
+    every = {
+        "sources": lambda: F.col("sources"),
+        "tables": lambda: F.expr(tables),
+        "derived_aliases": lambda: sqltext.derived_aliases("units"),
+        "columns": lambda: sqltext.column_refs("units"),
+        "predicates": lambda: sqltext.predicate_refs("units"),
+        "equal": lambda: sqltext.equal_columns("units"),
+        "equalities": lambda: sqltext.equalities("units"),
+        "reason": lambda: sqltext.unreadable_reason("units"),
+    }
+    return computed_once(named.select(*given, *[every[c]().alias(c) for c in parts]), *parts)
 
 
 def read_statements(
-    log: DataFrame, repo_id: str | None = None, whole: bool = True
+    log: DataFrame,
+    repo_id: str | None = None,
+    parts: tuple[str, ...] = _READ,
+    by_template: bool = True,
 ) -> DataFrame:
     """Per statement: its tables, column references, comparisons, or why it is unreadable.
 
-    ``whole`` says that most of this is needed: it is then computed exactly once.
+    Logs repeat: statements that differ in literals, comments, case and blanks only have one template.
+    Each distinct template is read once, and a statement's own literals are put in afterwards. Without
+    ``by_template`` every statement is read by itself, with the same result. Only ``parts`` are read.
     """
     if "repo_id" not in log.columns:
         if repo_id is None:
@@ -37,75 +70,68 @@ def read_statements(
         log = log.withColumn("repo_id", F.lit(repo_id))
     if "tenant_context" not in log.columns:
         log = log.withColumn("tenant_context", F.lit(None).cast("int"))
-    base = log.select(
-        "query_id",
-        "repo_id",
-        "tenant_context",
-        F.xxhash64("sql", "tenant_context").alias("statement"),
-        sqltext.without_comments(F.coalesce("sql", F.lit(""))).alias("bare"),
-    ).withColumn("plain", sqltext.plain(F.col("bare"))).withColumn(
-        "text", sqltext.from_lists_as_joins(F.col("plain"))
-    )
-    # all below is read from the text
-    base = computed_once(base.drop("plain"), "bare", "text")
-    named = base.withColumns(
-        {
-            "all_sources": sqltext.sources(F.col("text"), sqltext.cte_names(F.col("text"))),
-            "stripped": sqltext.column_text(F.col("text")),
-            "derived_aliases": sqltext.derived_aliases(F.col("text")),
-        }
-    )
-    tables = F.transform(
-        F.array_distinct(F.transform("all_sources", lambda s: s["table"])),
-        lambda t, i: F.struct(
-            i.alias("pos"),
-            t.alias("table"),
-            F.transform(
-                F.filter("all_sources", lambda s: s["table"] == t), lambda s: s["alias"]
-            ).alias("aliases"),
-            F.exists("all_sources", lambda s: (s["table"] == t) & s["derived"]).alias("derived"),
+    cut = computed_once(
+        log.select(
+            "query_id",
+            "repo_id",
+            "tenant_context",
+            F.xxhash64("sql", "tenant_context").alias("statement"),
+            sqltext.tokens(F.coalesce("sql", F.lit(""))).alias("tokens"),
         ),
-    )
-    read = named.select(
-        "query_id",
-        "repo_id",
-        "tenant_context",
-        "statement",
-        tables.alias("tables"),
-        "derived_aliases",
-        sqltext.column_refs(
-            F.col("stripped"), sqltext.output_names(F.col("text"), F.col("stripped"))
-        ).alias("columns"),
-        sqltext.predicate_refs(F.col("text")).alias("predicates"),
-        sqltext.equal_columns(F.col("text")).alias("equal"),
-        sqltext.equalities(F.col("bare")).alias("equalities"),
-        sqltext.unreadable_reason(F.col("bare"), F.col("text"), F.col("all_sources")).alias(
-            "reason"
+        "tokens",
+    )
+    keyed = computed_once(
+        cut.select(
+            "query_id",
+            "repo_id",
+            "tenant_context",
+            "statement",
+            sqltext.literals("tokens").alias("_literals"),
+            sqltext.template("tokens").alias("_template"),
         ),
-    )
-    return computed_once(read, *_READ) if whole else read
+        "_literals",
+        "_template",
+    ).withColumns({"_t1": F.xxhash64("_template"), "_t2": F.xxhash64(F.lit(1), "_template")})
+    statement = [*STATEMENT, "tenant_context"]
+    if by_template:
+        templates = keyed.groupBy(*_TEMPLATE).agg(F.first("_template").alias("tokens"))
+        read = sized(read_templates(templates, parts=parts))
+        met = keyed.select(*statement, *_TEMPLATE, "_literals").join(read, [*_TEMPLATE])
+    else:
+        met = read_templates(keyed.select(*statement, "_literals", F.col("_template").alias("tokens")), parts=parts)
+
+    own = sqltext.own_equalities("equalities", "_literals").alias("equalities")
+    return met.select(*statement, *[own if c == "equalities" else F.col(c) for c in parts])
 
 
 def extract_table_refs(log: DataFrame, repo_id: str | None = "") -> DataFrame:
     """Distinct tables of each statement, in order of appearance."""
-    statements = read_statements(log, repo_id, whole=False)
+    statements = read_statements(log, repo_id, ("tables",))
     return exploded(statements, "tables", "repo_id", "query_id", value="t").filter(
         ~F.col("t.derived")
     ).select("repo_id", "query_id", F.col("t.table").alias("table_name"), F.col("t.pos").alias("pos"))
 
 
+def _apart(refs: str, *fields: str) -> Column:
+    """References that differ in these fields."""
+    made = ", ".join(f"'{f}', r.{f}" for f in fields)
+    return F.expr(f"array_distinct(transform({refs}, r -> named_struct({made})))")
+
+
 def extract_column_refs(log: DataFrame, repo_id: str | None = "") -> DataFrame:
     """Distinct ``(qualifier, column_name)`` of each statement."""
-    statements = read_statements(log, repo_id, whole=False)
-    return exploded(statements, "columns", "repo_id", "query_id", value="c").select(
+    statements = read_statements(log, repo_id, ("columns",))
+    refs = _apart("columns", "qualifier", "column")
+    return exploded(statements, refs, "repo_id", "query_id", value="c").select(
         "repo_id", "query_id", "c.qualifier", F.col("c.column").alias("column_name")
     )
 
 
 def extract_equalities(log: DataFrame, repo_id: str | None = "") -> DataFrame:
     """Distinct columns compared to literals, with the literal as integer if it is one."""
-    statements = read_statements(log, repo_id, whole=False)
-    return exploded(statements, "equalities", "repo_id", "query_id", value="e").select(
+    statements = read_statements(log, repo_id, ("equalities",))
+    pairs = _apart("equalities", "qualifier", "column", "literal", "code")
+    return exploded(statements, pairs, "repo_id", "query_id", value="e").select(
         "repo_id",
         "query_id",
         "e.qualifier",
@@ -117,7 +143,7 @@ def extract_equalities(log: DataFrame, repo_id: str | None = "") -> DataFrame:
 
 def unreadable(log: DataFrame, repo_id: str | None = "") -> DataFrame:
     """Statements that cannot be read, each with one check."""
-    found = read_statements(log, repo_id, whole=False).filter("reason is not null")
+    found = read_statements(log, repo_id, ("reason",)).filter("reason is not null")
     return found.select("repo_id", "query_id", _unreadable().alias("check")).select(
         "repo_id", "query_id", "check.*"
     )
@@ -126,48 +152,9 @@ def unreadable(log: DataFrame, repo_id: str | None = "") -> DataFrame:
 # -------------------------------------------------------------------- probes
 
 
-def _candidates(ref: Column) -> Column:
-    """Tables a reference may belong to."""
-    named = F.filter(
-        F.col("tables"),
-        lambda t: (t["table"] == ref["qualifier"])
-        | F.array_contains(t["aliases"], ref["qualifier"]),
-    )
-    qualified = ref["qualifier"] != ""
-    return (
-        F.when(qualified & (F.size(named) > 0), F.slice(named, 1, 1))
-        .when(
-            qualified & F.array_contains("derived_aliases", ref["qualifier"]),
-            F.slice(named, 1, 0),
-        )
-        .otherwise(F.col("tables"))
-    )
-
-
-def _probe(kind: str, no: Column, table, ref, code: Column, ambiguous: Column, fixed: Column) -> Column:
-    return F.struct(
-        F.lit(kind).alias("kind"),
-        no.cast("int").alias("no"),
-        table["pos"].cast("int").alias("pos"),
-        table["table"].alias("table_name"),
-        ref["qualifier"].alias("qualifier"),
-        ref["column"].alias("column_name"),
-        code.cast("bigint").alias("code"),
-        ambiguous.alias("ambiguous"),
-        fixed.alias("fixed"),
-        F.lit(None).cast("array<string>").alias("parsed_tables"),
-    )
-
-
-def _of_table(refs: Column, table: Column) -> Column:
-    """Names of the columns in ``refs`` that may be the table's."""
-    own = F.filter(
-        refs,
-        lambda r: (r["qualifier"] == "")
-        | (r["qualifier"] == table["table"])
-        | F.array_contains(table["aliases"], r["qualifier"]),
-    )
-    return F.array_distinct(F.transform(own, lambda r: r["column"]))
+def _of_table(refs: str, table: str) -> str:
+    """Names of the columns in ``refs``, with their candidates, that may be the table's."""
+    return f"array_distinct(transform(filter({refs}, f -> array_contains(f.fits, {table})), f -> f.column))"
 
 
 def probe_statements(
@@ -181,51 +168,57 @@ def probe_statements(
     fit several tables are left out: the first table that has the column is theirs, so
     nothing is missing.
     """
-    none_int, none_str = F.lit(None).cast("int"), F.lit(None).cast("string")
-    none_fixed = F.lit(None).cast("array<string>")
-    no_table = F.struct(none_int.alias("pos"), none_str.alias("table"))
-    no_ref = F.struct(none_str.alias("qualifier"), none_str.alias("column"))
-
-    def refs(kind: str, array: str, code, fixed) -> Column:
-        def one(ref: Column, no: Column) -> Column:
-            fits = _candidates(ref)
-            several = F.size(fits) > 1
-            if kind == "column" and not ambiguous_columns:
-                fits = F.when(several, F.slice(fits, 1, 0)).otherwise(fits)
-            return F.transform(fits, lambda t: _probe(kind, no, t, ref, code(ref), several, fixed(t)))
-
-        return F.flatten(F.transform(array, one))
-
-    parsed = F.transform(F.filter("tables", lambda t: ~t["derived"]), lambda t: t["table"])
-    whole = _probe("statement", F.lit(0), no_table, no_ref, none_int, F.lit(False), none_fixed)
-    statement = F.array(whole.withField("parsed_tables", parsed))
-    pinned = F.transform(
-        "equalities",
-        lambda e: F.struct(e["qualifier"].alias("qualifier"), e["column"].alias("column")),
-    )
-    met = statements.withColumns(
-        {
-            "filtered": F.col("columns") if compat else sqltext.carried(F.col("predicates"), F.col("equal")),
-            "pinned": sqltext.carried(F.array_distinct(pinned), F.col("equal")),
-        }
-    )
 
-    def filters(table: Column) -> Column:
-        if compat:
-            return F.array_distinct(F.transform("filtered", lambda c: c["column"]))
-        return _of_table(F.col("filtered"), table)
-
-    tables = F.transform(
-        "tables",
-        lambda t: _probe("table", t["pos"], t, no_ref, none_int, F.lit(False), filters(t)),
-    )
-    probes = F.concat(
-        statement,
-        tables,
-        refs("column", "columns", lambda r: none_int, lambda t: none_fixed),
-        refs("equality", "equalities", lambda r: r["code"], lambda t: _of_table(F.col("pinned"), t)),
+    def fitted(refs: str, *fields: str) -> Column:
+        """References, each once, with their candidates."""
+        own = "".join(f"'{f}', r.{f}, " for f in ("qualifier", "column", *fields))
+        made = f"named_struct({own}'fits', {sqltext.candidates('r')}, 'unsure', {sqltext.may_be_derived('r')})"
+        return F.expr(f"array_distinct(transform({refs}, r -> {made}))")
+
+    # refs without their literals
+    bare = "transform(equalities, e -> named_struct('qualifier', e.qualifier, 'column', e.column, 'at', e.at))"
+    filtered = "columns" if compat else sqltext.carried("predicates", "equal")
+    met = computed_once(
+        statements.select(
+            *STATEMENT,
+            "tenant_context",
+            "reason",
+            "tables",
+            fitted("columns").alias("named"),
+            fitted("equalities", "code").alias("compared"),
+            fitted(filtered).alias("filtered"),
+            fitted(sqltext.carried(f"array_distinct({bare})", "equal")).alias("pinned"),
+        ),
+        "named",
+        "compared",
+        "filtered",
+        "pinned",
     )
-    with_probes = met.withColumn("probes", probes)
+
+    def probe(kind: str, **fields: str) -> str:
+        kinds = {
+            "no": "int", "pos": "int", "table_name": "string", "qualifier": "string", "column_name": "string",
+            "code": "bigint", "ambiguous": "boolean", "fixed": "array<string>", "parsed_tables": "array<string>",
+        }
+        made = ", ".join(f"'{f}', cast({fields.get(f, 'null')} as {t})" for f, t in kinds.items())
+        return f"named_struct('kind', '{kind}', {made})"
+
+    def refs(kind: str, array: str, **fields: str) -> str:
+        several = "(size(r.fits) > 1 OR r.unsure)"
+        fits = "r.fits" if kind == "equality" or ambiguous_columns else f"if({several}, slice(r.fits, 1, 0), r.fits)"
+        one = probe(
+            kind, no="no", pos="pos", table_name="t", qualifier="r.qualifier", column_name="r.column", ambiguous=several, **fields
+        )
+        return f"flatten(transform({array}, (r, no) -> transform({fits}, (t, pos) -> {one})))"
+
+    read = _of_table("filtered", "t.table") if not compat else "array_distinct(transform(filtered, f -> f.column))"
+    parsed = "transform(filter(tables, t -> NOT t.derived), t -> t.table)"
+    probes = f"""concat(
+        array({probe("statement", no="0", ambiguous="false", parsed_tables=parsed)}),
+        transform(tables, t -> {probe("table", no="t.pos", pos="t.pos", table_name="t.table", ambiguous="false", fixed=read)}),
+        {refs("column", "named")},
+        {refs("equality", "compared", code="r.code", fixed=_of_table("pinned", "t"))})"""
+    with_probes = met.withColumn("probes", F.expr(probes))
     return exploded(with_probes, "probes", *STATEMENT, "tenant_context", "reason", value="p").select(
         *STATEMENT, "tenant_context", "reason", "p.*"
     )
@@ -502,7 +495,7 @@ def unknown_tables(
     log: DataFrame, catalog: dict[str, DataFrame], repo_id: str | None = None
 ) -> DataFrame:
     """Tables of the log that the catalog does not have; they are not checked."""
-    statements = read_statements(log, repo_id, whole=False)
+    statements = read_statements(log, repo_id, ("tables",))
     refs = exploded(statements, "tables", "query_id", "repo_id", value="t").filter(
         ~F.col("t.derived")
     ).select(

@@ -247,3 +247,97 @@ def test_no_join_meets_a_null_key(spark, catalog):
         assert g.audit_log(one, catalog, "r").count() == 2
     finally:
         spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+
+
+def test_any_quoted_name(spark):
+    assert refs(spark, "select * from `my-table` where `a b` = 3") == (["my-table"], [("", "a b")])
+    assert refs(spark, "select `x.y`.`select`, `t 1` . `from` from `db`.`x.y` join `t 1` on `x.y`.`id` = `t 1`.`id`") == (
+        ["x.y", "t 1"], [("t 1", "from"), ("t 1", "id"), ("x.y", "id"), ("x.y", "select")],
+    )
+    found = g.extract_equalities(log(spark, "select 1 from `t-1` where `a b` = 3 and `t-1`.`in` in (4, '5')")).collect()
+    assert sorted((r.qualifier, r.column_name, r.code) for r in found) == [("", "a b", 3), ("t-1", "in", 4), ("t-1", "in", 5)]
+
+
+def test_merge(spark, catalog):
+    merge = "merge into t using u on t.id=u.id when matched then update set t.a=u.a"
+    assert refs(spark, merge) == (["t", "u"], [("t", "a"), ("t", "id"), ("u", "a"), ("u", "id")])
+    longer = (
+        "MERGE INTO act_bill AS b USING (select id, status from pcl_order where shipper = 3) s ON (b.order_id = s.id) "
+        "WHEN MATCHED AND b.amount > 5 THEN DELETE WHEN NOT MATCHED THEN INSERT (id, amount) VALUES (s.id, s.status)"
+    )
+    assert refs(spark, longer) == (
+        ["act_bill", "pcl_order"],
+        [("", "id"), ("", "shipper"), ("", "status"), ("b", "amount"), ("b", "order_id"), ("s", "id"), ("s", "status")],
+    )
+    assert audit(spark, catalog, longer)[:2] == ("PASS", [])
+    assert audit(spark, catalog, "merge into act_bill using pcl_box x on act_bill.id = x.id and x.org_id = 3 when matched then update set amount = 1")[0] == "PASS"
+    # a column may be named so
+    assert refs(spark, "select matched, merge from t where matched = 1")[1] == [("", "matched"), ("", "merge")]
+
+
+def test_delete_and_update_forms(spark):
+    assert refs(spark, "delete a from a join b on a.id = b.a_id where b.x = 1") == (
+        ["a", "b"], [("a", "id"), ("b", "a_id"), ("b", "x")],
+    )
+    assert refs(spark, "delete from a using a, b where a.id = b.id")[0] == ["a", "b"]
+    assert refs(spark, "update a join b on a.id = b.id set a.x = b.y where b.z = 1") == (
+        ["a", "b"], [("a", "id"), ("a", "x"), ("b", "id"), ("b", "y"), ("b", "z")],
+    )
+    assert refs(spark, "insert into t (a, b) values (1, 2) on duplicate key update a = values(a), c = c + 1") == (
+        ["t"], [("", "a"), ("", "c")],
+    )
+    assert refs(spark, "select a from t where x = :a and y = @b and z = ? for update") == (
+        ["t"], [("", "a"), ("", "x"), ("", "y"), ("", "z")],
+    )
+
+
+def test_aliases_belong_to_their_query(spark, catalog):
+    # the inner o is another table
+    sql = "select o.status from pcl_order o where o.shipper = 1 and exists (select 1 from act_bill o where o.amount > 3 and o.status = 2)"
+    assert audit(spark, catalog, sql)[:2] == ("PASS", [])
+    wrong = "select o.status from pcl_order o where o.shipper = 1 and exists (select 1 from act_bill o where o.shipper > 3)"
+    assert audit(spark, catalog, wrong)[:2] == ("FAIL", [("column_missing", "act_bill", "shipper")])
+    # an outer column without a qualifier cannot be the inner table's
+    outer = "select amount from pcl_order where shipper = 1 and id in (select order_id from act_bill)"
+    assert audit(spark, catalog, outer)[:2] == ("FAIL", [("column_missing", "pcl_order", "amount")])
+    inner = "select id from pcl_order where shipper = 1 and id in (select order_id from act_bill where status = 1)"
+    assert audit(spark, catalog, inner)[:2] == ("PASS", [])
+    union = "select date_created from pcl_order where shipper = 2 union all select amount from act_bill union select org_id from pcl_box where org_id = 1"
+    assert audit(spark, catalog, union)[:2] == ("PASS", [])
+    # a pin inside an exists belongs to the table there
+    pin = "select id from pcl_order where exists (select 1 from pcl_box where org_id = 3)"
+    assert audit(spark, catalog, pin)[1] == [("dimension_missing", "pcl_order", "")]
+
+
+def test_a_column_may_come_from_a_subquery(spark, catalog):
+    sql = "select b.id, total from act_bill b join (select * from gone) s on s.id = b.id"
+    assert audit(spark, catalog, sql)[:2] == ("PASS", [])
+
+
+def test_templates_read_as_each_statement_does(spark, catalog):
+    rows = [
+        "select id from pcl_order where status = 133 and shipper = 1",
+        "SELECT id  FROM pcl_order -- the same\nWHERE status = 1 AND shipper = 'x''y'",
+        "select id from pcl_order where status = '133' and shipper = 2",
+        "select id from pcl_order where status = 133.5 and shipper = 2",
+        "select id from pcl_order where status in (1, 133) and shipper = 2",
+        "select id from pcl_order where status in (133, 133, '1') and shipper = 2",
+        "select id from pcl_order where status in (133, 133, '1') and shipper = 2",
+        "select 'from t9', 1e5 from act_bill where 7 = status and amount = \"it\"",
+        "", None, "select (", "select 'a",
+    ]
+    one = log(spark, *rows)
+    parts = ("tables", "columns", "predicates", "equal", "equalities", "reason")
+    apart = g.read_statements(one, "r", parts, by_template=False)
+    both = [sorted(map(repr, g.read_statements(one, "r", parts).select(apart.columns).collect())), sorted(map(repr, apart.collect()))]
+    assert both[0] == both[1] and len(both[0]) == len(rows)
+    codes = {r.query_id: sorted(e.literal for e in r.equalities) for r in apart.collect()}
+    assert codes[1] == ["1", "x''y"] and codes[3] == ["2"] and codes[5] == ["1", "133", "2"] and codes[7] == ["7", "it"]
+
+
+def test_deep_statements_are_read_in_one_pass(spark):
+    deep = "select a from t where " + "(" * 200 + "b = 1" + ")" * 200 + " and c in (select d from u where " + "f(" * 60 + "e" + ")" * 60 + " = 2)"
+    assert refs(spark, deep) == (["t", "u"], [("", "a"), ("", "b"), ("", "c"), ("", "d"), ("", "e")])
+    wide = "select " + ", ".join(f"c{i}" for i in range(600)) + " from t where " + " and ".join(f"a{i} = b{i}" for i in range(150))
+    tables, columns = refs(spark, wide)
+    assert tables == ["t"] and len(columns) == 900

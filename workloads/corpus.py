@@ -14,11 +14,17 @@ from semcat.functions.rows import exploded
 REPO = "saas"
 FORK = "fork"
 BUCKET = 40
+# tables whose rows become source files, messages, statements and search texts
+COSTLY = ("part", "customer", "events", "documents", "benchmark")
 
 
 def load(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    """A given table."""
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    """A given table; texts and the like are made from its rows, so few large splits are dealt over all cores."""
+    table = spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    cores = spark.sparkContext.defaultParallelism
+    if name in COSTLY and table.rdd.getNumPartitions() < cores:
+        return table.repartition(cores)
+    return table
 
 
 def prefix_of(key: Column) -> Column:
