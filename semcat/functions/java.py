@@ -42,12 +42,27 @@ def _nested(left: str, right: str, depth: int) -> str:
     return inner
 
 
-# patterns cannot recurse: levels of nesting that are read
+# patterns cannot recurse: levels of nesting that they see; :func:`flat` hides what lies deeper
 _LEVELS = 8
 _PAREN = _nested("(", ")", _LEVELS)
 _BRACE = _nested("{", "}", _LEVELS)
 _GENERIC = _nested("<", ">", _LEVELS)
 
+# brackets, and what stands for those deeper than so many levels: characters that no text may hold
+_SEEN = 4
+_BRACKETS = "(){}<>"
+_HIDDEN = "\ufdd0\ufdd1\ufdd2\ufdd3\ufdd4\ufdd5"
+_PIECE = rf"{_STR}|{_CHR}|[(){{}}<>;]|[^(){{}}<>;\"']++|[\"']"
+
+
+def _deeper(left: str, right: str, other: str = "") -> str:
+    """An open bracket with another one in it that has more levels than the patterns would still see, or no end."""
+    inner = _nested(left, right, _LEVELS - 1)
+    return rf"\{left}(?:[^{left}{right}{other}\"']++|{_STR}|{_CHR}|'|{inner})*+\{left}"
+
+
+_DEEP = "(?s)" + "|".join((_deeper("(", ")"), _deeper("{", "}"), _deeper("<", ">", ";(){}")))
+
 _ANNOTATIONS = rf"(?:@[\w.]++(?:\s*+{_PAREN})?+{_GAP})++"
 _MODIFIERS = r"(?:(?:static|final|transient|volatile)\s++)*+"
 _TYPE = rf"[\w.]++(?:\s*+{_GENERIC})?+(?:\s*+\[\s*+\])*+"
@@ -74,6 +89,11 @@ PROPERTY_TEXT = _attribute("@ApiModelProperty", "value", bare=True)
 _PACKAGE = r"(?m)^\s*+package\s++(\w++(?:\.\w++)*+)\s*+;"
 # the first declaration of a type that holds fields, in text without comments
 _CLASS = r"(?<![\w.])(?:class|record)\s++([\w$]++)\s*+(?:[<({]|extends\b|implements\b)"
+# what the first such declaration extends, type parameters passed over
+_PARENT = (
+    rf"(?<![\w.])(?:class|record)\s++[\w$]++\s*+(?:{_GENERIC}\s*+)?+"
+    r"(?:extends\s++([\w$.]++)|[({]|implements\b)"
+)
 _ENUM = r"(?U)\benum\s+(\w+)"
 # the first line with a word in a documentation comment, which may be its only one
 _JAVADOC = r"/\*\*(?:\s|\*(?!/))*+([^\s*][^\n*]*+)"
@@ -108,6 +128,45 @@ def without_comments(src: Column) -> Column:
     )
 
 
+def _quoted(text: str) -> str:
+    return "'" + text.replace("\\", "\\\\").replace("'", "\\'") + "'"
+
+
+# Whether a piece is a bracket deep inside others of its kind (i) or not (o): open parentheses, braces and
+# generics are counted from piece to piece. The braces of a type's body do not count. Generics end where a
+# statement does, as < may also compare.
+_INSIDE = """named_struct(
+    'p', CASE x WHEN '(' THEN s.p + 1 WHEN ')' THEN greatest(s.p - 1, 0) ELSE s.p END,
+    'd', CASE x WHEN '{' THEN if(s.d > 0, s.d + 1, if(s.t, 0, 1)) WHEN '}' THEN greatest(s.d - 1, 0) ELSE s.d END,
+    'g', CASE WHEN x = '<' THEN s.g + 1 WHEN x = '>' THEN greatest(s.g - 1, 0)
+        WHEN x IN ('(', ')', '{', '}', ';') THEN 0 ELSE s.g END,
+    't', CASE WHEN x IN ('{', '}', ';') THEN false WHEN s.t THEN true ELSE x RLIKE TYPE_WORD END,
+    'out', concat(s.out, CASE x
+        WHEN '(' THEN if(s.p >= SEEN, 'i', 'o') WHEN ')' THEN if(s.p > SEEN, 'i', 'o')
+        WHEN '{' THEN if(s.d >= SEEN, 'i', 'o') WHEN '}' THEN if(s.d > SEEN, 'i', 'o')
+        WHEN '<' THEN if(s.g >= SEEN, 'i', 'o') WHEN '>' THEN if(s.g > SEEN, 'i', 'o')
+        ELSE 'o' END))""".replace("SEEN", str(_SEEN)).replace("TYPE_WORD", _quoted(r"""(?s)^(?!["']).*?\b(?:class|interface|enum|record)\b"""))
+
+
+def flat(code: str) -> Column:
+    """The text of a column without comments, with inner brackets hidden if they are too deep for the patterns.
+
+    From the fifth level on they become other characters, one for one, whatever the depth.
+    :func:`shown` brings them back. Texts inside quotes stay.
+    """
+    pieces = f"split(regexp_replace({code}, {_quoted(_PIECE)}, '$0{_SEP}'), '{_SEP}')"
+    start = "named_struct('p', 0, 'd', 0, 'g', 0, 't', false, 'out', '')"
+    marks = f"split(aggregate(pieces, {start}, (s, x) -> {_INSIDE}).out, '')"
+    hidden = f"""transform(array({marks}), marks -> array_join(transform(pieces,
+        (x, i) -> if(get(marks, i) = 'i', translate(x, '{_BRACKETS}', '{_HIDDEN}'), x)), ''))[0]"""
+    return F.expr(f"if({code} RLIKE {_quoted(_DEEP)}, transform(array({pieces}), pieces -> {hidden})[0], {code})")
+
+
+def shown(text: Column) -> Column:
+    """The text with the brackets that :func:`flat` hid."""
+    return F.translate(text, _HIDDEN, _BRACKETS)
+
+
 # ------------------------------------------------------------------ entities
 
 
@@ -129,7 +188,8 @@ def qualified_class(src: Column, path: Column) -> Column:
 
 
 def extends_base(src: Column, base_entity: str) -> Column:
-    return src.rlike(rf"class\s+\w+\s+extends\s+{base_entity}\b")
+    """Whether the first declared type says that it extends the base entity."""
+    return F.substring_index(first(src, _PARENT), ".", -1) == base_entity
 
 
 def field_blocks(src: Column, compat: bool = False) -> Column:
@@ -143,9 +203,9 @@ def field_blocks(src: Column, compat: bool = False) -> Column:
 
     def block(parts: Column, before: Column) -> Column:
         return F.struct(
-            parts[0].alias("annotations"),
+            shown(parts[0]).alias("annotations"),
             parts[1].alias("modifiers"),
-            parts[2].alias("java_type"),
+            shown(parts[2]).alias("java_type"),
             parts[3].alias("java_field"),
             before.alias("before"),
         )
@@ -187,6 +247,16 @@ def field_blocks(src: Column, compat: bool = False) -> Column:
     return F.transform(F.transform(positioned, with_window), lambda m: block(m["p"], m["w"]))
 
 
+def _marks(text: Column) -> Column:
+    """Column annotations in a text, those inside quotes left out."""
+    return F.size(F.split(F.regexp_replace(text, _STR, "''"), r"@Column\b")) - 1
+
+
+def unread_columns(code: Column, blocks: Column) -> Column:
+    """How many column annotations of a file stand on no field that was read, as on a method."""
+    return _marks(code) - F.aggregate(blocks, F.lit(0), lambda n, b: n + _marks(b["annotations"]))
+
+
 def _column(name, block, comment, is_pk, inferred) -> Column:
     type_raw = raw_type(block["java_type"])
     return F.struct(
@@ -340,7 +410,7 @@ def constants(region: Column) -> Column:
     split = F.transform(
         marked,
         lambda p: F.struct(
-            p[0].alias("name"), p[1].try_cast("bigint").alias("code"), p[2].alias("rest")
+            p[0].alias("name"), p[1].try_cast("bigint").alias("code"), shown(p[2]).alias("rest")
         ),
     )
     return F.filter(split, lambda c: c["code"].isNotNull())

@@ -61,13 +61,15 @@ _PHRASES = (
     r"(?:unbounded|current|\d++)\s++(?:preceding|following|row))"
     rf"(?!{_W})"
 )
-_PART = rf"(?:`[^`]++`|{_W}++)"
+# plain letters first: the wide class is slow
+_WORD = rf"(?:\w++(?:{_W}++)?+|{_W}++)"
+_PART = rf"(?:`[^`]++`|{_WORD})"
 # a name may start with a letter or a mark; dots join its parts
-_NAME = rf"(?:`[^`]++`|(?!\d){_W}++)(?:\s*+\.\s*+{_PART})*+(?:\s*+\.\s*+\*)?+"
+_NAME = rf"(?:`[^`]++`|(?!\d){_WORD})(?:\s*+\.\s*+{_PART})*+(?:\s*+\.\s*+\*)?+"
 _TOKEN = (
-    r"(?is)--[^\n]*+|\#[^\n]*+|/\*(?:[^*]++|\*(?!/))*+\*/"
-    rf"|{_PHRASES}|{_STR}|{_NAME}|\d++(?:\.\d++)?+(?:e[+-]?+\d++(?!{_W}))?+"
-    rf"|[:@$]{{1,2}}{_W}++|<=>|[<>!]=|<>|\|\||::|[^\s]"
+    r"(?s)--[^\n]*+|\#[^\n]*+|/\*(?:[^*]++|\*(?!/))*+\*/"
+    rf"|(?=[ofnlrOFNLR])(?i:{_PHRASES})|{_STR}|{_NAME}|\d++(?:\.\d++)?+(?:[eE][+-]?+\d++(?!{_W}))?+"
+    rf"|[:@$]{{1,2}}{_WORD}|<=>|[<>!]=|<>|\|\||::|[^\s]"
 )
 
 # Clauses, by the letter the machine remembers.

@@ -18,9 +18,12 @@ from semcat.operators.routing import entity_files
 KEY = ("repo_id", "source_file", "table_name")
 
 
-def _code(src: Column, settings: Settings) -> Column:
-    """What is read as code: nothing that is commented out."""
-    return src if settings.compat else java.without_comments(src)
+def _with_code(chosen: DataFrame, settings: Settings) -> DataFrame:
+    """Adds what is read as code: nothing that is commented out, no brackets too deep for patterns."""
+    if settings.compat:
+        return computed_once(chosen.withColumn("code", F.col("src")), "code")
+    bare = computed_once(chosen.withColumn("code", java.without_comments(F.col("src"))), "code")
+    return computed_once(bare.withColumn("code", java.flat("code")), "code")
 
 
 def _header(
@@ -47,13 +50,14 @@ def parse_entities(
     """
     src, path = F.col("src"), F.col("path")
     chosen = entity_files(files, settings, root)
-    chosen = computed_once(chosen.withColumn("code", _code(src, settings)), "code")
+    chosen = _with_code(chosen, settings)
     if not unnamed:
         # found before the costly part of the work
         chosen = chosen.filter(java.table_name(F.col("code")) != "")
     blocks = chosen.select(
         "repo_id",
         *_header(src, F.col("code"), path, settings, root),
+        "code",
         java.field_blocks(F.col("code"), settings.compat).alias("blocks"),
     )
     declared = blocks.withColumn(
@@ -76,7 +80,8 @@ def parse_entities(
         "extends_base",
         java.merged_columns(F.col("own"), F.col("extends_base"), settings).alias("columns"),
         (F.size("listed") - F.size("own")).alias("repeated"),
-    ).transform(lambda d: computed_once(d, "name", "columns", "repeated"))
+        java.unread_columns(F.col("code"), F.col("blocks")).alias("unread"),
+    ).transform(lambda d: computed_once(d, "name", "columns", "repeated", "unread"))
 
 
 def extract_tables(
@@ -85,7 +90,7 @@ def extract_tables(
     """Name, purpose, class and source of every entity file."""
     src, path = F.col("src"), F.col("path")
     chosen = entity_files(files, settings, root)
-    named = computed_once(chosen.withColumn("code", _code(src, settings)), "code")
+    named = _with_code(chosen, settings)
     named = named.filter(java.table_name(F.col("code")) != "")
     return named.select("repo_id", *_header(src, F.col("code"), path, settings, root))
 

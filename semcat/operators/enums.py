@@ -26,12 +26,13 @@ def parse_enums(
     left out of ``values``.
     """
     path = F.col("path")
-    text = F.col("src") if settings.compat else java.without_comments(F.col("src"))
-    named = (
-        enum_files(files, settings, root)
-        .withColumn("text", text)
-        .withColumn("short_name", java.enum_name(F.col("text")))
-    )
+    chosen = enum_files(files, settings, root)
+    if settings.compat:
+        chosen = chosen.withColumn("text", F.col("src"))
+    else:
+        chosen = computed_once(chosen.withColumn("text", java.without_comments(F.col("src"))), "text")
+        chosen = computed_once(chosen.withColumn("text", java.flat("text")), "text")
+    named = chosen.withColumn("short_name", java.enum_name(F.col("text")))
     if not unnamed:
         named = named.filter(F.col("short_name") != "")
     found = (

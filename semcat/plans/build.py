@@ -87,6 +87,7 @@ def rejects_of(entities: DataFrame, enums: DataFrame) -> DataFrame:
         entities,
         F.when(F.col("name") == "", "no table name"),
         F.when((F.col("name") != "") & (F.col("repeated") > 0), "repeated column name"),
+        F.when((F.col("name") != "") & (F.col("unread") > 0), "column annotation on no field"),
     )
     named = F.col("short_name") != ""
     of_enums = _reasons(

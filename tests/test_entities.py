@@ -1,5 +1,6 @@
 """Extraction of tables and columns; one test per decision on odd sources."""
 
+import pytest
 from pyspark.sql import functions as F
 
 from semcat.config import DEFAULTS
@@ -237,3 +238,48 @@ def test_deep_nesting_is_read(files):
     private Map<String, List<Map<String, List<Set<Long>>>>> wide;
 """
     assert set(columns(files, body)) == {"deep", "wide"}
+
+
+@pytest.mark.parametrize("depth", [9, 50])
+def test_any_depth_is_read(spark, files, depth):
+    calls = "(" * depth + "1 + 2" + ")" * depth
+    generics = "Map<String, " * depth + "Long" + ">" * depth
+    braces = "{" * depth + '"}"' + "}" * depth
+    body = f"""
+    @Check(value = {calls}, text = "(((")
+    @Column(name = "deep")
+    private String deep;
+
+    @ApiModelProperty("many levels")
+    private {generics} wide;
+
+    @Names({braces})
+    @Column(name = "listed")
+    private String listed;
+
+    void method() {{ {"if (a) {" * depth} b(); {"}" * depth} }}
+
+    @Column(name = "last")
+    private Long last;
+"""
+    got = columns(files, body)
+    assert set(got) == {"deep", "wide", "listed", "last"}
+    assert got["wide"].type_raw.count("<") == got["wide"].type_raw.count(">") and "\ufdd0" not in str(got)
+
+
+def test_unread_column_annotations_are_reported(spark, files):
+    src = entity('@Column(name = "a") private Long a;\n @Column(name = "b") public Long getB() { return b; }\n String s = "@Column(";')
+    found = build.rejects(files({"x/entity/A.java": src})).collect()
+    assert [r.reason for r in found] == ["column annotation on no field"]
+    assert build.rejects(files({"x/entity/A.java": entity('@Column(name = "a") private Long a;')})).count() == 0
+
+
+def test_parent_is_read_from_the_declaration(spark, files):
+    def extends(declaration):
+        src = HEAD + f'@Table(name = "t")\npublic {declaration} {{ }}\n'
+        return ent.extract_tables(files({"x/entity/A.java": src})).first().extends_base
+
+    base = DEFAULTS.base_entity
+    assert extends(f"class A extends {base}") and extends(f"class A<T extends Comparable<T>> extends com.x.{base}<T>")
+    assert not extends("class A extends Other") and not extends(f"class A<T extends {base}> implements B")
+    assert not extends(f"class A {{ class B extends {base} {{ }}")

@@ -1,5 +1,6 @@
 """Enums and message bundles."""
 
+import pytest
 from pyspark.sql import functions as F
 
 from semcat.config import DEFAULTS
@@ -159,3 +160,20 @@ def test_codes_are_met_within_repo_and_enum(spark):
 def test_large_ids_are_kept(spark):
     row = spark.range(1).select(parse_int_list(F.lit("18325, 9000000000, x")).alias("ids")).first()
     assert row.ids == [18325, 9000000000]
+
+
+@pytest.mark.parametrize("depth", [9, 50])
+def test_constants_of_any_depth(files, depth):
+    body = "{" * depth + " return 1; " + "}" * depth
+    calls = "f(" * depth + "1" + ")" * depth
+    src = f"""package com.acme.dict;
+public enum DeepState {{
+    A((short) 1, "a.a") {{ void f() {body} }},
+    B((short) 2, "b.b", {calls}, Sets.newHashSet(7, 8)),
+    C((short) 3, "c.c");
+    private Set<Integer> aggregator;
+    DeepState(int a) {{ this(9, "no"); }}
+}}
+"""
+    found = enu.extract_tenant_values(files({"a/dict/DeepState.java": src})).collect()
+    assert sorted((r.name, r.code, r.aggregators) for r in found) == [("A", 1, None), ("B", 2, [7, 8]), ("C", 3, None)]
