@@ -314,15 +314,15 @@ def _coarse_groups(sets: DataFrame, threshold: float) -> DataFrame:
     return stored(connected(edges))
 
 
-def _place(key: np.ndarray, doc_id: pa.Array) -> np.ndarray:
+def _place(key: np.ndarray, id_hash: pa.Array) -> np.ndarray:
     """A row's bit in the filter of members."""
-    ids = doc_id.cast(pa.int64()).fill_null(-1).to_numpy(zero_copy_only=False).view(np.uint64)
+    ids = id_hash.to_numpy(zero_copy_only=False).view(np.uint64)
     return tv.mix(key.view(np.uint64) ^ tv.mix(ids)) >> np.uint64(64 - FILTER_BITS)
 
 
 def _member_bits(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        place = _place(batch.column("key").to_numpy(), batch.column("doc_id"))
+        place = _place(batch.column("key").to_numpy(), batch.column("id_hash"))
         word = (place >> np.uint64(5)).astype(np.int32)
         bit = (np.uint64(1) << (place & np.uint64(31))).astype(np.int64)
         yield pa.RecordBatch.from_arrays([pa.array(word), pa.array(bit)], names=["word", "bits"])
@@ -330,7 +330,7 @@ def _member_bits(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def _member_filter(members: DataFrame) -> np.ndarray:
     """A bit for each member: a table of fixed size, whatever their number."""
-    words = members.select("key", "doc_id").mapInArrow(_member_bits, "word int, bits bigint")
+    words = members.select("key", "id_hash").mapInArrow(_member_bits, "word int, bits bigint")
     got = words.groupBy("word").agg(F.expr("bit_or(bits)").alias("bits")).toArrow()
     bits = np.zeros(1 << (FILTER_BITS - 5), np.uint32)
     bits[got.column("word").to_numpy()] = got.column("bits").to_numpy().astype(np.uint32)
@@ -338,14 +338,14 @@ def _member_filter(members: DataFrame) -> np.ndarray:
 
 
 def _sets_of_members(bits, k: int):
-    """(doc_id, key, shingles) of the texts whose bit is set, made once more from their words."""
+    """(id_hash, key, shingles) of the texts whose bit is set, made once more from their words."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         table = bits.value
         sent: set = set()
         for batch in batches:
             for a, b, shingles, first, key in _sets(batch.column("text"), k):
-                ids = batch.column("doc_id").slice(a, b - a)
+                ids = batch.column("id_hash").slice(a, b - a)
                 place = _place(key, ids)
                 keep = (table[place >> np.uint64(5)] >> (place & np.uint64(31)).astype(np.uint32)) & 1
                 keep[np.diff(first) == 0] = 0
@@ -360,7 +360,7 @@ def _sets_of_members(bits, k: int):
                     rows = pa.array(rows)
                     yield pa.RecordBatch.from_arrays(
                         [ids.take(rows), pa.array(tv.signed(key)).take(rows), every.take(rows)],
-                        names=["doc_id", "key", "shingles"],
+                        names=["id_hash", "key", "shingles"],
                     )
 
     return run
@@ -447,17 +447,19 @@ def similarity_join(
     Words are runs of letters, digits and characters beyond ASCII, with A-Z
     lower-cased. A text of fewer than ``k`` words has one shingle, all its words.
 
-    Rows without any word (null, empty or only signs) link to nothing: their
-    class is their own id. Repeated rows are copies of each other. A null id
+    Ids are of any type that has an order; they keep it. Rows without any word
+    (null, empty or only signs) link to nothing: their class is their own id. Very
+    long texts are compared whole. Repeated rows are copies of each other. A null id
     stays null and never names a class unless all ids of the class are null.
     Other columns are not looked at. An empty table gives no rows.
     """
     plan = [(r, int(i)) for r in range(runs_needed(recall)) for i in _sampled(0, r + 1, threshold)]
-    texts = docs.select(F.col(id_col).cast("bigint").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
+    texts = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).cast("string").alias("text"))
+    kind = texts.schema["doc_id"].dataType.simpleString()
     features = stored(
         texts.mapInArrow(
             _features(k, plan),
-            "doc_id bigint, key bigint, n int, paths array<bigint>, sketch binary",
+            f"doc_id {kind}, key bigint, n int, paths array<bigint>, sketch binary",
         )
     )
     sets = stored(
@@ -472,20 +474,22 @@ def similarity_join(
         )
     )
     groups = _coarse_groups(sets, threshold)
-    members = groups.withColumnRenamed("node", "key").join(sets.select("key", "doc_id", "copies", "n"), "key")
+    id_hash = F.xxhash64("doc_id").alias("id_hash")
+    members = groups.withColumnRenamed("node", "key").join(sets.select("key", id_hash, "copies", "n"), "key")
     blocks = groups.join(sets.select(F.col("key").alias("node"), "n"), "node").groupBy("label").agg(
         F.ceil(F.greatest(F.count("*") / BLOCK_SETS, F.sum("n") / BLOCK_SHINGLES)).cast("int").alias("blocks")
     )
     members = stored(members.join(blocks, "label"))
     bits = docs.sparkSession.sparkContext.broadcast(_member_filter(members))
     counted = stored(
-        texts.mapInArrow(_sets_of_members(bits, k), "doc_id bigint, key bigint, shingles binary")
+        texts.select(id_hash, "text")
+        .mapInArrow(_sets_of_members(bits, k), "id_hash bigint, key bigint, shingles binary")
         .join(
-            members.select("label", "key", F.col("doc_id").alias("_id"), "copies", "blocks"),
+            members.select("label", "key", F.col("id_hash").alias("_id"), "copies", "blocks"),
             "key",
         )
-        .filter(F.col("doc_id").eqNullSafe(F.col("_id")))
-        .transform(lambda d: _blocked(d.drop("_id", "doc_id"), F.col("blocks")))
+        .filter("id_hash = _id")
+        .transform(lambda d: _blocked(d.drop("_id", "id_hash"), F.col("blocks")))
         .select("label", "i", "j", "block", "key", "copies", "shingles")
         .repartition("label", "i", "j")
         .sortWithinPartitions("label", "i", "j")
@@ -508,13 +512,15 @@ def similarity_join(
     per_set = stored(per_set)
     named = per_set.groupBy("label").agg(F.min("doc_id").alias("class_id"))
     per_set = per_set.join(named, "label").select("key", "class_id", "n_links")
-    return (
-        features.select("doc_id", "key", "n")
-        .join(per_set, "key", "left")
-        .select(
-            "doc_id",
-            F.when(F.col("n_links").isNull(), F.col("doc_id")).otherwise(F.col("class_id")).alias("class_id"),
-            F.coalesce("n_links", F.lit(0)).cast("bigint").alias("n_links"),
-            F.col("n").cast("bigint").alias("n_shingles"),
-        )
+    rows = features.select("doc_id", "key", "n")
+    linked = rows.filter("key is not null").join(per_set, "key", "left")
+    # rows without words meet nothing; one key of theirs would gather them in one task
+    alone = rows.filter("key is null").withColumns(
+        {"class_id": F.lit(None).cast(per_set.schema["class_id"].dataType), "n_links": F.lit(None).cast("bigint")}
+    )
+    return linked.unionByName(alone).select(
+        "doc_id",
+        F.when(F.col("n_links").isNull(), F.col("doc_id")).otherwise(F.col("class_id")).alias("class_id"),
+        F.coalesce("n_links", F.lit(0)).cast("bigint").alias("n_links"),
+        F.col("n").cast("bigint").alias("n_shingles"),
     )

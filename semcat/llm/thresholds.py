@@ -48,15 +48,24 @@ def _windows(words: str) -> Column:
     return F.expr(f"if(size({words}) >= 3, sort_array({i}), cast(array() as array<bigint>))")
 
 
-def _repeated(windows: str) -> Column:
-    """Places of the windows whose hash is next to an equal one."""
-    same = "shiftright({0}, _bits) = shiftright({1}, _bits)"
+def _next_to(windows: str, same: str) -> str:
+    """The elements that equal the one before or after by ``same``, which says when ``{0}`` equals ``{1}``."""
     before = same.format(f"get({windows}, i - 1)", "x")
     after = same.format(f"get({windows}, i + 1)", "x")
-    return F.expr(
-        f"sort_array(transform(filter({windows}, (x, i) -> coalesce({before}, false) or coalesce({after}, false)),"
-        " x -> cast(x & (shiftleft(1L, _bits) - 1) as int)))"
-    )
+    return f"filter({windows}, (x, i) -> coalesce({before}, false) or coalesce({after}, false))"
+
+
+def _suspects(windows: str, words: str) -> Column:
+    """Words and place of the windows whose hash meets another one's, sorted."""
+    met = _next_to(windows, "shiftright({0}, _bits) = shiftright({1}, _bits)")
+    at = "cast(x & (shiftleft(1L, _bits) - 1) as int)"
+    text = f"concat_ws(' ', get({words}, at), get({words}, at + 1), get({words}, at + 2))"
+    return F.expr(f"sort_array(transform(transform({met}, x -> {at}), at -> named_struct('w', {text}, 'at', at)))")
+
+
+def _repeated(suspects: str) -> Column:
+    """Places of the windows whose words are found twice: hashes alone may meet by chance in long texts."""
+    return F.expr(f"sort_array(transform({_next_to(suspects, '{0}.w = {1}.w')}, x -> x.at))")
 
 
 def _covered(starts: str) -> Column:
@@ -80,7 +89,7 @@ def measured(docs: DataFrame, text_col: str = "text") -> DataFrame:
     docs = docs.withColumn("_windows", _windows("_words")).withColumn(
         "_lines", F.filter(F.split("_text", "\n"), lambda x: F.ltrim(x, F.lit(SPACE_CHARS)) != "")
     )
-    docs = docs.withColumn("_starts", _repeated("_windows"))
+    docs = docs.withColumn("_suspects", _suspects("_windows", "_words")).withColumn("_starts", _repeated("_suspects"))
     counts = F.struct(
         F.size("_words").alias("n_words"),
         F.length(F.array_join("_words", "")).alias("word_chars"),

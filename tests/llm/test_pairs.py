@@ -124,3 +124,12 @@ def test_winnowing_of_nothing(spark, docs):
     assert [tuple(r)[:3] for r in winnowing.decontaminate(docs([(1, "a b")]), none).collect()] == [(1, 2, 0)]
     some = spark.createDataFrame([(1, "a b")], "item_id bigint, text string")
     assert winnowing.decontaminate(docs([]), some).count() == 0
+
+
+def test_ids_of_any_type(spark, docs):
+    rows = [("u-2", "a b c d e f g"), ("u-1", "a b c d e f g"), ("u-10", "other words stand in this one"), (None, "a b c d e f g")]
+    rows += [("u-3", None), ("u-3", ""), ("u-4", "...")]
+    df = spark.createDataFrame(rows, "doc_id string, text string")
+    got = sorted(((r.doc_id, r.class_id, r.n_links) for r in chosenpath.similarity_join(df).collect()), key=repr)
+    want = [("u-2", "u-1", 2), ("u-1", "u-1", 2), ("u-10", "u-10", 0), (None, "u-1", 2), ("u-3", "u-3", 0), ("u-3", "u-3", 0), ("u-4", "u-4", 0)]
+    assert got == sorted(want, key=repr)

@@ -38,6 +38,44 @@ def test_stages_do_what_they_say(spark):
     assert {r.doc_id for r in packed} == ids[3] and all(r.length <= 1024 for r in packed)
 
 
+def odd(spark, rows):
+    """Documents whose other columns have the names that stages use."""
+    full = [(i, t, "en", None, len(t or ""), f"k{n}", True, "x") for n, (i, t) in enumerate(rows)]
+    return spark.createDataFrame(full, "doc_id bigint, text string, lang string, source string, n_chars bigint, _key string, _gone boolean, quality_rules string")
+
+
+def test_decisions_are_by_row(spark, tmp_path):
+    words = [" ".join(f"{c}{i}" for i in range(60)) for c in "abcdef"]
+    passage = "benchmark " + " ".join(f"item{i}" for i in range(30))
+    spark.createDataFrame([(1, passage)], "item_id bigint, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    stages = dict(corpus_pipeline.STAGES)
+    # one id on two texts: the copy goes, the other text stays; null ids come last
+    rows = [(1, words[0]), (2, words[0] + " more"), (2, words[1]), (None, words[1]), (None, words[2]), (3, words[3]), (3, words[3])]
+    rows += [(4, None), (4, ""), (4, ""), (None, "...")]
+    docs = odd(spark, rows)
+    got = stages["ngram_jaccard_join"](spark, docs, str(tmp_path))
+    assert got.columns == docs.columns
+    want = [(1, words[0]), (2, words[1]), (None, words[2]), (3, words[3]), (4, None), (4, ""), (4, ""), (None, "...")]
+    assert sorted(((r.doc_id, r.text) for r in got.collect()), key=repr) == sorted(want, key=repr)
+    rows = [(7, words[0]), (7, f"{words[1]} {passage}"), (None, f"{passage} {words[2]}"), (None, words[2]), (8, None), (8, passage), (8, passage)]
+    rows += [(9, "long " * 40000 + passage), (10, "long " * 40000)]
+    docs = odd(spark, rows)
+    got = stages["benchmark_decontamination"](spark, docs, str(tmp_path))
+    want = [(7, words[0]), (None, words[2]), (8, None), (10, "long " * 40000)]
+    assert got.columns == docs.columns
+    assert sorted(((r.doc_id, r.text) for r in got.collect()), key=repr) == sorted(want, key=repr)
+
+
+def test_stages_take_empty_tables(spark, tmp_path):
+    spark.createDataFrame([], "item_id bigint, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    spark.createDataFrame([], "doc_id bigint, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
+    none = odd(spark, [])
+    for name, stage in corpus_pipeline.STAGES[1:]:
+        assert stage(spark, none, str(tmp_path)).count() == 0, name
+    some = odd(spark, [(1, "a b c"), (None, None)])
+    assert corpus_pipeline.benchmark_decontamination(spark, some, str(tmp_path)).count() == 2
+
+
 def test_all_are_registered():
     assert {*QUERIES, "pipeline"} <= set(entry.queries())
     assert sorted(int(n[2:].split("_")[0]) for n in QUERIES) == list(range(1, 14))

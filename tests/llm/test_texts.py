@@ -310,3 +310,10 @@ def test_state_is_carried_across_windows_and_gradients_are_right():
     recurrent._learn(network, seen, one, 1e6 * 1e-3)
     for (p, place), slope in want.items():
         assert (before[p][place] - parts[p][place]) / 1e-3 == pytest.approx(slope, rel=0.1, abs=2e-3)
+
+
+def test_no_window_is_repeated_by_chance(spark):
+    numbers = F.transform(F.sequence(F.lit(1), F.lit(4_000_000)), lambda i: F.conv(i, 10, 36))
+    df = spark.range(1).select(F.array_join(numbers, " ").alias("text"), F.array_join(F.concat(numbers, F.slice(numbers, 7, 5)), " ").alias("again"))
+    assert thresholds.measured(df, "text").first()._m.n_repeat_words == 0
+    assert thresholds.measured(df, "again").first()._m.n_repeat_words == 10
