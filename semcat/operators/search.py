@@ -316,10 +316,12 @@ def search_tables(
     domain: str | None = None,
     k: int = SEARCH_LIMIT,
     store: bool = False,
+    index: Index | None = None,
 ) -> DataFrame:
     """Tables for each query, ranked; by substring where ranking finds none.
 
-    ``domain`` narrows the tables before the best ``k`` are taken.
+    ``domain`` narrows the tables before the best ``k`` are taken. ``index`` is one that is kept; without
+    it the tables' texts are indexed for this call.
     """
     tables = catalog["tables"]
     facts = tables.select(
@@ -332,7 +334,7 @@ def search_tables(
     )
     if domain is not None:
         facts = facts.filter(F.col("domain") == domain)
-    index = build_index(tables, ["name", "purpose", "domain"], "name", store)
+    index = index or build_index(tables, ["name", "purpose", "domain"], "name", store)
     scored = score_bm25(index, queries)
     if domain is not None:
         scored = scored.join(facts.select(*DOC), DOC, "left_semi")
@@ -345,19 +347,19 @@ def search_tables(
 
 
 def search_columns(
-    catalog: dict[str, DataFrame], queries: DataFrame, k: int = SEARCH_LIMIT
+    catalog: dict[str, DataFrame], queries: DataFrame, k: int = SEARCH_LIMIT, index: Index | None = None
 ) -> DataFrame:
-    """Columns for each query by name, comment and type."""
+    """Columns for each query by name, comment and type; ``index`` is one that is kept."""
     columns = catalog["columns"].withColumn(
         "doc_id", F.concat_ws(".", "table_name", "name")
     )
-    index = build_index(columns, ["name", "comment", "type"])
+    index = index or build_index(columns, ["name", "comment", "type"])
     return rank_bm25(index, queries, k).withColumnRenamed("doc_id", "column_name")
 
 
 def search_enums(
-    catalog: dict[str, DataFrame], queries: DataFrame, k: int = SEARCH_LIMIT
+    catalog: dict[str, DataFrame], queries: DataFrame, k: int = SEARCH_LIMIT, index: Index | None = None
 ) -> DataFrame:
-    """Enums for each query by short name and class."""
-    index = build_index(catalog["enums"], ["short_name", "enum_class"], "enum_class")
+    """Enums for each query by short name and class; ``index`` is one that is kept."""
+    index = index or build_index(catalog["enums"], ["short_name", "enum_class"], "enum_class")
     return rank_bm25(index, queries, k).withColumnRenamed("doc_id", "enum_class")

@@ -13,7 +13,7 @@ from semcat.functions.text import camel_to_snake, decode_escapes, normalize_type
 from semcat.operators import compare, entities, enums, grounding, lookup, routing, search, semantics
 from semcat.plans import build
 from semcat.plans.lineage import shared_folder, stored
-from semcat.sources import catalog_store, files as source_files
+from semcat.sources import catalog_store, files as source_files, index_store
 from workloads import corpus as C
 
 QUERIES: dict = {}
@@ -518,6 +518,30 @@ def q_rank_bm25(spark, sf_dir):
     return search.rank_bm25(_docs_index(spark, sf_dir), _benchmark(spark, sf_dir)).select(*RANKED)
 
 
+def _kept_index(spark, sf_dir) -> index_store.KeptIndex:
+    """A kept index of all documents after some changes: old texts replaced, copies added and removed again."""
+    docs = C.search_docs(C.load(spark, sf_dir, "documents"))
+    even = F.col("doc_id") % 2 == 0
+    old = docs.withColumn("text", F.when(even, F.reverse("text")).otherwise(F.col("text")))
+    copies = docs.filter("doc_id % 5 = 0").withColumn("doc_id", -1 - F.col("doc_id"))
+    kept = index_store.create_index(old.unionByName(copies), shared_folder(spark), ["text", "lang"], n_buckets=16)
+    kept = index_store.add_docs(kept, docs.filter(even))
+    index_store.remove_docs(kept, copies.unionByName(copies))
+    return index_store.open_index(spark, kept.path)
+
+
+@query
+def q_rank_bm25_kept(spark, sf_dir):
+    """Ranking from a kept index that was changed twice; it reads the postings of the queries' words."""
+    return index_store.rank(_kept_index(spark, sf_dir), _benchmark(spark, sf_dir)).select(*RANKED)
+
+
+@query
+def q_rank_bm25_kept_phrase(spark, sf_dir):
+    found = index_store.rank(_kept_index(spark, sf_dir), _benchmark(spark, sf_dir), mode="phrase")
+    return found.select(*RANKED)
+
+
 @query
 def q_rank_bm25_any(spark, sf_dir):
     found = search.rank_bm25(_docs_index(spark, sf_dir), _benchmark(spark, sf_dir), mode="any")
@@ -625,6 +649,19 @@ def q_search_tables(spark, sf_dir):
     )
 
 
+@query
+def q_search_tables_kept(spark, sf_dir):
+    """As search_tables, from the index that is kept with the catalog."""
+    held = _name_catalog(spark, sf_dir)
+    held["enums"] = spark.createDataFrame([], "repo_id string, enum_class string, short_name string")
+    folder = shared_folder(spark)
+    index_store.keep_catalog(held, folder)
+    names = _names(spark, sf_dir)
+    kept = index_store.open_catalog(spark, folder)["tables"]
+    found = search.search_tables(held, names, index=index_store.index_for(kept, names))
+    return found.select("query_id", "table_name", "rank", "found_by")
+
+
 @query
 def q_search_tables_in_domain(spark, sf_dir):
     found = search.search_tables(
