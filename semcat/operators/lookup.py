@@ -66,15 +66,17 @@ def guidance(tables: DataFrame, settings: Settings = DEFAULTS) -> DataFrame:
     )
 
 
-def bound_enums(columns: DataFrame) -> DataFrame:
-    """Columns that carry an enum class."""
-    return columns.filter("enum_class is not null").select(
-        *TABLE,
-        "name",
-        "enum_class",
-        F.lit(True).alias("bound"),
-        F.lit("declared").alias("confidence"),
-    )
+def bound_enums(columns: DataFrame, bindings: DataFrame | None = None) -> DataFrame:
+    """Columns that carry an enum class.
+
+    With the catalog's ``bindings`` those that were only matched by name are ``inferred``, not ``declared``.
+    """
+    found = columns.filter("enum_class is not null").select(*TABLE, "name", "enum_class", F.lit(True).alias("bound"))
+    if bindings is None:
+        return found.withColumn("confidence", F.lit("declared"))
+    key = [*TABLE, "name", "enum_class"]
+    guessed = bindings.filter("confidence = 'inferred'").select(*key, "confidence").distinct()
+    return found.join(guessed, key, "left").withColumn("confidence", F.coalesce("confidence", F.lit("declared")))
 
 
 def enum_candidates(
@@ -146,12 +148,12 @@ def table_detail(
     catalog: dict[str, DataFrame],
     tables: DataFrame | None = None,
     settings: Settings = DEFAULTS,
-    k_relations: int | None = RELATION_LIMIT,
-    k_candidates: int | None = CANDIDATE_LIMIT,
+    k_relations: int | None = None,
+    k_candidates: int | None = None,
 ) -> DataFrame:
     """Everything known about each requested table, one row per table.
 
-    Relations and enum candidates are the first so many; all of them with ``None``.
+    All relations and enum candidates, or the first so many.
 
     ``tables`` holds requests ``(repo_id, table_name)``; left out, all tables are
     described. A request that fits no table has only ``error`` filled in.
@@ -169,7 +171,7 @@ def table_detail(
         return df if wanted is None else df.join(wanted, TABLE, "left_semi")
 
     columns = of_wanted(catalog["columns"])
-    # a table's columns, bindings and (at most k) relations are few: they may be lists
+    # a table's columns, bindings and outgoing relations are few: they may be lists
     fields = F.struct(
         "ordinal",
         "name",
@@ -191,7 +193,7 @@ def table_detail(
             ).alias("enums")
         )
     )
-    bound = bound_enums(columns).select(
+    bound = bound_enums(columns, catalog.get("bindings")).select(
         *TABLE, "name", "bound", "confidence", F.array("enum_class").alias("enums")
     )
     bindings = (

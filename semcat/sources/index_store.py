@@ -15,7 +15,6 @@ Ranking reads the buckets of the queries' words and nothing else of the postings
 
 from __future__ import annotations
 
-import json
 import uuid
 from dataclasses import dataclass, replace
 
@@ -27,6 +26,7 @@ from semcat.functions.rows import exploded
 from semcat.functions.text import tokenize
 from semcat.operators import search
 from semcat.plans.lineage import side_hint, sized, stored
+from semcat.sources import versions
 
 BUCKETS = 64
 # generations that are read together before they are merged into one
@@ -62,35 +62,21 @@ class KeptIndex:
 # ----------------------------------------------------------------- the versions
 
 
-def _files(spark: SparkSession, folder: str):
-    path = spark._jvm.org.apache.hadoop.fs.Path(folder)
-    return path.getFileSystem(spark._jsc.hadoopConfiguration()), path
-
-
-def _versions(spark: SparkSession, path: str) -> list[int]:
-    """Complete versions, oldest first."""
-    system, folder = _files(spark, f"{path}/versions")
-    if not system.exists(folder):
-        return []
-    names = [s.getPath().getName() for s in system.listStatus(folder)]
-    return sorted(int(n) for n in names if n.isdigit() and system.exists(_files(spark, f"{path}/versions/{n}/_SUCCESS")[1]))
-
-
 def _publish(spark: SparkSession, index: KeptIndex) -> KeptIndex:
     """Write the version after ``index.version``; two writers of one version: the second one fails."""
     made = replace(index, version=index.version + 1)
-    text = json.dumps({"fields": made.fields, "id_type": made.id_type, "n_buckets": made.n_buckets, "generations": made.generations})
-    spark.createDataFrame([(text,)], "value string").coalesce(1).write.mode("errorifexists").text(f"{made.path}/versions/{made.version}")
+    content = {"fields": made.fields, "id_type": made.id_type, "n_buckets": made.n_buckets, "generations": made.generations}
+    versions.publish(spark, made.path, made.version, content)
     return made
 
 
 def open_index(spark: SparkSession, path: str, version: int | None = None) -> KeptIndex:
     """The newest version of the index, or the one asked for."""
-    known = _versions(spark, path)
+    known = versions.known(spark, path)
     if not known or (version is not None and version not in known):
         raise FileNotFoundError(f"no such index: {path}, version {version or 'any'}")
     number = known[-1] if version is None else version
-    held = json.loads(spark.read.text(f"{path}/versions/{number}", wholetext=True).first().value)
+    held = versions.read(spark, path, number)
     return KeptIndex(path, tuple(held["fields"]), held["id_type"], held["n_buckets"], number, tuple(held["generations"]))
 
 
@@ -98,7 +84,7 @@ def create_index(
     docs: DataFrame, path: str, text_cols: list[str], doc_id: str = "doc_id", n_buckets: int = BUCKETS
 ) -> KeptIndex:
     """A new index of ``docs`` ``(repo_id, <doc_id>, ...)``; its folder must not hold one."""
-    if _versions(docs.sparkSession, path):
+    if versions.known(docs.sparkSession, path):
         raise FileExistsError(f"{path} holds an index: add to it")
     kind = docs.schema[doc_id].dataType.simpleString()
     return add_docs(KeptIndex(path, tuple(text_cols), kind, n_buckets, 0, ()), docs, doc_id)
@@ -193,19 +179,15 @@ def sweep(spark: SparkSession, path: str, keep_versions: int = 1) -> list[str]:
 
     Readers of older versions, and writers that are not done, must be gone.
     """
-    known = _versions(spark, path)
+    known = versions.known(spark, path)
     named = {g for n in known[-keep_versions:] for g in open_index(spark, path, n).generations}
     gone = set()
     for table in ("postings", "docs", "dropped", "words"):
-        system, folder = _files(spark, f"{path}/{table}")
-        for status in system.listStatus(folder) if system.exists(folder) else ():
-            gen = status.getPath().getName().removeprefix("gen=")
-            if gen not in named:
-                gone.add(gen)
-                system.delete(status.getPath(), True)
-    for number in known[:-keep_versions]:
-        system, folder = _files(spark, f"{path}/versions/{number}")
-        system.delete(folder, True)
+        for folder in versions.folders(spark, f"{path}/{table}"):
+            if folder.removeprefix("gen=") not in named:
+                gone.add(folder.removeprefix("gen="))
+                versions.delete(spark, f"{path}/{table}/{folder}")
+    versions.forget(spark, path, keep_versions)
     return sorted(gone)
 
 
@@ -298,7 +280,7 @@ def keep_catalog(catalog: dict[str, DataFrame], path: str) -> dict[str, KeptInde
         spark = rows.sparkSession
         if name == "columns":
             rows = rows.withColumn(key, F.concat_ws(".", "table_name", "name"))
-        if not _versions(spark, f"{path}/{name}"):
+        if not versions.known(spark, f"{path}/{name}"):
             made[name] = create_index(rows, f"{path}/{name}", texts, key)
             continue
         kept = open_index(spark, f"{path}/{name}")

@@ -223,3 +223,71 @@ def test_run_folder_is_shared_and_removed(spark, monkeypatch):
     lineage.close(spark)
     fs = path.getFileSystem(spark._jsc.hadoopConfiguration())
     assert fs.exists(path) and not fs.exists(spark._jvm.org.apache.hadoop.fs.Path(other))
+
+
+def test_detail_is_whole_and_says_what_was_guessed(spark):
+    columns = spark.createDataFrame(
+        [("r", "t", "status", "Short", "c.A"), ("r", "t", "kind", "Short", "c.B"), ("r", "t", "type", "Short", None)],
+        "repo_id string, table_name string, name string, type_raw string, enum_class string",
+    )
+    bindings = spark.createDataFrame(
+        [("r", "t", "status", "c.A", "curated"), ("r", "t", "kind", "c.B", "inferred")],
+        "repo_id string, table_name string, name string, enum_class string, confidence string",
+    )
+    found = {r.name: r.confidence for r in lookup.bound_enums(columns, bindings).collect()}
+    assert found == {"status": "declared", "kind": "inferred"}
+    assert {r.confidence for r in lookup.bound_enums(columns).collect()} == {"declared"}
+    many = spark.createDataFrame([("r", "a", f"c{i}", f"t{i}", "id", "fk", "inferred") for i in range(30)], "repo_id string, from_table string, from_column string, to_table string, to_column string, kind string, confidence string")
+    enums = spark.createDataFrame([("r", f"c.OrderType{i}", f"OrderType{i}") for i in range(5)], "repo_id string, enum_class string, short_name string")
+    catalog = {
+        "tables": spark.createDataFrame([("r", "a", "p", None, [], "d")], "repo_id string, name string, purpose string, soft_delete_column string, dimension_fields array<string>, domain string"),
+        "columns": spark.createDataFrame([("r", "a", "type", "Short", None, 1, False, True, "", False, False)], "repo_id string, table_name string, name string, type_raw string, enum_class string, ordinal int, is_pk boolean, is_nullable boolean, comment string, from_base_entity boolean, name_inferred boolean"),
+        "enums": enums, "relations": many, "bindings": bindings,
+        "table_meta": spark.createDataFrame([], "repo_id string, table_name string, kind string, content string, source string"),
+    }
+    row = lookup.table_detail(catalog).first()
+    assert len(row.relations) == 30 and len(row.enum_bindings[0].enums) == 5
+    row = lookup.table_detail(catalog, k_relations=20, k_candidates=3).first()
+    assert len(row.relations) == 20 and len(row.enum_bindings[0].enums) == 3
+
+
+def test_a_write_is_seen_whole_or_not_at_all(catalog, spark, tmp_path, monkeypatch):
+    path = str(tmp_path / "versions")
+    store.write_catalog(catalog, path)
+    before = store.read_catalog(spark, path)
+    counts = {name: df.count() for name, df in before.items()}
+    shorter = {name: df.filter("repo_id = 'other'") if name == "tables" else df for name, df in catalog.items()}
+    written, real = [], store._written
+
+    def killed(df, folder):
+        if written:
+            raise RuntimeError("killed between two tables")
+        written.append(folder)
+        return real(df, folder)
+
+    with monkeypatch.context() as m:
+        m.setattr(store, "_written", killed)
+        with pytest.raises(RuntimeError):
+            store.write_catalog(shorter, path)
+    assert {name: df.count() for name, df in store.read_catalog(spark, path).items()} == counts
+    # started again it succeeds, and readers of the old version are not disturbed
+    store.write_catalog(shorter, path)
+    assert store.read_catalog(spark, path)["tables"].count() == 1
+    assert {name: df.count() for name, df in before.items()} == counts
+    assert store.read_catalog(spark, path, version=1)["tables"].count() == counts["tables"]
+    assert store.sweep(spark, path) > 0 and store.sweep(spark, path) == 0
+    assert store.read_catalog(spark, path)["tables"].count() == 1
+    with pytest.raises(FileNotFoundError):
+        store.read_catalog(spark, path, version=1)
+
+
+def test_of_two_writers_one_fails(catalog, spark, tmp_path, monkeypatch):
+    path = str(tmp_path / "two")
+    store.write_catalog({"tables": catalog["tables"]}, path)
+    latest, stale = store._latest, store._latest(spark, path)
+    store.append_rows(build.no_meta(catalog["tables"]), path, "table_meta")
+    monkeypatch.setattr(store, "_latest", lambda *a: stale)
+    with pytest.raises(Exception, match="(?i)exist"):
+        store.write_catalog({"tables": catalog["tables"].limit(0)}, path)
+    monkeypatch.setattr(store, "_latest", latest)
+    assert store.read_catalog(spark, path)["tables"].count() == 2

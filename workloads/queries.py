@@ -762,7 +762,8 @@ def q_enum_candidates(spark, sf_dir):
 
 @query
 def q_bound_enums(spark, sf_dir):
-    found = lookup.bound_enums(bound_catalog(spark, sf_dir)["columns"])
+    bound = bound_catalog(spark, sf_dir)
+    found = lookup.bound_enums(bound["columns"], bound["bindings"])
     return found.select("table_name", "name", "enum_class", "bound", "confidence")
 
 
