@@ -513,8 +513,11 @@ def mine(
     # near anchors read the same blocks, so a batch is a stretch of the curve
     size = anchors.agg(F.count("*").alias("n"), F.sum(F.lit(4).cast("bigint") * F.col("dim")).alias("b")).first()
     n_batches = max(1, -(-size.n // batch_anchors), -(-(size.b or 0) // ANCHOR_BYTES))
-    dealt = anchors.repartitionByRange(int(n_batches), "dim", "place", "id").withColumn("batch", F.spark_partition_id())
-    dealt = stored(dealt)
+    borders = []
+    if n_batches > 1:
+        borders = sorted(set(anchors.approxQuantile("place", [i / n_batches for i in range(1, n_batches)], 0.2 / n_batches)))
+    passed = F.filter(F.array(*[F.lit(x) for x in borders]).cast("array<double>"), lambda x: x <= F.col("place"))
+    dealt = stored(anchors.withColumn("batch", F.size(passed)))
     sizes = {r.batch: -(-r["n"] // (2 * batch_anchors)) for r in dealt.groupBy("batch").agg(F.count("*").alias("n")).collect()}
     folder = shared_folder(spark)
     spark.createDataFrame([], RESULT).write.parquet(f"{folder}/batch=none")
