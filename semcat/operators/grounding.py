@@ -128,7 +128,7 @@ def extract_column_refs(log: DataFrame, repo_id: str | None = "") -> DataFrame:
 
 
 def extract_equalities(log: DataFrame, repo_id: str | None = "") -> DataFrame:
-    """Distinct columns compared to literals, with the literal as integer if it is one."""
+    """Distinct columns compared to literals, as written between quotes, and as integer if it is one."""
     statements = read_statements(log, repo_id, ("equalities",))
     pairs = _apart("equalities", "qualifier", "column", "literal", "code")
     return exploded(statements, pairs, "repo_id", "query_id", value="e").select(

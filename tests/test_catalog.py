@@ -198,7 +198,39 @@ def test_drift_and_diff(spark, catalog):
     rows = compare.schema_rows(spark.range(1).withColumn("Name", F.lit("x")), "r", "t").collect()
     assert [(r.name, r.data_type) for r in rows] == [("id", "bigint"), ("name", "string")]
     diff = {(r.catalog_table, r.change) for r in compare.repo_diff(catalog, "r", "other").collect()}
-    assert diff == {("enums", "only_left"), ("enum_values", "only_left")}
+    assert diff == {("enums", "only_left"), ("enum_values", "only_left"), ("i18n_keys", "only_left")}
+
+
+def test_diff_names_fields_and_pairs_renames(spark):
+    value = "repo_id string, enum_class string, code bigint, name string, meaning string, aggregators array<bigint>"
+    rows = [
+        ("a", "E", 1, "ONE", "one", [2, 1]), ("b", "E", 1, "ONE", "one", [1, 2]),  # the order of a set
+        ("a", "E", 2, "TWO", "two", None), ("b", "E", 2, "TWO", "pair", [7]),
+        ("a", "E", 3, "OLD", "three", None), ("b", "E", 3, "NEW", "three", None),
+        ("a", "E", 4, "P", "p", None), ("a", "E", 4, "Q", "q", None), ("b", "E", 4, "R", "r", None),
+        ("a", "E", None, "NONE", "none", None), ("b", "E", None, "NONE", "none", None),  # null keys are equal
+        ("a", "E", None, "GONE", None, None), ("b", None, None, "HERE", None, None),
+    ]
+    diff = compare.repo_diff({"enum_values": spark.createDataFrame(rows, value)}, "a", "b")
+    found = {(r.item, r.change, tuple(r.fields or ()), r.renamed_to) for r in compare.pair_renames(diff).collect()}
+    assert found == {
+        ("E.2.TWO", "changed", ("meaning", "aggregators"), None),
+        ("E.3.OLD", "renamed", (), "E.3.NEW"),
+        ("E.4.P", "only_left", (), None), ("E.4.Q", "only_left", (), None), ("E.4.R", "only_right", (), None),
+        ("E.GONE", "only_left", (), None), ("HERE", "only_right", (), None),
+    }
+    assert compare.pair_renames(diff.limit(0)).collect() == []
+
+
+def test_drift_trend_follows_each_repo(spark):
+    reports = spark.createDataFrame(
+        [("r", "x", 2, 5, 1, 0), ("r", "x", 1, 3, 1, 2), ("r", "y", 1, 9, 9, 9), ("s", "x", 1, 0, 0, 0)],
+        "repo_id string, source string, at int, added bigint, removed bigint, type_changed bigint",
+    ).selectExpr("*", "timestamp_seconds(at) as checked_at").drop("at")
+    rows = {(r.repo_id, r.source, r.check_no): (r.added_since, r.removed_since, r.type_changed_since)
+            for r in compare.drift_trend(reports).collect()}
+    none = (None, None, None)
+    assert rows == {("r", "x", 1): none, ("r", "x", 2): (2, 0, -2), ("r", "y", 1): none, ("s", "x", 1): none}
 
 
 def test_repo_without_rows_is_replaced_by_name(catalog, spark, tmp_path):

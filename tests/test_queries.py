@@ -53,7 +53,7 @@ def test_query(spark, duck, name):
 
 
 @pytest.mark.parametrize("name", [
-    "drift_check_whole", "table_detail_whole", "search_like_whole", "rank_bm25_column_text", "rank_bm25_column_lang",
+    "drift_check_whole", "drift_trend", "repo_diff_whole", "audit_checks", "table_detail_whole", "search_like_whole", "rank_bm25_column_text", "rank_bm25_column_lang",
 ])
 def test_whole_inputs(spark, duck, name):
     test_query(spark, duck, name)

@@ -158,12 +158,18 @@ missing AS (
   UNION ALL SELECT q, t2, 'aggregator' FROM x WHERE ty = 'purchase' AND s2 % 2 <> 0),
 soft AS (SELECT q, t AS tn, 'deleted' AS c FROM x WHERE ty = 'click' AND s % 7 <> 0),
 dims AS (
-  SELECT q, t AS tn FROM x WHERE ty = 'view' AND s % 2 = 0 AND s % 3 <> 0
-  UNION ALL SELECT q, t FROM x WHERE ty IN ('click', 'error', 'purchase') AND (s % 2 = 0 OR s % 3 = 0)
-  UNION ALL SELECT q, t2 FROM x WHERE ty = 'purchase' AND s2 % 2 <> 0 AND s2 % 3 = 0),
+  SELECT q, t AS tn, s AS size FROM x WHERE ty = 'view' AND s % 2 = 0 AND s % 3 <> 0
+  UNION ALL SELECT q, t, s FROM x WHERE ty IN ('click', 'error', 'purchase') AND (s % 2 = 0 OR s % 3 = 0)
+  UNION ALL SELECT q, t2, s2 FROM x WHERE ty = 'purchase' AND s2 % 2 <> 0 AND s2 % 3 = 0),
 amb AS (
   SELECT q, t AS tn, n FROM x JOIN div ON div.b = u // 40 AND code = CASE ty WHEN 'view' THEN 1 ELSE u % 20 END
   WHERE s IS NOT NULL AND ((ty = 'view' AND s % 3 <> 0) OR ty IN ('error', 'purchase'))),
+met AS (
+  SELECT q, t AS tn, own.code, own.meaning, CAST(split_part(own.tenants, ',', 1) AS BIGINT) AS first, replace(own.tenants, ',', ', ') AS tenants,
+    coalesce(plain.meaning, '?') AS plain, CASE WHEN q % 2 = 0 THEN u % 25 END AS ctx
+  FROM x JOIN kept own ON own.b = u // 40 AND own.tenants <> '' AND own.code = CASE ty WHEN 'view' THEN 1 ELSE u % 20 END
+  LEFT JOIN kept plain ON plain.b = own.b AND plain.code = own.code AND plain.tenants = ''
+  WHERE s IS NOT NULL AND ((ty = 'view' AND s % 3 <> 0) OR ty IN ('error', 'purchase'))),
 bad AS (SELECT q FROM x WHERE ty = 'signup' AND u % 4 = 0)"""
 
 REFS = """refs AS (
@@ -174,7 +180,7 @@ REFS = """refs AS (
   UNION ALL SELECT q, 'b', unnest(['part_key', 'part_' || u || '_id', 'aggregator']), t2 FROM x WHERE ty = 'purchase'
   UNION ALL SELECT q, '', 'last_ship_date', t FROM x WHERE ty = 'purchase'
   UNION ALL SELECT q, '', 'status', NULL FROM x WHERE ty = 'signup' AND u % 4 = 0
-  UNION ALL SELECT q, '', unnest(['x', 'y']), NULL FROM x WHERE ty = 'signup' AND u % 4 <> 0)"""
+  UNION ALL SELECT q, '', unnest(['x', 'y']), 'nowhere_' || u FROM x WHERE ty = 'signup' AND u % 4 <> 0)"""
 
 _N_COLS = "(SELECT count(*) FROM main_cols)"
 _RELS = f"""rels AS (
@@ -225,13 +231,49 @@ liked AS (
 found AS (SELECT * FROM ranked WHERE r <= 10 UNION ALL SELECT * FROM liked WHERE r <= 10)"""
 
 
-def _checks(name: str, kind: str, severity: str, column: str) -> str:
+# kind of check: severity, where from, table, column, message, advice
+_FOUND = {
+    "column_missing": (
+        "error", "missing", "tn", "c", "'column ' || c || ' does not exist in ' || tn",
+        "'check the spelling against the table''s columns'",
+    ),
+    "soft_delete_misuse": (
+        "error", "soft", "tn", "c",
+        "'column ' || c || ' does not exist in ' || tn || '; the table has no soft-delete column'",
+        "'drop the filter on ' || c",
+    ),
+    "enum_ambiguous": (
+        "warn", "met", "tn", "'status'",
+        "tn || '.status = ' || code || ' means ''' || plain || ''' by default and ''' || meaning || ''' for tenants ['"
+        " || tenants || ']' || CASE WHEN ctx IS NULL THEN '' ELSE '; for tenant ' || ctx || ' it means '''"
+        " || CASE WHEN ctx IN (first, first + 1000) THEN meaning ELSE plain END || '''' END",
+        "'add AND aggregator = ' || first || ' for ''' || meaning || ''', or AND aggregator != ' || first"
+        " || ' for ''' || plain || ''''",
+    ),
+    "dimension_missing": (
+        "warn", "dims", "tn", "''",
+        "tn || ' has tenant columns [' || CASE WHEN size % 6 = 0 THEN 'aggregator, shipper' WHEN size % 2 = 0"
+        " THEN 'aggregator' ELSE 'shipper' END || '] and none is filtered; tenants may mix'",
+        "'add AND ' || CASE WHEN size % 2 = 0 THEN 'aggregator' ELSE 'shipper' END || ' = <value>'",
+    ),
+    "parse_error": (
+        "warn", "bad", "''", "''", "'the statement cannot be read: unbalanced parentheses'", "''",
+    ),
+}
+
+
+def _found(kind: str) -> str:
+    severity, source, table, column, message, fix = _FOUND[kind]
     return (
-        f"WITH {LOG} SELECT q AS query_id, '{kind}' AS kind, '{severity}' AS severity,"
-        f" tn AS table_name, {column} AS column_name FROM {name}"
+        f"SELECT q AS query_id, '{kind}' AS kind, '{severity}' AS severity, {table} AS table_name,"
+        f" {column} AS column_name, {message} AS message, {fix} AS fix FROM {source}"
     )
 
 
+def _checks(*kinds: str) -> str:
+    return f"WITH {LOG} " + " UNION ALL ".join(_found(kind) for kind in kinds)
+
+
 ORACLES: dict[str, str] = {
     "read_source_files": r"""SELECT 'docs' AS repo_id, source, count(*) AS n_lines,
         CAST(sum(length(regexp_replace(text, '\r\n|[\n\r\x0b\x0c\x{85}\x{2028}\x{2029}]', ' ', 'g'))) AS BIGINT) AS n_chars
@@ -451,7 +493,7 @@ ORACLES: dict[str, str] = {
           CASE WHEN p.s % 6 < 2 AND p.s % 2 = 0 THEN 'note on ' || p_name ELSE '' END AS traps,
           CASE WHEN p.s % 6 < 2 AND p.s % 2 = 1 THEN 'note on ' || p_name ELSE '' END AS templates,
           CASE WHEN p.s % 6 < 2 THEN 'human_curated' ELSE 'auto_only' END AS coverage
-        FROM parts p JOIN lists USING (k) LEFT JOIN rels ON from_table = t WHERE p.k % 3 = 0
+        FROM parts p JOIN lists USING (k) LEFT JOIN rels ON from_table = t
         UNION ALL SELECT 'absent_' || s_suppkey, 'table absent_' || s_suppkey || ' not found', '', '', '', '', '', '', '' FROM supplier""",
     "table_detail_whole": f"""WITH {COLS}, {VALS}, {_RELS},
         lists AS (SELECT k, string_agg(name, ',' ORDER BY ordinal) AS names FROM main_cols GROUP BY 1)
@@ -471,14 +513,14 @@ ORACLES: dict[str, str] = {
     "relations_of": """WITH r AS (SELECT 'customer_' || o_custkey AS from_table, 'order_' || o_orderkey || '_id' AS from_column,
         'pcl_order_' || o_orderkey AS to_table FROM orders)
         SELECT * FROM (SELECT *, CAST(row_number() OVER (PARTITION BY from_table ORDER BY from_column) AS INTEGER) AS rank FROM r) WHERE rank <= 20""",
-    "curated_notes": f"""WITH {PARTS} SELECT t AS table_name,
+    "curated_notes": f"""WITH {FILES} SELECT t AS table_name,
           CASE WHEN s % 6 < 2 AND s % 2 = 0 THEN 'note on ' || p_name ELSE '' END AS traps,
           CASE WHEN s % 6 < 2 AND s % 2 = 1 THEN 'note on ' || p_name ELSE '' END AS templates,
-          CASE WHEN s % 6 < 2 THEN 'human_curated' ELSE 'auto_only' END AS coverage FROM parts""",
-    "guidance": f"""WITH {PARTS} SELECT t AS table_name,
+          CASE WHEN s % 6 < 2 THEN 'human_curated' ELSE 'auto_only' END AS coverage FROM files""",
+    "guidance": f"""WITH {FILES} SELECT t AS table_name,
         CASE WHEN s % 7 = 0 THEN 'live rows have deleted = 0' ELSE 'no soft-delete column; do not filter by one' END AS soft_delete_guidance,
         CASE WHEN {DIMS} <> '' THEN 'filter by [' || replace({DIMS}, ',', ', ') || '] or tenants mix' ELSE '' END AS dimension_guidance
-        FROM parts""",
+        FROM files""",
     "resolve_enum": f"""WITH {VALS}, own AS (SELECT DISTINCT b FROM kept WHERE tenants <> ''),
         req AS (SELECT b, 'com.shop.dict.Status' || b AS request FROM buckets UNION ALL SELECT b, 'Status' || b FROM buckets)
         SELECT request, cls AS enum_class, code, name AS value_name, meaning, tenants AS aggregators, b IN (SELECT b FROM own) AS warned,
@@ -497,10 +539,10 @@ ORACLES: dict[str, str] = {
           count(*) FILTER (WHERE tenants <> '') AS n_tenant FROM kept GROUP BY 1, 2)
         SELECT * FROM c WHERE n_tenant > 1 OR (n_tenant = 1 AND n_default > 0)""",
     "extract_table_refs": f"""WITH {LOG}
-        SELECT q AS query_id, t AS table_name FROM x WHERE ty <> 'signup' OR u % 4 = 0
-        UNION ALL SELECT q, t2 FROM x WHERE ty = 'purchase'
-        UNION ALL SELECT q, 'dual' FROM x WHERE ty = 'signup' AND u % 4 <> 0
-        UNION ALL SELECT q, 'nowhere_' || u FROM x WHERE ty = 'signup' AND u % 4 <> 0""",
+        SELECT q AS query_id, t AS table_name, 1 AS no FROM x WHERE ty <> 'signup' OR u % 4 = 0
+        UNION ALL SELECT q, t2, 2 FROM x WHERE ty = 'purchase'
+        UNION ALL SELECT q, 'dual', 1 FROM x WHERE ty = 'signup' AND u % 4 <> 0
+        UNION ALL SELECT q, 'nowhere_' || u, 2 FROM x WHERE ty = 'signup' AND u % 4 <> 0""",
     "extract_column_refs": f"WITH {LOG}, {REFS} SELECT q AS query_id, qu AS qualifier, c AS column_name FROM refs",
     "extract_equalities": f"""WITH {LOG}, eqs AS (
         SELECT q, 't' AS qu, 'status' AS c, 1 AS code FROM x WHERE ty = 'view'
@@ -511,21 +553,31 @@ ORACLES: dict[str, str] = {
         UNION ALL SELECT q, 'a', 'status', unnest([u % 20, u % 20 + 20]) FROM x WHERE ty = 'purchase'
         UNION ALL SELECT q, 'b', 'aggregator', 7 FROM x WHERE ty = 'purchase'
         UNION ALL SELECT q, '', 'y', 5 FROM x WHERE ty = 'signup' AND u % 4 <> 0)
-        SELECT q AS query_id, qu AS qualifier, c AS column_name, CAST(code AS INTEGER) AS code FROM eqs""",
-    "resolve_refs": f"""WITH {LOG}, {REFS}, known AS (SELECT t, s, k FROM parts)
-        SELECT q AS query_id, qu AS qualifier, c AS column_name, tn AS table_name,
-          CASE c WHEN 'shipper' THEN s % 3 = 0 WHEN 'deleted' THEN s % 7 = 0 WHEN 'aggregator' THEN s % 2 = 0
+        SELECT q AS query_id, qu AS qualifier, c AS column_name, CAST(code AS INTEGER) AS code,
+          CASE WHEN code = -1 THEN 'it''''s -- status = 3' ELSE '' || code END AS literal FROM eqs""",
+    "resolve_refs": f"""WITH {LOG}, {REFS}, met_refs AS (
+        SELECT q, 'column' AS kind, qu, c, tn FROM refs WHERE tn IS NOT NULL AND c <> 'last_ship_date'
+        UNION ALL SELECT q, 'column', '', 'last_ship_date', CASE WHEN s IS NULL THEN t2 ELSE t END FROM x
+          WHERE ty = 'purchase' AND (s IS NOT NULL OR s2 IS NOT NULL)
+        UNION ALL SELECT q, 'equality', 't', unnest(['status', 'shipper']), t FROM x WHERE ty = 'view'
+        UNION ALL SELECT q, 'equality', '', 'deleted', t FROM x WHERE ty = 'click'
+        UNION ALL SELECT q, 'equality', '', unnest(['status', 'brand_name']), t FROM x WHERE ty = 'error'
+        UNION ALL SELECT q, 'equality', 'a', unnest(['status', 'status']), t FROM x WHERE ty = 'purchase'
+        UNION ALL SELECT q, 'equality', 'b', 'aggregator', t2 FROM x WHERE ty = 'purchase'
+        UNION ALL SELECT q, 'equality', '', 'y', 'nowhere_' || u FROM x WHERE ty = 'signup' AND u % 4 <> 0)
+        SELECT q AS query_id, kind, qu AS qualifier, c AS column_name, tn AS table_name, k IS NOT NULL AS known_table,
+          k IS NOT NULL AND CASE c WHEN 'shipper' THEN s % 3 = 0 WHEN 'deleted' THEN s % 7 = 0 WHEN 'aggregator' THEN s % 2 = 0
             ELSE NOT starts_with(c, 'bogus_') END AS known_column
-        FROM refs JOIN known ON t = tn""",
-    "check_missing_columns": _checks("missing", "column_missing", "error", "c"),
-    "check_soft_delete": _checks("soft", "soft_delete_misuse", "error", "c"),
-    "check_ambiguous_codes": f"""WITH {LOG} SELECT q AS query_id, 'enum_ambiguous' AS kind, 'warn' AS severity, tn AS table_name,
-        'status' AS column_name, n FROM amb""",
-    "check_tenant_filter": _checks("dims", "dimension_missing", "warn", "''"),
+        FROM met_refs LEFT JOIN parts ON t = tn""",
+    "check_missing_columns": _checks("column_missing"),
+    "check_soft_delete": _checks("soft_delete_misuse"),
+    "check_ambiguous_codes": _checks("enum_ambiguous"),
+    "check_tenant_filter": _checks("dimension_missing"),
+    "audit_checks": _checks(*_FOUND),
     "verdicts": f"""WITH {LOG}, m AS (SELECT q, count(*) AS n FROM missing GROUP BY 1), d AS (SELECT q, count(*) AS n FROM dims GROUP BY 1)
         SELECT q AS query_id, CASE WHEN m.n > 0 THEN 'FAIL' WHEN d.n > 0 THEN 'WARN' ELSE 'PASS' END AS verdict,
         coalesce(m.n, 0) + coalesce(d.n, 0) AS n_checks FROM ev LEFT JOIN m USING (q) LEFT JOIN d USING (q)""",
-    "unreadable": f"""WITH {LOG} SELECT q AS query_id, 'parse_error' AS kind, 'warn' AS severity, '' AS table_name, '' AS column_name FROM bad""",
+    "unreadable": _checks("parse_error"),
     "unknown_tables": f"""WITH {LOG} SELECT q AS query_id, unnest(['dual', 'nowhere_' || u]) AS table_name FROM x
         WHERE ty = 'signup' AND u % 4 <> 0""",
     "audit_log": f"""WITH {LOG}, m AS (SELECT q, count(*) AS n FROM missing GROUP BY 1), sd AS (SELECT q, count(*) AS n FROM soft GROUP BY 1),
@@ -537,11 +589,10 @@ ORACLES: dict[str, str] = {
           a1 + a2 + a3 + a4 + a5 AS n_checks,
           CASE WHEN ty = 'purchase' THEN t || ',' || t2 WHEN ty = 'signup' AND u % 4 <> 0 THEN 'dual,nowhere_' || u ELSE t END AS parsed_tables,
           a1 AS n_missing, a2 AS n_soft_delete, a3 AS n_ambiguous, a4 AS n_dimension, a5 AS n_unreadable FROM c""",
-    "drift_check": f"""WITH {COLS}, odd AS (SELECT * FROM parts WHERE s % 2 = 1)
-        SELECT t AS table_name, 'extra' AS name, 'added' AS change FROM odd
-        UNION ALL SELECT t, 'last_ship_date', 'type_changed' FROM odd WHERE s % 9 = 0
-        UNION ALL SELECT c.t, c.name, 'removed' FROM main_cols c JOIN odd USING (k)
-          WHERE c.pos BETWEEN 105 AND 108""",
+    "drift_check": f"""WITH {COLS}
+        SELECT t AS table_name, 'extra' AS name, 'added' AS change FROM parts
+        UNION ALL SELECT t, 'last_ship_date', 'type_changed' FROM parts WHERE s % 9 = 0
+        UNION ALL SELECT t, name, 'removed' FROM main_cols WHERE pos BETWEEN 105 AND 108 OR is_base""",
     "drift_check_whole": f"""WITH {COLS}
         SELECT t AS table_name, 'extra' AS name, 'added' AS change FROM parts WHERE k % 5 <> 0
         UNION ALL SELECT t, 'last_ship_date', 'type_changed' FROM parts WHERE s % 9 = 0
@@ -557,5 +608,36 @@ ORACLES: dict[str, str] = {
         UNION ALL SELECT 'columns', t || '.made_of', 'changed' FROM parts WHERE k % 11 <> 0 AND k % 13 = 0""",
 }
 
+# the second check of the history lacks what was added and has one type right
+ORACLES["drift_trend"] = f"""WITH d AS ({ORACLES["drift_check_whole"]}), n AS (
+        SELECT count(*) FILTER (WHERE change = 'added') AS a, count(*) FILTER (WHERE change = 'removed') AS r,
+          count(*) FILTER (WHERE change = 'type_changed') AS c,
+          count(*) FILTER (WHERE change = 'type_changed' AND name = 'brand_name') AS mended FROM d)
+        SELECT 'saas' AS repo_id, 'nightly' AS source, 1 AS check_no, a AS added, r AS removed, c AS type_changed,
+          CAST(NULL AS BIGINT) AS added_since, CAST(NULL AS BIGINT) AS removed_since, CAST(NULL AS BIGINT) AS type_changed_since FROM n
+        UNION ALL SELECT 'saas', 'nightly', 2, 0, r, c - mended, -a, 0, -mended FROM n"""
+ORACLES["repo_diff_whole"] = f"""WITH {FORKED}, {VALS}, {_RELS}, gone AS (SELECT * FROM parts WHERE k % 11 = 0),
+        there AS (SELECT *, k % 13 = 0 AS reworded, k % 10 = 0 AND s % 3 = 0 AS recalled FROM parts WHERE k % 11 <> 0),
+        notes AS (SELECT *, t || CASE WHEN s % 2 = 0 THEN '.trap' ELSE '.query_template' END || '.team.note on ' AS place
+          FROM parts WHERE s % 6 < 2)
+        SELECT 'tables' AS catalog_table, t AS item, 'only_left' AS change, '' AS fields, '' AS renamed_to FROM gone
+        UNION ALL SELECT 'tables', t, 'changed', concat_ws(',', CASE WHEN reworded AND s % 5 <> 0 THEN 'purpose' END,
+          CASE WHEN recalled THEN 'dimension_fields' END), '' FROM there WHERE (reworded AND s % 5 <> 0) OR recalled
+        UNION ALL SELECT 'columns', t || '.' || name, 'only_left', '', '' FROM main_cols WHERE k % 11 = 0
+        UNION ALL SELECT 'columns', t || '.shipper', 'renamed', '', t || '.carrier' FROM there WHERE recalled
+        UNION ALL SELECT 'columns', t || '.made_of', 'changed', 'comment', '' FROM there WHERE reworded
+        UNION ALL SELECT 'columns', t || '.status', 'changed', 'enum_class', '' FROM there WHERE k % 9 = 0
+        UNION ALL SELECT 'bindings', t || '.status', 'only_left', '', '' FROM gone
+        UNION ALL SELECT 'bindings', t || '.status', 'changed', 'enum_class', '' FROM there WHERE k % 9 = 0
+        UNION ALL SELECT 'relations', from_table || '.' || from_column || '.' || to_table, 'only_left', '', '' FROM rels
+          WHERE from_table IN (SELECT t FROM gone) OR to_table IN (SELECT t FROM gone)
+        UNION ALL SELECT 'table_meta', place || p_name, 'only_left', '', '' FROM notes WHERE k % 11 = 0 OR k % 13 = 0
+        UNION ALL SELECT 'table_meta', place || 'renamed', 'only_right', '', '' FROM notes WHERE k % 11 <> 0 AND k % 13 = 0
+        UNION ALL SELECT 'i18n_keys', mk, 'changed', 'value', '' FROM vals WHERE k % 13 = 0
+        UNION ALL SELECT 'enum_values', cls || '.' || code || '.' || name, 'renamed', '', cls || '.' || code || '.FORK_' || k
+          FROM kept WHERE k % 10 = 0
+        UNION ALL SELECT 'enum_values', cls || '.' || code || '.' || name, 'changed', 'meaning', '' FROM kept
+          WHERE k % 13 = 0 AND k % 10 <> 0"""
+
 # a kept index answers as one that is made for the occasion
 ORACLES["rank_bm25_kept_phrase"] = ORACLES["rank_bm25_phrase"]

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import functools
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from semcat.config import BASE_ENTITY_COLUMNS, DEFAULTS
@@ -713,8 +713,8 @@ def q_repo_status(spark, sf_dir):
 
 @query
 def q_table_detail(spark, sf_dir):
-    """Every third part's table and, for each supplier, a table that does not exist."""
-    asked = C.load(spark, sf_dir, "part").filter("p_partkey % 3 = 0").select(
+    """Every part's table by name and, for each supplier, a table that does not exist."""
+    asked = C.load(spark, sf_dir, "part").select(
         F.lit(C.REPO).alias("repo_id"), C.table_of(F.col("p_partkey")).alias("table_name")
     )
     absent = C.load(spark, sf_dir, "supplier").select(
@@ -785,7 +785,7 @@ def q_relations_of(spark, sf_dir):
 
 @query
 def q_curated_notes(spark, sf_dir):
-    tables = entities.extract_tables(part_files(spark, sf_dir)).filter("source_file not like '%/vo/%'")
+    tables = entities.extract_tables(part_files(spark, sf_dir))
     found = lookup.curated_notes(tables, C.notes(C.load(spark, sf_dir, "part")))
     return found.select(
         "table_name", joined("traps").alias("traps"), joined("query_templates").alias("templates"), "coverage"
@@ -795,7 +795,7 @@ def q_curated_notes(spark, sf_dir):
 @query
 def q_guidance(spark, sf_dir):
     parsed = build.annotate_entities(entities.parse_entities(part_files(spark, sf_dir)))
-    found = lookup.guidance(build.tables_of(parsed.filter("source_file not like '%/vo/%'")))
+    found = lookup.guidance(build.tables_of(parsed))
     return found.drop("repo_id")
 
 
@@ -862,7 +862,9 @@ def q_divergent_codes(spark, sf_dir):
 
 @query
 def q_extract_table_refs(spark, sf_dir):
-    return grounding.extract_table_refs(log(spark, sf_dir)).select("query_id", "table_name")
+    found = grounding.extract_table_refs(log(spark, sf_dir))
+    # first table of the statement first
+    return found.select("query_id", "table_name", (F.rank().over(Window.partitionBy("query_id").orderBy("pos"))).alias("no"))
 
 
 @query
@@ -873,20 +875,20 @@ def q_extract_column_refs(spark, sf_dir):
 @query
 def q_extract_equalities(spark, sf_dir):
     return grounding.extract_equalities(log(spark, sf_dir)).select(
-        "query_id", "qualifier", "column_name", F.coalesce("code", F.lit(-1)).alias("code")
+        "query_id", "qualifier", "column_name", "literal", F.coalesce("code", F.lit(-1)).alias("code")
     )
 
 
 @query
 def q_resolve_refs(spark, sf_dir):
     found = grounding.resolve_refs(log(spark, sf_dir), bound_catalog(spark, sf_dir))
-    return found.filter("kind = 'column' and reason is null and known_table").select(
-        "query_id", "qualifier", "column_name", "table_name", "known_column"
+    return found.filter("reason is null").select(
+        "query_id", "kind", "qualifier", "column_name", "table_name", "known_table", "known_column"
     )
 
 
 def _checks(found: DataFrame) -> DataFrame:
-    return found.select("query_id", "kind", "severity", "table_name", "column_name")
+    return found.select("query_id", *grounding.CHECK_FIELDS)
 
 
 @query
@@ -901,10 +903,7 @@ def q_check_soft_delete(spark, sf_dir):
 
 @query
 def q_check_ambiguous_codes(spark, sf_dir):
-    found = grounding.check_ambiguous_codes(log(spark, sf_dir), bound_catalog(spark, sf_dir))
-    return found.groupBy("query_id", "kind", "severity", "table_name", "column_name").agg(
-        F.count("*").alias("n")
-    )
+    return _checks(grounding.check_ambiguous_codes(log(spark, sf_dir), bound_catalog(spark, sf_dir)))
 
 
 @query
@@ -952,6 +951,13 @@ def q_audit_log(spark, sf_dir):
     )
 
 
+@query
+def q_audit_checks(spark, sf_dir):
+    """Every check of the audit with its message and advice."""
+    found = grounding.audit_log(log(spark, sf_dir), bound_catalog(spark, sf_dir))
+    return _checks(grounding.audit_checks(found))
+
+
 # ------------------------------------------------------------------- compare
 
 
@@ -960,7 +966,7 @@ def q_drift_check(spark, sf_dir):
     """Mined columns against a schema that lacks, adds and retypes some columns."""
     columns = two_repo_catalog(spark, sf_dir)["columns"].filter(F.col("repo_id") == C.REPO)
     key, size = F.col("p_partkey"), F.col("p_size")
-    part = C.load(spark, sf_dir, "part").filter(size % 2 == 1)
+    part = C.load(spark, sf_dir, "part")
 
     def column(name, data_type):
         return F.struct(F.lit(name).alias("name") if isinstance(name, str) else name.alias("name"), F.lit(data_type).alias("data_type"))
@@ -983,14 +989,11 @@ def q_drift_check(spark, sf_dir):
             )
         ).alias("c"),
     ).select("repo_id", "table_name", "c.*")
-    odd = columns.join(actual.select("repo_id", "table_name").distinct(), ["repo_id", "table_name"], "left_semi")
-    return compare.drift_check(odd, actual).select("table_name", "name", "change")
+    return compare.drift_check(columns, actual).select("table_name", "name", "change")
 
 
-@query
-def q_drift_check_whole(spark, sf_dir):
-    """All mined columns against a schema of all tables that lacks, adds and retypes some columns."""
-    columns = two_repo_catalog(spark, sf_dir)["columns"].filter(F.col("repo_id") == C.REPO)
+def real_schema(spark, sf_dir) -> DataFrame:
+    """A schema of all tables that lacks, adds and retypes some columns."""
     key, size = F.col("p_partkey"), F.col("p_size")
     real = {"Long": "bigint", "Integer": "int", "String": "varchar(64)", "Date": "date"}
     even = size % 2 == 0
@@ -1021,14 +1024,80 @@ def q_drift_check_whole(spark, sf_dir):
         column(F.lit(True), "last_ship_date", F.when(size % 9 == 0, "string").otherwise("date")),
         column(key % 5 != 0, "extra", "int"),
     ]
-    actual = C.load(spark, sf_dir, "part").select(
+    return C.load(spark, sf_dir, "part").select(
         F.lit(C.REPO).alias("repo_id"),
         C.table_of(key).alias("table_name"),
         F.explode(F.array_compact(F.array(*of_base, *own))).alias("c"),
     ).select("repo_id", "table_name", "c.*")
-    return compare.drift_check(columns, actual).select("table_name", "name", "change")
+
+
+@query
+def q_drift_check_whole(spark, sf_dir):
+    """All mined columns against a schema of all tables that lacks, adds and retypes some columns."""
+    columns = two_repo_catalog(spark, sf_dir)["columns"].filter(F.col("repo_id") == C.REPO)
+    found = compare.drift_check(columns, real_schema(spark, sf_dir))
+    return found.select("table_name", "name", "change")
+
+
+@query
+def q_drift_trend(spark, sf_dir):
+    """Two checks put into the history with an extraction between them, and what changed from one to the other."""
+    folder = shared_folder(spark)
+    built = build.store_catalog(two_repo_catalog(spark, sf_dir))
+    built["columns"] = built["columns"].withColumn("enum_class", F.lit(None).cast("string"))
+    mined = built["columns"].filter(F.col("repo_id") == C.REPO)
+    catalog_store.write_catalog(built, folder)
+    found = real_schema(spark, sf_dir)
+    # by the second check the schema has lost one column of all tables and got another right
+    mended = found.filter("name != 'extra'").withColumn(
+        "data_type", F.when(F.col("name") == "brand_name", "varchar(30)").otherwise(F.col("data_type"))
+    )
+    for schema in (found, mended):
+        report = compare.drift_report(compare.drift_check(mined, schema), "nightly")
+        catalog_store.append_rows(report, folder, "drift_reports")
+        catalog_store.write_catalog(built, folder)
+    kept = catalog_store.read_catalog(spark, folder, C.REPO)["drift_reports"]
+    return compare.drift_trend(kept).drop("checked_at")
 
 
 @query
 def q_repo_diff(spark, sf_dir):
-    return compare.repo_diff(two_repo_catalog(spark, sf_dir), C.REPO, C.FORK)
+    found = compare.repo_diff(two_repo_catalog(spark, sf_dir), C.REPO, C.FORK)
+    return found.select("catalog_table", "item", "change")
+
+
+@query
+def q_repo_diff_whole(spark, sf_dir):
+    """Two whole catalogs in every field: the fork lacks, renames and rewords things."""
+    part, customer = C.load(spark, sf_dir, "part"), C.load(spark, sf_dir, "customer")
+    forked_part = part.filter("p_partkey % 11 != 0").withColumn(
+        "p_name", F.when(F.col("p_partkey") % 13 == 0, F.lit("renamed")).otherwise(F.col("p_name"))
+    )
+    forked_customer = customer.withColumn(
+        "c_name", F.when(F.col("c_custkey") % 13 == 0, F.lit("renamed")).otherwise(F.col("c_name"))
+    )
+    # entities and constants whose number ends with 0 call a column and themselves differently
+    renamed = (
+        F.when(F.col("path").rlike(r"/Part[0-9]*0\.java$"), F.replace(F.col("src"), F.lit('"shipper"'), F.lit('"carrier"')))
+        .otherwise(F.regexp_replace("src", r"CUST_([0-9]*0)\(", r"FORK_$1("))
+    )
+    forked = (
+        C.entity_sources(forked_part, C.FORK)
+        .unionByName(C.enum_sources(forked_customer, C.FORK))
+        .unionByName(C.bundle_sources(forked_customer, C.FORK))
+        .withColumn("src", renamed)
+    )
+    bound = C.bindings(part).unionByName(
+        C.bindings(forked_part.filter("p_partkey % 9 != 0"), C.FORK)
+    ).unionByName(C.bindings(forked_part.filter("p_partkey % 9 = 0"), C.FORK).withColumn("enum_class", F.lit("com.shop.dict.Other")))
+    built = build.build_catalog(
+        C.source_tree(spark, sf_dir).unionByName(forked),
+        curated_bindings=bound,
+        table_meta=C.notes(part).unionByName(C.notes(forked_part, C.FORK)),
+        store=True,
+    )
+    found = compare.pair_renames(compare.repo_diff(built, C.REPO, C.FORK))
+    return found.select(
+        "catalog_table", "item", "change", joined("fields").alias("fields"),
+        F.coalesce("renamed_to", F.lit("")).alias("renamed_to"),
+    )
