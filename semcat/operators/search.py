@@ -139,8 +139,8 @@ def _slots_prefix(index: Index, wanted: DataFrame, column: str | None) -> DataFr
 def _phrase_hits(index: Index, queries: DataFrame, column: str | None) -> DataFrame:
     """``(query_id, doc, tf, length)``: how often a doc holds a query's words in a row.
 
-    Each matching word votes for the place the phrase would start at; a place
-    with all votes is a hit. No self-join of the word list is needed.
+    A query's rarest word names the places the phrase may start at; each word found
+    where such a start wants it is a vote, and a place with all votes is a hit.
     """
     words = queries.select(
         "repo_id", "query_id", tokenize(F.col("text")).alias("words")
@@ -148,11 +148,33 @@ def _phrase_hits(index: Index, queries: DataFrame, column: str | None) -> DataFr
     parts = exploded(
         words, "words", "repo_id", "query_id", "n_terms", value="term", pos="place"
     )
-    rows = index.occurrences
-    if column is not None:
-        rows = rows.filter(F.col("field") == column)
-    votes = rows.join(sized(parts), ["repo_id", "term"]).groupBy(
-        *DOC, "query_id", "n_terms", "length", "field", (F.col("pos") - F.col("place")).alias("at")
+    parts = stored(parts)
+    terms = parts.select("repo_id", "term").distinct()
+    rows = _restricted(index.occurrences, terms, column)
+    # common words are in most docs and in many queries, so only places around a query's rarest word vote
+    counts = stored(rows.groupBy("repo_id", "term").agg(F.count("*").alias("n")))
+    rarest = (
+        parts.join(counts.hint(side_hint(counts)), ["repo_id", "term"], "left")
+        .groupBy("repo_id", "query_id")
+        .agg(F.min(F.struct(F.coalesce("n", F.lit(0)).alias("n"), "place", "term")).alias("best"))
+        .select("repo_id", "query_id", F.col("best.place").alias("place"), F.col("best.term").alias("term"))
+    )
+    starts = (
+        index.occurrences.join(sized(rarest), ["repo_id", "term"])
+        .transform(lambda d: d if column is None else d.filter(F.col("field") == column))
+        .select(*DOC, "length", "field", "query_id", (F.col("pos") - F.col("place")).alias("at"))
+        .distinct()
+    )
+    asked = sized(
+        starts.join(parts.hint(side_hint(parts)), ["repo_id", "query_id"]).select(
+            "repo_id", F.col("doc_id").alias("_doc"), "length", "field", "term",
+            (F.col("at") + F.col("place")).alias("pos"), "query_id", "n_terms", "at",
+        )
+    )
+    same = [rows[c] == asked[c] for c in ("repo_id", "length", "field", "term", "pos")]
+    met = rows.join(asked, [*same, rows["doc_id"].eqNullSafe(asked["_doc"])])
+    votes = met.groupBy(
+        *[rows[c] for c in DOC], "query_id", "n_terms", asked["length"], asked["field"], "at"
     ).agg(F.count("*").alias("votes"))
     return (
         votes.filter(F.col("votes") == F.col("n_terms"))
