@@ -7,6 +7,7 @@ job. Statistics are kept per repo.
 from __future__ import annotations
 
 from dataclasses import dataclass
+from decimal import Decimal
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -24,6 +25,12 @@ K1, B, MIN_IDF = 1.2, 0.75, 1e-6
 # so equal docs tie and the least difference decides
 EXACT = "decimal(28,15)"
 
+# scores are summed up as whole numbers of this unit, in two halves that cannot overflow
+UNITS, HALF = 1e15, 10**6
+
+# rows of hits that one task sums up
+TASK_HITS = 250_000
+
 DOC = ["repo_id", "doc_id"]
 MODES = ("all", "any", "prefix", "phrase")
 
@@ -207,6 +214,54 @@ def _with_every_word(hits: DataFrame, weighted: DataFrame, hint: str) -> DataFra
     return hits.join(sized(asked), [*DOC, "slot"])
 
 
+def _unwanted(index: Index, queries: DataFrame) -> DataFrame:
+    """``(doc, query_id)`` where any field of the doc has a word that the query does not want."""
+    unwanted = stored(query_terms(queries, "not_text"))
+    hits = _slots_all(index, unwanted, None).select(*DOC, "slot")
+    return hits.join(unwanted.select("repo_id", "query_id", "slot").hint(side_hint(unwanted)), ["repo_id", "slot"])
+
+
+def _sum_of_any(
+    hits: DataFrame, index: Index, queries: DataFrame, weighted: DataFrame, hint: str, part: Column, column: str | None
+) -> DataFrame:
+    """Scores of docs with any word of a query, without the docs that have an unwanted one.
+
+    A doc's hits are brought together before they meet the queries, a few at a time: pairs of docs and
+    queries, of which there are many more, are summed up where they arise and never shuffled.
+    """
+    with_not = "not_text" in queries.columns
+    if with_not:
+        hits = hits.withColumn("wanted", F.lit(True))
+        words = stored(query_terms(queries, "not_text"))
+        banning = _slots_all(index, words, None).withColumn("wanted", F.lit(False))
+        hits = stored(hits.unionByName(banning))
+        weighted = weighted.withColumn("wanted", F.lit(True)).unionByName(
+            words.withColumn("wanted", F.lit(False)), allowMissingColumns=True
+        )
+    n_tasks = max(
+        int(hits.sparkSession.conf.get("spark.sql.shuffle.partitions")), hits.count() // TASK_HITS + 1
+    )
+    on = ["repo_id", "slot", "wanted"] if with_not else ["repo_id", "slot"]
+    met = hits.repartition(n_tasks, *DOC).join(weighted.hint(hint), on)
+    # floor and not round, which goes through text
+    units = F.floor(part * F.lit(UNITS) + F.lit(0.5))
+    met = met.select(*DOC, "query_id", units.alias("units"), *(["wanted"] if with_not else []))
+    sums = [
+        F.sum(F.expr(f"units div {HALF}")).alias("high"),
+        F.sum(F.pmod("units", F.lit(HALF))).alias("low"),
+    ]
+    if with_not:
+        # a doc without an id is banned by nothing, as it equals no other
+        sums.append(F.max(~F.col("wanted") & F.col("doc_id").isNotNull()).alias("banned"))
+    summed = met.groupBy("repo_id", "query_id", "doc_id").agg(*sums)
+    if with_not:
+        summed = summed.filter(~F.col("banned") & F.col("high").isNotNull())
+    # two products, as one would not hold all digits
+    high = F.col("high").cast("decimal(19,0)") * F.lit(Decimal("1E-9"))
+    low = F.col("low").cast("decimal(19,0)") * F.lit(Decimal("1E-15"))
+    return summed.select("repo_id", "query_id", "doc_id", (high + low).cast(EXACT).alias("score"))
+
+
 def score_bm25(
     index: Index, queries: DataFrame, mode: str = "all", column: str | None = None
 ) -> DataFrame:
@@ -258,22 +313,15 @@ def score_bm25(
         )
         part = F.col("idf") * term_score(F.col("tf"), F.col("length"), F.col("avg_length"))
         if mode == "any":
-            met = hits.join(weighted.hint(hint), ["repo_id", "slot"])
-        else:
-            met = _with_every_word(hits, weighted, hint)
+            return _sum_of_any(hits, index, queries, weighted, hint, part, column)
+        met = _with_every_word(hits, weighted, hint)
         scored = met.groupBy("repo_id", "query_id", "doc_id", "n_terms").agg(
             F.sum(part.cast(EXACT)).alias("score"), F.count("*").alias("n_found")
         )
-        if mode != "any":
-            scored = scored.filter(F.col("n_found") == F.col("n_terms"))
+        scored = scored.filter(F.col("n_found") == F.col("n_terms"))
         scored = scored.select("repo_id", "query_id", "doc_id", "score")
     if "not_text" in queries.columns:
-        unwanted = query_terms(queries, "not_text")
-        banned = (
-            _slots_all(index, unwanted, None)
-            .join(unwanted, ["repo_id", "slot"])
-            .select("repo_id", "query_id", "doc_id")
-        )
+        banned = _unwanted(index, queries).select("repo_id", "query_id", "doc_id")
         scored = scored.join(banned, ["repo_id", "query_id", "doc_id"], "left_anti")
     return scored
 

@@ -3,11 +3,10 @@
 from semcat.operators import search
 
 
-def joined_rows(df):
-    """Rows out of every join of the plan that ran."""
+def counted(df, kind_wanted, metric):
+    """A metric of every node of the kind, of the plan that ran."""
     df.collect()
-    plan, made = df._jdf.queryExecution().executedPlan(), []
-    todo = [plan]
+    made, todo = [], [df._jdf.queryExecution().executedPlan()]
     while todo:
         node = todo.pop()
         kind = node.nodeName()
@@ -17,8 +16,8 @@ def joined_rows(df):
         if "QueryStage" in kind:
             todo.append(node.plan())
             continue
-        if "Join" in kind:
-            made.append(node.metrics().apply("numOutputRows").value())
+        if kind_wanted in kind and node.metrics().contains(metric):
+            made.append(node.metrics().apply(metric).value())
         todo.extend(node.children().apply(i) for i in range(node.children().size()))
     return made
 
@@ -29,7 +28,24 @@ def test_phrases_vote_around_their_rarest_word_only(spark):
     docs = spark.createDataFrame([("r", i, f"{common} own{i} {common}") for i in range(60)], "repo_id string, doc_id int, text string")
     asked = spark.createDataFrame([("r", i, f"{common} own{i} the") for i in range(60)], "repo_id string, query_id int, text string")
     found = search.score_bm25(search.build_index(docs, ["text"]), asked, "phrase")
-    made = joined_rows(found)
+    made = counted(found, "Join", "numOutputRows")
     assert sorted((r.query_id, r.doc_id) for r in found.collect()) == [(i, i) for i in range(60)]
     # 60 phrases of 7 words have 420 places; word by word it would be 60 x 60 x 13
     assert made and max(made) <= 11 * 60
+
+
+def test_pairs_of_any_word_are_summed_where_they_arise(spark):
+    # 400 docs and 40 queries share three words: 16,000 pairs, of which ten a query are wanted
+    docs = spark.createDataFrame([("r", i, f"big red box own{i % 40}", "de" if i % 2 else "en") for i in range(400)], "repo_id string, doc_id int, text string, lang string")
+    asked = spark.createDataFrame([("r", i, f"big red box own{i}", "de") for i in range(40)], "repo_id string, query_id int, text string, not_text string")
+    index = search.build_index(docs, ["text", "lang"])
+    for queries, step in ((asked.drop("not_text"), 40), (asked, 80)):
+        ranked = search.rank_bm25(index, queries, 5, "any")
+        assert max(counted(ranked, "Exchange", "shuffleRecordsWritten")) <= 400 * 5
+        best = {(r.query_id, r.rank): r.doc_id for r in ranked.collect()}
+        assert len(best) == 200
+        # the docs with the query's own word, those in one language left out
+        evens = [q for q in range(40) if step == 40 or q % 2 == 0]
+        assert all(best[q, n] == q + 40 * (n - 1) for q in evens for n in range(1, 6))
+        if step == 80:
+            assert all(d % 2 == 0 for d in best.values())
