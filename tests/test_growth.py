@@ -1,6 +1,6 @@
 """Work that must not grow faster than its input: rows that joins make, counted after a run."""
 
-from semcat.operators import search
+from semcat.operators import grounding, search
 
 
 def counted(df, kind_wanted, metric):
@@ -49,3 +49,29 @@ def test_pairs_of_any_word_are_summed_where_they_arise(spark):
         assert all(best[q, n] == q + 40 * (n - 1) for q in evens for n in range(1, 6))
         if step == 80:
             assert all(d % 2 == 0 for d in best.values())
+
+
+def test_checks_join_only_the_probes_they_look_at(spark):
+    # 100 statements on one table: one table, two column references and one comparison each
+    log = spark.createDataFrame(
+        [("r", i, f"select status, bogus from t where status = {i % 2}", None) for i in range(100)],
+        "repo_id string, query_id int, sql string, tenant_context int",
+    )
+    known = {
+        "tables": spark.createDataFrame([("r", "t", None, ["shipper"])], "repo_id string, name string, soft_delete_column string, dimension_fields array<string>"),
+        "columns": spark.createDataFrame([("r", "t", "status", "E"), ("r", "t", "shipper", None)], "repo_id string, table_name string, name string, enum_class string"),
+        "enums": spark.createDataFrame([("r", "E", "B")], "repo_id string, enum_class string, paradigm string"),
+        "enum_values": spark.createDataFrame(
+            [("r", "E", 1, "A", "one", None), ("r", "E", 1, "B", "own one", [7])],
+            "repo_id string, enum_class string, code bigint, name string, meaning string, aggregators array<bigint>",
+        ),
+    }
+    # the templates' join gives 100 rows; then come the probes of the kind alone
+    for check, probes, found in (
+        (grounding.check_missing_columns, 200, 100),
+        (grounding.check_tenant_filter, 100, 100),
+        (grounding.check_ambiguous_codes, 100, 50),
+    ):
+        rows = check(log, known)
+        assert max(counted(rows, "Join", "numOutputRows")) <= probes, check.__name__
+        assert rows.count() == found, check.__name__
