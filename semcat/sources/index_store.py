@@ -112,6 +112,28 @@ def _write_postings(index: KeptIndex, postings: DataFrame, gen: str) -> None:
     kept.repartitionByRange("repo_id", "term").sortWithinPartitions("repo_id", "term").write.parquet(f"{index.path}/words/gen={gen}")
 
 
+def _grouped(terms: str) -> Column:
+    """Distinct words of a list with their places, in time that follows sorting the list."""
+    once = lambda column, body: F.flatten(F.transform(F.array(column), body))
+    placed = F.sort_array(F.transform(F.col(terms), lambda t, i: F.struct(t.alias("term"), i.alias("pos"))))
+
+    def cut(words: Column) -> Column:
+        n = F.size(words)
+        # where a word differs from the one before it, and the end
+        borders = F.filter(
+            F.sequence(F.lit(0), n), lambda i: (i == 0) | (i == n) | (F.get(words, i)["term"] != F.get(words, i - 1)["term"])
+        )
+        return once(borders, lambda at: F.transform(
+            F.slice(at, F.lit(1), F.size(at) - 1),
+            lambda start, i: F.struct(
+                F.get(words, start)["term"].alias("term"),
+                F.transform(F.slice(words, start + 1, F.get(at, i + 1) - start), lambda w: w["pos"]).alias("places"),
+            ),
+        ))
+
+    return F.when(F.size(terms) > 0, once(placed, cut))
+
+
 def add_docs(index: KeptIndex, docs: DataFrame, doc_id: str = "doc_id") -> KeptIndex:
     """The index with these docs; docs that it has already are replaced.
 
@@ -127,14 +149,10 @@ def add_docs(index: KeptIndex, docs: DataFrame, doc_id: str = "doc_id") -> KeptI
             "length", F.aggregate("fields", F.lit(0), lambda n, f: n + F.size(f["terms"]))
         )
     )
-    occurrences = (
-        exploded(words, "fields", *DOC, "length", value="f")
-        .select(*DOC, "length", "f.*")
-        .transform(lambda d: exploded(d, "terms", *DOC, "length", "field", value="term", pos="pos"))
-    )
-    # the words of one doc sit in one task
-    postings = occurrences.groupBy(*DOC, "length", "field", "term").agg(
-        F.count("*").alias("tf"), F.sort_array(F.collect_list("pos")).alias("places")
+    by_field = exploded(words, "fields", *DOC, "length", value="f").select(*DOC, "length", "f.field", _grouped("f.terms").alias("terms"))
+    # a doc's words are counted in its own row: no occurrence is shuffled
+    postings = exploded(by_field, "terms", *DOC, "length", "field", value="t").select(
+        *DOC, "length", "field", "t.term", F.size("t.places").cast("bigint").alias("tf"), "t.places"
     )
     gen = uuid.uuid4().hex[:12]
     _write_postings(index, postings, gen)

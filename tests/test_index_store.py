@@ -126,3 +126,15 @@ def test_catalog_indexes_replace_a_repo(spark, tmp_path):
     assert [r.doc_id for r in kept.rank(opened["tables"], asked).collect()] == ["t_order"]
     found = search.search_columns({"columns": columns}, asked.withColumn("text", F.lit("key")), index=kept.index_for(opened["columns"], asked.withColumn("text", F.lit("key"))))
     assert [r.column_name for r in found.collect()] == ["t_order.id"]
+
+
+def test_words_are_grouped_with_their_places_in_their_own_row(spark):
+    lists = [["b", "a", "b", "c", "a", "b"], ["x"], ["x", "x"], [], ["é", "e", "é"]]
+    frame = spark.createDataFrame([(i, words) for i, words in enumerate(lists)], "i int, terms array<string>")
+    grouped = frame.select("i", kept._grouped("terms").alias("g"))
+    assert "Exchange" not in grouped._jdf.queryExecution().executedPlan().toString()
+    for i, found in grouped.collect():
+        want = {}
+        for place, word in enumerate(lists[i]):
+            want.setdefault(word, []).append(place)
+        assert {g.term: g.places for g in found or ()} == want and len(found or ()) == len(want)
