@@ -16,9 +16,10 @@ def _grams(text: Column, n: int) -> Column:
     return F.regexp_extract_all(text, F.lit(f"(?s)(?=(.{{{n}}}))"), F.lit(1))
 
 
-def _all_grams(text: Column) -> Column:
-    """Distinct runs of 1 to ``GRAM`` characters; runs of different size never meet."""
-    return F.array_distinct(F.flatten(F.array(*[_grams(text, n) for n in range(1, GRAM + 1)])))
+def _all_grams(text: Column, sizes: list[int]) -> Column:
+    """Distinct runs of these numbers of characters; runs of different size never meet."""
+    runs = [_grams(text, n) for n in sizes]
+    return F.array_distinct(runs[0] if len(runs) == 1 else F.flatten(F.array(*runs)))
 
 
 def _own_grams(needle: Column) -> Column:
@@ -50,8 +51,10 @@ def substring_pairs(
         )
     )
     used = sized(wanted.select(*keys, "_gram").distinct())
+    # at most GRAM numbers: as a rule no needle is short, and texts are cut into runs of one size only
+    sizes = sorted(r.n for r in used.select(F.length("_gram").alias("n")).distinct().collect())
     held = stored(
-        exploded(texts, _all_grams(F.col(text_col)), *keys, "_text_key", value="_gram")
+        exploded(texts, _all_grams(F.col(text_col), sizes or [GRAM]), *keys, "_text_key", value="_gram")
         .join(used, [*keys, "_gram"], "left_semi")
         .groupBy(*keys, "_gram", "_text_key")
         .agg(F.count("*").alias("_copies"))

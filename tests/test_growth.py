@@ -1,6 +1,9 @@
 """Work that must not grow faster than its input: rows that joins make, counted after a run."""
 
-from semcat.operators import grounding, search
+from pyspark.sql import functions as F
+
+from semcat.operators import grounding, search, substring
+from semcat.plans import build
 
 
 def counted(df, kind_wanted, metric):
@@ -75,3 +78,18 @@ def test_checks_join_only_the_probes_they_look_at(spark):
         rows = check(log, known)
         assert max(counted(rows, "Join", "numOutputRows")) <= probes, check.__name__
         assert rows.count() == found, check.__name__
+
+
+def test_texts_are_cut_into_runs_of_the_needles_sizes(spark, monkeypatch):
+    cut, runs = [], substring._all_grams
+    monkeypatch.setattr(substring, "_all_grams", lambda text, sizes: cut.append(sizes) or runs(text, sizes))
+    texts = spark.createDataFrame([("r", 1, "abcdef"), ("r", 2, "xbx"), ("r", 3, None)], "repo_id string, id int, hay string")
+
+    def met(*needles):
+        asked = spark.createDataFrame([("r", n) for n in needles], "repo_id string, needle string")
+        found = substring.substring_pairs(texts, asked, "hay", "needle", ["repo_id"]).collect()
+        return {(r.id, r.needle) for r in found}
+
+    assert met("bcde", "def", "abd") == {(1, "bcde"), (1, "def")} and cut.pop() == [3]
+    assert met("b", "ef", "xbx") == {(1, "b"), (2, "b"), (1, "ef"), (2, "xbx")} and cut.pop() == [1, 2, 3]
+    assert met("") == set()
