@@ -135,11 +135,12 @@ def _slots_prefix(index: Index, wanted: DataFrame, column: str | None) -> DataFr
     expanded = exploded(vocabulary, starts, "repo_id", "term", value="slot").join(
         sized(prefixes), ["repo_id", "slot"], "left_semi"
     )
-    rows = index.postings if column is None else index.postings.filter(F.col("field") == column)
+    rows = index.occurrences if column is None else index.occurrences.filter(F.col("field") == column)
+    # counted once, after all other words are gone
     return (
         rows.join(sized(expanded), ["repo_id", "term"])
         .groupBy(*DOC, "slot", "length")
-        .agg(F.sum("tf").alias("tf"))
+        .agg(F.count("*").alias("tf"))
     )
 
 

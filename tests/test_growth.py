@@ -93,3 +93,13 @@ def test_texts_are_cut_into_runs_of_the_needles_sizes(spark, monkeypatch):
     assert met("bcde", "def", "abd") == {(1, "bcde"), (1, "def")} and cut.pop() == [3]
     assert met("b", "ef", "xbx") == {(1, "b"), (2, "b"), (1, "ef"), (2, "xbx")} and cut.pop() == [1, 2, 3]
     assert met("") == set()
+
+
+def test_prefixes_count_only_words_that_start_with_them(spark):
+    docs = spark.createDataFrame([("r", i, " ".join(f"w{i}x{j}" for j in range(50)) + " redone redone redo") for i in range(40)], "repo_id string, doc_id int, text string")
+    wanted = spark.createDataFrame([("r", "red")], "repo_id string, slot string")
+    hits = search._slots_prefix(search.build_index(docs, ["text"]), wanted, None)
+    made = counted(hits, "Aggregate", "numOutputRows")
+    assert {r.tf for r in hits.collect()} == {3}
+    # 40 docs; counted word by word it would be 40 x 52
+    assert made and max(made) <= 40 * 2
