@@ -103,3 +103,12 @@ def test_prefixes_count_only_words_that_start_with_them(spark):
     assert {r.tf for r in hits.collect()} == {3}
     # 40 docs; counted word by word it would be 40 x 52
     assert made and max(made) <= 40 * 2
+
+
+def test_fields_of_a_text_with_the_marks_in_it(files):
+    from semcat.operators import entities
+
+    src = '@Table(name = "t")\n// import javax.persistence.Table; %s\npublic class T {\n@Column(name = "x")\nprivate Long x;\n@Column(name = "y%s")\nprivate Long y;\n}\n'
+    tree = files({f"a/entity/T{i}.java": "import javax.persistence.Table;\nimport javax.persistence.Column;\n" + src % (m, m) for i, m in enumerate(("", "\u0002", "\u0003"))})
+    read = entities.parse_entities(tree).select("source_file", F.transform("columns", lambda c: c["name"]).alias("n"))
+    assert sorted(tuple(r.n) for r in read.collect()) == [("x", "y"), ("x", "y\u0002"), ("x", "y\u0003")]
