@@ -112,3 +112,13 @@ def test_fields_of_a_text_with_the_marks_in_it(files):
     tree = files({f"a/entity/T{i}.java": "import javax.persistence.Table;\nimport javax.persistence.Column;\n" + src % (m, m) for i, m in enumerate(("", "\u0002", "\u0003"))})
     read = entities.parse_entities(tree).select("source_file", F.transform("columns", lambda c: c["name"]).alias("n"))
     assert sorted(tuple(r.n) for r in read.collect()) == [("x", "y"), ("x", "y\u0002"), ("x", "y\u0003")]
+
+
+
+def test_statements_are_cut_once(spark):
+    log = spark.createDataFrame([(i, "r", f"select a from t where b = {i}") for i in range(20)], "query_id int, repo_id string, sql string")
+    read = grounding.read_statements(log)
+    plan = read._jdf.queryExecution().executedPlan().toString()
+    # the log itself is not read again for the join with its templates
+    assert "Scan parquet" in plan and "ExistingRDD" not in plan and "LocalTableScan" not in plan
+    assert {(r.query_id, r.equalities[0].code) for r in read.collect()} == {(i, i) for i in range(20)}
