@@ -122,3 +122,17 @@ def test_statements_are_cut_once(spark):
     # the log itself is not read again for the join with its templates
     assert "Scan parquet" in plan and "ExistingRDD" not in plan and "LocalTableScan" not in plan
     assert {(r.query_id, r.equalities[0].code) for r in read.collect()} == {(i, i) for i in range(20)}
+
+
+def test_only_named_tables_are_built(files, monkeypatch):
+    tree = files({"a/entity/T.java": 'import javax.persistence.Table;\n@Table(name = "t")\npublic class T {\n@Column(name = "x")\nprivate Long x;\n}\n'})
+    written, stored = [], build.stored
+    monkeypatch.setattr(build, "stored", lambda df: written.append(df) or stored(df))
+    known = build.build_catalog(tree, store=True, names=("tables",))
+    assert list(known) == ["tables"] and len(written) == 1
+    assert [r.name for r in known["tables"].collect()] == ["t"]
+    both = build.build_catalog(tree, store=True, names=("tables", "columns"))
+    assert len(written) == 2 and "enum_class" not in both["columns"].columns
+    # bindings are found once, for themselves and for the columns
+    bound = build.build_catalog(tree, store=True)
+    assert len(written) == 7 and "enum_class" in bound["columns"].columns
