@@ -38,7 +38,8 @@ MODES = ("all", "any", "prefix", "phrase")
 @dataclass(frozen=True)
 class Index:
     """``occurrences`` has one row per word (doc, field, position), ``postings`` one per
-    doc, field and word; both carry the doc's length. ``corpus`` has one row per repo."""
+    doc, field and word; both carry the doc's length. ``corpus`` has one row per repo.
+    ``whole``, if there, is stored and has one row per doc and word of all fields."""
 
     occurrences: DataFrame
     postings: DataFrame
@@ -46,6 +47,7 @@ class Index:
     term_stats: DataFrame
     corpus: DataFrame
     fields: tuple[str, ...]
+    whole: DataFrame | None = None
 
 
 def build_index(
@@ -119,6 +121,8 @@ def _restricted(rows: DataFrame, terms: DataFrame, column: str | None) -> DataFr
 def _slots_all(index: Index, wanted: DataFrame, column: str | None) -> DataFrame:
     """``(doc, slot, tf, length)`` where every slot is one word."""
     terms = wanted.select("repo_id", F.col("slot").alias("term")).distinct()
+    if column is None and index.whole is not None:
+        return _restricted(index.whole, terms, None).select(*DOC, F.col("term").alias("slot"), "tf", "length")
     rows = _restricted(index.postings, terms, column)
     if len(index.fields) > 1 and column is None:
         rows = rows.groupBy(*DOC, "term", "length").agg(F.sum("tf").alias("tf"))
@@ -198,6 +202,8 @@ def _with_every_word(hits: DataFrame, weighted: DataFrame, hint: str) -> DataFra
     are looked at for the others: common words are not joined to all queries.
     """
     query = ["repo_id", "query_id"]
+    # counted once, not for both joins
+    weighted = stored(weighted)
     complete = (
         weighted.groupBy(*query, "n_terms")
         .agg(
@@ -207,12 +213,16 @@ def _with_every_word(hits: DataFrame, weighted: DataFrame, hint: str) -> DataFra
         .filter(F.col("n_known") == F.col("n_terms"))
         .select(*query, "slot")
     )
-    candidates = hits.select(*DOC, "slot").join(
-        complete.hint(hint), ["repo_id", "slot"]
-    ).drop("slot")
-    asked = candidates.join(weighted.hint(hint), query)
+    candidates = stored(
+        hits.select(*DOC, "slot").join(complete.hint(hint), ["repo_id", "slot"]).drop("slot")
+    )
     # written down, so that counting it is free: as a rule it is short
-    return hits.join(sized(asked), [*DOC, "slot"])
+    asked = stored(candidates.join(weighted.hint(hint), query))
+    side = side_hint(asked)
+    if side == "merge":
+        # all other docs' hits are dropped where they are read, and not shuffled
+        hits = hits.join(sized(candidates.select(*DOC).distinct()), DOC, "left_semi")
+    return hits.join(asked.hint(side), [*DOC, "slot"])
 
 
 def _unwanted(index: Index, queries: DataFrame) -> DataFrame:
@@ -295,8 +305,10 @@ def score_bm25(
         wanted = stored(query_terms(queries))
         hint = side_hint(wanted)
         find = _slots_prefix if mode == "prefix" else _slots_all
-        # read several times below; the texts are gone through once
-        hits = stored(find(index, wanted, column))
+        hits = find(index, wanted, column)
+        if mode == "prefix" or column is not None or index.whole is None:
+            # read several times below; the texts are gone through once
+            hits = stored(hits)
         n_with = hits.groupBy("repo_id", "slot").agg(F.count("*").alias("n_with"))
         # everything that hangs on the word alone is joined to the short side
         weighted = (

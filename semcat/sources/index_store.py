@@ -2,7 +2,7 @@
 
 Below its folder lie
 
-* ``postings/gen=G/bucket=B``: one row per doc, field and word, with its places; a word's bucket is a hash
+* ``postings/gen=G/bucket=B``: one row per doc and word, with its spots in the fields; a word's bucket is a hash
 * ``docs/gen=G``: the length of every doc; ``dropped/gen=G``: docs whose older rows no longer count
 * ``words/gen=G``: distinct words in order, for searches by prefix
 * ``versions/N``: which generations make up version N of the index, and its settings
@@ -11,6 +11,10 @@ Every change writes a generation of its own and then, last, a version that names
 version and stay with the generations it names, so they never see half a change; what a killed write left
 behind is named by no version. A doc that is added again, or removed, hides its rows of older generations.
 Ranking reads the buckets of the queries' words and nothing else of the postings.
+
+Neither texts nor postings are shuffled. The task that cuts a doc's text writes all its postings, one doc after the
+other, so what they repeat costs next to nothing; the docs of one task are a segment, numbered in it. Which docs of
+a segment still count is one row of booleans, looked up by the doc's number.
 """
 
 from __future__ import annotations
@@ -22,7 +26,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from semcat.config import SEARCH_LIMIT
-from semcat.functions.rows import exploded
+from semcat.functions.rows import computed_once, exploded
 from semcat.functions.text import tokenize
 from semcat.operators import search
 from semcat.plans.lineage import side_hint, sized, stored
@@ -31,9 +35,18 @@ from semcat.sources import versions
 BUCKETS = 64
 # generations that are read together before they are merged into one
 GENERATIONS = 8
+# what the folders hold; an index of another layout is not read
+LAYOUT = 2
+
+# bytes of texts: tasks that would write less are joined, and one that would write more is no reason for others
+LEAST_TEXT, MOST_TEXT = 8 << 20, 64 << 20
 
 DOC = ["repo_id", "doc_id"]
-POSTINGS = "repo_id string, doc_id {id}, length int, field string, term string, tf bigint, places array<int>"
+DOCS = "repo_id string, doc_id {id}, length int, seg bigint, ord int"
+# a spot is place * number of fields + number of the field
+POSTINGS = DOCS + ", term string, tf bigint, spots array<int>"
+# the folder of the docs' own rows beside the words' buckets
+OWN_ROWS = -1
 
 
 @dataclass(frozen=True)
@@ -65,7 +78,7 @@ class KeptIndex:
 def _publish(spark: SparkSession, index: KeptIndex) -> KeptIndex:
     """Write the version after ``index.version``; two writers of one version: the second one fails."""
     made = replace(index, version=index.version + 1)
-    content = {"fields": made.fields, "id_type": made.id_type, "n_buckets": made.n_buckets, "generations": made.generations}
+    content = {"layout": LAYOUT, "fields": made.fields, "id_type": made.id_type, "n_buckets": made.n_buckets, "generations": made.generations}
     versions.publish(spark, made.path, made.version, content)
     return made
 
@@ -77,6 +90,8 @@ def open_index(spark: SparkSession, path: str, version: int | None = None) -> Ke
         raise FileNotFoundError(f"no such index: {path}, version {version or 'any'}")
     number = known[-1] if version is None else version
     held = versions.read(spark, path, number)
+    if held.get("layout") != LAYOUT:
+        raise ValueError(f"{path} was written in another layout: create it anew")
     return KeptIndex(path, tuple(held["fields"]), held["id_type"], held["n_buckets"], number, tuple(held["generations"]))
 
 
@@ -97,25 +112,29 @@ def _bucket(index: KeptIndex) -> Column:
     return F.pmod(F.xxhash64("repo_id", "term"), F.lit(index.n_buckets)).cast("int")
 
 
-def _write_postings(index: KeptIndex, postings: DataFrame, gen: str) -> None:
-    folder = f"{index.path}/postings/gen={gen}"
-    rows = postings.withColumn("bucket", _bucket(index))
-    # one bucket's rows may be many: a word's docs are dealt over a few tasks
-    spread = F.pmod(F.xxhash64("doc_id"), F.lit(4))
-    (
-        rows.repartition("bucket", spread)
-        .sortWithinPartitions("bucket", "repo_id", "term", "doc_id")
-        .write.partitionBy("bucket")
-        .parquet(folder)
-    )
-    kept = rows.sparkSession.read.schema("repo_id string, term string").parquet(folder).distinct()
+def _write_postings(index: KeptIndex, rows: DataFrame, gen: str) -> None:
+    """Postings, docs and words of a generation; ``rows`` without a word are the docs' own."""
+    spark, folder = rows.sparkSession, f"{index.path}/postings/gen={gen}"
+    bucket = F.when(F.col("term").isNull(), F.lit(OWN_ROWS)).otherwise(_bucket(index))
+    rows.withColumn("bucket", bucket).write.partitionBy("bucket").parquet(folder)
+    written = spark.read.schema(f"{_postings_schema(index)}, bucket int").parquet(folder)
+    docs = written.filter(F.col("bucket") == OWN_ROWS)
+    docs.select(*DOC, "length", "seg", "ord").write.parquet(f"{index.path}/docs/gen={gen}")
+    kept = written.filter(F.col("bucket") != OWN_ROWS).select("repo_id", "term").distinct()
     kept.repartitionByRange("repo_id", "term").sortWithinPartitions("repo_id", "term").write.parquet(f"{index.path}/words/gen={gen}")
 
 
-def _grouped(terms: str) -> Column:
-    """Distinct words of a list with their places, in time that follows sorting the list."""
+def _grouped(*lists: Column | str) -> Column:
+    """Distinct words of lists with their places, in time that follows sorting the lists.
+
+    With more than one list a place is the place in the list times their number, plus the list's number.
+    """
     once = lambda column, body: F.flatten(F.transform(F.array(column), body))
-    placed = F.sort_array(F.transform(F.col(terms), lambda t, i: F.struct(t.alias("term"), i.alias("pos"))))
+
+    def numbered(terms: Column | str, n: int) -> Column:
+        return F.transform(terms, lambda t, i: F.struct(t.alias("term"), (i * len(lists) + n).cast("int").alias("pos")))
+
+    placed = F.sort_array(F.concat(*[numbered(terms, n) for n, terms in enumerate(lists)]))
 
     def cut(words: Column) -> Column:
         n = F.size(words)
@@ -131,7 +150,34 @@ def _grouped(terms: str) -> Column:
             ),
         ))
 
-    return F.when(F.size(terms) > 0, once(placed, cut))
+    return once(placed, cut)
+
+
+def _distinct_docs(rows: DataFrame, fields: tuple[str, ...]) -> DataFrame:
+    """One row per doc, of those that share an id the one of the greatest texts, in tasks of a fit size.
+
+    Only ids are shuffled to find the ids that come twice, and only the texts of these.
+    """
+    size = sum((F.coalesce(F.octet_length(c), F.lit(0)) for c in fields), F.lit(0)).cast("bigint")
+    ids = stored(
+        rows.select(*DOC, size.alias("size"), F.spark_partition_id().alias("part"))
+        .groupBy(*DOC)
+        .agg(F.count("*").alias("n"), F.sum("size").alias("size"), F.min("part").alias("part"))
+    )
+    several = ids.filter("n > 1").select(*DOC)
+    best = rows
+    if not several.isEmpty():
+        several = sized(several)
+        best = rows.join(several, DOC, "left_semi").groupBy(*DOC).agg(F.max(F.struct(*fields)).alias("texts"))
+        best = rows.join(several, DOC, "left_anti").unionByName(best.select(*DOC, "texts.*"))
+    parts = ids.groupBy("part").agg(F.sum("size").alias("size"))
+    n_parts, most, total = parts.agg(F.count("*"), F.coalesce(F.max("size"), F.lit(0)), F.coalesce(F.sum("size"), F.lit(0))).first()
+    n_tasks = min(int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")), total // LEAST_TEXT + 1)
+    n_tasks = max(n_tasks, total // MOST_TEXT + 1)
+    if most > MOST_TEXT and most > 8 * (total // n_tasks):
+        # a few tasks would cut nearly all texts
+        return best.repartition(n_tasks, *DOC)
+    return best.coalesce(n_tasks) if n_parts > 4 * n_tasks else best
 
 
 def add_docs(index: KeptIndex, docs: DataFrame, doc_id: str = "doc_id") -> KeptIndex:
@@ -142,23 +188,29 @@ def add_docs(index: KeptIndex, docs: DataFrame, doc_id: str = "doc_id") -> KeptI
     """
     texts = [F.col(c).cast("string").alias(c) for c in index.fields]
     rows = docs.select("repo_id", F.col(doc_id).alias("doc_id"), *texts).dropna(subset=DOC)
-    best = rows.groupBy(*DOC).agg(F.max(F.struct(*index.fields)).alias("texts"))
-    fields = F.array(*[F.struct(F.lit(c).alias("field"), tokenize(F.col(f"texts.{c}")).alias("terms")) for c in index.fields])
-    words = stored(
-        best.select(*DOC, fields.alias("fields")).withColumn(
-            "length", F.aggregate("fields", F.lit(0), lambda n, f: n + F.size(f["terms"]))
-        )
+    lists = F.array(*[tokenize(F.col(c)) for c in index.fields])
+    words = computed_once(_distinct_docs(rows, index.fields).select(*DOC, lists.alias("lists")), "lists")
+    # numbers that no other published generation has, as no other has its version
+    seg = F.lit((index.version + 1) << 32) + F.spark_partition_id()
+    own = F.struct(F.lit(None).cast("string").alias("term"), F.lit(None).cast("array<int>").alias("places"))
+    grouped = _grouped(*[F.col("lists")[n] for n in range(len(index.fields))])
+    numbered = words.select(
+        *DOC,
+        F.aggregate("lists", F.lit(0), lambda n, terms: n + F.size(terms)).alias("length"),
+        seg.alias("seg"),
+        F.monotonically_increasing_id().bitwiseAND(F.lit((1 << 33) - 1)).cast("int").alias("ord"),
+        F.concat(F.array(own), grouped).alias("terms"),
     )
-    by_field = exploded(words, "fields", *DOC, "length", value="f").select(*DOC, "length", "f.field", _grouped("f.terms").alias("terms"))
     # a doc's words are counted in its own row: no occurrence is shuffled
-    postings = exploded(by_field, "terms", *DOC, "length", "field", value="t").select(
-        *DOC, "length", "field", "t.term", F.size("t.places").cast("bigint").alias("tf"), "t.places"
+    postings = exploded(numbered, "terms", *DOC, "length", "seg", "ord", value="t").select(
+        *DOC, "length", "seg", "ord", "t.term", F.size("t.places").cast("bigint").alias("tf"), F.col("t.places").alias("spots")
     )
     gen = uuid.uuid4().hex[:12]
     _write_postings(index, postings, gen)
-    words.select(*DOC, "length").write.parquet(f"{index.path}/docs/gen={gen}")
-    words.select(*DOC).write.parquet(f"{index.path}/dropped/gen={gen}")
-    return _grown(index, docs.sparkSession, gen)
+    spark = docs.sparkSession
+    written = spark.read.schema(_docs_schema(index)).parquet(f"{index.path}/docs/gen={gen}")
+    written.select(*DOC).write.parquet(f"{index.path}/dropped/gen={gen}")
+    return _grown(index, spark, gen)
 
 
 def remove_docs(index: KeptIndex, docs: DataFrame, doc_id: str = "doc_id") -> KeptIndex:
@@ -169,7 +221,7 @@ def remove_docs(index: KeptIndex, docs: DataFrame, doc_id: str = "doc_id") -> Ke
     none = spark.createDataFrame([], f"{_postings_schema(index)}, bucket int")
     none.drop("bucket").write.parquet(f"{index.path}/postings/gen={gen}")
     none.select("repo_id", "term").write.parquet(f"{index.path}/words/gen={gen}")
-    none.select(*DOC, "length").write.parquet(f"{index.path}/docs/gen={gen}")
+    none.select(*DOC, "length", "seg", "ord").write.parquet(f"{index.path}/docs/gen={gen}")
     return _grown(index, spark, gen)
 
 
@@ -186,8 +238,8 @@ def _grown(index: KeptIndex, spark: SparkSession, gen: str) -> KeptIndex:
 def merge(index: KeptIndex, spark: SparkSession) -> KeptIndex:
     """The same index in one generation, without what no longer counts."""
     gen = uuid.uuid4().hex[:12]
-    _write_postings(index, live_postings(index, spark), gen)
-    live_docs(index, spark).write.parquet(f"{index.path}/docs/gen={gen}")
+    own = _marked(index, spark).filter("live").drop("live")
+    _write_postings(index, live_postings(index, spark).unionByName(own, allowMissingColumns=True), gen)
     spark.createDataFrame([], f"repo_id string, doc_id {index.id_type}").write.parquet(f"{index.path}/dropped/gen={gen}")
     return _publish(spark, replace(index, generations=(gen,)))
 
@@ -216,28 +268,64 @@ def _postings_schema(index: KeptIndex) -> str:
     return POSTINGS.format(id=index.id_type)
 
 
-def _live(rows: DataFrame, index: KeptIndex) -> DataFrame:
-    """Rows whose doc no younger generation drops."""
+def _docs_schema(index: KeptIndex) -> str:
+    return DOCS.format(id=index.id_type)
+
+
+def _marked(index: KeptIndex, spark: SparkSession) -> DataFrame:
+    """Every doc's row in every generation, ``live`` if no younger generation drops it."""
+    docs = index.table(spark, "docs", _docs_schema(index))
     if len(index.generations) == 1:
-        return rows.drop("age")
-    spark = rows.sparkSession
+        return docs.drop("age").withColumn("live", F.lit(True))
     dropped = index.table(spark, "dropped", f"repo_id string, doc_id {index.id_type}")
     last = dropped.filter("age > 0").groupBy(*DOC).agg(F.max("age").alias("_dropped"))
-    met = rows.join(sized(last), DOC, "left")
-    return met.filter("_dropped is null or age >= _dropped").drop("age", "_dropped")
+    live = F.expr("_dropped is null or age >= _dropped")
+    return docs.join(sized(last), DOC, "left").withColumn("live", live).drop("age", "_dropped")
 
 
 def live_docs(index: KeptIndex, spark: SparkSession) -> DataFrame:
     """``(repo_id, doc_id, length)`` of every doc of the index."""
-    return _live(index.table(spark, "docs", f"repo_id string, doc_id {index.id_type}, length int"), index)
+    return _marked(index, spark).filter("live").select(*DOC, "length")
 
 
-def live_postings(index: KeptIndex, spark: SparkSession, buckets: list[int] | None = None) -> DataFrame:
-    """The postings that count, of some buckets or all; buckets are folders, others are not opened."""
+def _segments(docs: DataFrame) -> DataFrame:
+    """``(seg, live)``: for each segment with docs that no longer count, which docs do, by their numbers."""
+    found = (
+        docs.groupBy("seg")
+        .agg(F.min("live").alias("all"), F.collect_list(F.struct("ord", "live")).alias("docs"))
+        .filter(~F.col("all"))
+        .select("seg", F.sort_array("docs").alias("docs"))
+    )
+
+    def upto(doc: Column, i: Column) -> Column:
+        # numbers that no doc has, as a merge left it out, are filled up
+        before = F.coalesce(F.get("docs", i - 1)["ord"], F.lit(-1))
+        return F.array_append(F.array_repeat(F.lit(False), doc["ord"] - before - 1), doc["live"])
+
+    return found.select("seg", F.flatten(F.transform("docs", upto)).alias("live"))
+
+
+def _postings(index: KeptIndex, spark: SparkSession, buckets: list[int] | None = None) -> DataFrame:
+    """The postings of some buckets or all, those that count no longer too."""
     rows = index.table(spark, "postings", f"{_postings_schema(index)}, bucket int")
-    if buckets is not None:
+    if buckets is None:
+        rows = rows.filter(F.col("bucket") != OWN_ROWS)
+    else:
         rows = rows.filter(F.col("bucket").isin(buckets)) if buckets else rows.filter("false")
-    return _live(rows.drop("bucket"), index)
+    return rows.drop("bucket", "age")
+
+
+def _counting(rows: DataFrame, index: KeptIndex, docs: DataFrame) -> DataFrame:
+    """Those postings whose docs count, given the marked docs."""
+    if len(index.generations) == 1:
+        return rows
+    met = rows.join(sized(_segments(docs)), "seg", "left")
+    return met.filter(F.coalesce(F.get("live", F.col("ord")), F.lit(True))).drop("live")
+
+
+def live_postings(index: KeptIndex, spark: SparkSession, buckets: list[int] | None = None) -> DataFrame:
+    """The postings that count, of some buckets or all; buckets are folders, others are not opened."""
+    return _counting(_postings(index, spark, buckets), index, _marked(index, spark))
 
 
 def _asked_words(index: KeptIndex, queries: DataFrame, mode: str) -> DataFrame:
@@ -256,28 +344,52 @@ def _asked_words(index: KeptIndex, queries: DataFrame, mode: str) -> DataFrame:
     return terms.distinct()
 
 
-def index_for(index: KeptIndex, queries: DataFrame, mode: str = "all") -> search.Index:
+def _occurrences(postings: DataFrame, fields: tuple[str, ...]) -> DataFrame:
+    """One row per place of a word, from its spots."""
+    spots = exploded(postings, "spots", *DOC, "length", "term", value="spot")
+    field = F.get(F.array(*map(F.lit, fields)), F.col("spot") % len(fields))
+    return spots.select(*DOC, "length", field.alias("field"), "term", F.expr(f"int(spot div {len(fields)})").alias("pos"))
+
+
+def _by_field(postings: DataFrame, fields: tuple[str, ...]) -> DataFrame:
+    """One row per doc, field and word, counted from its spots."""
+
+    def within(n: int, field: str) -> Column:
+        spots = F.filter("spots", lambda s: s % len(fields) == n)
+        return F.struct(F.lit(field).alias("field"), F.size(spots).cast("bigint").alias("tf"))
+
+    counts = F.array(*[within(n, field) for n, field in enumerate(fields)])
+    rows = exploded(postings, counts, *DOC, "length", "term", value="f")
+    return rows.filter("f.tf > 0").select(*DOC, "length", "f.field", "term", "f.tf")
+
+
+def index_for(
+    index: KeptIndex, queries: DataFrame, mode: str = "all", column: str | None = None
+) -> search.Index:
     """What ranking ``queries`` needs of the index: the postings of their words, and the corpus statistics."""
     spark = queries.sparkSession
     words = stored(_asked_words(index, queries, mode))
     buckets = sorted(r.b for r in words.select(_bucket(index).alias("b")).distinct().collect())  # n_buckets at most
-    found = live_postings(index, spark, buckets).join(words.hint(side_hint(words)), ["repo_id", "term"], "left_semi")
-    # read several times while ranking, and short beside the index
-    found = stored(found)
-    occurrences = exploded(found, "places", *DOC, "length", "field", "term", value="pos")
-    docs = live_docs(index, spark)
+    docs = stored(_marked(index, spark))
+    found = _postings(index, spark, buckets).join(words.hint(side_hint(words)), ["repo_id", "term"], "left_semi")
+    found = _counting(found, index, docs).select(*DOC, "length", "term", "tf", "spots")
+    # read several times while ranking, and short beside the index; spots, which are most of it, only where they are looked at
+    placed = mode in ("prefix", "phrase") or column is not None
+    whole = stored(found if placed else found.drop("spots"))
+    spots = whole if placed else found
+    docs = docs.filter("live").select(*DOC, "length")
     corpus = stored(docs.groupBy("repo_id").agg(F.count("*").alias("n_docs"), F.avg("length").alias("avg_length")))
-    terms = found.groupBy(*DOC, "term").agg(F.sum("tf").alias("tf")).groupBy("repo_id", "term").agg(
-        F.count("*").alias("n_docs"), F.sum("tf").alias("n_total")
+    terms = whole.groupBy("repo_id", "term").agg(F.count("*").alias("n_docs"), F.sum("tf").alias("n_total"))
+    return search.Index(
+        _occurrences(spots, index.fields), _by_field(spots, index.fields), docs, terms, corpus, index.fields, whole.drop("spots")
     )
-    return search.Index(occurrences, found.drop("places"), docs, terms, corpus, index.fields)
 
 
 def rank(
     index: KeptIndex, queries: DataFrame, k: int = SEARCH_LIMIT, mode: str = "all", column: str | None = None
 ) -> DataFrame:
     """The ``k`` best docs of each query, as :func:`semcat.operators.search.rank_bm25` gives them."""
-    return search.rank_bm25(index_for(index, queries, mode), queries, k, mode, column)
+    return search.rank_bm25(index_for(index, queries, mode, column), queries, k, mode, column)
 
 
 # --------------------------------------------------------------- catalogs by search

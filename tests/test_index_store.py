@@ -3,6 +3,7 @@
 import random
 
 import pytest
+from pyspark.sql import DataFrameWriter
 from pyspark.sql import functions as F
 
 from semcat.operators import search
@@ -138,3 +139,62 @@ def test_words_are_grouped_with_their_places_in_their_own_row(spark):
         for place, word in enumerate(lists[i]):
             want.setdefault(word, []).append(place)
         assert {g.term: g.places for g in found or ()} == want and len(found or ()) == len(want)
+
+
+def test_neither_texts_nor_postings_are_shuffled_or_kept_twice(spark, tmp_path, monkeypatch):
+    written, write = [], DataFrameWriter.parquet
+    monkeypatch.setattr(DataFrameWriter, "parquet", lambda self, path, *a, **b: (written.append((path, self._df)), write(self, path, *a, **b))[1])
+    index = kept.create_index(frame(spark, rows_of(8, range(60))), f"{tmp_path}/i", ["text", "lang"], n_buckets=2)
+    long = {"text", "texts", "fields", "lists", "terms", "places", "spots"}
+    plans = {path: df._jdf.queryExecution().executedPlan().toString() for path, df in written if long & set(df.columns)}
+    assert [path for path in plans if f"{tmp_path}" not in path] == []
+    assert [path for path, plan in plans.items() if "Exchange" in plan] == []
+    assert any("/postings/" in path for path in plans) and len(index.generations) == 1
+
+
+def test_segments_tell_which_docs_count(spark, queries, tmp_path):
+    rows = rows_of(9, range(40))
+    index = kept.create_index(frame(spark, rows).repartition(3), f"{tmp_path}/i", ["text", "lang"], n_buckets=2)
+    assert kept._segments(kept._marked(index, spark)).count() == 0
+    ids = {r[:2] for r in rows}
+    # the second time the numbers of docs that a merge left out are missing
+    for removed in (rows[5:15], rows[20:25]):
+        index = kept.remove_docs(index, frame(spark, removed))
+        ids -= {r[:2] for r in removed}
+        marked = kept._marked(index, spark)
+        live = {r.seg: r.live for r in kept._segments(marked).collect()}
+        assert live and all(live[r.seg][r.ord] == r.live for r in marked.collect() if r.seg in live)
+        assert {(r.repo_id, r.doc_id) for r in marked.filter("live").collect()} == ids
+        assert {(r.repo_id, r.doc_id) for r in kept.live_postings(index, spark).select("repo_id", "doc_id").distinct().collect()} <= ids
+        index = kept.merge(index, spark)
+    same_as_fresh(spark, index, [r for r in rows if r[:2] in ids], queries, ("all",))
+
+
+def test_tasks_are_joined_or_dealt_out_by_their_texts(spark, monkeypatch):
+    docs = frame(spark, [("r", f"d{i}", "word " * 50, None) for i in range(80)])
+    n_tasks = lambda d: kept._distinct_docs(d, ("text", "lang")).select(F.spark_partition_id().alias("p")).distinct().count()
+    assert n_tasks(docs.repartition(40)) == 1
+    monkeypatch.setattr(kept, "LEAST_TEXT", 100)
+    assert n_tasks(docs.repartition(10)) == 10
+    assert n_tasks(docs.repartition(80)) == 4
+    monkeypatch.setattr(kept, "MOST_TEXT", 1000)
+    assert n_tasks(docs.coalesce(1)) > 10
+
+
+def test_docs_of_large_lists_are_found_before_their_words_are_joined(spark, queries, tmp_path, monkeypatch):
+    rows = rows_of(10, range(60))
+    index = kept.create_index(frame(spark, rows), f"{tmp_path}/i", ["text", "lang"], n_buckets=2)
+    asked = queries.drop("not_text")
+    want = answers(kept.rank(index, asked))
+    monkeypatch.setattr(search, "side_hint", lambda df: "merge")
+    ranked = kept.rank(index, asked)
+    assert "LeftSemi" in ranked._jdf.queryExecution().optimizedPlan().toString() and want
+    assert answers(ranked) == want
+
+
+def test_an_index_of_another_layout_is_not_read(spark, tmp_path, monkeypatch):
+    with monkeypatch.context() as m:
+        m.setattr(kept, "LAYOUT", 1)
+        kept.create_index(frame(spark, rows_of(11, range(3))), f"{tmp_path}/i", ["text", "lang"])
+    with pytest.raises(ValueError, match="layout"):
+        kept.open_index(spark, f"{tmp_path}/i")
